@@ -14,7 +14,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 #: A table of at most so many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS = 100_000
 
 _written: set[str] = set()
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .decontam import op10_decontaminate
 from .mixing import op8_mix_sources
 from .quality import op5_quality_rules
+from .urls import op7_url_filter
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op8_mix_sources)}
+QUERIES = {f.__name__: f for f in (op5_quality_rules, op7_url_filter, op8_mix_sources, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
