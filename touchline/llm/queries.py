@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from .decontam import op10_decontaminate
 from .mixing import op8_mix_sources
+from .ngram_join import op3_ngram_join
 from .pii import op1_sanitise_pii
 from .quality import op5_quality_rules
 from .urls import op7_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_sanitise_pii, op5_quality_rules, op7_url_filter, op8_mix_sources, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_sanitise_pii, op3_ngram_join, op5_quality_rules, op7_url_filter, op8_mix_sources, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
