@@ -13,6 +13,7 @@ empty result. labels, lang, source and doc_id are never inputs of a score; other
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,41 +40,40 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
-def features(words: set[str]) -> list[str]:
-    """Of a sentence's distinct words; a beginning counts once for each of them."""
-    return [f for w in words for f in (w, *(f"{w[:k]}*" for k in PREFIXES if len(w) > k))]
+def features(word: str) -> list[int]:
+    """32-bit ids of a word and of its beginnings."""
+    return [zlib.crc32(f.encode("utf-8", "replace")) for f in (word, *(f"{word[:k]}*" for k in PREFIXES if len(word) > k))]
 
 
 def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        cut = [[features(set(WORD.findall(s))) for s in SENTENCE.findall((t or "").lower())] for t in pdf["text"]]
-        yield pd.DataFrame({"label": pdf["label"], "sentences": [[s for s in x if s] for x in cut]})
+        rows = []
+        for text in pdf["text"]:
+            cut = [[f for w in set(WORD.findall(s)) for f in features(w)] for s in SENTENCE.findall((text or "").lower())]
+            cut = [s for s in cut if s]
+            rows.append((np.array([f for s in cut for f in s], np.int64), np.array([len(s) for s in cut], np.int32)))
+        yield pd.DataFrame({"label": pdf["label"], "found": [x for x, _ in rows], "sizes": [x for _, x in rows]})
 
 
 class NoisyOr:
-    """Word weights and a bias; fit() by proximal Adam steps on the mean log loss of the documents."""
+    """Feature weights and a bias; fit() by proximal Adam steps on the mean log loss of the documents."""
 
     def __init__(self):
-        self.weights: dict[str, float] = {}
+        self.weights: dict[int, float] = {}
         self.bias = -50.0
         self.known: dict[str, float] = {}
 
-    def fit(self, bags: list[list[list[str]]], labels: np.ndarray) -> NoisyOr:
+    def fit(self, found: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray) -> NoisyOr:
+        """found: the feature ids of a document, sentence by sentence; sizes: how many each sentence has."""
         if len(set(labels.tolist())) < 2:
             return self
-        seen: dict[str, int] = {}
-        for bag in bags:  # in any order: only counts are kept
-            for w in {w for s in bag for w in s}:
-                seen[w] = seen.get(w, 0) + 1
-        ids = {w: k for k, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_DOCS))}
-        doc, sent, word = [], [], []
-        for d, bag in enumerate(bags):
-            for s in bag:
-                known = [ids[w] for w in s if w in ids]
-                sent += [len(doc)] * len(known)
-                word += known
-                doc.append(d)
-        doc, sent, word, y = np.array(doc), np.array(sent), np.array(word), labels.astype(float)
+        seen, n = np.unique(np.concatenate([np.unique(x) for x in found]), return_counts=True)
+        ids = seen[n >= LEAST_DOCS]
+        doc = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
+        sent = np.repeat(np.arange(len(doc)), np.concatenate(sizes))
+        word = np.concatenate(found)
+        known = np.isin(word, ids)
+        sent, word, y = sent[known], np.searchsorted(ids, word[known]), labels.astype(float)
         theta, b = np.zeros(len(ids)), -np.log(len(doc) / max(1.0, y.sum()))
         m, v, mb, vb = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0
         for t in range(1, STEPS + 1):
@@ -89,7 +89,7 @@ class NoisyOr:
             theta = theta - scale * m / c1
             theta = np.sign(theta) * np.maximum(0, np.abs(theta) - scale * L1)
             b -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-7)
-        self.weights = {w: float(theta[k]) for w, k in ids.items() if abs(theta[k]) > 0.05}
+        self.weights = {int(ids[k]): float(theta[k]) for k in np.flatnonzero(np.abs(theta) > 0.05)}
         self.bias = float(b)
         return self
 
@@ -104,8 +104,9 @@ class NoisyOr:
         for s in SENTENCE.finditer(low):
             words = set(WORD.findall(s[0].lower() if low is text else s[0]))
             if words:
-                for w in words - known.keys():
-                    known[w] = sum([get(f, 0.0) for f in features({w})])
+                for w in words:
+                    if w not in known:
+                        known[w] = sum([get(f, 0.0) for f in features(w)])
                 out.append((s.start(), s.end(), self.bias + sum([known[w] for w in words])))
         return out
 
@@ -115,8 +116,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT) -> No
     agreed = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("other")).where("label = other and label in (0, 1)")
     some = agreed.where(~held_out(F.col("doc_id"), 5, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("lid"), F.col("label").cast("int").alias("label"))
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("lid")).select("text", "label")  # at most `most` rows
-    found = rows.mapInPandas(_sentences, "label int, sentences array<array<string>>").toPandas()
-    return NoisyOr().fit([[list(s) for s in x] for x in found["sentences"]], found["label"].to_numpy())
+    got = rows.mapInPandas(_sentences, "label int, found array<long>, sizes array<int>").toPandas()
+    return NoisyOr().fit(list(got["found"]), list(got["sizes"]), got["label"].to_numpy())
 
 
 def score_toxicity(docs: DataFrame, model: NoisyOr) -> DataFrame:
