@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash banding proposes, the full n-gram sets decide.
 
 Texts with equal n-gram sets form one class, and only classes are compared. Bands and rows follow from the similarity and
-the recall asked for. Every class is put in a block by its largest band bucket; blocks that share a bucket are compared
+the recall asked for. Every class is put in a block by the largest band bucket around it; blocks that share a bucket are compared
 pair by pair of blocks, each pair in one task of bounded size: a sparse product of the two blocks' n-gram sets gives
 every intersection exactly. Tasks return a row per class with its links counted and a spanning edge, never the pairs, so
 large groups lose no link and cost no rows. Components of the spanning edges are the groups.
@@ -27,8 +27,8 @@ WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.9995
 #: A block holds about so many classes, and about so many n-grams.
-BLOCK_ROWS = 192
-BLOCK_NGRAMS = 400_000
+BLOCK_ROWS = 1024
+BLOCK_NGRAMS = 1_000_000
 TOKEN = re.compile(r"\w+")
 
 
@@ -115,7 +115,10 @@ def blocks_of(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = materialise(rows.select("set", "size", F.xxhash64("band", "h").alias("bucket")), "bands")
     buckets = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = materialise(join_small(rows, buckets, "bucket", "inner"), "shared")
-    home = materialise(shared.groupBy("set").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"), F.max("size").alias("size")), "home")
+    home = materialise(shared.groupBy("set").agg(F.max(F.struct("n", "bucket")).alias("top")), "home")
+    # a bucket passes the largest of its members' homes on to all of them, so that one group of copies has one home
+    near = materialise(shared.select("set", "bucket").join(home, "set").groupBy("bucket").agg(F.max("top").alias("top")), "home")
+    home = materialise(join_small(shared.select("set", "size", "bucket"), near, "bucket", "inner").groupBy("set").agg(F.max("top")["bucket"].alias("home"), F.max("size").alias("size")), "home")
     sizes = home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_NGRAMS)).alias("parts"))
     sizes = materialise(sizes, "sizes")
     part = F.pmod(F.xxhash64("set"), F.col("parts"))
