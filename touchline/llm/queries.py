@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import op10_decontaminate
+from .gru_lm import op4_lm_score
 from .langid import op9_language_id
 from .mixing import op8_mix_sources
 from .ngram_join import op3_ngram_join
@@ -12,5 +13,5 @@ from .token_scan import op6_token_counts
 from .toxicity import op2_toxicity
 from .urls import op7_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_sanitise_pii, op2_toxicity, op3_ngram_join, op5_quality_rules, op6_token_counts, op7_url_filter, op8_mix_sources, op9_language_id, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_sanitise_pii, op2_toxicity, op3_ngram_join, op4_lm_score, op5_quality_rules, op6_token_counts, op7_url_filter, op8_mix_sources, op9_language_id, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
