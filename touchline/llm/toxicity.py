@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import table
+from .common import materialise, table
 
 #: Labelled documents that the model is fitted on, at most.
 MOST_FIT = 6000
@@ -29,6 +29,8 @@ LEAST_DOCS = 6
 STEPS, RATE, L1 = 250, 0.1, 5e-5
 #: A word's features: itself, and its beginnings of these lengths.
 PREFIXES = (4, 5, 6, 7)
+#: A feature is fitted if documents with it are toxic more often, by so many standard errors.
+LEAST_Z = 2.0
 #: Word scores that a task keeps.
 MOST_KEPT = 500_000
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -51,7 +53,7 @@ def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in pdf["text"]:
             cut = [[f for w in set(WORD.findall(s)) for f in features(w)] for s in SENTENCE.findall((text or "").lower())]
             cut = [s for s in cut if s]
-            rows.append((np.array([f for s in cut for f in s], np.int64), np.array([len(s) for s in cut], np.int32)))
+            rows.append((np.array([f for s in cut for f in s], np.uint32).view(np.int32), np.array([len(s) for s in cut], np.int32)))
         yield pd.DataFrame({"label": pdf["label"], "found": [x for x, _ in rows], "sizes": [x for _, x in rows]})
 
 
@@ -67,13 +69,10 @@ class NoisyOr:
         """found: the feature ids of a document, sentence by sentence; sizes: how many each sentence has."""
         if len(set(labels.tolist())) < 2:
             return self
-        seen, n = np.unique(np.concatenate([np.unique(x) for x in found]), return_counts=True)
-        ids = seen[n >= LEAST_DOCS]
+        ids = np.unique(np.concatenate(found))
         doc = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
         sent = np.repeat(np.arange(len(doc)), np.concatenate(sizes))
-        word = np.concatenate(found)
-        known = np.isin(word, ids)
-        sent, word, y = sent[known], np.searchsorted(ids, word[known]), labels.astype(float)
+        word, y = np.searchsorted(ids, np.concatenate(found)), labels.astype(float)
         theta, b = np.zeros(len(ids)), -np.log(len(doc) / max(1.0, y.sum()))
         m, v, mb, vb = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0
         for t in range(1, STEPS + 1):
@@ -89,7 +88,7 @@ class NoisyOr:
             theta = theta - scale * m / c1
             theta = np.sign(theta) * np.maximum(0, np.abs(theta) - scale * L1)
             b -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-7)
-        self.weights = {int(ids[k]): float(theta[k]) for k in np.flatnonzero(np.abs(theta) > 0.05)}
+        self.weights = {int(ids[k]) % 2**32: float(theta[k]) for k in np.flatnonzero(np.abs(theta) > 0.05)}
         self.bias = float(b)
         return self
 
@@ -116,7 +115,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT) -> No
     agreed = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("other")).where("label = other and label in (0, 1)")
     some = agreed.where(~held_out(F.col("doc_id"), 5, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("lid"), F.col("label").cast("int").alias("label"))
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("lid")).select("text", "label")  # at most `most` rows
-    got = rows.mapInPandas(_sentences, "label int, found array<long>, sizes array<int>").toPandas()
+    bags = materialise(rows.mapInPandas(_sentences, "label int, found array<int>, sizes array<int>"), "bags")
+    toxic, every = (int(x or 0) for x in bags.agg(F.sum("label"), F.count("*")).first())
+    if not 0 < toxic < every:
+        return NoisyOr()
+    a, n = F.col("a") / toxic, F.col("n") / every
+    z = (a - (F.col("n") - F.col("a")) / (every - toxic)) / F.sqrt(n * (1 - n) * (1 / toxic + 1 / (every - toxic)))
+    seen = bags.select("label", F.explode(F.array_distinct("found")).alias("f")).groupBy("f").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
+    told = seen.where((F.col("n") >= LEAST_DOCS) & (F.col("n") < every)).where(z >= LEAST_Z).toPandas()["f"].to_numpy(np.int32)  # features of the bounded sample
+    asked = docs.sparkSession.sparkContext.broadcast(np.sort(told))
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            kept = [np.isin(x, asked.value) for x in pdf["found"]]
+            sizes = [np.bincount(np.repeat(np.arange(len(s)), s), k, len(s)).astype(np.int32) for s, k in zip(pdf["sizes"], kept, strict=True)]
+            yield pd.DataFrame({"label": pdf["label"], "found": [x[k] for x, k in zip(pdf["found"], kept, strict=True)], "sizes": sizes})
+
+    got = bags.mapInPandas(known, bags.schema).toPandas()
     return NoisyOr().fit(list(got["found"]), list(got["sizes"]), got["label"].to_numpy())
 
 
