@@ -108,6 +108,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return materialise(out.select("n._id", "n._hash", "h.n_hit", "i.items", "n.n_near"), "matches")
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without those that hold a benchmark window."""
+    bad = matches(docs.select("doc_id", "text"), benchmark).where("n_hit > 0").select(F.col("_id").alias("_bid"), F.col("_hash").alias("_bhash"))
+    return join_small(docs, bad, F.col("doc_id").eqNullSafe(F.col("_bid")) & (key_hash(F.col("text")) == F.col("_bhash")), "left_anti")
+
+
 def op10_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = matches(docs, table(spark, sf_dir, "benchmark")).select(*(F.col(c).alias(f"m{c}") for c in (*KEY, "n_hit", "items", "n_near")))

@@ -209,6 +209,22 @@ def grouped(docs: DataFrame, **how) -> DataFrame:
     return rows.join(ids, "group", "left").select("_id", "_hash", F.coalesce("class_id", "_id").alias("class_id"), "n_links", "n_partners")
 
 
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """docs with one row of each group of near duplicates (the least doc_id); rows without words all stay."""
+    rows = materialise(near_duplicates(docs.select("doc_id", "text"), **how), "rows")
+    several = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct("_id", "_hash")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    several = materialise(several.select(F.col("group").alias("g"), "first"), "several")
+    rest = join_small(rows, several, F.col("group") == F.col("g"), "inner").select(F.struct("_id", "_hash").alias("me"), "first")
+    dropped = materialise(rest.where(~F.col("me").eqNullSafe(F.col("first"))).select(F.col("me._id").alias("_did"), F.col("me._hash").alias("_dhash")).distinct(), "dropped")
+    again = rest.where(F.col("me").eqNullSafe(F.col("first"))).groupBy("me").agg(F.count("*").alias("n")).where("n > 1")
+    again = materialise(again.select(F.col("me._id").alias("_rid"), F.col("me._hash").alias("_rhash")), "again")
+    h = key_hash(F.col("text"))
+    left = join_small(docs, dropped, F.col("doc_id").eqNullSafe(F.col("_did")) & (h == F.col("_dhash")), "left_anti")
+    repeated = F.col("doc_id").eqNullSafe(F.col("_rid")) & (h == F.col("_rhash"))
+    one = join_small(left, again, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return join_small(left, again, repeated, "left_anti").unionByName(one)
+
+
 def op3_ngram_join(spark, sf_dir):
     out = grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("_id").alias("doc_id"), "class_id", "n_links", "n_partners")

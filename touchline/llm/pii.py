@@ -141,8 +141,8 @@ def sanitise(docs: DataFrame, carry: list[str]) -> DataFrame:
     told = materialise(disclosures(docs, near), "disclosures")
     kind = F.when(F.col("share") >= REMOVE, 5).otherwise(4)
     mine = join_small(near, told, ["entity", "term"], "inner").groupBy(f"{P}id", f"{P}hash", "s", "e").agg(F.max(kind).alias("kind"))
-    mine = materialise(mine.groupBy(F.col(f"{P}id").alias("i"), F.col(f"{P}hash").alias("h")).agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias(f"{P}found")), "terms")
-    out = spanned.join(mine, F.col(f"{P}id").eqNullSafe(F.col("i")) & (F.col(f"{P}hash") == F.col("h")), "left")
+    mine = materialise(mine.groupBy(F.col(f"{P}id").alias(f"{P}i"), F.col(f"{P}hash").alias(f"{P}h")).agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias(f"{P}found")), "terms")
+    out = spanned.join(mine, F.col(f"{P}id").eqNullSafe(F.col(f"{P}i")) & (F.col(f"{P}hash") == F.col(f"{P}h")), "left")
     out = out.withColumn(f"{P}terms", F.coalesce(f"{P}found", F.expr("CAST(array() AS array<struct<kind:int,s:int,e:int>>)")))
     every = F.concat(F.transform(f"{P}base", lambda x: F.struct(x["kind"], x["s"], x["e"])), f"{P}terms")
     return out.select(*keep, f"{P}base", f"{P}terms", sanitised(F.col("text"), every).alias(f"{P}clean"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run
+
 from .decontam import op10_decontaminate
 from .gru_lm import op4_lm_score
 from .langid import op9_language_id
@@ -14,4 +16,5 @@ from .toxicity import op2_toxicity
 from .urls import op7_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_sanitise_pii, op2_toxicity, op3_ngram_join, op4_lm_score, op5_quality_rules, op6_token_counts, op7_url_filter, op8_mix_sources, op9_language_id, op10_decontaminate)}
+QUERIES["pipeline"] = run
 ORACLE_SQL: dict[str, str] = {}
