@@ -95,3 +95,8 @@ def focal_loss(p: Column, y: Column, alpha: float = 0.8, gamma: float = 2.0) ->
 def weighted_log_loss(p: Column, y: Column, weight: float) -> Column:
     q = clip(p, 1e-12, 1 - 1e-12)
     return -(weight * y * F.log(q) + (1 - y) * F.log(1 - q))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value written and computed once: chains of rewrites stay linear in size."""
+    return F.transform(F.array(value), body)[0]

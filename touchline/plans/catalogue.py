@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scalars as S
-from ..operators import frames as FR, metrics as M, pressure as P, series as R, tables as T, temporal as TM
+from ..operators import duels as DU, events as EV, frames as FR, metrics as M, pressure as P, series as R, tables as T, temporal as TM, validator as V
+from ..streaming import streams as ST
 from . import adapters as A
 
 QUERIES: dict = {}
@@ -357,11 +358,11 @@ def press_success_label(spark, d):
     return TM.followed_by(a.where("type_name = 'click'"), good, ["game"], "us", 600_000_000, "team_id", "success").select("event_id", "success")
 
 
-@query(f"WITH {A.ACTIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY event_id) AS i FROM ac) SELECT a.event_id, (SELECT b.user_id FROM n b WHERE b.game = a.game AND b.i BETWEEN a.i + 1 AND a.i + 9 AND b.type_name IN ('view', 'signup') AND b.user_id <> a.user_id ORDER BY b.i LIMIT 1) AS receiver_id FROM n a WHERE a.type_name = 'click' AND a.result_name = 'Successful'")
+@query(f"WITH {A.ACTIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY event_id) AS i FROM ac) SELECT a.event_id, (SELECT CASE WHEN b.user_id <> a.user_id THEN b.user_id END FROM n b WHERE b.game = a.game AND b.i BETWEEN a.i + 1 AND a.i + 9 AND b.type_name IN ('view', 'signup') ORDER BY b.i LIMIT 1) AS receiver_id FROM n a WHERE a.type_name = 'click' AND a.result_name = 'Successful'")
 def pass_receiver_match(spark, d):
     a = A.actions(spark, d).select("event_id", "game", "user_id", "type_name", "result_name")
-    who = TM.first_in_next_rows(a, ["game"], ["event_id"], 9, lambda r: r["type_name"].isin("view", "signup") & (r["user_id"] != F.col("user_id")), "user_id")
-    return a.withColumn("receiver_id", who).where("type_name = 'click' and result_name = 'Successful'").select("event_id", "receiver_id")
+    who = TM.first_in_next_rows(a, ["game"], ["event_id"], 9, lambda r: r["type_name"].isin("view", "signup"), "user_id")
+    return a.withColumn("receiver_id", F.when(who != F.col("user_id"), who)).where("type_name = 'click' and result_name = 'Successful'").select("event_id", "receiver_id")
 
 
 # relations
@@ -509,3 +510,93 @@ def brier_logloss(spark, d):
 @query(f"WITH {A.SCORES}, c AS (SELECT user_id, sum(CAST(y = 1 AND score >= 0.5 AS BIGINT)) AS tp, sum(CAST(y = 0 AND score >= 0.5 AS BIGINT)) AS fp, sum(CAST(y = 1 AND score < 0.5 AS BIGINT)) AS fn, sum(CAST(y = 0 AND score < 0.5 AS BIGINT)) AS tn FROM sc GROUP BY 1), m AS (SELECT *, coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0) AS a, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM c) SELECT user_id, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round(a, 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM m")
 def confusion_metrics(spark, d):
     return rounded(M.confusion(A.scores(spark, d), "score", "y", U), "accuracy", "precision", "recall", "f1")
+
+
+# events
+
+NESTED = A.ACTIONS.replace("FROM ev)", ", k FROM ev)") + """, ne AS (SELECT event_id, unnest(list_filter([CASE type_name WHEN 'click' THEN 'Pass' WHEN 'view' THEN 'Pass Received' WHEN 'purchase' THEN 'Shot' WHEN 'signup' THEN 'Duel' ELSE 'Foul' END,
+ CASE k % 4 WHEN 0 THEN 'Tackle' WHEN 1 THEN 'Block' END], lambda x: x IS NOT NULL)) AS type_name FROM ac),
+np AS (SELECT *, CASE type_name WHEN 'Duel' THEN 2 WHEN 'Tackle' THEN 3 WHEN 'Block' THEN 4 WHEN 'Pass Received' THEN 5 ELSE 6 END AS p FROM ne)"""
+
+
+def nested_events(spark, d) -> DataFrame:
+    """event_id, game_id, events: one or two names an event."""
+    e = A.events(spark, d)
+    first = F.when(F.col("event_type") == "click", "Pass").when(F.col("event_type") == "view", "Pass Received").when(F.col("event_type") == "purchase", "Shot").when(F.col("event_type") == "signup", "Duel").otherwise("Foul")
+    second = F.when(F.col("k") % 4 == 0, "Tackle").when(F.col("k") % 4 == 1, "Block")
+    one = lambda n: F.struct(n.alias("event_name"), F.create_map(F.lit("Outcome"), F.when(F.col("value") >= 50, "Succeeded").otherwise("Failed")).alias("property"))
+    both = F.filter(F.array(one(first), one(second)), lambda x: x["event_name"].isNotNull())
+    return e.select("event_id", F.col("d").alias("game_id"), both.alias("events"))
+
+
+@query(f"WITH {NESTED} SELECT event_id, type_name, CAST(row_number() OVER (PARTITION BY event_id ORDER BY p) - 1 AS INTEGER) AS step FROM np")
+def explode_by_priority(spark, d):
+    return EV.by_priority(nested_events(spark, d)).select("event_id", "type_name", "step")
+
+
+@query(f"WITH {NESTED} SELECT event_id, CASE type_name WHEN 'Pass' THEN 'pass' WHEN 'Shot' THEN 'shot' WHEN 'Foul' THEN 'foul' WHEN 'Block' THEN 'block' END AS common_name, CAST(CASE type_name WHEN 'Pass' THEN 11 WHEN 'Shot' THEN 13 WHEN 'Foul' THEN 5 WHEN 'Block' THEN 0 END AS INTEGER) AS type_id FROM np WHERE type_name IN ('Pass', 'Shot', 'Foul', 'Block')")
+def taxonomy_map(spark, d):
+    return EV.taxonomy(EV.by_priority(nested_events(spark, d))).select("event_id", "common_name", "type_id")
+
+
+@query(f"WITH {NESTED} SELECT event_id FROM np GROUP BY 1 HAVING bool_or(type_name IN ('Shot', 'Block'))")
+def valid_event_filter(spark, d):
+    n = nested_events(spark, d).withColumn("names", F.transform("events", lambda e: e["event_name"]))
+    return n.where(EV.valid_events(F.col("names"), ["Shot", "Block"])).select("event_id")
+
+
+def raw_events(spark, d) -> DataFrame:
+    """Source-like nested events of one game a day, two halves each."""
+    e = A.events(spark, d)
+    name = F.when(F.col("event_type") == "click", "Passes").when(F.col("event_type") == "view", "Passes Received").when(F.col("event_type") == "purchase", "Shots & Goals").when(F.col("event_type") == "signup", "Duels").otherwise("Recoveries")
+    extra = F.when(F.col("k") % 10 == 0, "Mistakes").when(F.col("k") % 10 == 1, "HIR").when((F.col("k") % 10 == 2) & (F.col("event_type") == "click"), "Set Pieces")
+    kind = F.when(extra == "Set Pieces", F.when(F.col("k") % 20 == 2, "Corners").otherwise("Throw-Ins")).otherwise("none")
+    outcome = F.when(F.col("event_type") == "purchase", F.when(F.col("value") > 60, "Off Target").when(F.col("value") > 30, "Blocked").otherwise("On Target")).when(F.col("value") >= 50, "Succeeded").otherwise("Failed")
+    one = lambda n: F.struct(n.alias("event_name"), F.create_map(F.lit("Outcome"), outcome, F.lit("Type"), kind).alias("property"))
+    both = F.filter(F.array(one(name), one(extra)), lambda x: x["event_name"].isNotNull())
+    half = F.floor(F.col("h") / 12)
+    return e.select(F.col("d").alias("game_id"), "event_id", half.cast("int").alias("period_order"), (F.col("us") / 1000 % 43_200_000 + half * 2_700_000).cast("long").alias("event_time"), "team_id", F.col("user_id").cast("string").alias("player_id"), (F.col("value") / 500).alias("x"), (F.col("k") / 100).alias("y"), F.when(F.col("event_type") == "click", F.col("k") / 100).alias("to_x"), F.when(F.col("event_type") == "click", F.col("value") / 500).alias("to_y"), F.when(F.col("k") < 50, "LEFT").otherwise("RIGHT").alias("attack_direction"), both.alias("events"))
+
+
+@query()
+def convert_actions(spark, d):
+    return rounded(EV.actions(raw_events(spark, d), "H"), "time_seconds", "start_x", "start_y", "end_x", "end_y")
+
+
+@query()
+def duel_pairing(spark, d):
+    a = A.actions(spark, d).where("type_name = 'signup'").select("game", "event_id", "us")
+    return DU.pair_duels(a, ["game"], "event_id", "us")
+
+
+@query()
+def validate_sequence(spark, d):
+    return V.validate(EV.actions(raw_events(spark, d), "H"))
+
+
+@query()
+def validation_errors(spark, d):
+    return V.validation_errors(EV.actions(raw_events(spark, d), "H"))
+
+
+@query()
+def action_violations(spark, d):
+    return EV.violations(EV.actions(raw_events(spark, d), "H")).select("game_id", "event_id", "step", "rule")
+
+
+@query(f"""WITH {A.TRACKING}, e AS (SELECT game_id, period_id, frame_id, ord AS event_id, team_id, id AS player_id, -x AS x, y FROM tr WHERE id <> 'ball'),
+j AS (SELECT e.*, p.id AS pid, sqrt((e.x - p.x) * (e.x - p.x) + (e.y - p.y) * (e.y - p.y)) AS dd FROM e JOIN tr p ON p.game_id = e.game_id AND p.period_id = e.period_id AND p.frame_id = e.frame_id AND p.team_id = e.team_id)
+SELECT event_id, CASE WHEN min(dd) FILTER (pid = player_id) >= 5 THEN first(pid ORDER BY dd, pid) ELSE player_id END AS corrected_id, min(dd) FILTER (pid = player_id) >= 5 AS was_wrong FROM j GROUP BY event_id, player_id""")
+def mislabel_correction(spark, d):
+    t = A.tracking(spark, d).where(~FR.is_ball())
+    e = t.select(*FR.FRAME, F.col("ord").alias("event_id"), "team_id", F.col("id").alias("player_id"), (-F.col("x")).alias("x"), "y")
+    return EV.correct_mislabels(e, t).select("event_id", "corrected_id", "was_wrong")
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_window_counts(spark, d):
+    s = ST.arriving(spark, d, A.table(spark, d, "events").schema, "events.parquet")
+    if dict(s.dtypes)["ts"] == "timestamp_ntz":
+        s = s.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = ST.drain(ST.windowed_counts(s, "ts", "6 hours", None, ["event_type"], "value"), "stream_window_counts")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
