@@ -15,9 +15,9 @@ EVENTS = f"data array<struct<event_id:bigint,period_type:string,period_name:stri
 
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Whole-file JSON documents; files that don't parse give no row."""
-    names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
-    df = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(f"{schema}, _bad string").json(path)
-    return df.where("_bad is null").select(*names)
+    files = spark.read.text(path, wholetext=True)
+    rows = files.select(F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return rows.where("r._bad is null").select("r.*").drop("_bad")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
