@@ -69,10 +69,12 @@ class NoisyOr:
         """found: the feature ids of a document, sentence by sentence; sizes: how many each sentence has."""
         if len(set(labels.tolist())) < 2:
             return self
-        ids = np.unique(np.concatenate(found))
+        ids = np.unique(np.concatenate(found).astype(np.int32))
+        if not len(ids):
+            return self
         doc = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
-        sent = np.repeat(np.arange(len(doc)), np.concatenate(sizes))
-        word, y = np.searchsorted(ids, np.concatenate(found)), labels.astype(float)
+        sent = np.repeat(np.arange(len(doc)), np.concatenate(sizes).astype(np.int64))
+        word, y = np.searchsorted(ids, np.concatenate(found).astype(np.int32)), labels.astype(float)
         theta, b = np.zeros(len(ids)), -np.log(len(doc) / max(1.0, y.sum()))
         m, v, mb, vb = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0
         for t in range(1, STEPS + 1):
@@ -127,8 +129,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT) -> No
 
     def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kept = [np.isin(x, asked.value) for x in pdf["found"]]
-            sizes = [np.bincount(np.repeat(np.arange(len(s)), s), k, len(s)).astype(np.int32) for s, k in zip(pdf["sizes"], kept, strict=True)]
+            kept = [np.isin(x, asked.value).astype(bool) for x in pdf["found"]]
+            sizes = [np.bincount(np.repeat(np.arange(len(s)), np.asarray(s, np.int64)), k, len(s)).astype(np.int32) for s, k in zip(pdf["sizes"], kept, strict=True)]
             yield pd.DataFrame({"label": pdf["label"], "found": [x[k] for x, k in zip(pdf["found"], kept, strict=True)], "sizes": sizes})
 
     got = bags.mapInPandas(known, bags.schema).toPandas()
