@@ -244,7 +244,7 @@ def test_quality_sketch_is_close_and_merges(spark):
 
 def test_quality_thresholds_follow_the_group(spark):
     plain = ["many plain words of a text that goes on and on %d" % i + " and some more words to be long enough for it" for i in range(300)]
-    table = [" | ".join(f"c{i * k}" for k in range(1, 20)) for i in range(300)]
+    table = [" | ".join(f"c{(i + 1) * k}" for k in range(1, 20)) for i in range(300)]
     rows = [(i, t, "en", s) for i, (t, s) in enumerate([(t, "prose") for t in plain] + [(t, "tables") for t in table] + [(table[0] + " w", "prose")])]
     got = {r.doc_id: r["_quality_kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()}
     assert all(got[i] for i in range(600)) and not got[600]

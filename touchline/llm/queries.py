@@ -9,6 +9,7 @@ from .gru_lm import op4_lm_score
 from .langid import op9_language_id
 from .mixing import op8_mix_sources
 from .ngram_join import op3_ngram_join
+from .oracle import ORACLE_SQL
 from .pii import op1_sanitise_pii
 from .quality import op5_quality_rules
 from .token_scan import op6_token_counts
@@ -17,4 +18,4 @@ from .urls import op7_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_sanitise_pii, op2_toxicity, op3_ngram_join, op4_lm_score, op5_quality_rules, op6_token_counts, op7_url_filter, op8_mix_sources, op9_language_id, op10_decontaminate)}
 QUERIES["pipeline"] = run
-ORACLE_SQL: dict[str, str] = {}
+
