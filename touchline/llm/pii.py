@@ -109,10 +109,10 @@ def disclosures(docs: DataFrame, near: DataFrame) -> DataFrame:
     asked = materialise(pairs.select("term", F.lit(True).alias("asked")).distinct(), "terms")
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
     counts = materialise(join_small(words, asked, "term").groupBy(F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("c")), "terms")
-    total = counts.agg(F.sum("c").cast("double").alias("total"))
-    rows = pairs.join(counts, "term").crossJoin(F.broadcast(total))  # one row
-    pmi = F.log2(F.col("n_both") / F.col("c") * F.col("total") / F.col("n_entity"))
-    share = pmi / F.log2(F.col("total") / F.col("n_entity"))
+    total = float(counts.agg(F.sum("c")).first()[0] or 1)
+    rows = pairs.join(counts, "term")
+    pmi = F.log2(F.col("n_both") / F.col("c") * total / F.col("n_entity"))
+    share = pmi / F.log2(total / F.col("n_entity"))
     return rows.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
 
 
