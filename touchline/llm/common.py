@@ -98,6 +98,13 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def slices(batches, rows: int = 1000):
+    """Pandas batches cut to so many rows, so that what a task makes of them stays small."""
+    for pdf in batches:
+        for k in range(0, len(pdf), rows):
+            yield pdf.iloc[k : k + rows]
+
+
 def key_hash(text: Column) -> Column:
     """Tells rows apart that share a doc_id; equal rows stay equal."""
     return F.xxhash64(F.coalesce(text, F.lit("\x00null")))

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_small, key_hash, materialise, table
+from .common import join_small, key_hash, materialise, slices, table
 from .graph import connected_components
 
 WORDS = 5
@@ -55,7 +55,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class NGrams:
     """Sorted distinct 64-bit n-gram hashes of a text. Word hashes are kept between texts, up to a bound."""
 
-    def __init__(self, n: int = WORDS, most: int = 400_000):
+    def __init__(self, n: int = WORDS, most: int = 150_000):
         self.n, self.most, self.known = n, most, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, of = NGrams(), _signatures(bands, rows)
         a, b = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
-        for pdf in batches:
+        for pdf in slices(batches):
             found = [grams(t) for t in pdf["text"]]
             digest = [np.array([_mix(g ^ a).sum(dtype=np.uint64), _mix(g ^ b).sum(dtype=np.uint64)]).tobytes() if len(g) else None for g in found]
             yield pd.DataFrame({"_id": pdf["_id"], "_hash": pdf["_hash"], "set": digest, "size": [len(g) for g in found], "bands": [of(g).view(np.int64) if len(g) else None for g in found]})
@@ -145,9 +145,9 @@ def _compare(similarity: float):
         both = np.zeros((n, n), np.float32)
         order = np.argsort(ids, kind="stable")
         owner, ids = owner[order], ids[order]
-        for low in range(0, int(ids[-1]) + 1 if len(ids) else 0, 4096):
-            i, j = np.searchsorted(ids, (low, low + 4096))
-            x = np.zeros((n, 4096), np.float32)
+        for low in range(0, int(ids[-1]) + 1 if len(ids) else 0, 2048):
+            i, j = np.searchsorted(ids, (low, low + 2048))
+            x = np.zeros((n, 2048), np.float32)
             x[owner[i:j], ids[i:j] - low] = 1
             both += x @ x.T
         linked = both >= (similarity * (sizes[:, None] + sizes[None, :] - both)) - 1e-6
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
 
     def grams_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = NGrams()
-        for pdf in batches:
+        for pdf in slices(batches):
             yield pdf.drop(columns="text").assign(grams=[grams(t).tobytes() for t in pdf["text"]])
 
     texts = docs.select("doc_id", key_hash(F.col("text")).alias("h"), "text")
