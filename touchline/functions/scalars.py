@@ -9,14 +9,17 @@ PITCH_LENGTH, PITCH_WIDTH = 105.0, 68.0
 MAX_PLAYER_SPEED, MAX_BALL_SPEED = 12.0, 28.0
 MAX_PLAYER_ACCELERATION, MAX_BALL_ACCELERATION = 6.0, 13.5
 CARRIER_DISTANCE = 25.0
-#: Result names by what the source calls an outcome.
+#: Result names by outcome.
 RESULTS = {
-    "Successful": "Successful",
-    "Unsuccessful": "Unsuccessful",
-    "Off Target": "Off Target",
-    "Blocked": "Blocked",
-    "On Target": "On Target",
-    "Goal": "Goal",
+    "Succeeded": "Successful",
+    "Failed": "Unsuccessful",
+    "Tackle Succeeded: No Possession": "Successful",
+    "Tackle Succeeded: Possession": "Successful",
+    "Tackle Failed": "Unsuccessful",
+    "Shots Off Target": "Off Target",
+    "Blocked Shots": "Blocked",
+    "Shots On Target": "On Target",
+    "Goals": "Goal",
     "Keeper Rush-outs": "Keeper Rush-outs",
 }
 
@@ -66,7 +69,8 @@ def player_code(team: Column, number: Column) -> Column:
 
 
 def result_name(outcome: Column) -> Column:
-    return F.when(outcome.isin(*RESULTS), outcome)
+    """Null for outcomes without a name."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in RESULTS.items() for x in kv)), outcome)
 
 
 def min_max(x: Column, low: Column | float, high: Column | float) -> Column:

@@ -219,8 +219,7 @@ def actions(events: DataFrame, home_team: str) -> DataFrame:
     flip = lambda v, size: S.attack_flip(F.col(v), home, F.col("attack_direction")) * size
     df = df.withColumns({"start_x": flip("x", S.PITCH_LENGTH), "start_y": flip("y", S.PITCH_WIDTH), "end_x": flip("to_x", S.PITCH_LENGTH), "end_y": flip("to_y", S.PITCH_WIDTH), "time_seconds": S.period_seconds(F.col("event_time"), F.col("period_id"))})
     df = by_priority(df.withColumn("events", simplified(renamed(F.col("events")))))
-    result = F.when(F.col("outcome") == "Succeeded", "Successful").when(F.col("outcome") == "Failed", "Unsuccessful").otherwise(S.result_name(F.col("outcome")))
-    df = with_receiver(df.withColumn("result_name", result))
+    df = with_receiver(df.withColumn("result_name", S.result_name(F.col("outcome"))))
     order = ["event_time", "event_id", "step"]
     return fix_ends(df, order, home).select("game_id", "event_id", "step", "period_id", "time_seconds", "team_id", "player_id", "type_name", "result_name", "start_x", "start_y", "end_x", "end_y", "relative_id", "relative_player_id")
 

@@ -138,21 +138,35 @@ def surface(df: DataFrame, nx: int = 104, ny: int = 68) -> DataFrame:
 
 
 def surface_planes(frames: DataFrame, nx: int = 104, ny: int = 68) -> DataFrame:
-    """Dense channels of frames with the ball's place (bx, by) and the carrier's velocity (cvx, cvy) and place (cx, cy):
-    10 distance to ball, 11 to goal, 12 and 13 cosine and sine between ball and goal (over the sum of the norms, as the
-    source defines it), 14 angle to goal, 15 and 16 cosine and sine of a cell's line to the carrier against its motion."""
+    """Dense channels of frames with the ball's place (bx, by), in cells: 10 and 11 distance to the ball's and the goal's
+    cell, 12 and 13 cosine and sine between them (over the sum of the norms, as the source has it), 14 angle to the goal."""
+    ball_x, ball_y = grid_cell(F.col("bx"), F.col("by"), nx, ny)
+    goal_x, goal_y = grid_cell(F.lit(52.5), F.lit(0.0), nx, ny)
     grid = F.explode(F.sequence(F.lit(0), F.lit(nx * ny - 1)))
-    g = frames.select(*FRAME, "bx", "by", "cx", "cy", "cvx", "cvy", grid.alias("cell"))
-    g = g.select(*FRAME, "bx", "by", "cx", "cy", "cvx", "cvy", (F.col("cell") % nx).alias("xbin"), F.floor(F.col("cell") / nx).cast("int").alias("ybin"))
+    g = frames.select(*FRAME, (ball_x + 0.5).alias("u"), (ball_y + 0.5).alias("w"), grid.alias("cell"))
+    g = g.select(*FRAME, "u", "w", (F.col("cell") % nx).alias("xbin"), F.floor(F.col("cell") / nx).cast("int").alias("ybin"))
     c = F.col
-    x, y = (c("xbin") + 0.5) / nx * PITCH_LENGTH - PITCH_LENGTH / 2, PITCH_WIDTH / 2 - (c("ybin") + 0.5) / ny * PITCH_WIDTH
+    x, y = c("xbin") + 0.5, c("ybin") + 0.5
     norm = lambda a, b: F.sqrt(a * a + b * b)
-    bx, by, gx, gy, kx, ky = c("bx") - x, c("by") - y, 52.5 - x, -y, x - c("cx"), y - c("cy")
-    bg, cv = norm(bx, by) + norm(gx, gy) + 1e-8, norm(kx, ky) * norm(c("cvx"), c("cvy")) + 1e-8
-    planes = [norm(bx, by), norm(gx, gy), (bx * gx + by * gy) / bg, F.abs(bx * gy - by * gx) / bg, F.abs(F.atan2(gy, gx)), (kx * c("cvx") + ky * c("cvy")) / cv, (kx * c("cvy") - ky * c("cvx")) / cv]
+    bx, by, gx, gy = c("u") - x, c("w") - y, goal_x + 0.5 - x, goal_y + 0.5 - y
+    both = norm(bx, by) + norm(gx, gy) + 1e-8
+    planes = [norm(bx, by), norm(gx, gy), clip((bx * gx + by * gy) / both, -1.0, 1.0), clip((gx * by - gy * bx) / both, -1.0, 1.0), F.abs(F.atan2(gy, gx))]
     return g.select(*FRAME, "ybin", "xbin", F.posexplode(F.array(*planes)).alias("k", "value")).select(*FRAME, (c("k") + 10).alias("channel"), "ybin", "xbin", "value")
 
 
+def surface_teammates(df: DataFrame) -> DataFrame:
+    """Sparse channels 15 and 16 in the cells of the presser's teammates: cosine and sine between the presser's velocity and the
+    line to them. Rows have is_presser and role."""
+    p = F.max(F.when(F.col("is_presser"), F.struct("x", "y", "vx", "vy"))).over(of_frame())
+    rows = binned(df.withColumn("_p", p).where((F.col("role") == "presser") & ~F.col("is_presser") & F.col("_p").isNotNull()))
+    c = F.col
+    tx, ty = c("x") - c("_p.x"), c("y") - c("_p.y")
+    den = F.sqrt(c("_p.vx") * c("_p.vx") + c("_p.vy") * c("_p.vy")) * F.sqrt(tx * tx + ty * ty) + 1e-8
+    values = F.array(clip((c("_p.vx") * tx + c("_p.vy") * ty) / den, -1.0, 1.0), clip((c("_p.vx") * ty - c("_p.vy") * tx) / den, -1.0, 1.0))
+    cells = rows.groupBy(*FRAME, "xbin", "ybin").agg(F.max_by(values, "id").alias("vs"))
+    return cells.select(*FRAME, F.posexplode("vs").alias("k", "value"), "ybin", "xbin").select(*FRAME, (F.col("k") + 15).alias("channel"), "ybin", "xbin", "value")
+
+
 def same_size_frames(df: DataFrame, anchor: DataFrame) -> DataFrame:
     """Rows of the frames that have as many agents as their group's anchor frame; anchor: (game_id, period_id, anchor)."""
     sized = df.withColumn("_n", F.count("*").over(of_frame())).join(anchor, ["game_id", "period_id"])

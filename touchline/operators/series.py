@@ -97,6 +97,12 @@ def fill_backward(c: str | Column, keys, *order) -> Column:
     return F.first(c, True).over(from_on(keys, *order))
 
 
+def fill_between(c: str, keys, *order) -> Column:
+    """The value on both sides where they agree, else null."""
+    before, after = fill_forward(c, keys, *order), fill_backward(c, keys, *order)
+    return F.when(before == after, before)
+
+
 def shifted(cols: list[str], k: int, keys, *order) -> Column:
     """The row k on (back if negative) as a struct; at the edges the row itself."""
     own = F.struct(*cols)

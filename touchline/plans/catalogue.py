@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scalars as S
-from ..operators import duels as DU, events as EV, frames as FR, metrics as M, pressure as P, series as R, tables as T, temporal as TM, validator as V
+from ..operators import duels as DU, events as EV, frames as FR, metrics as M, pressure as P, samples as SA, series as R, tables as T, temporal as TM, validator as V
 from ..streaming import streams as ST
 from . import adapters as A
 
@@ -107,17 +107,28 @@ def surface_channels(spark, d):
     return rounded(FR.surface(c), "value").select(*FR.FRAME, "channel", "ybin", "xbin", "value")
 
 
-@query(f"""WITH {A.CARRIER}, k AS (SELECT {FRAME}, x AS cx, y AS cy, vx AS cvx, vy AS cvy, bx, by_ FROM car WHERE is_ball_carrier AND frame_id % 48 = 0),
+@query(f"""WITH {A.CARRIER}, k AS (SELECT {FRAME}, trunc(least(25e0, greatest(0e0, (bx + 52.5e0) / 105e0 * 26))) + 0.5e0 AS u, trunc(least(16e0, greatest(0e0, 17 - (by_ + 34e0) / 68e0 * 17))) + 0.5e0 AS w FROM car WHERE is_ball_carrier AND frame_id % 48 = 0),
 g AS (SELECT k.*, c % 26 AS xbin, CAST(floor(c / 26) AS INTEGER) AS ybin FROM k, (SELECT CAST(unnest(range(26 * 17)) AS INTEGER) AS c)),
-p AS (SELECT *, (xbin + 0.5e0) / 26 * 105e0 - 52.5e0 AS px, 34e0 - (ybin + 0.5e0) / 17 * 68e0 AS py FROM g),
-q AS (SELECT *, bx - px AS dx, by_ - py AS dy, 52.5e0 - px AS gx, -py AS gy, px - cx AS kx, py - cy AS ky FROM p),
-r AS (SELECT *, sqrt(dx*dx+dy*dy) AS db, sqrt(gx*gx+gy*gy) AS dg, sqrt(kx*kx+ky*ky) * sqrt(cvx*cvx+cvy*cvy) + 1e-8 AS cv FROM q),
-v AS (SELECT *, [db, dg, (dx*gx+dy*gy)/(db+dg+1e-8), abs(dx*gy-dy*gx)/(db+dg+1e-8), abs(atan2(gy, gx)), (kx*cvx+ky*cvy)/cv, (kx*cvy-ky*cvx)/cv] AS vs FROM r)
-SELECT {FRAME}, CAST(i + 9 AS INTEGER) AS channel, ybin, xbin, round(vs[i], 6) + 0e0 AS value FROM v, (SELECT unnest([1,2,3,4,5,6,7]) AS i)""")
+q AS (SELECT *, u - (xbin + 0.5e0) AS dx, w - (ybin + 0.5e0) AS dy, 25.5e0 - (xbin + 0.5e0) AS gx, 8.5e0 - (ybin + 0.5e0) AS gy FROM g),
+r AS (SELECT *, sqrt(dx*dx+dy*dy) AS db, sqrt(gx*gx+gy*gy) AS dg FROM q),
+v AS (SELECT *, [db, dg, least(1e0, greatest(-1e0, (dx*gx+dy*gy)/(db+dg+1e-8))), least(1e0, greatest(-1e0, (gx*dy-gy*dx)/(db+dg+1e-8))), abs(atan2(gy, gx))] AS vs FROM r)
+SELECT {FRAME}, CAST(i + 9 AS INTEGER) AS channel, ybin, xbin, round(vs[i], 6) + 0e0 AS value FROM v, (SELECT unnest([1,2,3,4,5]) AS i)""")
 def surface_planes(spark, d):
     c = carriers(spark, d).withColumns({"bx": FR.ball("x"), "by": FR.ball("y")}).where(F.col("is_ball_carrier") & (F.col("frame_id") % 48 == 0))
-    c = c.select(*FR.FRAME, "bx", "by", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("vx").alias("cvx"), F.col("vy").alias("cvy"))
-    return rounded(FR.surface_planes(c, 26, 17), "value").select(*FR.FRAME, F.col("channel").cast("int").alias("channel"), F.col("ybin").cast("int").alias("ybin"), F.col("xbin").cast("int").alias("xbin"), "value")
+    out = rounded(FR.surface_planes(c.select(*FR.FRAME, "bx", "by"), 26, 17), "value")
+    return out.select(*FR.FRAME, *(F.col(k).cast("int").alias(k) for k in ("channel", "ybin", "xbin")), "value")
+
+
+@query(f"""WITH {A.CARRIER}, o AS (SELECT {FRAME}, id, x, y, vx, vy FROM car WHERE id <> 'ball' AND team_id <> team), p AS (SELECT {FRAME}, min(id) AS pid FROM o GROUP BY ALL),
+q AS (SELECT o.*, a.x AS px, a.y AS py, a.vx AS pvx, a.vy AS pvy FROM o JOIN p USING ({FRAME}) JOIN o a ON a.game_id = o.game_id AND a.period_id = o.period_id AND a.frame_id = o.frame_id AND a.id = pid WHERE o.id <> pid),
+r AS (SELECT *, x - px AS tx, y - py AS ty, sqrt(pvx*pvx+pvy*pvy) * sqrt((x-px)*(x-px)+(y-py)*(y-py)) + 1e-8 AS den FROM q),
+c AS (SELECT {FRAME}, CAST(trunc(least(103e0, greatest(0e0, (x + 52.5e0) / 105e0 * 104))) AS INTEGER) AS xbin, CAST(trunc(least(67e0, greatest(0e0, 68 - (y + 34e0) / 68e0 * 68))) AS INTEGER) AS ybin,
+ arg_max([least(1e0, greatest(-1e0, (pvx*tx+pvy*ty)/den)), least(1e0, greatest(-1e0, (pvx*ty-pvy*tx)/den))], id) AS vs FROM r GROUP BY ALL)
+SELECT {FRAME}, CAST(i + 14 AS INTEGER) AS channel, ybin, xbin, round(vs[i], 6) + 0e0 AS value FROM c, (SELECT unnest([1, 2]) AS i)""")
+def surface_teammates(spark, d):
+    c = carriers(spark, d).where(~FR.is_ball()).withColumn("role", F.when(F.col("team_id") == F.col("ball_owning_team_id"), "pressed").otherwise("presser"))
+    first = F.min(F.when(F.col("role") == "presser", F.col("id"))).over(FR.of_frame())
+    return rounded(FR.surface_teammates(c.withColumn("is_presser", F.coalesce(F.col("id") == first, F.lit(False)))), "value").select(*FR.FRAME, "channel", "ybin", "xbin", "value")
 
 
 @query(f"WITH {A.TRACKING}, n AS (SELECT {FRAME}, count(*) AS n FROM tr GROUP BY ALL), a AS (SELECT game_id, period_id, min(frame_id) AS anchor FROM tr GROUP BY ALL), w AS (SELECT a.*, n.n FROM a JOIN n ON n.game_id = a.game_id AND n.period_id = a.period_id AND n.frame_id = a.anchor) SELECT tr.game_id, tr.period_id, tr.frame_id, id, anchor FROM tr JOIN n USING ({FRAME}) JOIN w ON w.game_id = tr.game_id AND w.period_id = tr.period_id AND w.n = n.n")
@@ -279,6 +290,18 @@ def ffill_bfill(spark, d):
     return A.series(spark, d).select("user_id", "us", R.fill_forward("x", U, "us").alias("f"), R.fill_backward("x", U, "us").alias("b"))
 
 
+@query(f"WITH {A.SERIES}, t AS (SELECT user_id, us, CASE WHEN event_type IN ('click', 'view') THEN event_type END AS e FROM se), u AS (SELECT *, last_value(e IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f, first_value(e IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM t) SELECT user_id, us, CASE WHEN f = b THEN f END AS e FROM u")
+def possession_fill(spark, d):
+    t = A.series(spark, d).select("user_id", "us", F.when(F.col("event_type").isin("click", "view"), F.col("event_type")).alias("e"))
+    return t.select("user_id", "us", R.fill_between("e", U, "us").alias("e"))
+
+
+@query(f"WITH {A.EV} SELECT event_id, CASE k % 4 WHEN 0 THEN 'Successful' WHEN 1 THEN 'Unsuccessful' WHEN 2 THEN 'Blocked' END AS result_name FROM ev")
+def result_names(spark, d):
+    o = F.element_at(F.array(*map(F.lit, ["Succeeded", "Tackle Failed", "Blocked Shots", "Other"])), (F.col("k") % 4 + 1).cast("int"))
+    return A.events(spark, d).select("event_id", S.result_name(o).alias("result_name"))
+
+
 @query(f"WITH {A.ACTIONS} SELECT event_id, game, coalesce(lead(event_id) OVER w, event_id) AS next_id, coalesce(lag(event_id) OVER w, event_id) AS prev_id FROM ac WINDOW w AS (PARTITION BY game ORDER BY event_id)")
 def shift_edge_fix(spark, d):
     a = A.actions(spark, d)
@@ -551,7 +574,7 @@ def raw_events(spark, d) -> DataFrame:
     name = F.when(F.col("event_type") == "click", "Passes").when(F.col("event_type") == "view", "Passes Received").when(F.col("event_type") == "purchase", "Shots & Goals").when(F.col("event_type") == "signup", "Duels").otherwise("Recoveries")
     extra = F.when(F.col("k") % 10 == 0, "Mistakes").when(F.col("k") % 10 == 1, "HIR").when((F.col("k") % 10 == 2) & (F.col("event_type") == "click"), "Set Pieces")
     kind = F.when(extra == "Set Pieces", F.when(F.col("k") % 20 == 2, "Corners").otherwise("Throw-Ins")).otherwise("none")
-    outcome = F.when(F.col("event_type") == "purchase", F.when(F.col("value") > 60, "Off Target").when(F.col("value") > 30, "Blocked").otherwise("On Target")).when(F.col("value") >= 50, "Succeeded").otherwise("Failed")
+    outcome = F.when(F.col("event_type") == "purchase", F.when(F.col("value") > 60, "Shots Off Target").when(F.col("value") > 30, "Blocked Shots").otherwise("Shots On Target")).when(F.col("value") >= 50, "Succeeded").otherwise("Failed")
     one = lambda n: F.struct(n.alias("event_name"), F.create_map(F.lit("Outcome"), outcome, F.lit("Type"), kind).alias("property"))
     both = F.filter(F.array(one(name), one(extra)), lambda x: x["event_name"].isNotNull())
     half = F.floor(F.col("h") / 12)
@@ -600,3 +623,15 @@ def stream_window_counts(spark, d):
         s = s.withColumn("ts", F.col("ts").cast("timestamp"))
     out = ST.drain(ST.windowed_counts(s, "ts", "6 hours", None, ["event_type"], "value"), "stream_window_counts")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query()
+def sample_builder(spark, d):
+    c = carriers(spark, d)
+    m = P.pressed_moments(pressure(spark, d, targets=F.col("is_ball_carrier")), c.where("is_ball_carrier"), THRESHOLD)
+    starts = P.press_starts(m, c, gap=3)
+    e = A.events(spark, d).select(F.lit("g1").alias("game_id"), F.when(F.col("d") <= 15, 1).otherwise(2).cast("long").alias("period_id"), ((F.col("d") - 1) * 24 + F.col("h")).alias("frame_id"), (F.col("k") % 19).cast("int").alias("type_id"), F.col("team_id").alias("tid"), F.col("event_type").alias("e"), "event_id")
+    labelled = TM.followed_by(starts.join(c.select(*FR.FRAME, F.col("id").alias("pressed_id"), F.col("team_id").alias("tid")), [*FR.FRAME, "pressed_id"]), e.where("e = 'purchase'"), ["game_id", "period_id"], "frame_id", 1, "tid", "success")
+    first = e.groupBy("game_id", "period_id", "frame_id").agg(F.min_by("type_id", "event_id").alias("type_id"))
+    s = SA.build_samples(c, labelled.withColumn("label", F.col("success").cast("int")), first, "H", span=48)
+    return s.select("sample_id", "pressed_id", "presser_id", "label", F.size("frames").alias("n_frames"), F.size(F.col("features")[0]).alias("n_agents"), F.size(F.col("features")[0][0]).alias("n_features"))
