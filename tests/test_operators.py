@@ -308,3 +308,20 @@ def test_stream_forms(spark, tmp_path):
     assert ST.drain(ST.frame_carriers(s, "t", ["frame_id"]), "carriers_now").first().carrier_id == "b"
     assert ST.drain(ST.session_spans(s, "t", "10 seconds", ["id"]), "spans_now").count() == 3
     assert Window is not None
+
+
+def test_samples_are_padded_and_turned(spark):
+    from touchline.operators import samples as SA
+
+    rows = []
+    for f in range(1, 8):
+        agents = [("ball", None, 1.0, 0.0), ("c", "H", 2.0, 0.0), ("p", "A", 4.0, 0.0)] + ([("x", "A", 9.0, 9.0)] if f == 3 else [])
+        rows += [("g", 1, f, i, t, x, y, 1.0, 0.0, 1.0, "MF", i == "c") for i, t, x, y in agents]
+    t = spark.createDataFrame(rows, "game_id string, period_id long, frame_id long, id string, team_id string, x double, y double, vx double, vy double, v double, position_name string, is_ball_carrier boolean")
+    press = spark.createDataFrame([("g", 1, 7, "c", "p", 1)], "game_id string, period_id long, frame_id long, pressed_id string, presser_id string, label int")
+    events = spark.createDataFrame([("g", 1, 5, 3)], "game_id string, period_id long, frame_id long, type_id int")
+    s = SA.build_samples(t, press, events, "H", span=5, k=4, size=2).first()
+    assert s.frames == [2, 4, 5, 7]  # 3 has another agent count; 2, 4, 5, 6 sampled by stride 4/3
+    assert [len(a) for a in s.features] == [5] * 4 and len(s.features[0][0]) == 19
+    assert s.features[0][0][0] == -2.0 and s.features[0][1] == [0.0] * 19  # turned, as the carrier is at home; a missing agent
+    assert [f[0][18] for f in s.features] == [4.0] * 4
