@@ -325,3 +325,22 @@ def test_samples_are_padded_and_turned(spark):
     assert [len(a) for a in s.features] == [5] * 4 and len(s.features[0][0]) == 19
     assert s.features[0][0][0] == -2.0 and s.features[0][1] == [0.0] * 19  # turned, as the carrier is at home; a missing agent
     assert [f[0][18] for f in s.features] == [4.0] * 4
+
+
+def test_raw_frames_to_carriers_and_events(spark):
+    from touchline.operators import matches as MA
+
+    rows = [("g", 1, int(t * 50_000), i, 52.5 + dx + t * v, 34.0, 0.0, "alive", None, team, "MF") for t in range(40) for i, dx, v, team in (("ball", 0.0, 0.1, None), ("a", 1.0, 0.1, "H"), ("b", 30.0, 0.0, "A"))]
+    raw = spark.createDataFrame(rows, "game_id string, period_id long, timestamp long, id string, x double, y double, v double, ball_state string, ball_owning_team_id string, team_id string, position_name string")
+    t = MA.process_tracking(raw, 105.0, 68.0)
+    got = t.where("id = 'a'").orderBy("timestamp").collect()
+    assert all(r.is_ball_carrier for r in got) and abs(got[20].vx - 2.0) < 1e-6 and abs(got[20].a) < 1e-6 and got[1].frame_id == 1
+    assert abs(got[10].x - (1.0 + 10 * 0.08)) < 1e-9
+    ev = spark.createDataFrame([("g", 1, 61_000, 1, "H", "b", 1.0, 0.0), ("g", 1, 5_000_000, 2, "H", "a", 4.0, 0.0)], "game_id string, period_id long, time long, event_id long, team_id string, player_id string, x double, y double")
+    placed = {r.event_id: r for r in MA.events_on_frames(ev, t).collect()}
+    assert (placed[1].frame_id, placed[1].corrected_id, placed[1].was_wrong) == (2, "a", True) and placed[2].frame_id == 48
+    assert MA.frames_with_events(t, MA.events_on_frames(ev, t)).count() == 49
+    assert "a_x" in MA.positions_wide(t, ["a", "b"]).columns
+    e = spark.createDataFrame([("g", "Home", "p", 7, 5, 1), ("g", "Home", "p", 7, 9, 2)], "game_id string, team string, player_id string, number int, time int, session int")
+    r = MA.player_table(e).first()
+    assert (r.code, r.t0, r.t1, r.session0, r.session1) == ("H07", 5, 9, 1, 2)

@@ -153,25 +153,28 @@ def _pchip_slopes(df: DataFrame, keys, t: str, v: str) -> DataFrame:
     return df.withColumn("_s", s).drop("_h0", "_h1", "_d0", "_d1", "_h2", "_d2", "_g0", "_e0")
 
 
-def resample(df: DataFrame, keys: list[str], t: str, v: str, step: int, method: str = "linear", fill: list[str] | None = None) -> DataFrame:
-    """Each series on the grid 0, step, ... up to its largest t: `v` interpolated between its samples (linear or pchip),
-    `fill` carried forward. Rows of the grid before the first sample have nulls and are dropped."""
-    fill = fill or []
-    df = df.dropDuplicates([*keys, t]).select(*keys, t, v, *fill)
-    if method == "pchip":
-        df = _pchip_slopes(df, keys, t, v)
-    else:
-        df = df.withColumn("_s", F.lit(0.0))
+def resample(df: DataFrame, keys: list[str], t: str, v: str | list[str], step: int, method: str = "linear", fill: list[str] | None = None) -> DataFrame:
+    """Each series on the grid 0, step, ... up to its largest t: the columns `v` interpolated between their samples (linear
+    or pchip), `fill` carried forward. Rows of the grid before the first sample, or without any value, are dropped."""
+    vs, fill = [v] if isinstance(v, str) else v, fill or []
+    df = df.dropDuplicates([*keys, t]).select(*keys, t, *vs, *fill)
+    for c in vs:
+        df = _pchip_slopes(df, keys, t, c).withColumnRenamed("_s", f"_s_{c}") if method == "pchip" else df.withColumn(f"_s_{c}", F.lit(0.0))
     grid = df.groupBy(*keys).agg(F.max(t).alias("_top")).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_top"), F.lit(step).cast("long"))).alias(t))
     rows = df.withColumn("_grid", F.lit(0)).unionByName(grid.withColumn("_grid", F.lit(1)), allowMissingColumns=True)
-    known = F.when(F.col("_grid") == 0, F.struct(F.col(t).alias("t"), F.col(v).alias("v"), F.col("_s").alias("s")))
+    known = F.when(F.col("_grid") == 0, F.struct(F.col(t).alias("t"), *(F.struct(F.col(c).alias("v"), F.col(f"_s_{c}").alias("s")).alias(c) for c in vs)))
     rows = rows.withColumns({"_a": F.last(known, True).over(up_to(keys, t, "_grid")), "_b": F.first(known, True).over(along(keys, F.col(t), F.col("_grid").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)), **{c: fill_forward(c, keys, t, "_grid") for c in fill}})
     a, b = F.col("_a"), F.col("_b")
     h = (b["t"] - a["t"]).cast("double")
     u = (F.col(t) - a["t"]) / h
-    if method == "pchip":
-        value = a["v"] * (1 + 2 * u) * (1 - u) * (1 - u) + h * a["s"] * u * (1 - u) * (1 - u) + b["v"] * u * u * (3 - 2 * u) + h * b["s"] * u * u * (u - 1)
-    else:
-        value = a["v"] + (b["v"] - a["v"]) * u
-    value = F.when(a["t"] == F.col(t), a["v"]).otherwise(value)
-    return rows.where("_grid = 1").select(*keys, t, value.alias(v), *fill).where(F.col(v).isNotNull())
+
+    def value(c: str) -> Column:
+        p, q, s, r = a[c]["v"], b[c]["v"], a[c]["s"], b[c]["s"]
+        if method == "pchip":
+            inside = p * (1 + 2 * u) * (1 - u) * (1 - u) + h * s * u * (1 - u) * (1 - u) + q * u * u * (3 - 2 * u) + h * r * u * u * (u - 1)
+        else:
+            inside = p + (q - p) * u
+        return F.when(a["t"] == F.col(t), p).otherwise(inside)
+
+    out = rows.where("_grid = 1").select(*keys, t, *(value(c).alias(c) for c in vs), *fill)
+    return out.where(F.coalesce(*vs).isNotNull())
