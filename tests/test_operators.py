@@ -116,6 +116,14 @@ def test_plan_of_windows_has_one_exchange(spark):
     df.collect()
 
 
+def test_pairs_need_one_exchange(spark, tmp_path):
+    cols = "game_id string, period_id long, frame_id long, id string, team_id string, x double, y double, vx double, vy double, ord long"
+    spark.createDataFrame([("g", 1, 1, "ball", None, 0.0, 0.0, 0.0, 0.0, 1), ("g", 1, 1, "a", "H", 1.0, 0.0, 0.0, 0.0, 2)], cols).write.parquet(str(tmp_path / "t"))
+    df = P.pairwise(FR.infer_ball_carrier(spark.read.parquet(str(tmp_path / "t"))), 2.0)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_pressure_bounds_and_symmetry(spark):
     rows = [("g", 1, 1, "ball", None, 0.0, 0.0, 0.0, 0.0, False), ("g", 1, 1, "c", "H", 0.0, 0.0, 0.0, 0.0, True), ("g", 1, 1, "p", "A", 3.0, 0.0, -4.0, 0.0, False), ("g", 1, 1, "q", "A", 30.0, 0.0, 0.0, 0.0, False)]
     df = spark.createDataFrame(rows, "game_id string, period_id long, frame_id long, id string, team_id string, x double, y double, vx double, vy double, is_ball_carrier boolean")

@@ -197,9 +197,9 @@ def tensor(df: DataFrame, features: list[str], order: list[str]) -> DataFrame:
 
 
 def agent_edges(df: DataFrame) -> DataFrame:
-    """Every ordered pair of agents of a frame with same_team and distance: an equi join on the frame."""
-    a = df.select(*FRAME, F.col("id").alias("src"), F.col("team_id").alias("_t"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    b = df.select(*FRAME, F.col("id").alias("dst"), F.col("team_id").alias("_u"), F.col("x").alias("_p"), F.col("y").alias("_q"))
+    """Every ordered pair of agents of a frame with same_team and distance; a frame's agents meet as one array, without a join."""
+    one = F.collect_list(F.struct("id", "team_id", "x", "y"))
+    g = df.groupBy(*FRAME).agg(one.alias("g")).select(*FRAME, F.explode("g").alias("a"), "g").select(*FRAME, "a", F.explode("g").alias("b"))
     c = F.col
-    d = F.sqrt((c("_x") - c("_p")) * (c("_x") - c("_p")) + (c("_y") - c("_q")) * (c("_y") - c("_q")))
-    return a.join(b, FRAME).where("src <> dst").select(*FRAME, "src", "dst", F.coalesce((c("_t") == c("_u")).cast("int"), F.lit(0)).alias("same_team"), d.alias("distance"))
+    d = F.sqrt((c("a.x") - c("b.x")) * (c("a.x") - c("b.x")) + (c("a.y") - c("b.y")) * (c("a.y") - c("b.y")))
+    return g.where("a.id <> b.id").select(*FRAME, c("a.id").alias("src"), c("b.id").alias("dst"), F.coalesce((c("a.team_id") == c("b.team_id")).cast("int"), F.lit(0)).alias("same_team"), d.alias("distance"))

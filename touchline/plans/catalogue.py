@@ -186,7 +186,7 @@ def pairwise_pressure(spark, d):
 @query(f"WITH {A.CARRIER}, {MOMENTS} SELECT {FRAME}, pressed_id, presser_id, round(p, 6) AS p FROM pm")
 def pressed_moments(spark, d):
     c = carriers(spark, d).where("is_ball_carrier")
-    return rounded(P.pressed_moments(pressure(spark, d, targets=F.col("is_ball_carrier")), c, THRESHOLD), "p")
+    return rounded(P.pressed_moments(pressure(spark, d, carriers_only=True), c, THRESHOLD), "p")
 
 
 @query(f"""WITH {A.CARRIER}, {MOMENTS}, g AS (SELECT *, CASE WHEN frame_id - lag(frame_id) OVER w > 3 THEN 1 ELSE 0 END AS nw FROM pm WINDOW w AS (PARTITION BY game_id, period_id ORDER BY frame_id)),
@@ -194,7 +194,7 @@ s AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY game_id, period_id ORDER BY fram
 SELECT f.game_id, f.period_id, f.press, f.frame_id, f.pressed_id, f.presser_id, round(f.p, 6) AS p, round(tr.v, 6) AS presser_v FROM f JOIN tr ON tr.game_id = f.game_id AND tr.period_id = f.period_id AND tr.frame_id = f.frame_id AND tr.id = f.presser_id WHERE rn = 1 AND tr.v >= 2""")
 def press_starts(spark, d):
     c = carriers(spark, d)
-    m = P.pressed_moments(pressure(spark, d, targets=F.col("is_ball_carrier")), c.where("is_ball_carrier"), THRESHOLD)
+    m = P.pressed_moments(pressure(spark, d, carriers_only=True), c.where("is_ball_carrier"), THRESHOLD)
     out = rounded(P.press_starts(m, c, gap=3), "p", "presser_v")
     return out.select("game_id", "period_id", "press", "frame_id", "pressed_id", "presser_id", "p", "presser_v")
 
@@ -628,7 +628,7 @@ def stream_window_counts(spark, d):
 @query()
 def sample_builder(spark, d):
     c = carriers(spark, d)
-    m = P.pressed_moments(pressure(spark, d, targets=F.col("is_ball_carrier")), c.where("is_ball_carrier"), THRESHOLD)
+    m = P.pressed_moments(pressure(spark, d, carriers_only=True), c.where("is_ball_carrier"), THRESHOLD)
     starts = P.press_starts(m, c, gap=3)
     e = A.events(spark, d).select(F.lit("g1").alias("game_id"), F.when(F.col("d") <= 15, 1).otherwise(2).cast("long").alias("period_id"), ((F.col("d") - 1) * 24 + F.col("h")).alias("frame_id"), (F.col("k") % 19).cast("int").alias("type_id"), F.col("team_id").alias("tid"), F.col("event_type").alias("e"), "event_id")
     labelled = TM.followed_by(starts.join(c.select(*FR.FRAME, F.col("id").alias("pressed_id"), F.col("team_id").alias("tid")), [*FR.FRAME, "pressed_id"]), e.where("e = 'purchase'"), ["game_id", "period_id"], "frame_id", 1, "tid", "success")
