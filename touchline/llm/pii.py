@@ -85,17 +85,18 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
 
 def contexts(spanned: DataFrame) -> DataFrame:
-    """A row for each term within CONTEXT characters of an entity: document, entity, term, s, e, and the context's digest."""
-    b = F.col("b")
-    text, start = F.col("text"), F.greatest(F.lit(0), b["s"] - CONTEXT)
-    stop = F.least(F.length(text), b["e"] + CONTEXT)
-    snip = F.substring(text, start + 1, stop - start)
-    cut = lambda x: ((x["s"] > 0) | (start == 0)) & ((x["e"] < stop - start) | (stop == F.length(text)))
-    moved = lambda x: F.struct((x["s"] + start).alias("s"), (x["e"] + start).alias("e"), F.lower(x["v"]).alias("v"))
-    free = lambda x: ~F.exists(F.col(f"{P}base"), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
-    terms = F.filter(F.transform(F.filter(found(snip, TERM), cut), moved), free)
-    rows = spanned.where(F.size(f"{P}base") > 0).select(f"{P}id", f"{P}hash", "text", f"{P}base", F.explode(f"{P}base").alias("b"))
-    rows = rows.select(f"{P}id", f"{P}hash", F.concat_ws(":", b["kind"], F.lower(b["v"])).alias("entity"), terms.alias("t"))
+    """A row for each term within CONTEXT characters of an entity: document, entity, term, s, e, and the context's digest.
+    Terms are sought in the text with all entities blanked, so none overlaps an entity."""
+    b, text = F.col("b"), F.col("_blank")
+    blank = replaced(F.col("text"), F.col(f"{P}base"), lambda x, at: F.repeat(F.lit(" "), x["e"] - F.greatest(at, x["s"])))
+    rows = spanned.where(F.size(f"{P}base") > 0).select(f"{P}id", f"{P}hash", f"{P}base", blank.alias("_blank"), F.length("text").alias("_n"))
+    rows = rows.select(f"{P}id", f"{P}hash", "_blank", "_n", F.explode(f"{P}base").alias("b"))
+    start, stop = F.greatest(F.lit(0), b["s"] - CONTEXT), F.least(F.col("_n"), b["e"] + CONTEXT)
+    rows = rows.select(f"{P}id", f"{P}hash", "b", "_n", start.alias("start"), stop.alias("stop"), F.substring(text, start + 1, stop - start).alias("snip"))
+    c = F.col
+    cut = lambda x: ((x["s"] > 0) | (c("start") == 0)) & ((x["e"] < c("stop") - c("start")) | (c("stop") == c("_n")))
+    moved = lambda x: F.struct((x["s"] + c("start")).alias("s"), (x["e"] + c("start")).alias("e"), F.lower(x["v"]).alias("v"))
+    rows = rows.select(f"{P}id", f"{P}hash", F.concat_ws(":", b["kind"], F.lower(b["v"])).alias("entity"), F.transform(F.filter(found(c("snip"), TERM), cut), moved).alias("t"))
     rows = rows.select(f"{P}id", f"{P}hash", "entity", F.xxhash64(F.transform("t", lambda x: x["v"])).alias("ctx"), F.explode("t").alias("t"))
     return rows.select(f"{P}id", f"{P}hash", "entity", "ctx", F.col("t.v").alias("term"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
 
@@ -116,20 +117,26 @@ def disclosures(docs: DataFrame, near: DataFrame) -> DataFrame:
     return rows.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with every span replaced; of overlapping spans the first decides."""
-    label = lambda x: F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS[:4]), F.lit("[TERM]"), F.lit("")), x["kind"] + 1)
+def replaced(text: Column, spans: Column, label) -> Column:
+    """The text with label(span, at) in place of every span, `at` being where the spans before it end; what overlaps is
+    replaced once."""
     zero = F.expr("named_struct('at', 0, 'out', CAST(array() AS array<string>))")
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
 
     def step(a, x):
-        piece = F.array(F.substring(text, a["at"] + 1, x["s"] - a["at"]), label(x))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] >= a["at"], F.concat(a["out"], piece)).otherwise(a["out"]).alias("out"))
+        piece = F.array(F.substring(text, a["at"] + 1, F.greatest(F.lit(0), x["s"] - a["at"])), label(x, a["at"]))
+        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["e"] > a["at"], F.concat(a["out"], piece)).otherwise(a["out"]).alias("out"))
 
     whole = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(ordered, zero, step, whole)).otherwise(text)
 
 
+def sanitised(text: Column, spans: Column) -> Column:
+    """Of overlapping spans the first is named."""
+    labels = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS[:4]), F.lit("[TERM]"), F.lit(""))
+    return replaced(text, spans, lambda x, at: F.when(x["s"] >= at, F.element_at(labels, x["kind"] + 1)).otherwise(""))
+
+
 def sanitise(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The `carry` columns, text, _pii_base, _pii_terms and _pii_clean (the sanitised text; null stays null).
 
