@@ -161,6 +161,14 @@ def test_keep_one_of_each_group(spark, odd):
     assert sorted(map(str, kept)) == sorted(map(str, [1, 2, 3, 4, 4, 5, None, 6, 7, 8, 9, 10]))
 
 
+def test_large_ids_beside_nulls(spark, tmp_path):
+    big = 2**60 + 1
+    spark.createDataFrame([(big, "some words of a text", "en", "a", 1), (None, "other words", "en", "a", 1)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(big, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op2_toxicity", "op3_ngram_join", "op4_lm_score", "op6_token_counts", "op9_language_id"):
+        assert {r.doc_id for r in queries.QUERIES[name](spark, str(tmp_path)).collect()} == {big, None}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, None), (300, 301), (301, 300)]
     got = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

@@ -101,6 +101,15 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def as_text(docs: DataFrame, *cols: str) -> DataFrame:
+    """docs with doc_id as text beside `cols`: pandas turns whole numbers beside nulls into floats, text it leaves alone."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), *cols)
+
+
+def as_number(rows: DataFrame, col: str = "doc_id") -> DataFrame:
+    return rows.withColumn(col, F.col(col).cast("long"))
+
+
 def slices(batches, rows: int = 1000):
     """Pandas batches cut to so many rows, so that what a task makes of them stays small."""
     for pdf in batches:

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import as_number, as_text, table
 from .toxicity import held_out
 
 N = 3
@@ -117,7 +117,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], dimensions: int =
                 score[k + some] = np.clip((1 + cosine[some, best[some]]) / 2, 0, 1)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": score})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return as_number(as_text(docs, "text").mapInPandas(run, "doc_id string, lang_pred string, score double"))
 
 
 def op9_language_id(spark, sf_dir):

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_small, key_hash, materialise, slices, table
+from .common import as_number, join_small, key_hash, materialise, slices, table
 from .graph import connected_components
 
 WORDS = 5
@@ -105,8 +105,8 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             digest = [np.array([_mix(g ^ a).sum(dtype=np.uint64), _mix(g ^ b).sum(dtype=np.uint64)]).tobytes() if len(g) else None for g in found]
             yield pd.DataFrame({"_id": pdf["_id"], "_hash": pdf["_hash"], "set": digest, "size": [len(g) for g in found], "bands": [of(g).view(np.int64) if len(g) else None for g in found]})
 
-    rows_in = docs.select(F.col("doc_id").alias("_id"), key_hash(F.col("text")).alias("_hash"), "text")
-    return rows_in.mapInPandas(run, "_id long, _hash long, set binary, size long, bands array<long>")
+    rows_in = docs.select(F.col("doc_id").cast("string").alias("_id"), key_hash(F.col("text")).alias("_hash"), "text")
+    return as_number(rows_in.mapInPandas(run, "_id string, _hash long, set binary, size long, bands array<long>"), "_id")
 
 
 def blocks_of(classes: DataFrame) -> tuple[DataFrame, DataFrame]:

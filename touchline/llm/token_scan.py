@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import delete_path, materialise, new_path, table
+from .common import as_number, as_text, delete_path, materialise, new_path, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SEPARATOR = 50256
@@ -65,7 +65,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> Da
                 seq += len(pdf)
         store.move(draft, f"{root}/{name}")
 
-    return materialise(docs.select("doc_id", "text").mapInPandas(run, "file string, seq long, doc_id long"), "manifest")
+    return materialise(as_number(as_text(docs, "text").mapInPandas(run, "file string, seq long, doc_id string")), "manifest")
 
 
 def blocks_of(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:

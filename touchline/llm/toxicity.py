@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialise, table
+from .common import as_number, as_text, materialise, table
 
 #: Labelled documents that the model is fitted on, at most.
 MOST_FIT = 6000
@@ -153,7 +153,7 @@ def score_toxicity(docs: DataFrame, model: NoisyOr) -> DataFrame:
                 bad.append(sorted(((s, e, float(1 / (1 + np.exp(-q)))) for s, e, q in found if q >= 0), key=lambda x: -x[2]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores, "offending": [[{"start": s, "end": e, "score": p} for s, e, p in x] for x in bad]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>")
+    return as_number(as_text(docs, "text").mapInPandas(run, "doc_id string, score double, offending array<struct<start:int,end:int,score:double>>"))
 
 
 def op2_toxicity(spark, sf_dir):
