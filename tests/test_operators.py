@@ -318,6 +318,27 @@ def test_stream_forms(spark, tmp_path):
     assert Window is not None
 
 
+def test_planes_of_every_carrier_frame(spark, sf):
+    from touchline.plans import catalogue as C
+
+    out = C.QUERIES["surface_planes_full"](spark, sf).persist()
+    frames = {(r.game_id, r.period_id, r.frame_id): (r.bx, r.by) for r in C.carriers(spark, sf).withColumns({"bx": FR.ball("x"), "by": FR.ball("y")}).where("is_ball_carrier").collect()}
+    sizes = {(r.game_id, r.period_id, r.frame_id): r["count"] for r in out.groupBy("game_id", "period_id", "frame_id").count().collect()}
+    assert sizes == dict.fromkeys(frames, 5 * 104 * 68)
+    for key in (min(frames), max(frames)):
+        bx, by = frames[key]
+        u, w = int(min(103, max(0, (bx + 52.5) / 105 * 104))) + 0.5, int(min(67, max(0, 68 - (by + 34) / 68 * 68))) + 0.5
+        got = {(r.channel, r.ybin, r.xbin): r.value for r in out.where((F.col("game_id") == key[0]) & (F.col("period_id") == key[1]) & (F.col("frame_id") == key[2])).collect()}
+        for j in range(68):
+            for i in range(104):
+                a, b = (103.5 - i - 0.5, 34.5 - j - 0.5), (u - i - 0.5, w - j - 0.5)
+                na, nb = math.hypot(*a), math.hypot(*b)
+                turn = [(a[0] * b[0] + a[1] * b[1]) / (na + nb + 1e-8), (a[0] * b[1] - a[1] * b[0]) / (na + nb + 1e-8)]
+                want = [nb, na, *(min(1.0, max(-1.0, x)) for x in turn), abs(math.atan2(a[1], a[0]))]
+                assert all(abs(got[10 + k, j, i] - want[k]) < 2e-6 for k in range(5))
+    out.unpersist()
+
+
 def test_samples_are_padded_and_turned(spark):
     from touchline.operators import samples as SA
 

@@ -119,6 +119,14 @@ def surface_planes(spark, d):
     return out.select(*FR.FRAME, *(F.col(k).cast("int").alias(k) for k in ("channel", "ybin", "xbin")), "value")
 
 
+@query()
+def surface_planes_full(spark, d):
+    """Every carrier frame on the whole 104 x 68 grid; surface_planes is a sample on a coarse grid that DuckDB can follow."""
+    c = carriers(spark, d).withColumns({"bx": FR.ball("x"), "by": FR.ball("y")}).where("is_ball_carrier")
+    out = rounded(FR.surface_planes(c.select(*FR.FRAME, "bx", "by")), "value")
+    return out.select(*FR.FRAME, *(F.col(k).cast("int").alias(k) for k in ("channel", "ybin", "xbin")), "value")
+
+
 @query(f"""WITH {A.CARRIER}, o AS (SELECT {FRAME}, id, x, y, vx, vy FROM car WHERE id <> 'ball' AND team_id <> team), p AS (SELECT {FRAME}, min(id) AS pid FROM o GROUP BY ALL),
 q AS (SELECT o.*, a.x AS px, a.y AS py, a.vx AS pvx, a.vy AS pvy FROM o JOIN p USING ({FRAME}) JOIN o a ON a.game_id = o.game_id AND a.period_id = o.period_id AND a.frame_id = o.frame_id AND a.id = pid WHERE o.id <> pid),
 r AS (SELECT *, x - px AS tx, y - py AS ty, sqrt(pvx*pvx+pvy*pvy) * sqrt((x-px)*(x-px)+(y-py)*(y-py)) + 1e-8 AS den FROM q),
