@@ -220,6 +220,14 @@ def test_network_learns_and_windows_agree(monkeypatch):
     assert np.allclose([gru_lm.log_likelihood(p, [t])[0] for t in texts[:5]], then[:5], rtol=1e-4)
 
 
+def test_network_trains_on_every_share(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("alpha beta gamma delta " * 20).alias("text"))
+    corpus = gru_lm.Corpus(gru_lm.token_table(docs).cache())
+    for turn in (2, gru_lm.SHARES - 1):
+        mine = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(gru_lm.SHARES)) == turn)
+        assert mine.count() and not np.array_equal(gru_lm.fit_network(mine, corpus), gru_lm.pack(gru_lm.initial(corpus.network_counts())))
+
+
 def test_network_is_a_distribution():
     p = gru_lm.initial(np.arange(1.0, 71.0))
     h = np.random.default_rng(0).normal(size=(1, gru_lm.HIDDEN)).astype(np.float32)

@@ -5,8 +5,8 @@ is factored into the class of a word (words by frequency, CLASS_SIZE to a class)
 beyond the VOCABULARY most frequent ones are one symbol of the network and share its probability by their smoothed corpus
 counts, so every text has a probability. Training is truncated backpropagation through windows of WINDOW tokens with the
 state carried on, in each partition by itself; after a round the partitions' weights are averaged by tokens. A round
-trains on a fixed share of the training documents (by digest of doc_id), so it grows with the corpus. Scoring runs over
-all tokens of every text, state carried from window to window.
+trains on one of SHARES shares of the training documents (by digest of doc_id); together the rounds are one pass over all of
+them. Scoring runs over all tokens of every text, state carried from window to window.
 
 The counts of the KEPT most frequent words travel to the tasks (a bounded table); rarer words are joined by shuffle.
 Null texts are empty: one end token. Repeated rows are counted and scored each. Without training documents all counts are
@@ -28,7 +28,7 @@ VOCABULARY = 1022  # and the end and the rest
 KEPT = 200_000
 CLASS_SIZE, HIDDEN = 32, 16
 WINDOW, LANES, RATE, FIRST = 20, 64, 0.1, 1e-5
-ROUNDS, SHARES = 2, 16
+SHARES = 16
 SCORED_AT_ONCE, SCORE_WINDOW = 512, 64
 #: Documents that a task holds as tokens at a time.
 SLICE = 2048
@@ -221,11 +221,11 @@ def token_table(docs: DataFrame) -> DataFrame:
 
 
 def fit_network(docs: DataFrame, corpus: Corpus) -> np.ndarray:
-    """Weights after ROUNDS rounds, each over one of SHARES shares of the documents."""
+    """Weights after one pass over all documents, in a round for each of their SHARES shares."""
     spark, counts = docs.sparkSession, corpus.network_counts()
     flat, k = pack(initial(counts)), len(counts)
     known = spark.sparkContext.broadcast({w: i + 2 for i, w in enumerate(corpus.words[:VOCABULARY])})
-    for turn in range(ROUNDS):
+    for turn in range(SHARES):
         start = spark.sparkContext.broadcast(flat)
 
         def run(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
