@@ -374,6 +374,37 @@ def test_proximity(spark):
     assert got[1].n_hit is None and got[1].n_near == 1 and got[2].n_hit == 10 and 3 not in got
 
 
+def near_items(t, items):
+    """Items of which a window has 4 in 5 of its words within SLOP of their places from some start."""
+    w, n, found = brute.tokens10(t), decontam.SLOP, set()
+    for i, x in items:
+        x = brute.tokens10(x)
+        for win in [x[k : k + 10] for k in range(len(x) - 9)] if len(x) >= 10 else ([x] if x else []):
+            for s in range(-10, len(w) + 4) if len(set(win) & set(w)) else ():
+                if sum(v in w[max(0, s + k - n) : max(0, s + k + n + 1)] for k, v in enumerate(win)) >= len(win) - len(win) // 5:
+                    found.add(i)
+                    break
+    return found
+
+
+def test_proximity_is_brute_force(spark):
+    rng = np.random.default_rng(1)
+    words = [f"w{k}" for k in range(60)]
+    draw = lambda n: [words[k] for k in np.minimum(59, rng.geometric(0.06, n))]
+    items = [(i, " ".join(draw(14) if i % 4 else draw(4))) for i in range(30)] + [(30, "rare1 rare2 nowhere w1 w2 w3 w4 w5 w6 w7")]
+    docs = [" ".join(draw(60)) for _ in range(30)] + ["rare1 alone here", "q rare1 rare2 other w1 w2 w3 w4 w5 w6 w7", "rare2 w1 w2 w3 w4 w5 w6 w7"]
+    for i, t in items:
+        x = draw(8) + t.split() + draw(8)
+        for _ in range(3):
+            k = int(rng.integers(len(x)))
+            x[k : k + 1] = [[], [x[k], "zz"], ["zz"]][int(rng.integers(3))]
+        docs.append(" ".join(x))
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["_id"]: r.n_near for r in decontam.matches(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {i: n for i, t in enumerate(docs) if (n := len(near_items(t, items)))}
+    assert got == want and len(want) > 20 and 30 not in got and 31 in got and 32 in got
+
+
 def test_pipeline_stages(spark, where):
     import corpus_pipeline as c
 

@@ -2,8 +2,12 @@
 
 The index holds postings (term, document, position) of the corpus. Each benchmark window is looked up from its rarest
 terms: the shortest posting lists are shifted by the term's offset in the window and intersected, and what survives is
-compared word for word with the document. Postings that line up only within `SLOP` positions are proximity matches.
-Lists that are much longer than a window's shortest one are not fetched: the comparison with the text settles them.
+compared word for word with the document. Lists that are much longer than a window's shortest one are not fetched: the
+comparison with the text settles them.
+
+A proximity match has at least 4 in 5 of a window's words within `SLOP` positions of their places from some start. It must
+hold one of the window's rarest words that occur in the corpus, one more of them than may be missing (words that occur
+nowhere are missing already); every posting of theirs is compared with the text around it.
 
 Null texts have no words. An item without words has no window. Repeated documents get equal rows. Empty tables give
 no hits. Other columns are ignored. Long texts stay in their row; a document's candidates are bounded by its length.
@@ -63,17 +67,16 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def lookup(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    """document, wid, start, exact: alignments of all lists of a window, at one start (exact) or within SLOP of one."""
+    """document, wid, start: alignments of all lists of a window at one start."""
     rows = join_small(index, anchors, "term", "inner").select(*KEY, "wid", (F.col("pos") - F.col("off")).alias("start"), "k", "bit", "full")
     w = Window.partitionBy(*KEY, "wid").orderBy("start")
-    near, here = F.bit_or("bit").over(w.rangeBetween(-SLOP, SLOP)), F.bit_or("bit").over(w.rangeBetween(0, 0))
-    rows = rows.withColumns({"near": near, "here": here}).where((F.col("k") == 1) & (F.col("near") == F.col("full")))
-    return rows.select(*KEY, "wid", "start", ((F.col("here") == F.col("full")) & (F.col("start") >= 0)).alias("exact"))
+    rows = rows.withColumn("here", F.bit_or("bit").over(w.rangeBetween(0, 0)))
+    return rows.where((F.col("k") == 1) & (F.col("here") == F.col("full")) & (F.col("start") >= 0)).select(*KEY, "wid", "start")
 
 
 def verified(docs: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame:
     """document, wid, start, len of the alignments whose words are the document's."""
-    sure = join_small(found.where("exact"), windows, "wid", "inner")
+    sure = join_small(found, windows, "wid", "inner")
     sure = materialise(sure.groupBy(*KEY).agg(F.collect_list(F.struct("start", "wid", "words")).alias("c")), "candidates")
     mine = [F.col(k).eqNullSafe(F.col(f"c{k}")) for k in KEY]
     there = sure.select(*(F.col(k).alias(f"c{k}") for k in KEY), "c")
@@ -83,6 +86,41 @@ def verified(docs: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame
     return rows.select(*KEY, F.col("g.wid").alias("wid"), F.col("g.start").alias("start"), F.size("g.words").alias("len"))
 
 
+def may_miss(words: Column) -> Column:
+    """How many of a window's words a proximity match may lack."""
+    return F.floor(F.size(words) / 5).cast("int")
+
+
+def near_anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """term, ws (wid, words and the term's place of each window that it anchors), all their words, and how many of these a
+    match has at least."""
+    rows = windows.select("wid", "words", F.posexplode("words").alias("off", "term")).join(counts, "term")
+    w = Window.partitionBy("wid")
+    absent = F.size("words") - F.count("*").over(w)
+    rows = rows.withColumns({"k": F.row_number().over(w.orderBy("n", "off")), "spare": may_miss(F.col("words")) - absent}).where("k <= spare + 1")
+    least = F.min(F.size(F.array_distinct("words")) - may_miss(F.col("words")))
+    return rows.groupBy("term").agg(F.collect_list(F.struct("wid", "off", "words")).alias("ws"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"), least.alias("least"))
+
+
+def near_matches(docs: DataFrame, windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """document, wid of every proximity match."""
+    anchors = materialise(near_anchors(windows, counts), "near")
+    spots = postings(docs, anchors.select("term")).groupBy(*KEY).agg(F.collect_set("pos").alias("spots"))
+    spots = materialise(spots.select(*(F.col(k).alias(f"c{k}") for k in KEY), "spots"), "spots")
+    c, reach = F.col, WINDOW - 1 + 2 * SLOP
+    base = lambda p: F.greatest(F.lit(0), p - reach)
+    around = lambda t: lambda p: F.struct(F.get(t, p).alias("term"), p.alias("pos"), base(p).alias("base"), F.slice(t, base(p) + 1, p + reach + 1 - base(p)).alias("text"))
+    rows = docs.join(spots, [c(k).eqNullSafe(c(f"c{k}")) for k in KEY]).select(*KEY, F.explode(let(tokens_of(c("text")), lambda t: F.transform("spots", around(t)))).alias("p")).select(*KEY, "p.*")
+    rows = join_small(rows, anchors, "term", "inner").where(F.size(F.array_intersect("words", "text")) >= c("least"))
+    rows = rows.select(*KEY, "pos", "base", "text", F.explode("ws").alias("w")).select(*KEY, "pos", "base", "text", "w.*")
+    rows = rows.where(F.size(F.array_except("words", "text")) <= may_miss(c("words")))
+    low = lambda at: F.greatest(F.lit(0), at - SLOP - c("base"))
+    there = lambda x, at: F.array_contains(F.slice("text", low(at) + 1, F.greatest(F.lit(0), at + SLOP - c("base") + 1 - low(at))), x)
+    missing = lambda s: F.size(F.filter("words", lambda x, i: ~there(x, s + i)))
+    first = c("pos") - c("off")
+    return rows.where(F.exists(F.sequence(first - SLOP, first + SLOP), lambda s: missing(s) <= may_miss(c("words")))).select(*KEY, "wid").distinct()
+
+
 def covered(spans: Column) -> Column:
     """Positions in the union of struct(start, len) spans."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
@@ -90,15 +128,26 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, step)["n"]
 
 
+def exact_matches(docs: DataFrame, windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """document, wid, start, len of every exact match; written."""
+    anchors = materialise(anchors_of(windows, counts), "anchors")
+    index = materialise(postings(docs, materialise(anchors.select("term").distinct(), "terms")), "index")
+    return materialise(verified(docs, materialise(lookup(index, anchors), "found"), windows), "exact")
+
+
+def looked_for(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The windows, their items, and how often their terms occur."""
+    windows, items = windows_of(benchmark)
+    counts = materialise(term_counts(docs, materialise(windows.select(F.explode("words").alias("term")).distinct(), "terms")), "counts")
+    return windows, items, counts
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """_id, _hash, n_hit, items (sorted), n_near for every document with an exact or proximity match."""
     docs = keyed(docs)
-    windows, items = windows_of(benchmark)
-    counts = materialise(term_counts(docs, materialise(windows.select(F.explode("words").alias("term")).distinct(), "terms")), "counts")
-    anchors = materialise(anchors_of(windows, counts), "anchors")
-    index = materialise(postings(docs, materialise(anchors.select("term").distinct(), "terms")), "index")
-    found = materialise(lookup(index, anchors), "found")
-    exact = materialise(verified(docs, found, windows), "exact")
+    windows, items, counts = looked_for(docs, benchmark)
+    exact = exact_matches(docs, windows, counts)
+    found = materialise(near_matches(docs, windows, counts), "found")
     of = lambda rows: join_small(rows.select(*KEY, "wid").distinct(), items, "wid", "inner")
     hits = exact.groupBy(*KEY).agg(F.collect_set(F.struct("start", "len")).alias("s")).select(*KEY, covered(F.col("s")).cast("long").alias("n_hit"))
     named = of(exact).groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -110,7 +159,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark window."""
-    bad = matches(docs.select("doc_id", "text"), benchmark).where("n_hit > 0").select(F.col("_id").alias("_bid"), F.col("_hash").alias("_bhash"))
+    mine = keyed(docs)
+    windows, _, counts = looked_for(mine, benchmark)
+    bad = exact_matches(mine, windows, counts).select(F.col("_id").alias("_bid"), F.col("_hash").alias("_bhash")).distinct()
+    bad = materialise(bad, "bad")
     return join_small(docs, bad, F.col("doc_id").eqNullSafe(F.col("_bid")) & (key_hash(F.col("text")) == F.col("_bhash")), "left_anti")
 
 
