@@ -93,6 +93,17 @@ def test_pii_terms_that_give_an_entity_away(spark):
     assert got[100]["_pii_clean"] == (near + rest)[100]
 
 
+def test_pii_terms_far_from_their_entity(spark):
+    names = ["anna", "bert", "carl", "dora", "emil", "fred", "gina", "hugo"]
+    near = [f"{w} madame zyzzyva wrote from x@y.com to {w} {v}" for w, v in zip(names, reversed(names))]
+    far = "zyzzyva said " + "many other words " * 20 + "x@y.com " + "and more of these words " * 20 + "Zyzzyva"
+    rest = [f"madame wrote from home about words and words number {i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*near, far, *rest])], "doc_id long, text string")
+    got = {r.doc_id: r["_pii_clean"] for r in pii.sanitise(docs, ["doc_id"]).collect()}
+    assert "zyzzyva" not in got[8].lower() and "[EMAIL]" in got[8] and "many other words" in got[8]
+    assert got[0].count("zyzzyva") == 0 and got[9] == rest[0]
+
+
 def test_pii_copies_prove_nothing(spark):
     docs = spark.createDataFrame([(i, "madame zyzzyva wrote from x@y.com") for i in range(20)] + [(i, f"other words {i}") for i in range(20, 90)], "doc_id long, text string")
     assert pii.sanitise(docs, ["doc_id"]).first()["_pii_clean"] == "madame zyzzyva wrote from [EMAIL]"

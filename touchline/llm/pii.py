@@ -3,7 +3,7 @@
 A term near an entity discloses it by pmi(entity; term) = log2(p(entity | term) / p(entity)), in shares of the entity's
 own information -log2 p(entity). Both come from counts over the whole corpus: how often the term stands within the
 context of the entity's occurrences, and how often it stands anywhere. From GENERALISE on, a term that reveals an entity
-is generalised in the entity's contexts; from REMOVE on it is removed. A term must be seen in MIN_CONTEXTS different
+is generalised, from REMOVE on removed, anywhere in the documents that hold the entity. A term must be seen in MIN_CONTEXTS different
 contexts of the entity, so copies of one text prove nothing.
 
 Null texts are empty. Repeated rows are counted and sanitised alike. Overlapping spans are replaced once. An empty
@@ -84,19 +84,39 @@ def with_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumns({f"{P}id": F.col("doc_id"), f"{P}hash": key_hash(F.col("text")), f"{P}base": base_spans(text)})
 
 
+def blanked(spanned: DataFrame) -> DataFrame:
+    """Documents with entities, these blanked in _blank, so that no term overlaps an entity; _n is the text's length."""
+    blank = replaced(F.col("text"), F.col(f"{P}base"), lambda x, at: F.repeat(F.lit(" "), x["e"] - F.greatest(at, x["s"])))
+    return spanned.where(F.size(f"{P}base") > 0).select(f"{P}id", f"{P}hash", f"{P}base", blank.alias("_blank"), F.length("text").alias("_n"))
+
+
+def entity_of(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], F.lower(span["v"]))
+
+
+def occurrences(spanned: DataFrame, told: DataFrame) -> DataFrame:
+    """Document, s, e, kind: every place of a told term in each document that holds an entity it reveals."""
+    holds = spanned.where(F.size(f"{P}base") > 0).select(f"{P}id", f"{P}hash", F.explode(F.array_distinct(F.transform(f"{P}base", entity_of))).alias("entity"))
+    kind = F.max(F.when(F.col("share") >= REMOVE, 5).otherwise(4))
+    asked = join_small(holds, told, "entity", "inner").groupBy(f"{P}id", f"{P}hash", "term").agg(kind.alias("kind"))
+    asked = asked.groupBy(F.col(f"{P}id").alias("_i"), F.col(f"{P}hash").alias("_h")).agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds"))
+    asked = materialise(asked, "asked")
+    rows = join_small(blanked(spanned), asked, F.col(f"{P}id").eqNullSafe(F.col("_i")) & (F.col(f"{P}hash") == F.col("_h")), "inner")
+    rows = rows.select(f"{P}id", f"{P}hash", "kinds", F.explode(found(F.col("_blank"), TERM)).alias("t"))
+    return rows.select(f"{P}id", f"{P}hash", F.col("t.s").alias("s"), F.col("t.e").alias("e"), F.col("kinds")[F.lower("t.v")].alias("kind")).where("kind is not null").distinct()
+
+
 def contexts(spanned: DataFrame) -> DataFrame:
     """A row for each term within CONTEXT characters of an entity: document, entity, term, s, e, and the context's digest.
-    Terms are sought in the text with all entities blanked, so none overlaps an entity."""
+    Terms are sought in the text with all entities blanked."""
     b, text = F.col("b"), F.col("_blank")
-    blank = replaced(F.col("text"), F.col(f"{P}base"), lambda x, at: F.repeat(F.lit(" "), x["e"] - F.greatest(at, x["s"])))
-    rows = spanned.where(F.size(f"{P}base") > 0).select(f"{P}id", f"{P}hash", f"{P}base", blank.alias("_blank"), F.length("text").alias("_n"))
-    rows = rows.select(f"{P}id", f"{P}hash", "_blank", "_n", F.explode(f"{P}base").alias("b"))
+    rows = blanked(spanned).select(f"{P}id", f"{P}hash", "_blank", "_n", F.explode(f"{P}base").alias("b"))
     start, stop = F.greatest(F.lit(0), b["s"] - CONTEXT), F.least(F.col("_n"), b["e"] + CONTEXT)
     rows = rows.select(f"{P}id", f"{P}hash", "b", "_n", start.alias("start"), stop.alias("stop"), F.substring(text, start + 1, stop - start).alias("snip"))
     c = F.col
     cut = lambda x: ((x["s"] > 0) | (c("start") == 0)) & ((x["e"] < c("stop") - c("start")) | (c("stop") == c("_n")))
     moved = lambda x: F.struct((x["s"] + c("start")).alias("s"), (x["e"] + c("start")).alias("e"), F.lower(x["v"]).alias("v"))
-    rows = rows.select(f"{P}id", f"{P}hash", F.concat_ws(":", b["kind"], F.lower(b["v"])).alias("entity"), F.transform(F.filter(found(c("snip"), TERM), cut), moved).alias("t"))
+    rows = rows.select(f"{P}id", f"{P}hash", entity_of(b).alias("entity"), F.transform(F.filter(found(c("snip"), TERM), cut), moved).alias("t"))
     rows = rows.select(f"{P}id", f"{P}hash", "entity", F.xxhash64(F.transform("t", lambda x: x["v"])).alias("ctx"), F.explode("t").alias("t"))
     return rows.select(f"{P}id", f"{P}hash", "entity", "ctx", F.col("t.v").alias("term"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
 
@@ -146,8 +166,7 @@ def sanitise(docs: DataFrame, carry: list[str]) -> DataFrame:
     spanned = with_spans(docs)
     near = materialise(contexts(spanned), "contexts")
     told = materialise(disclosures(docs, near), "disclosures")
-    kind = F.when(F.col("share") >= REMOVE, 5).otherwise(4)
-    mine = join_small(near, told, ["entity", "term"], "inner").groupBy(f"{P}id", f"{P}hash", "s", "e").agg(F.max(kind).alias("kind"))
+    mine = occurrences(spanned, told)
     mine = materialise(mine.groupBy(F.col(f"{P}id").alias(f"{P}i"), F.col(f"{P}hash").alias(f"{P}h")).agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias(f"{P}found")), "terms")
     out = spanned.join(mine, F.col(f"{P}id").eqNullSafe(F.col(f"{P}i")) & (F.col(f"{P}hash") == F.col(f"{P}h")), "left")
     out = out.withColumn(f"{P}terms", F.coalesce(f"{P}found", F.expr("CAST(array() AS array<struct<kind:int,s:int,e:int>>)")))
