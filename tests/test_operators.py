@@ -356,6 +356,21 @@ def test_samples_are_padded_and_turned(spark):
     assert [f[0][18] for f in s.features] == [4.0] * 4
 
 
+def test_no_agent_and_no_value_is_cut(spark):
+    from touchline.operators import samples as SA
+
+    players = [("ball", None, 1.0, 0.0), ("c", "H", 2.0, 0.0), *((f"p{k:02}", "A", 4.0 + k, 0.0) for k in range(13))]
+    rows = [("g", 1, f, i, t, x, y, 1.0, 0.0, 1.0, "MF", i == "c") for f in (6, 7) for i, t, x, y in players]
+    t = spark.createDataFrame(rows, "game_id string, period_id long, frame_id long, id string, team_id string, x double, y double, vx double, vy double, v double, position_name string, is_ball_carrier boolean")
+    press = spark.createDataFrame([("g", 1, 7, "c", "p12", 1)], "game_id string, period_id long, frame_id long, pressed_id string, presser_id string, label int")
+    s = SA.build_samples(t, press, spark.createDataFrame([("g", 1, 5, 3)], "game_id string, period_id long, frame_id long, type_id int"), "H", span=5, k=4).first()
+    assert [len(a) for a in s.features] == [27, 27]
+    assert [a[0] for a in s.features[0][13:26]] == [-4.0 - k for k in range(13)] and s.features[0][1] == [0.0] * 19
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [4.0])], "k int, vs array<double>")
+    assert {r.k: (r.length, r.vs) for r in T.pad_ragged(df, "vs", 2).collect()} == {1: (3, [1.0, 2.0, 3.0]), 2: (1, [4.0, 0.0, 0.0])}
+    assert all(len(r.vs) == 5 for r in T.pad_ragged(df, "vs", 5).collect())
+
+
 def test_raw_frames_to_carriers_and_events(spark):
     from touchline.operators import matches as MA
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .frames import FRAME, flip_when, frame_features, stride_sample
 from .temporal import as_of_filled
@@ -29,16 +29,21 @@ def picked_frames(tracking: DataFrame, presses: DataFrame, span: int, k: int) ->
     return stride_sample(near.where("frame_id < press_frame"), PRESS, "frame_id", k).unionByName(last)
 
 
-def padded(rows: DataFrame, side: str, features: list[str], size: int):
-    """Column: the feature arrays of one side's agents by id, filled with zeros to `size`."""
+def agents(side: str, features: list[str]):
+    """Column: the feature arrays of one side's agents by id."""
     row = F.struct("id", F.array(*(F.coalesce(F.col(f).cast("float"), F.lit(0.0).cast("float")) for f in features)).alias("f"))
-    mine = F.transform(F.array_sort(F.collect_list(F.when(F.col("_side") == side, row))), lambda r: r["f"])
+    return F.transform(F.array_sort(F.collect_list(F.when(F.col("_side") == side, row))), lambda r: r["f"])
+
+
+def padded(rows: Column, size: Column, features: list[str]) -> Column:
+    """An array of feature arrays, filled with zeros to `size`."""
     zero = F.array_repeat(F.lit(0.0).cast("float"), len(features))
-    return F.slice(F.concat(mine, F.array_repeat(zero, size)), 1, size)
+    return F.concat(rows, F.array_repeat(zero, size - F.size(rows)))
 
 
 def build_samples(tracking: DataFrame, presses: DataFrame, events: DataFrame, home: str, span: int = 125, k: int = 10, size: int = 11) -> DataFrame:
-    """sample_id, pressed_id, presser_id, label, frames and features (time, 2 * size + 1 agents, 19 features).
+    """sample_id, pressed_id, presser_id, label, frames and features (time, 2 * n + 1 agents, 19 features), n being
+    the most agents of a side in any picked frame, `size` at least: none is left out.
 
     tracking: frames with carriers and kinematics. presses: game_id, period_id, frame_id, pressed_id, presser_id, label.
     events: game_id, period_id, frame_id, type_id. Coordinates turn so that the press goes from left to right; type_id is that
@@ -57,7 +62,10 @@ def build_samples(tracking: DataFrame, presses: DataFrame, events: DataFrame, ho
     # a frame may serve several presses: from here on a sample stands for its game
     rows = rows.withColumns({"_game": F.col("game_id"), "game_id": F.concat_ws("-", "game_id", "period_id", "press_frame")})
     rows = frame_features(rows).withColumn("_side", F.when(F.col("id") == "ball", "ball").when(F.col("team_id") == home, "home").otherwise("away"))
-    tensors = rows.groupBy(*FRAME, "_game", "press_frame").agg(F.concat(*(padded(rows, s, FEATURES, n) for s, n in (("home", size), ("away", size), ("ball", 1)))).alias("f"))
+    sides = rows.groupBy(*FRAME, "_game", "press_frame").agg(*(agents(k, FEATURES).alias(k) for k in ("home", "away", "ball")))
+    most = sides.agg(F.greatest(F.lit(size), F.max(F.size("home")), F.max(F.size("away"))).alias("_n"), F.greatest(F.lit(1), F.max(F.size("ball"))).alias("_b"))
+    full = F.concat(*(padded(F.col(k), F.col(n), FEATURES) for k, n in (("home", "_n"), ("away", "_n"), ("ball", "_b"))))
+    tensors = sides.crossJoin(F.broadcast(most)).select(*FRAME, "_game", "press_frame", full.alias("f"))
     seq = tensors.groupBy(F.col("game_id").alias("sample_id"), F.col("_game").alias("game_id"), "period_id", "press_frame").agg(F.array_sort(F.collect_list(F.struct("frame_id", "f"))).alias("s"))
     out = seq.join(p, PRESS)
     return out.select("sample_id", "pressed_id", "presser_id", "label", F.transform("s", lambda x: x["frame_id"]).alias("frames"), F.transform("s", lambda x: x["f"]).alias("features"))

@@ -81,10 +81,12 @@ def pad_matrix(matrix: Column, rows: int, cols: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), row)
 
 
-def pad_ragged(df: DataFrame, col: str, most: int) -> DataFrame:
-    """Arrays filled with 0 to length `most`, and their lengths."""
+def pad_ragged(df: DataFrame, col: str, least: int) -> DataFrame:
+    """Arrays filled with 0 to the longest one's length, `least` at least, and their lengths."""
     n = F.size(col)
-    return df.withColumns({"length": n, col: F.concat(F.slice(col, 1, most), F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), most - n)))})
+    most = F.greatest(F.lit(least), F.coalesce("_most", F.lit(0)))
+    wide = df.crossJoin(F.broadcast(df.agg(F.max(n).alias("_most"))))
+    return wide.withColumns({"length": n, col: F.concat(col, F.array_repeat(F.lit(0.0), most - n))}).drop("_most")
 
 
 def folds(ids: list, n: int, seed: int = 42) -> list[tuple]:

@@ -474,6 +474,12 @@ def matrix_pad(spark, d):
 
 @query(f"WITH {A.EV}, a AS (SELECT user_id, d, list(value ORDER BY event_id) AS vs FROM ev GROUP BY ALL) SELECT user_id, d, CAST(len(vs) AS INTEGER) AS length, i AS k, coalesce(vs[i], 0e0) AS v FROM a, (SELECT unnest(range(1, 9)) AS i)")
 def pad_ragged(spark, d):
+    """The first 8 places alone, as its SQL has them; pad_ragged_full has all."""
+    return pad_ragged_full(spark, d).where("k <= 8")
+
+
+@query(f"WITH {A.EV}, a AS (SELECT user_id, d, list(value ORDER BY event_id) AS vs FROM ev GROUP BY ALL) SELECT user_id, d, CAST(len(vs) AS INTEGER) AS length, i AS k, coalesce(vs[i], 0e0) AS v FROM a, (SELECT unnest(range(1, greatest(8, max(len(vs))) + 1)) AS i FROM a)")
+def pad_ragged_full(spark, d):
     a = A.events(spark, d).groupBy("user_id", "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("vs"))
     return T.pad_ragged(a, "vs", 8).select("user_id", "d", "length", F.posexplode("vs").alias("k", "v")).withColumn("k", (F.col("k") + 1).cast("long"))
 
@@ -642,4 +648,4 @@ def sample_builder(spark, d):
     labelled = TM.followed_by(starts.join(c.select(*FR.FRAME, F.col("id").alias("pressed_id"), F.col("team_id").alias("tid")), [*FR.FRAME, "pressed_id"]), e.where("e = 'purchase'"), ["game_id", "period_id"], "frame_id", 1, "tid", "success")
     first = e.groupBy("game_id", "period_id", "frame_id").agg(F.min_by("type_id", "event_id").alias("type_id"))
     s = SA.build_samples(c, labelled.withColumn("label", F.col("success").cast("int")), first, "H", span=48)
-    return s.select("sample_id", "pressed_id", "presser_id", "label", F.size("frames").alias("n_frames"), F.size(F.col("features")[0]).alias("n_agents"), F.size(F.col("features")[0][0]).alias("n_features"))
+    return s.select("sample_id", "pressed_id", "presser_id", "label", F.size("frames").alias("n_frames"), F.size(F.col("features")[0]).alias("n_agents"), F.size(F.col("features")[0][0]).alias("n_features"), F.xxhash64("features").alias("digest"))
