@@ -322,6 +322,18 @@ def test_url_blocks_reach_aliases(spark):
     assert {r.page_id: r.verdict for r in urls.filter_urls(pages, edges=edges).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "block"}
 
 
+def test_links_are_resolved(spark):
+    forms = {"/de/8": "http://h.org/de/8", "//k.com/en/1": "http://k.com/en/1", "x?a=1&amp;b=2": "http://h.org/p/q/x?a=1&b=2", "../y": "http://h.org/p/y", "./": "http://h.org/p/q/", "?z": "http://h.org/p/q/r?z", "https://k.com/a?b&amp;c": "https://k.com/a?b&c", "/go?u=http://k.com/": "http://h.org/go?u=http://k.com/", "mailto:a@b.com": None}
+    for html in ('<link rel=canonical href="{}">', '<meta http-equiv="refresh" content="0;url={}">'):
+        for link, want in forms.items():
+            pages = spark.createDataFrame([("http://h.org/p/q/r?s#t", html.format(link))], "url string, html string")
+            assert {r.dst for r in urls.link_edges(pages).collect()} == {"https://h.org/p/q/r", *([want] if want else [])}
+    bare = spark.createDataFrame([("http://h.org", '<link rel="canonical" href="a">')], "url string, html string")
+    assert "http://h.org/a" in {r.dst for r in urls.link_edges(bare).collect()}
+    pages = spark.createDataFrame([(1, "http://h.com/x/1", '<link rel="canonical" href="/en/1">'), (2, "http://h.com/en/1", None)], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in urls.filter_urls(pages).collect()} == {1: "block", 2: "block"}
+
+
 def test_mixing(spark, where):
     rows = source(spark, where)
     sizes = {}

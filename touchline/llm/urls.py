@@ -1,6 +1,6 @@
 """URL filters with redirect equivalence: urls joined by redirects and canonical links share their block decisions.
 
-Edges come from the pages' own canonical links and refresh redirects and from the redirects that sites apply to spellings
+Edges come from the pages' own canonical links and refresh redirects, resolved against the page's url, and from the redirects that sites apply to spellings
 of one address (scheme, www. and m. hosts, fragment, query, index suffix, trailing slash). Components of these edges are
 found on the cluster; an explicit allow anywhere in a component outweighs every block in it.
 
@@ -43,14 +43,39 @@ def settled(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(F.lit("https://"), host, path))
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path without its . and .. segments."""
+    parts = F.split(path, "/", -1)
+    step = lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.lit(1), F.size(a) - 1))).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), ends), "/")
+
+
+def resolved(url: Column, link: Column) -> Column:
+    """Where a link on the page at `url` leads; null where it is empty or leads to no address with ://."""
+    link = F.replace(link, F.lit("&amp;"), F.lit("&"))
+    scheme, site = F.regexp_extract(url, r"(?s)^(.*?:)//", 1), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
+    path, rest = F.regexp_extract(link, r"^[^?#]*", 0), F.regexp_extract(link, r"(?s)[?#].*$", 0)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)", 1))
+    return (
+        F.when(link == "", None)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(link.rlike(r"^[^:]*://"), link))
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("/"), F.concat(site, without_dots(path), rest))
+        .when(link.startswith("?"), F.concat(site, path_of(url), link))
+        .when(link.startswith("#"), F.concat(F.regexp_extract(url, r"(?s)^[^#]*", 0), link))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """src, dst: redirects and canonical links, as urls."""
     canonical = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
     refresh = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
     to = [
         settled(F.col(url)),
-        F.regexp_extract(canonical, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1),
-        F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1),
+        resolved(F.col(url), F.regexp_extract(canonical, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)),
+        resolved(F.col(url), F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)),
     ]
     rows = pages.where(F.col(url).contains("://")).select(F.col(url).alias("src"), F.explode(F.array(*to)).alias("dst"))
     return rows.where(F.col("dst").contains("://") & (F.col("src") != F.col("dst")))
