@@ -158,6 +158,14 @@ def test_near_duplicates_over_many_blocks(spark, monkeypatch):
     assert [r.n_links for r in got] == links and [r.class_id for r in got] == groups
 
 
+def test_repeated_rows_enter_their_block_once(spark):
+    words = [f"w{k}" for k in range(80)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    docs = spark.createDataFrame([(1, text)] * 3 + [(2, near), (3, "alone in this corpus")], "doc_id long, text string")
+    got = sorted((r["_id"], r.class_id, r.n_links, r.n_partners) for r in ngram_join.grouped(docs).collect())
+    assert got == [(1, 1, 3, 1)] * 3 + [(2, 1, 3, 1), (3, 3, 0, 0)]
+
+
 def test_bands_reach_their_recall():
     for s, recall in ((0.8, 0.9995), (0.6, 0.99), (0.9, 0.999)):
         b, r = ngram_join.choose_bands(s, recall)

@@ -178,8 +178,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     placed, pairs = blocks_of(classes)
 
     # the n-grams of one document for each placed class, made again from its text
-    least = signed.where("set is not null").groupBy("set").agg(F.min(F.struct("_id", "_hash")).alias("d"), F.count("*").alias("copies"))
-    chosen = materialise(placed.join(least, "set").select("set", "block", "copies", F.col("d._id").alias("cid"), F.col("d._hash").alias("chash")), "chosen")
+    same = signed.where("set is not null").groupBy("set", "_id", "_hash").agg(F.count("*").alias("n"))
+    least = same.groupBy("set").agg(F.min(F.struct("_id", "_hash", "n")).alias("d"), F.sum("n").alias("copies"))
+    chosen = materialise(placed.join(least, "set").select("set", "block", "copies", F.col("d._id").alias("cid"), F.col("d._hash").alias("chash"), (F.col("d.n") > 1).alias("again")), "chosen")
 
     def grams_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = NGrams()
@@ -188,8 +189,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
 
     texts = docs.select("doc_id", key_hash(F.col("text")).alias("h"), "text")
     mine = F.col("doc_id").eqNullSafe(F.col("cid")) & (F.col("h") == F.col("chash"))
-    held = join_small(texts, chosen, mine, "inner").select("set", "block", "copies", "text")
-    held = materialise(held.mapInPandas(grams_of, "set binary, block long, copies long, grams binary"), "grams")
+    held = join_small(texts, chosen, mine, "inner").select("set", "block", "copies", "again", "text")
+    held = materialise(held.mapInPandas(grams_of, "set binary, block long, copies long, again boolean, grams binary"), "grams")
+    held = held.where("not again").unionByName(held.where("again").dropDuplicates(["set"]))  # a repeated row stands for its class once
     asked = pairs.select(F.xxhash64("block", "other").alias("pair"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
     rows = held.join(asked, "block")
     found = rows.select("pair", F.col("block").alias("side"), "set", "copies", "grams").groupBy("pair").applyInPandas(_compare(similarity), "set binary, root binary, links long, partners long")
