@@ -360,6 +360,30 @@ def test_mixing(spark, where):
     assert keyed([r.asDict() for r in out], "doc_id", "_mix_size", "_mix_copies") == keyed([r.asDict() for r in again], "doc_id", "_mix_size", "_mix_copies")
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+@pytest.mark.parametrize("texts", [1, 40])
+def test_ties_are_cut_row_by_row(spark, doc_id, texts):
+    rows = [(doc_id, "a", " ".join([f"w{i % texts}"] * 20)) for i in range(1000)] + [(k, "b", "x " * 10) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    total = {"a": 20_000, "b": 3_000}
+    for n in (1, 5):
+        out = mixing.sample_mix(docs.repartition(n), ["doc_id", "source", "text"], weights=(3, 2), share=0.75).collect()
+        for s, size in (("a", 20), ("b", 10)):
+            mine = [r for r in out if r.source == s]
+            goal = mine[0]["_mix_target"]
+            assert sum(r["_mix_source_size"] for r in mine) == total[s] * len(mine)
+            assert abs(sum(r["_mix_copies"] * size for r in mine) - goal) <= size / 2 + 1e-6
+        taken = sorted((r.text, r["_mix_copies"]) for r in out if r.source == "a")
+        assert n == 1 or taken == before
+        before = taken
+
+
+def test_mixing_without_a_scale(spark):
+    rows = [(k, "s", "w " * (64 + k % 2)) for k in range(500)]
+    out = mixing.sample_mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), ["doc_id"], weights=(1,), share=0.9999).collect()
+    assert abs(sum(r["_mix_copies"] * r["_mix_size"] for r in out) - out[0]["_mix_target"]) <= 65
+
+
 def test_larger_documents_are_likelier(spark):
     rows = [(i, "s", "w " * (1 if i % 2 else 9)) for i in range(4000)] + [(9999, "t", "w " * 4000)]
     out = mixing.sample_mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), ["doc_id"], weights=(1, 5), share=0.6).where("source = 's' and _mix_copies > 0").collect()

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
-#: A table of at most so many rows is broadcast; a larger one is joined by shuffle.
+#: A table of at most so many rows, and by Spark's estimate so many bytes, is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8 << 20
 
 _written: set[str] = set()
 
@@ -25,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all
+    runs on one machine. On a cluster a missing setting is an error: its machines share no temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="corpus-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = f"file://{folder}"
@@ -71,9 +75,24 @@ def _forget_all() -> None:
             delete_path(spark, path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes what is written inside, but for the tables that are appended to the list it gives."""
+    before, kept = set(_written), []
+    yield kept
+    for path in _written - before - {df._corpus_path for df in kept}:
+        delete_path(spark, path)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table may be broadcast: bounded in bytes (the planner's figure, from its files) and in rows."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return int(plan.stats().sizeInBytes()) <= size and df.count() <= rows
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a written table: broadcast if it has at most `limit` rows, else by shuffle, where AQE splits skewed keys."""
-    return big.join(F.broadcast(small) if small.count() <= limit else small, on, how)
+    """Join with a written table: broadcast if it is small, else by shuffle, where AQE splits skewed keys."""
+    return big.join(F.broadcast(small) if is_small(small, limit) else small, on, how)
 
 
 def let(value: Column, body) -> Column:
