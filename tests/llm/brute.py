@@ -42,6 +42,43 @@ def pii(t):
     return [sum(k == kind for k, _, _ in out) for kind in ("email", "ip", "card", "phone")], hashlib.sha256(text.encode()).hexdigest(), text
 
 
+def disclosing(docs, context=64, contexts=3, least=0.75, remove=0.9):
+    """Spans (start, end, kind) of the terms that each text must lose: texts, and every (entity, term) share of information."""
+    term = re.compile(r"[^\W\d_]{3,}")
+    bases = [[(k, int(a), int(b)) for k, a, b in (x.split(":") for x in pii(t)[2].split(",") if x)] for t in docs]
+    blanks, near = [], Counter()
+    for t, spans in zip(docs, bases):
+        c = list(t or "")
+        for _, a, b in spans:
+            c[a:b] = " " * (b - a)
+        blanks.append("".join(c))
+    kinds = ("email", "ip", "card", "phone")
+    for t, spans, blank in zip(docs, bases, blanks):
+        for k, a, b in spans:
+            low, high = max(0, a - context), min(len(blank), b + context)
+            words = [m[0].lower() for m in term.finditer(blank[low:high]) if (m.start() > 0 or low == 0) and (m.end() < high - low or high == len(blank))]
+            for w in words:
+                near[f"{kinds.index(k)}:{t[a:b].lower()}", w, tuple(words)] += 1
+    both, different, entity = Counter(), Counter(), Counter()
+    for (e, w, _), n in near.items():
+        both[e, w] += n
+        different[e, w] += 1
+        entity[e] += n
+    every = Counter(m[0] for t in docs for m in term.finditer((t or "").lower()))
+    total = sum(every.values())
+    share = {(e, w): math.log2(both[e, w] / every[w] * total / entity[e]) / math.log2(total / entity[e]) for e, w in both if different[e, w] >= contexts}
+    told = {k: v for k, v in share.items() if v >= least}
+    out = []
+    for t, spans, blank in zip(docs, bases, blanks):
+        mine = {f"{kinds.index(k)}:{t[a:b].lower()}" for k, a, b in spans}
+        found = []
+        for m in term.finditer(blank):
+            if shares := [told[e, m[0].lower()] for e in mine if (e, m[0].lower()) in told]:
+                found.append((m.start(), m.end(), 5 if max(shares) >= remove else 4))
+        out.append(found)
+    return out, share
+
+
 def quality(t):
     w = WORD.findall(t or "")
     seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))

@@ -39,15 +39,24 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 _HOST = "translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 _RULES = "(VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) r(verdict, h, p)"
-#: Pages whose html holds no canonical link or refresh: components are then the spellings of one address.
-URLS = f"""WITH u AS (SELECT row_number() OVER () AS rn, page_id, coalesce(url, '') AS url FROM pages),
+_SETTLED = f"CASE WHEN contains({{u}}, '://') THEN 'https://' || regexp_replace({_HOST}, '^(?:www|m)\\.([^.]+\\.[^.]+)', '\\1') || regexp_replace(regexp_replace({_PATH}, '(?:index)?\\.html?$', ''), '/+$', '') END"
+_TAG = {"link": ("canonical", "rel", "href"), "meta": ("refresh", "http-equiv", "url")}
+_FOUND = " UNION ALL ".join(f"""SELECT url, unnest(list_transform(regexp_extract_all(html, '(?is)<{t}\\b[^>]*\\b{a}\\s*=\\s*["'']?{v}\\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\\b{u}\\s*=\\s*["'']?([^"''\\s>]+)', 1))) AS link FROM pages WHERE contains(url, '://')""" for t, (v, a, u) in _TAG.items())
+#: Links are resolved as the operator does, but for . and .. segments; a component is what recursion reaches.
+URLS = f"""WITH RECURSIVE u AS (SELECT row_number() OVER () AS rn, page_id, coalesce(url, '') AS url FROM pages),
 p AS (SELECT *, {_HOST.format(u="url")} AS host, {_PATH.format(u="url")} AS path FROM u),
-s AS (SELECT *, CASE WHEN contains(url, '://') THEN 'https://' || regexp_replace(host, '^(?:www|m)\\.([^.]+\\.[^.]+)', '\\1') || regexp_replace(regexp_replace(path, '(?:index)?\\.html?$', ''), '/+$', '') END AS settled FROM p),
-n AS (SELECT DISTINCT settled, url FROM s WHERE settled IS NOT NULL UNION SELECT settled, settled FROM s WHERE settled IS NOT NULL),
-nr AS (SELECT settled, url, first(verdict ORDER BY length(h || p) DESC) AS v FROM (SELECT *, {_HOST.format(u="url")} AS host, {_PATH.format(u="url")} AS path FROM n) LEFT JOIN {_RULES} ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL),
-c AS (SELECT settled, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' ELSE 'allow' END AS shared, count(*) AS size FROM nr GROUP BY settled),
-o AS (SELECT rn, first(h || p ORDER BY length(h || p) DESC) AS rule, first(verdict ORDER BY length(h || p) DESC) AS verdict FROM s JOIN {_RULES} ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rn)
-SELECT page_id, host, path, rule, coalesce(verdict, shared, 'allow') AS verdict, CAST(coalesce(size, 1) AS BIGINT) AS component_size FROM s LEFT JOIN o USING (rn) LEFT JOIN c USING (settled)"""
+l0 AS (SELECT url, replace(link, '&amp;', '&') AS link, regexp_extract(url, '(?s)^.*?://[^/?#]*') AS site FROM ({_FOUND})),
+l1 AS (SELECT url, CASE WHEN link = '' THEN NULL WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || link WHEN starts_with(link, '/') THEN site || link
+ WHEN starts_with(link, '?') THEN site || {_PATH.format(u="url")} || link WHEN starts_with(link, '#') THEN regexp_extract(url, '(?s)^[^#]*') || link ELSE site || '/' || regexp_extract({_PATH.format(u="url")}, '(?s)^/(.*/)', 1) || link END AS dst FROM l0),
+ln AS (SELECT url, dst FROM l1 WHERE contains(dst, '://')),
+en AS (SELECT url FROM u WHERE contains(url, '://') UNION SELECT dst FROM ln),
+e0 AS (SELECT url AS a, dst AS b FROM ln UNION SELECT url, {_SETTLED.format(u="url")} FROM en),
+ed AS (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b),
+re AS (SELECT a AS root, a AS at_ FROM ed UNION SELECT root, b FROM re JOIN ed ON at_ = a),
+nr AS (SELECT at_, first(verdict ORDER BY length(h || p) DESC) AS v FROM (SELECT at_, {_HOST.format(u="at_")} AS host, {_PATH.format(u="at_")} AS path FROM (SELECT DISTINCT at_ FROM re)) LEFT JOIN {_RULES} ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY at_),
+c AS (SELECT root, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' ELSE 'allow' END AS shared, count(*) AS size FROM re JOIN nr USING (at_) GROUP BY root),
+o AS (SELECT rn, first(h || p ORDER BY length(h || p) DESC) AS rule, first(verdict ORDER BY length(h || p) DESC) AS verdict FROM p JOIN {_RULES} ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rn)
+SELECT page_id, host, path, rule, coalesce(verdict, shared, 'allow') AS verdict, CAST(coalesce(size, 1) AS BIGINT) AS component_size FROM p LEFT JOIN o USING (rn) LEFT JOIN c ON root = url"""
 
 _TOKENS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 LEAKS = f"""WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {_TOKENS} AS t FROM documents), b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_TOKENS} AS t FROM benchmark),
@@ -56,12 +65,13 @@ aw AS (SELECT rn, i, n, t[i : i + n - 1] AS words FROM (SELECT rn, t, n, unnest(
 hit AS (SELECT rn, i, w.n, item FROM aw JOIN w ON aw.n = w.n AND aw.words = w.words),
 pos AS (SELECT rn, count(DISTINCT i + j) AS n_hit FROM (SELECT rn, i, unnest(range(n)) AS j FROM hit) GROUP BY rn),
 its AS (SELECT rn, count(*) AS k, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT rn, item FROM hit) GROUP BY rn),
-tok AS (SELECT rn, unnest(t) AS term, unnest(range(len(t))) AS pos FROM d), ct AS (SELECT term, count(*) AS c FROM tok GROUP BY term),
-wt AS (SELECT words, unnest(words) AS term, unnest(range(len(words))) AS off FROM (SELECT DISTINCT words FROM w)),
-wc AS (SELECT *, count(*) OVER (PARTITION BY words) AS have, row_number() OVER (PARTITION BY words ORDER BY c, off) AS k, min(c) OVER (PARTITION BY words) AS least FROM wt JOIN ct USING (term)),
-an AS (SELECT *, 1 << CAST(k - 1 AS INTEGER) AS bit, sum(1 << CAST(k - 1 AS INTEGER)) OVER (PARTITION BY words) AS whole FROM wc WHERE have = len(words) AND k <= 3 AND (k = 1 OR c <= 20 * least)),
-al AS (SELECT rn, words, k, whole, bit_or(bit) OVER (PARTITION BY rn, words ORDER BY pos - off RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM an JOIN tok USING (term)),
-nr AS (SELECT rn, count(DISTINCT item) AS n FROM al JOIN w USING (words) WHERE k = 1 AND near = whole GROUP BY rn)
+tok AS (SELECT rn, unnest(t) AS term, unnest(range(len(t))) AS pos FROM d),
+wn AS (SELECT row_number() OVER () AS wid, words, len(words) - len(words) // 5 AS need FROM (SELECT DISTINCT words FROM w)),
+wt AS (SELECT wid, need, unnest(words) AS term, unnest(range(len(words))) AS off FROM wn),
+sp AS (SELECT rn, wid, need, off, pos - off AS s FROM tok JOIN wt USING (term)),
+en AS (SELECT rn, wid FROM sp GROUP BY rn, wid, need HAVING count(DISTINCT off) >= need),
+nm AS (SELECT DISTINCT rn, wid FROM (SELECT rn, wid FROM (SELECT sp.*, unnest(range(-3, 4)) AS shift FROM sp JOIN en USING (rn, wid)) GROUP BY rn, wid, need, s + shift HAVING count(DISTINCT off) >= need)),
+nr AS (SELECT rn, count(DISTINCT item) AS n FROM nm JOIN wn USING (wid) JOIN w USING (words) GROUP BY rn)
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.k, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(nr.n, 0) AS BIGINT) AS n_near_items
 FROM d LEFT JOIN pos ON pos.rn = d.rn LEFT JOIN its ON its.rn = d.rn LEFT JOIN nr ON nr.rn = d.rn"""
 
@@ -77,7 +87,7 @@ s6 AS (SELECT *, greatest(0e0, target - whole * source_size) AS room FROM s5),
 b0 AS (SELECT source, CASE WHEN size < 64 THEN size ELSE (size >> (length(bin(size)) - 6)) + 32 * (length(bin(size)) - 6) END AS b, CAST(sum(size) AS DOUBLE) AS s, sum(size * sqrt(size)) AS r, max(size) AS most FROM d WHERE size > 0 GROUP BY ALL),
 b1 AS (SELECT b0.*, (room - coalesce(sum(s) OVER (PARTITION BY b0.source ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0)) / sum(r) OVER (PARTITION BY b0.source ORDER BY b) AS c FROM b0 JOIN s6 ON b0.source IS NOT DISTINCT FROM s6.source),
 b2 AS (SELECT source, max_by(c, b) AS c FROM b1 WHERE c > 0 AND c * sqrt(most) <= 1 GROUP BY source),
-r0 AS (SELECT d.*, source_size, target, whole, room, least(1e0, coalesce(c, 1e0) * sqrt(CAST(size AS DOUBLE))) AS lam, (CAST(CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR))), 1, 12) AS BIGINT) AS DOUBLE) + 0.5e0) / 281474976710656e0 AS u
+r0 AS (SELECT d.*, source_size, target, whole, room, coalesce(least(1e0, c * sqrt(CAST(size AS DOUBLE))), room / source_size) AS lam, (CAST(CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR))), 1, 12) AS BIGINT) AS DOUBLE) + 0.5e0) / 281474976710656e0 AS u
  FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source LEFT JOIN b2 ON d.source IS NOT DISTINCT FROM b2.source),
 r1 AS (SELECT *, CASE WHEN lam >= 1 THEN 0e0 ELSE (u / (1 - u)) / (lam / (1 - lam)) END AS odds FROM r0),
 r2 AS (SELECT rn, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id NULLS FIRST, size, rn ROWS UNBOUNDED PRECEDING) - size / 2e0 AS mid FROM r1 WHERE size > 0)

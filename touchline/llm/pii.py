@@ -7,7 +7,9 @@ is generalised, from REMOVE on removed, anywhere in the documents that hold the
 contexts of the entity, so copies of one text prove nothing.
 
 Null texts are empty. Repeated rows are counted and sanitised alike. Overlapping spans are replaced once. An empty
-table gives an empty result. Other columns are carried untouched. Patterns scan long texts in linear time.
+table gives an empty result. Other columns are carried untouched, but for names that start with _pii_. Patterns scan long
+texts in linear time; places are prefix sums of n log n steps, and pieces are cut from chunks of CHUNK characters, so no
+step walks a long text once for each of its entities.
 """
 
 from __future__ import annotations
@@ -24,27 +26,40 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{3,}+"
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 64
+CHUNK = 1024
 MIN_CONTEXTS = 3
 GENERALISE = 0.75
 REMOVE = 0.9
 P = "_pii_"
 
 
+def running(values: Column, join) -> Column:
+    """Inclusive prefix results of an array under an associative `join`, by doubling steps."""
+    steps = F.sequence(F.lit(0), F.length(F.bin(F.size(values).cast("long"))) - 1)
+    step = lambda acc, k: F.transform(acc, lambda v, i: F.coalesce(join(F.get(acc, i - F.pow(F.lit(2), k).cast("int")), v), v))
+    return F.aggregate(steps, values, step)
+
+
 def found(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as struct(s, e, v): the gaps that split() leaves give the positions."""
     both = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("h"))
-    zero = F.expr("named_struct('at', 0, 'out', CAST(array() AS array<struct<s:int,e:int,v:string>>))")
 
-    def step(x):
-        def add(a, i):
-            start = a["at"] + F.length(F.get(x["g"], i))
-            v = F.get(x["h"], i)
-            end = start + F.length(v)
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("s"), end.alias("e"), v.alias("v")))).alias("out"))
+    def placed(x):
+        ends = running(F.transform(x["h"], lambda v, i: F.length(F.get(x["g"], i)) + F.length(v)), lambda a, b: a + b)
+        return F.zip_with(ends, x["h"], lambda e, v: F.struct((e - F.length(v)).alias("s"), e.alias("e"), v.alias("v")))
+
+    return let(both, placed)
+
 
-        return F.when(F.size(x["h"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(x["h"]) - 1), zero, add, lambda a: a["out"])).otherwise(zero["out"])
+def cut(chunks: Column, start: Column, stop: Column) -> Column:
+    """Characters start to stop (exclusive) of a text that lies in chunks."""
+    first = F.floor(start / CHUNK).cast("int")
+    some = F.slice(chunks, first + 1, F.floor((stop - 1) / CHUNK).cast("int") - first + 1)
+    return F.when(stop > start, F.substring(F.array_join(some, ""), start - first * CHUNK + 1, stop - start)).otherwise("")
 
-    return let(both, step)
+
+def chunked(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}+"), F.lit(0))
 
 
 def _digits(v: Column) -> Column:
@@ -109,14 +124,13 @@ def occurrences(spanned: DataFrame, told: DataFrame) -> DataFrame:
 def contexts(spanned: DataFrame) -> DataFrame:
     """A row for each term within CONTEXT characters of an entity: document, entity, term, s, e, and the context's digest.
     Terms are sought in the text with all entities blanked."""
-    b, text = F.col("b"), F.col("_blank")
-    rows = blanked(spanned).select(f"{P}id", f"{P}hash", "_blank", "_n", F.explode(f"{P}base").alias("b"))
-    start, stop = F.greatest(F.lit(0), b["s"] - CONTEXT), F.least(F.col("_n"), b["e"] + CONTEXT)
-    rows = rows.select(f"{P}id", f"{P}hash", "b", "_n", start.alias("start"), stop.alias("stop"), F.substring(text, start + 1, stop - start).alias("snip"))
-    c = F.col
-    cut = lambda x: ((x["s"] > 0) | (c("start") == 0)) & ((x["e"] < c("stop") - c("start")) | (c("stop") == c("_n")))
+    c, n = F.col, F.col("_n")
+    start, stop = lambda b: F.greatest(F.lit(0), b["s"] - CONTEXT), lambda b: F.least(n, b["e"] + CONTEXT)
+    snips = lambda k: F.transform(f"{P}base", lambda b: F.struct(b.alias("b"), start(b).alias("start"), stop(b).alias("stop"), cut(k, start(b), stop(b)).alias("snip")))
+    rows = blanked(spanned).select(f"{P}id", f"{P}hash", "_n", F.explode(let(chunked(c("_blank")), snips)).alias("x")).select(f"{P}id", f"{P}hash", "_n", "x.*")
+    whole = lambda x: ((x["s"] > 0) | (c("start") == 0)) & ((x["e"] < c("stop") - c("start")) | (c("stop") == n))
     moved = lambda x: F.struct((x["s"] + c("start")).alias("s"), (x["e"] + c("start")).alias("e"), F.lower(x["v"]).alias("v"))
-    rows = rows.select(f"{P}id", f"{P}hash", entity_of(b).alias("entity"), F.transform(F.filter(found(c("snip"), TERM), cut), moved).alias("t"))
+    rows = rows.select(f"{P}id", f"{P}hash", entity_of(c("b")).alias("entity"), F.transform(F.filter(found(c("snip"), TERM), whole), moved).alias("t"))
     rows = rows.select(f"{P}id", f"{P}hash", "entity", F.xxhash64(F.transform("t", lambda x: x["v"])).alias("ctx"), F.explode("t").alias("t"))
     return rows.select(f"{P}id", f"{P}hash", "entity", "ctx", F.col("t.v").alias("term"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
 
@@ -140,15 +154,18 @@ def disclosures(docs: DataFrame, near: DataFrame) -> DataFrame:
 def replaced(text: Column, spans: Column, label) -> Column:
     """The text with label(span, at) in place of every span, `at` being where the spans before it end; what overlaps is
     replaced once."""
-    zero = F.expr("named_struct('at', 0, 'out', CAST(array() AS array<string>))")
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
 
-    def step(a, x):
-        piece = F.array(F.substring(text, a["at"] + 1, F.greatest(F.lit(0), x["s"] - a["at"])), label(x, a["at"]))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["e"] > a["at"], F.concat(a["out"], piece)).otherwise(a["out"]).alias("out"))
+    def pieces(x):
+        ends = running(F.transform(x["o"], lambda y: y["e"]), lambda a, b: F.greatest(a, b))
+
+        def piece(y, i, ends):
+            at = F.coalesce(F.get(ends, i - 1), F.lit(0))
+            return F.when(y["e"] > at, F.concat(cut(x["c"], at, y["s"]), label(y, at))).otherwise("")
+
+        return let(ends, lambda e: F.concat(F.array_join(F.transform(x["o"], lambda y, i: piece(y, i, e)), ""), cut(x["c"], F.element_at(e, -1), F.length(text))))
 
-    whole = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, zero, step, whole)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.struct(ordered.alias("o"), chunked(text).alias("c")), pieces)).otherwise(text)
 
 
 def sanitised(text: Column, spans: Column) -> Column:

@@ -1,11 +1,13 @@
 """URL filters with redirect equivalence: urls joined by redirects and canonical links share their block decisions.
 
-Edges come from the pages' own canonical links and refresh redirects, resolved against the page's url, and from the redirects that sites apply to spellings
-of one address (scheme, www. and m. hosts, fragment, query, index suffix, trailing slash). Components of these edges are
-found on the cluster; an explicit allow anywhere in a component outweighs every block in it.
+Edges come from the pages' own canonical links and refresh redirects (all of a page's, resolved against its url), and from
+the redirects that sites apply to spellings of one address (scheme, www. and m. hosts, fragment, query, index suffix,
+trailing slash), of pages and of link targets alike. Components of these edges are found on the cluster; an explicit allow
+anywhere in a component outweighs every block in it.
 
 A null url or one without :// has an empty host and path, no rule and no edge, and is allowed. Repeated pages are judged
-alike. Null html has no links. An empty table gives an empty result. Other columns are ignored.
+alike. Null html has no links. An empty table gives an empty result. Other columns are ignored. Of rules of equal length
+one url fits at most one. Long texts are searched in their row.
 """
 
 from __future__ import annotations
@@ -68,23 +70,32 @@ def resolved(url: Column, link: Column) -> Column:
     )
 
 
+def targets_in(html: Column, tag: str, address: str) -> Column:
+    """What `address` captures in every match of `tag`, in order."""
+    return F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, address, 1))
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """src, dst: redirects and canonical links, as urls."""
-    canonical = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    to = [
-        settled(F.col(url)),
-        resolved(F.col(url), F.regexp_extract(canonical, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)),
-        resolved(F.col(url), F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)),
-    ]
-    rows = pages.where(F.col(url).contains("://")).select(F.col(url).alias("src"), F.explode(F.array(*to)).alias("dst"))
-    return rows.where(F.col("dst").contains("://") & (F.col("src") != F.col("dst")))
+    """src, dst: redirects and canonical links, as urls; and every url with its usual spelling."""
+    canonical = targets_in(F.col(html), r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""")
+    refresh = targets_in(F.col(html), r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""")
+    mine = pages.where(F.col(url).contains("://")).select(F.col(url).alias("src"), F.explode_outer(F.concat(canonical, refresh)).alias("link"))
+    mine = mine.select("src", resolved(F.col("src"), F.col("link")).alias("dst"))
+    mine = mine.select("src", F.when(F.col("dst").contains("://"), F.col("dst")).alias("dst"))
+    return with_spellings(mine)
+
+
+def with_spellings(links: DataFrame) -> DataFrame:
+    """The links, and an edge from each of their ends to its usual spelling; a null dst is no link."""
+    ends = lambda c: F.struct(F.col(c).alias("src"), settled(F.col(c)).alias("dst"))
+    edges = links.select(F.explode(F.array(F.struct("src", "dst"), ends("src"), ends("dst"))).alias("e")).select("e.*")
+    return edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", rules=RULES, edges: DataFrame | None = None) -> DataFrame:
     """id, host, path, rule, verdict and component_size of every page. `edges` (src, dst) are further links between urls."""
     node = lambda c: F.unhex(F.md5(c))
-    links = link_edges(pages) if edges is None else link_edges(pages).unionByName(edges.select("src", "dst"))
+    links = link_edges(pages) if edges is None else link_edges(pages).unionByName(with_spellings(edges.select("src", "dst")))
     links = materialise(links.distinct(), "links")
     parts = connected_components(links.select(node(F.col("src")).alias("a"), node(F.col("dst")).alias("b")), "a", "b")
     ruled = links.select(F.explode(F.array("src", "dst")).alias("url")).distinct().select(node(F.col("url")).alias("node"), rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"].alias("v"))
