@@ -281,12 +281,68 @@ def test_network_learns_and_windows_agree(monkeypatch):
     assert np.allclose([gru_lm.log_likelihood(p, [t])[0] for t in texts[:5]], then[:5], rtol=1e-4)
 
 
-def test_network_trains_on_every_share(spark):
-    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("alpha beta gamma delta " * 20).alias("text"))
-    corpus = gru_lm.Corpus(gru_lm.token_table(docs).cache())
-    for turn in (2, gru_lm.SHARES - 1):
-        mine = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(gru_lm.SHARES)) == turn)
-        assert mine.count() and not np.array_equal(gru_lm.fit_network(mine, corpus), gru_lm.pack(gru_lm.initial(corpus.network_counts())))
+def test_network_trains_on_every_token(spark):
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.integers(0, 50, rng.integers(0, 400)))) for i in range(300)] + [(None, "one"), (7, None)], "doc_id long, text string")
+    corpus = gru_lm.Corpus(common.materialise(gru_lm.token_table(docs), "t"))
+    for n in (1, 5):
+        weights, done = gru_lm.fit_network(docs.repartition(n), corpus)
+        assert done == corpus.n and not np.array_equal(weights, gru_lm.pack(gru_lm.initial(corpus.network_counts())))
+
+
+def test_recurrent_gradient():
+    rng = np.random.default_rng(4)
+    k, steps, lanes = 70, 7, 3
+    p = {n: v.astype(np.float64) for n, v in gru_lm.initial(rng.integers(1, 50, k).astype(float)).items()}
+    x, t = rng.integers(0, 5, (steps, lanes)), rng.integers(0, k, (steps, lanes))
+    there = np.ones((steps, lanes), bool)
+    there[-2:, 2] = False
+    h = rng.normal(size=(lanes, gru_lm.HIDDEN))
+    grads, after, _ = gru_lm.window_gradients(p, x, t, there, h)
+    loss = lambda: gru_lm.window_gradients(p, x, t, there, h)[2] / there.sum()
+    for name in ("x", "u", "c", "w"):
+        flat = grads[name].ravel()
+        for at in np.argsort(-np.abs(flat))[[0, 3, 11]]:
+            i = np.unravel_index(at, p[name].shape)
+            p[name][i] += 1e-5
+            up = loss()
+            p[name][i] -= 2e-5
+            down = loss()
+            p[name][i] += 1e-5
+            assert math.isclose((up - down) / 2e-5, flat[at], rel_tol=1e-4)
+    # a plain loop over one lane gives the same state
+    s = h[0]
+    for token in x[:, 0]:
+        s = s * (token != gru_lm.END)
+        sig = lambda v: 1 / (1 + np.exp(-v))
+        m = gru_lm.HIDDEN
+        z = sig(p["x"][token][:m] + s @ p["u"][:, :m])
+        r = sig(p["x"][token][m : 2 * m] + s @ p["u"][:, m : 2 * m])
+        c = np.tanh(p["x"][token][2 * m :] + r * (s @ p["u"][:, 2 * m :]))
+        s = (1 - z) * c + z * s
+    assert np.allclose(s, after[0])
+
+
+def test_model_scores_are_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in rng.geometric(0.002, rng.integers(1, 200)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = common.materialise(gru_lm.token_table(docs), "t")
+    corpus = gru_lm.Corpus(counts)
+    flat, _ = gru_lm.fit_network(docs, corpus)
+    got = {r.doc_id: r.score for r in gru_lm.score_documents(docs, corpus, flat, counts).collect()}
+    known = len(corpus.network_counts())
+    p, place, c = gru_lm.unpack(flat, known), {w.decode(): i + 2 for i, w in enumerate(corpus.words[: gru_lm.VOCABULARY])}, dict(zip([w.decode() for w in corpus.words], corpus.c))
+    rest = sum(v + 1 for w, v in c.items() if w not in place) + 1
+    for i, text in rows[:12]:
+        h, last, total = np.zeros((1, gru_lm.HIDDEN), np.float32), gru_lm.END, 0.0
+        for w in [*text.split(), None]:
+            h = gru_lm.cell(p["x"][[last]], h, p["u"])[0]
+            last = gru_lm.END if w is None else place.get(w, gru_lm.REST)
+            total += gru_lm.output(p, h, np.array([last]))[0][0] / math.log(10)
+            if last == gru_lm.REST:
+                total += math.log10((c[w] + 1) / rest)
+        assert math.isclose(total, got[i], rel_tol=1e-4)
 
 
 def test_network_is_a_distribution():

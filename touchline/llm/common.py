@@ -45,10 +45,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
+def materialise(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write df (in folders by a column, if asked) to the shared folder and read it back: lineage ends here and a lost
+    executor costs nothing."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._corpus_path = path
     return out

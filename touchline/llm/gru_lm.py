@@ -4,13 +4,16 @@ Counts of every training token come from the whole corpus. The network predicts
 is factored into the class of a word (words by frequency, CLASS_SIZE to a class) and the word within its class. Words
 beyond the VOCABULARY most frequent ones are one symbol of the network and share its probability by their smoothed corpus
 counts, so every text has a probability. Training is truncated backpropagation through windows of WINDOW tokens with the
-state carried on, in each partition by itself; after a round the partitions' weights are averaged by tokens. A round
-trains on one of SHARES shares of the training documents (by digest of doc_id); together the rounds are one pass over all of
-them. Scoring runs over all tokens of every text, state carried from window to window.
-
-The counts of the KEPT most frequent words travel to the tasks (a bounded table); rarer words are joined by shuffle.
-Null texts are empty: one end token. Repeated rows are counted and scored each. Without training documents all counts are
-0. An empty table gives an empty result. Other columns are ignored.
+state carried on, in each partition by itself; after a round the partitions' weights are averaged by tokens. Every training
+document is written once as token ids under one of SHARES shares (by digest of doc_id), a round trains on a share, and
+together the rounds are one pass over all tokens of all training documents. Because partitions train by themselves, the
+weights, and with them `score`, depend in their last digits on how the input is partitioned; counts and base_score do not.
+Scoring runs over all tokens of every text, state carried from window to window.
+
+The counts of the KEPT most frequent words travel to the tasks (a bounded table); rarer words are joined by shuffle. Words
+of equal counts are ordered by their text. Null texts are empty: one end token. Repeated rows are counted and scored each.
+Without training documents all counts are 0. An empty table gives an empty result. Other columns are ignored. A long text
+is one stream of windows.
 """
 
 from __future__ import annotations
@@ -21,14 +24,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_number, as_text, ascii_lower, materialise, table, words_of
+from .common import as_number, as_text, ascii_lower, forget, materialise, slices, table, words_of
 from .toxicity import held_out
 
 VOCABULARY = 1022  # and the end and the rest
 KEPT = 200_000
 CLASS_SIZE, HIDDEN = 32, 16
-WINDOW, LANES, RATE, FIRST = 20, 64, 0.1, 1e-5
-SHARES = 16
+WINDOW, LANES, RATE, FIRST = 20, 256, 0.15, 1e-5
+SHARES = 8
+#: Weights are summed in so many parts before the last sum.
+SUM_PARTS = 16
 SCORED_AT_ONCE, SCORE_WINDOW = 512, 64
 #: Documents that a task holds as tokens at a time.
 SLICE = 2048
@@ -41,12 +46,6 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(LOWER).split()
 
 
-def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for k in range(0, len(pdf), SLICE):
-            yield pdf.iloc[k : k + SLICE]
-
-
 def unpack(flat: np.ndarray, k: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for name, shape in SHAPES.items():
@@ -78,84 +77,110 @@ def cell(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
     g = h @ u
     n = 2 * HIDDEN
     zr = 1 / (1 + np.exp(-(x[:, :n] + g[:, :n])))
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    c = np.tanh(x[:, n:] + r * g[:, n:])
-    return c + z * (h - c), z, r, c, g[:, n:]
+    z, r, g = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, n:]
+    c = np.tanh(x[:, n:] + r * g)
+    return c + z * (h - c), z, r, c, g
+
+
+def softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits (cut at 80, which float32 still holds), their exponentials and the sums of these."""
+    a = np.minimum(h @ w.T + b, 80)
+    e = np.exp(a)
+    return a, e, e @ np.ones(len(b), e.dtype)
 
 
 def output(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of each id after its state; with grads, adds those of the mean log loss and returns dh."""
     cls, within = ids // CLASS_SIZE, ids % CLASS_SIZE
-    a = h @ p["c"].T + p["cb"]
-    a -= a.max(1, keepdims=True)
-    e = np.exp(a)
-    s = e.sum(1, keepdims=True)
+    a, e, s = softmax(h, p["c"], p["cb"])
     rows = np.arange(len(ids))
-    out = a[rows, cls] - np.log(s[:, 0])
-    dh = None
+    out = a[rows, cls] - np.log(s)
+    dh, share = None, 1 / max(1, len(ids))
     if grads is not None:
-        d = e / s
-        d[rows, cls] -= 1
-        d /= len(ids)
+        d = e * (share / s)[:, None]
+        d[rows, cls] -= share
         grads["c"] += d.T @ h
         grads["cb"] += d.sum(0)
         dh = d @ p["c"]
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.uint8) if len(p["cb"]) < 256 else cls, kind="stable")
     cuts = np.searchsorted(cls[order], np.arange(len(p["cb"]) + 1))
     for k in range(len(p["cb"])):
         i = order[cuts[k] : cuts[k + 1]]
         if not len(i):
             continue
         hk = h[i]
-        a = hk @ p["w"][k].T + p["wb"][k]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        s = e.sum(1, keepdims=True)
+        a, e, s = softmax(hk, p["w"][k], p["wb"][k])
         at = np.arange(len(i))
-        out[i] += a[at, within[i]] - np.log(s[:, 0])
+        out[i] += a[at, within[i]] - np.log(s)
         if grads is not None:
-            d = e / s
-            d[at, within[i]] -= 1
-            d /= len(ids)
+            d = e * (share / s)[:, None]
+            d[at, within[i]] -= share
             grads["w"][k] += d.T @ hk
             grads["wb"][k] += d.sum(0)
             dh[i] += d @ p["w"][k]
     return out, dh
 
 
-def train(p: dict[str, np.ndarray], stream: np.ndarray, sums: dict[str, np.ndarray]) -> None:
-    """Adagrad (its sums of squares begin at FIRST) over a stream of documents, each ended by END, dealt to lanes; changes p and sums in place."""
+def summed_rows(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """rows added up by id: an array of `size` rows."""
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    order = np.argsort(ids, kind="stable")
+    found, first = np.unique(ids[order], return_index=True)
+    out[found] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
+def window_gradients(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, there: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+    """Gradients of the mean log loss of a window of tokens t (steps by lanes) after tokens x, from state h; the state after
+    it; and the loss's sum. Steps that are not `there` count for nothing."""
+    inputs, live = p["x"][x], (x != END)[:, :, None]
+    steps, states = [], np.empty((*x.shape, HIDDEN), h.dtype)
+    for k in range(len(x)):
+        h = h * live[k]
+        new, *gates = cell(inputs[k], h, p["u"])
+        steps.append((h, *gates))
+        states[k] = h = new
+    grads = {name: np.zeros_like(v) for name, v in p.items()}
+    dh = np.zeros_like(states)
+    logs, dh[there] = output(p, states[there], t[there], grads)
+    back, dx, dg = np.zeros_like(h), np.empty((*x.shape, 3 * HIDDEN), h.dtype), np.empty((*x.shape, 3 * HIDDEN), h.dtype)
+    back_of_u, n = np.ascontiguousarray(p["u"].T), 2 * HIDDEN
+    for k in reversed(range(len(x))):
+        prev, z, r, c, g = steps[k]
+        d = dh[k] + back
+        dc = d * (1 - z) * (1 - c * c)
+        dx[k, :, :HIDDEN] = d * (prev - c) * z * (1 - z)
+        dx[k, :, HIDDEN:n] = dc * g * r * (1 - r)
+        dx[k, :, n:] = dc
+        dg[k] = dx[k]
+        dg[k, :, n:] *= r
+        back = (d * z + dg[k] @ back_of_u) * live[k]
+    grads["u"] = np.concatenate([s[0] for s in steps]).T @ dg.reshape(-1, 3 * HIDDEN)
+    grads["x"] = summed_rows(x.ravel(), dx.reshape(-1, 3 * HIDDEN), len(p["x"]))
+    return grads, h, float(-logs.sum())
+
+
+def train(p: dict[str, np.ndarray], stream: np.ndarray, sums: dict[str, np.ndarray]) -> int:
+    """Adagrad (its sums of squares begin at FIRST) over a stream of documents, each ended by END, dealt whole to lanes;
+    changes p and sums in place. Returns how many tokens were trained on."""
     lanes = max(1, min(LANES, len(stream) // (2 * WINDOW)))
-    length = len(stream) // lanes
-    y = stream[: lanes * length].reshape(lanes, length).T
-    before = np.concatenate(([END], stream[:-1]))[: lanes * length].reshape(lanes, length).T
-    h = np.zeros((lanes, HIDDEN), np.float32)
-    n = 2 * HIDDEN
+    length = -(-len(stream) // lanes)
+    full = np.full(lanes * length, END, stream.dtype)
+    full[: len(stream)] = stream
+    y, there = full.reshape(lanes, length).T, (np.arange(lanes * length) < len(stream)).reshape(lanes, length).T
+    before = np.concatenate(([END], full[:-1])).reshape(lanes, length).T
+    h, done = np.zeros((lanes, HIDDEN), np.float32), 0
     for low in range(0, length, WINDOW):
-        x, t = before[low : low + WINDOW], y[low : low + WINDOW]
-        steps, states = [], np.empty((*x.shape, HIDDEN), np.float32)
-        for k in range(len(x)):
-            h = h * (x[k] != END)[:, None]
-            new, *gates = cell(p["x"][x[k]], h, p["u"])
-            steps.append((h, *gates))
-            states[k] = h = new
-        grads = {name: np.zeros_like(v) for name, v in p.items()}
-        _, dh = output(p, states.reshape(-1, HIDDEN), t.ravel(), grads)
-        dh, back, dx = dh.reshape(states.shape), np.zeros_like(h), np.empty((*x.shape, 3 * HIDDEN), np.float32)
-        for k in reversed(range(len(x))):
-            prev, z, r, c, g = steps[k]
-            d = dh[k] + back
-            dc = d * (1 - z) * (1 - c * c)
-            dz, dr = d * (prev - c) * z * (1 - z), dc * g * r * (1 - r)
-            dx[k] = np.concatenate((dz, dr, dc), 1)
-            dg = np.concatenate((dz, dr, dc * r), 1)
-            grads["u"] += prev.T @ dg
-            back = (d * z + dg @ p["u"].T) * (x[k] != END)[:, None]
-        np.add.at(grads["x"], x.ravel(), dx.reshape(-1, 3 * HIDDEN))
+        here = np.s_[low : low + WINDOW]
+        if not there[here].any():
+            break
+        grads, h, _ = window_gradients(p, before[here], y[here], there[here], h)
+        done += int(there[here].sum())
         for name, g in grads.items():
             np.clip(g, -0.25, 0.25, out=g)
             sums[name] += g * g
             p[name] -= RATE * g / (np.sqrt(sums[name]) + 1e-6)
+    return done
 
 
 def log_likelihood(p: dict[str, np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
@@ -220,30 +245,55 @@ def token_table(docs: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("c"))
 
 
-def fit_network(docs: DataFrame, corpus: Corpus) -> np.ndarray:
-    """Weights after one pass over all documents, in a round for each of their SHARES shares."""
+def network_ids(docs: DataFrame, corpus: Corpus) -> DataFrame:
+    """share and ids (the network's, ended by END) of every document, written by share."""
+    known = docs.sparkSession.sparkContext.broadcast({w: i + 2 for i, w in enumerate(corpus.words[:VOCABULARY])})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = known.value.get
+        for pdf in slices(batches, SLICE):
+            yield pd.DataFrame({"share": pdf["share"], "ids": [np.array([*[get(w, REST) for w in tokens(t)], END], np.int16) for t in pdf["text"]]})
+
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int").alias("share")
+    return materialise(docs.select(share, "text").mapInPandas(run, "share int, ids array<short>"), "ids", by="share")
+
+
+def mean_weights(parts: DataFrame) -> tuple[float, np.ndarray | None]:
+    """Tokens and the mean by tokens of rows (n, p: weights as bytes), added in SUM_PARTS tasks and then in one."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total = 0.0, None
+        for pdf in batches:
+            for k, p in zip(pdf["n"], pdf["p"], strict=True):
+                n, total = n + k, np.frombuffer(p) + (0 if total is None else total)
+        if total is not None:
+            yield pd.DataFrame({"n": [n], "p": [total.tobytes()]})
+
+    r = parts.repartition(SUM_PARTS).mapInPandas(add, parts.schema).coalesce(1).mapInPandas(add, parts.schema).collect()  # one row
+    return (r[0]["n"], np.frombuffer(bytes(r[0]["p"])) / r[0]["n"]) if r else (0.0, None)
+
+
+def fit_network(docs: DataFrame, corpus: Corpus) -> tuple[np.ndarray, int]:
+    """Weights after one pass over all documents, in a round for each of their SHARES shares; and the tokens trained on."""
     spark, counts = docs.sparkSession, corpus.network_counts()
-    flat, k = pack(initial(counts)), len(counts)
-    known = spark.sparkContext.broadcast({w: i + 2 for i, w in enumerate(corpus.words[:VOCABULARY])})
+    flat, k, done = pack(initial(counts)), len(counts), 0
+    every = network_ids(docs, corpus)
     for turn in range(SHARES):
         start = spark.sparkContext.broadcast(flat)
 
         def run(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
-            p, get, n = unpack(start.value, k), known.value.get, 0
+            p, n = unpack(start.value, k), 0
             sums = {name: np.full_like(v, FIRST) for name, v in p.items()}
-            for pdf in slices(batches):
-                stream = np.concatenate([np.array([*[get(w, REST) for w in tokens(t)], END], np.int32) for t in pdf["text"]])
-                train(p, stream, sums)
-                n += len(stream)
+            for pdf in slices(batches, SLICE):
+                n += train(p, np.concatenate(list(pdf["ids"])).astype(np.int32), sums)
             if n:
-                yield pd.DataFrame({"n": [float(n)], "p": [pack(p)]})
+                yield pd.DataFrame({"n": [float(n)], "p": [(pack(p) * n).tobytes()]})
 
-        mine = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) == turn).select("text")
-        parts = mine.mapInPandas(run, "n double, p array<double>").select("n", F.posexplode("p").alias("i", "v"))
-        mean = parts.groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).orderBy("i").toPandas()  # one row a weight
-        if len(mean):
-            flat = mean["v"].to_numpy()
-    return flat
+        n, mean = mean_weights(every.where(F.col("share") == turn).select("ids").mapInPandas(run, "n double, p binary"))
+        start.unpersist()
+        flat, done = flat if mean is None else mean, done + int(n)
+    forget(every)
+    return flat, done
 
 
 def score_documents(docs: DataFrame, corpus: Corpus, weights: np.ndarray, counts: DataFrame) -> DataFrame:
@@ -256,7 +306,7 @@ def score_documents(docs: DataFrame, corpus: Corpus, weights: np.ndarray, counts
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, logs, flat, k, ended = shared.value
         p, get = unpack(flat, k), kept.get
-        for pdf in slices(batches):
+        for pdf in slices(batches, SLICE):
             ids, rare = [], []
             for t in pdf["text"]:
                 words = tokens(t)
@@ -284,5 +334,5 @@ def op4_lm_score(spark, sf_dir):
     learned = docs.where(~held_out(F.col("doc_id"), 7, 2))
     counts = materialise(token_table(learned), "counts")
     corpus = Corpus(counts)
-    out = score_documents(docs, corpus, fit_network(learned, corpus), counts)
+    out = score_documents(docs, corpus, fit_network(learned, corpus)[0], counts)
     return out.select("doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(corpus.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -7,7 +7,8 @@ bound once for each distinct one, which gives the same sums. Prototypes come fro
 held out; a language's counts merge by addition, so the number of rows moved is bounded by languages times dimensions.
 
 Null texts, and those without a letter, are 'und' with score 0. Null languages are not learned from; without any language
-all are 'und'. Repeated rows are treated alike. An empty table gives an empty result. Other columns are ignored.
+all are 'und'. Of languages with equal cosines the first by code point wins. Repeated rows are treated alike. An empty table
+gives an empty result. Other columns are ignored. A text's memory follows its distinct n-grams; texts are handled in slices.
 """
 
 from __future__ import annotations
@@ -18,23 +19,30 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_number, as_text, table
+from .common import as_number, as_text, slices, table
 from .toxicity import held_out
 
 N = 3
 DIMENSIONS = 512
 LETTERS = 1 << 21
-BLOCK = 128
+#: Texts that are handled at a time, in prediction and in learning.
+BLOCK, SLICE = 128, 512
+
+
+PLANES = 0x30000
+
+
+def _letter_code(c: int) -> int:
+    """The lower-case letter of a code point, 0 for what is no letter."""
+    if not (ch := chr(c)).isalpha():
+        return 0
+    low = ch.lower()
+    return ord(low) if len(low) == 1 else c
 
 
 def _folding() -> np.ndarray:
-    """Lower-case letter by code point, 0 for what is no letter; the planes beyond are hashed as they are."""
-    fold = np.zeros(0x30000, np.int64)
-    for c in range(0x30000):
-        if (ch := chr(c)).isalpha():
-            low = ch.lower()
-            fold[c] = ord(low) if len(low) == 1 else c
-    return fold
+    """_letter_code of the code points below PLANES; the few letters beyond are looked up when met."""
+    return np.array([_letter_code(c) for c in range(PLANES)], np.int64)
 
 
 class Letters:
@@ -46,7 +54,10 @@ class Letters:
     def grams(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Packed distinct n-grams of letters and gaps, with counts; n-grams of gaps alone do not count."""
         raw = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
-        c = self.fold[np.minimum(raw, len(self.fold) - 1)]
+        c = self.fold[np.minimum(raw, PLANES - 1)]
+        if (far := raw >= PLANES).any():
+            codes, at = np.unique(raw[far], return_inverse=True)
+            c[far] = np.array([_letter_code(int(x)) for x in codes])[at]
         c = c[(c > 0) | (np.concatenate(([1], c[:-1])) > 0)]  # a run of gaps is one
         c = np.concatenate(([0], c, [0]))
         g = (c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:]
@@ -73,7 +84,7 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.nd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters, total = Letters(dimensions), {}
-        for pdf in batches:
+        for pdf in slices(batches, SLICE):
             for lang, part in pdf.groupby("lang"):
                 found = [letters.grams(t) for t in part["text"]]
                 ids, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)

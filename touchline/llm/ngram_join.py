@@ -4,11 +4,13 @@ Texts with equal n-gram sets form one class, and only classes are compared. Band
 the recall asked for. Every class is put in a block by the largest band bucket around it; blocks that share a bucket are compared
 pair by pair of blocks, each pair in one task of bounded size: a sparse product of the two blocks' n-gram sets gives
 every intersection exactly. Tasks return a row per class with its links counted and a spanning edge, never the pairs, so
-large groups lose no link and cost no rows. Components of the spanning edges are the groups.
+large groups lose no link and cost no rows. Components of the spanning edges are the groups. Sets hold 64-bit digests of
+n-grams, and a set's class a 128-bit digest of these: two n-grams or sets are taken for equal if their digests are.
 
 Null texts are empty. A document without words is alone; one of fewer than five words has one n-gram, all its words.
-Words are lower-cased runs of letters, digits and marks. Repeated rows are copies of each other. An empty table gives an
-empty result. Other columns are ignored.
+Words are lower-cased runs of letters, digits and marks. Repeated rows are copies of each other. Of equal copies the least
+doc_id stands for its group, null before all. An empty table gives an empty result. Other columns are ignored, or carried
+but for names that start with _near_. A long text is one set; blocks are bounded by n-grams too.
 """
 
 from __future__ import annotations
@@ -158,6 +160,7 @@ def _compare(similarity: float):
         root = np.arange(n)
         for _ in range(n):
             new = np.minimum(root, np.where(linked, root[None, :], n).min(1))
+            new = new[new]  # a class takes its root's root: rounds grow with the logarithm of a chain
             if (new == root).all():
                 break
             root = new
@@ -217,12 +220,12 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     several = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct("_id", "_hash")).alias("first"), F.count("*").alias("n")).where("n > 1")
     several = materialise(several.select(F.col("group").alias("g"), "first"), "several")
     rest = join_small(rows, several, F.col("group") == F.col("g"), "inner").select(F.struct("_id", "_hash").alias("me"), "first")
-    dropped = materialise(rest.where(~F.col("me").eqNullSafe(F.col("first"))).select(F.col("me._id").alias("_did"), F.col("me._hash").alias("_dhash")).distinct(), "dropped")
+    dropped = materialise(rest.where(~F.col("me").eqNullSafe(F.col("first"))).select(F.col("me._id").alias("_near_id"), F.col("me._hash").alias("_near_hash")).distinct(), "dropped")
     again = rest.where(F.col("me").eqNullSafe(F.col("first"))).groupBy("me").agg(F.count("*").alias("n")).where("n > 1")
-    again = materialise(again.select(F.col("me._id").alias("_rid"), F.col("me._hash").alias("_rhash")), "again")
+    again = materialise(again.select(F.col("me._id").alias("_near_id"), F.col("me._hash").alias("_near_hash")), "again")
     h = key_hash(F.col("text"))
-    left = join_small(docs, dropped, F.col("doc_id").eqNullSafe(F.col("_did")) & (h == F.col("_dhash")), "left_anti")
-    repeated = F.col("doc_id").eqNullSafe(F.col("_rid")) & (h == F.col("_rhash"))
+    left = join_small(docs, dropped, F.col("doc_id").eqNullSafe(F.col("_near_id")) & (h == F.col("_near_hash")), "left_anti")
+    repeated = F.col("doc_id").eqNullSafe(F.col("_near_id")) & (h == F.col("_near_hash"))
     one = join_small(left, again, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
     return join_small(left, again, repeated, "left_anti").unionByName(one)
 

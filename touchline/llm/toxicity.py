@@ -3,11 +3,13 @@
 Each sentence has a logistic score over its words and their beginnings; a document's score is their noisy-or, 1 - prod(1 - p). Only documents
 carry labels: the gradient of the noisy-or spreads a label over the sentences that explain it, and afterwards the
 sentence scores locate what offends. The model is fitted on a bounded sample of labelled documents (MOST_FIT, the least
-digests of doc_id, all of them where there are fewer); scoring runs over every text whole.
+digests of doc_id, all of them where there are fewer; of several rows of one doc_id the text with the least digest);
+weights nearer to 0 than LEAST_WEIGHT are left out of it. Scoring runs over every text whole.
 
 Null and empty texts score 0 sentences: probability 0. Labels that are null, or contradict each other for one doc_id, are
 not learned from. Without labels of both kinds every score is 0. Repeated rows get equal scores. An empty table gives an
-empty result. labels, lang, source and doc_id are never inputs of a score; other columns are ignored.
+empty result. labels, lang, source and doc_id are never inputs of a score; other columns are ignored. Long texts are
+scored sentence by sentence; offending sentences of equal score keep their order.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import as_number, as_text, materialise, table
+from .common import as_number, as_text, key_hash, materialise, table
 
 #: Labelled documents that the model is fitted on, at most.
 MOST_FIT = 6000
@@ -31,6 +33,8 @@ STEPS, RATE, L1 = 250, 0.1, 5e-5
 PREFIXES = (4, 5, 6, 7)
 #: A feature is fitted if documents with it are toxic more often, by so many standard errors.
 LEAST_Z = 2.0
+#: Smaller weights are not kept.
+LEAST_WEIGHT = 0.05
 #: Word scores that a task keeps.
 MOST_KEPT = 500_000
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -90,7 +94,7 @@ class NoisyOr:
             theta = theta - scale * m / c1
             theta = np.sign(theta) * np.maximum(0, np.abs(theta) - scale * L1)
             b -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-7)
-        self.weights = {int(ids[k]) % 2**32: float(theta[k]) for k in np.flatnonzero(np.abs(theta) > 0.05)}
+        self.weights = {int(ids[k]) % 2**32: float(theta[k]) for k in np.flatnonzero(np.abs(theta) > LEAST_WEIGHT)}
         self.bias = float(b)
         return self
 
@@ -116,7 +120,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT) -> No
     """Fit on at most `most` labelled documents that are not held out."""
     agreed = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("other")).where("label = other and label in (0, 1)")
     some = agreed.where(~held_out(F.col("doc_id"), 5, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("lid"), F.col("label").cast("int").alias("label"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("lid")).select("text", "label")  # at most `most` rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("lid"))  # at most `most` rows
+    one = rows.groupBy("lid").agg(F.min_by(F.struct("text", "label"), F.struct(key_hash(F.col("text")), F.length("text"))).alias("r"))
+    rows = one.select("r.text", "r.label")
     bags = materialise(rows.mapInPandas(_sentences, "label int, found array<int>, sizes array<int>"), "bags")
     toxic, every = (int(x or 0) for x in bags.agg(F.sum("label"), F.count("*")).first())
     if not 0 < toxic < every:
