@@ -248,7 +248,7 @@ def test_network_gradient():
     rng = np.random.default_rng(0)
     k = 70
     p = {n: v.astype(np.float64) for n, v in gru_lm.initial(rng.integers(1, 50, k).astype(float)).items()}
-    h, ids = rng.normal(size=(9, gru_lm.HIDDEN)), rng.integers(0, k, 9)
+    h, ids = rng.normal(size=(9, gru_lm.HIDDEN)), rng.choice([0, 1, *range(32, k)], 9)
     grads = {n: np.zeros_like(v) for n, v in p.items()}
     _, dh = gru_lm.output(p, h, ids, grads)
     loss = lambda: -gru_lm.output(p, h, ids)[0].mean()
@@ -268,8 +268,8 @@ def test_network_gradient():
 
 def test_network_learns_and_windows_agree(monkeypatch):
     rng = np.random.default_rng(0)
-    texts = [np.array([*([2, 3, 4] * int(rng.integers(3, 40))), 0]) for _ in range(300)]
-    p = gru_lm.initial(np.bincount(np.concatenate(texts), minlength=40).astype(float))
+    texts = [np.array([*([32, 33, 34] * int(rng.integers(3, 40))), 0]) for _ in range(300)]
+    p = gru_lm.initial(np.bincount(np.concatenate(texts), minlength=70).astype(float))
     sums = {n: np.full_like(v, 0.01) for n, v in p.items()}
     first = gru_lm.log_likelihood(p, texts).sum()
     for _ in range(4):
@@ -286,7 +286,7 @@ def test_network_trains_on_every_token(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.integers(0, 50, rng.integers(0, 400)))) for i in range(300)] + [(None, "one"), (7, None)], "doc_id long, text string")
     corpus = gru_lm.Corpus(common.materialise(gru_lm.token_table(docs), "t"))
     for n in (1, 5):
-        weights, done = gru_lm.fit_network(docs.repartition(n), corpus)
+        weights, done = gru_lm.fit_network(gru_lm.token_ids(docs.repartition(n), corpus, F.lit(True)), corpus)
         assert done == corpus.n and not np.array_equal(weights, gru_lm.pack(gru_lm.initial(corpus.network_counts())))
 
 
@@ -294,7 +294,7 @@ def test_recurrent_gradient():
     rng = np.random.default_rng(4)
     k, steps, lanes = 70, 7, 3
     p = {n: v.astype(np.float64) for n, v in gru_lm.initial(rng.integers(1, 50, k).astype(float)).items()}
-    x, t = rng.integers(0, 5, (steps, lanes)), rng.integers(0, k, (steps, lanes))
+    x, t = rng.integers(0, 5, (steps, lanes)), rng.choice([0, 1, *range(32, k)], (steps, lanes))
     there = np.ones((steps, lanes), bool)
     there[-2:, 2] = False
     h = rng.normal(size=(lanes, gru_lm.HIDDEN))
@@ -329,10 +329,11 @@ def test_model_scores_are_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     counts = common.materialise(gru_lm.token_table(docs), "t")
     corpus = gru_lm.Corpus(counts)
-    flat, _ = gru_lm.fit_network(docs, corpus)
-    got = {r.doc_id: r.score for r in gru_lm.score_documents(docs, corpus, flat, counts).collect()}
+    every = gru_lm.token_ids(docs, corpus, F.lit(True))
+    flat, _ = gru_lm.fit_network(every, corpus)
+    got = {r.doc_id: r.score for r in gru_lm.score_documents(every, corpus, flat, counts).collect()}
     known = len(corpus.network_counts())
-    p, place, c = gru_lm.unpack(flat, known), {w.decode(): i + 2 for i, w in enumerate(corpus.words[: gru_lm.VOCABULARY])}, dict(zip([w.decode() for w in corpus.words], corpus.c))
+    p, place, c = gru_lm.unpack(flat, known), {w.decode(): i + gru_lm.CLASS_SIZE for i, w in enumerate(corpus.words[: gru_lm.VOCABULARY])}, dict(zip([w.decode() for w in corpus.words], corpus.c))
     rest = sum(v + 1 for w, v in c.items() if w not in place) + 1
     for i, text in rows[:12]:
         h, last, total = np.zeros((1, gru_lm.HIDDEN), np.float32), gru_lm.END, 0.0
@@ -346,9 +347,9 @@ def test_model_scores_are_brute_force(spark):
 
 
 def test_network_is_a_distribution():
-    p = gru_lm.initial(np.arange(1.0, 71.0))
+    p = gru_lm.initial(np.array([5.0, 9.0, *[0.0] * 30, *np.arange(1.0, 39.0)]))
     h = np.random.default_rng(0).normal(size=(1, gru_lm.HIDDEN)).astype(np.float32)
-    total = sum(math.exp(gru_lm.output(p, h, np.array([i]))[0][0]) for i in range(70))
+    total = sum(math.exp(gru_lm.output(p, h, np.array([i]))[0][0]) for i in (0, 1, *range(32, 96)))
     assert math.isclose(total, 1, rel_tol=1e-4)
 
 
@@ -551,11 +552,25 @@ def test_decontamination(spark, where):
     assert keyed(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
 
 
-def test_proximity(spark):
+def test_repeated_rows_are_looked_up_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(decontam, "COPIES", 10)
+    text = "one two three of some words"
+    rows = [(1, text)] * 57 + [(1, "another text"), (2, text), (None, None), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "two three of")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words, again = decontam.word_table(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert words.count() == 4 and sorted(r.n for r in again.collect()) == [2, 57]
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_near_items) for r in queries.op10_decontaminate(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 6, 3, 1)] * 57 + [(1, 2, 0, 0), (2, 6, 3, 1)] + [(None, 0, 0, 0)] * 2, key=repr)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_proximity(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontam, "is_small", lambda df: broadcast)
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     near = item.replace("delta epsilon", "delta x y epsilon")
     docs = spark.createDataFrame([(1, "q " + near), (2, item), (3, "alpha beta")], "doc_id long, text string")
-    got = {r["_id"]: r for r in decontam.matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    got = {r["_id"]: r for r in decontam.matches(decontam.word_table(docs)[0], spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got[1].n_hit is None and got[1].n_near == 1 and got[2].n_hit == 10 and 3 not in got
 
 
@@ -572,7 +587,9 @@ def near_items(t, items):
     return found
 
 
-def test_proximity_is_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_proximity_is_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontam, "is_small", lambda df: broadcast)
     rng = np.random.default_rng(1)
     words = [f"w{k}" for k in range(60)]
     draw = lambda n: [words[k] for k in np.minimum(59, rng.geometric(0.06, n))]
@@ -585,7 +602,7 @@ def test_proximity_is_brute_force(spark):
             x[k : k + 1] = [[], [x[k], "zz"], ["zz"]][int(rng.integers(3))]
         docs.append(" ".join(x))
     frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    got = {r["_id"]: r.n_near for r in decontam.matches(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    got = {r["_id"]: r.n_near for r in decontam.matches(decontam.word_table(frame)[0], spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = {i: n for i, t in enumerate(docs) if (n := len(near_items(t, items)))}
     assert got == want and len(want) > 20 and 30 not in got and 31 in got and 32 in got
 

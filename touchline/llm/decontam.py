@@ -9,21 +9,24 @@ A proximity match has at least 4 in 5 of a window's words within `SLOP` position
 hold one of the window's rarest words that occur in the corpus, one more of them than may be missing (words that occur
 nowhere are missing already); every posting of theirs is compared with the text around it.
 
-Null texts have no words. An item without words has no window. Repeated documents get equal rows. Empty tables give
-no hits. Other columns are ignored. Long texts stay in their row; a document's candidates are bounded by its length.
+Every text is cut into words once and written; a row repeated alike enters the index once. Null texts have no words. An
+item without words has no window. Repeated documents get equal rows. Empty tables give no hits. Other columns are ignored
+or carried, but for names that start with _leak_. Long texts stay in their row; a document's candidates are bounded by its
+length. Ties between equally rare terms go to the earlier one in the window; no result depends on them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ascii_lower, join_small, key_hash, let, materialise, table
+from .common import ascii_lower, is_small, join_small, key_hash, materialise, table
 
 SEPARATOR_RUN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 LISTS = 3
 LIST_RATIO = 20
 SLOP = 3
+COPIES = 100_000
 KEY = ["_id", "_hash"]
 
 
@@ -39,13 +42,32 @@ def windows_of(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialise(items.select("wid", "words").distinct(), "windows"), items.select("wid", "item")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("_id"), key_hash(F.col("text")).alias("_hash"), "text")
+def word_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """_id, _hash, t: the words of every document, rows alike in doc_id and text being one; and r_id, r_hash, n of the rows
+    that are repeated. Both written."""
+    mine = docs.select(F.col("doc_id").alias("_id"), key_hash(F.col("text")).alias("_hash"), "text")
+    again = mine.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*(F.col(k).alias(f"r{k}") for k in KEY), "n")
+    again = materialise(again, "again")
+    words = lambda rows: rows.select(*KEY, tokens_of(F.col("text")).alias("t"))
+    once = words(join_small(mine, again, same("r"), "left_semi").dropDuplicates(KEY))
+    return materialise(words(join_small(mine, again, same("r"), "left_anti")).unionByName(once), "words"), again
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def same(prefix: str) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in KEY]
+
+
+def repeated(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows by key, each as often as the documents repeat it: COPIES at a time, so that many copies are many tasks' work."""
+    more = join_small(rows, again, same("r"), "inner")
+    more = more.select(*rows.columns, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("from"))
+    more = more.repartition("from", *KEY).select(*rows.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("from")))))
+    return join_small(rows, again, same("r"), "left_anti").unionByName(more.select(*rows.columns))
+
+
+def term_counts(words: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n: how long each posting list is, for the terms asked for."""
-    rows = docs.select(F.explode(tokens_of(F.col("text"))).alias("term"))
+    rows = words.select(F.explode("t").alias("term"))
     return join_small(rows, terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -60,9 +82,9 @@ def anchors_of(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.withColumn("bit", bit).withColumn("full", F.sum("bit").over(Window.partitionBy("wid")).cast("int")).select("wid", "term", "off", "k", "bit", "full")
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def postings(words: DataFrame, terms: DataFrame) -> DataFrame:
     """The index of the terms asked for: term, document, position."""
-    rows = docs.select(*KEY, F.posexplode(tokens_of(F.col("text"))).alias("pos", "term"))
+    rows = words.select(*KEY, F.posexplode("t").alias("pos", "term"))
     return join_small(rows, terms, "term", "left_semi")
 
 
@@ -74,15 +96,14 @@ def lookup(index: DataFrame, anchors: DataFrame) -> DataFrame:
     return rows.where((F.col("k") == 1) & (F.col("here") == F.col("full")) & (F.col("start") >= 0)).select(*KEY, "wid", "start")
 
 
-def verified(docs: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame:
+def verified(words: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame:
     """document, wid, start, len of the alignments whose words are the document's."""
     sure = join_small(found, windows, "wid", "inner")
-    sure = materialise(sure.groupBy(*KEY).agg(F.collect_list(F.struct("start", "wid", "words")).alias("c")), "candidates")
-    mine = [F.col(k).eqNullSafe(F.col(f"c{k}")) for k in KEY]
-    there = sure.select(*(F.col(k).alias(f"c{k}") for k in KEY), "c")
-    texts = join_small(docs, there.select(*(f"c{k}" for k in KEY)), mine, "left_semi").dropDuplicates(KEY)
-    good = let(tokens_of(F.col("text")), lambda t: F.filter("c", lambda c: F.slice(t, c["start"] + 1, F.size(c["words"])) == c["words"]))
-    rows = texts.join(there, mine).select(*KEY, F.explode(good).alias("g"))
+    there = sure.groupBy(*(F.col(k).alias(f"c{k}") for k in KEY)).agg(F.collect_list(F.struct("start", "wid", "words")).alias("c"))
+    there = materialise(there, "candidates")
+    good = F.filter("c", lambda c: F.slice("t", c["start"] + 1, F.size(c["words"])) == c["words"])
+    asked = join_small(words, there.select(*(f"c{k}" for k in KEY)), same("c"), "left_semi")  # the keys may travel, the candidates are joined by shuffle
+    rows = asked.join(there.hint("shuffle_hash"), same("c")).select(*KEY, F.explode(good).alias("g"))
     return rows.select(*KEY, F.col("g.wid").alias("wid"), F.col("g.start").alias("start"), F.size("g.words").alias("len"))
 
 
@@ -102,15 +123,20 @@ def near_anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.collect_list(F.struct("wid", "off", "words")).alias("ws"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"), least.alias("least"))
 
 
-def near_matches(docs: DataFrame, windows: DataFrame, counts: DataFrame) -> DataFrame:
+def near_matches(words: DataFrame, windows: DataFrame, counts: DataFrame) -> DataFrame:
     """document, wid of every proximity match."""
     anchors = materialise(near_anchors(windows, counts), "near")
-    spots = postings(docs, anchors.select("term")).groupBy(*KEY).agg(F.collect_set("pos").alias("spots"))
-    spots = materialise(spots.select(*(F.col(k).alias(f"c{k}") for k in KEY), "spots"), "spots")
     c, reach = F.col, WINDOW - 1 + 2 * SLOP
-    base = lambda p: F.greatest(F.lit(0), p - reach)
-    around = lambda t: lambda p: F.struct(F.get(t, p).alias("term"), p.alias("pos"), base(p).alias("base"), F.slice(t, base(p) + 1, p + reach + 1 - base(p)).alias("text"))
-    rows = docs.join(spots, [c(k).eqNullSafe(c(f"c{k}")) for k in KEY]).select(*KEY, F.explode(let(tokens_of(c("text")), lambda t: F.transform("spots", around(t)))).alias("p")).select(*KEY, "p.*")
+    base = F.greatest(F.lit(0), c("pos") - reach)
+    around = F.slice("t", base + 1, c("pos") + reach + 1 - base)
+    terms = anchors.select("term")
+    if is_small(anchors):  # the words around a posting are cut where it is found, so no text moves
+        rows = words.select(*KEY, "t", F.posexplode("t").alias("pos", "term")).join(F.broadcast(terms), "term", "left_semi")
+        rows = rows.select(*KEY, "term", "pos", base.alias("base"), around.alias("text"))
+    else:  # postings by shuffle, then back to their documents
+        spots = postings(words, terms).groupBy(*(c(k).alias(f"c{k}") for k in KEY)).agg(F.collect_set("pos").alias("spots"))
+        rows = words.join(spots, same("c")).select(*KEY, "t", F.explode("spots").alias("pos"))
+        rows = rows.select(*KEY, F.get("t", c("pos")).alias("term"), "pos", base.alias("base"), around.alias("text"))
     rows = join_small(rows, anchors, "term", "inner").where(F.size(F.array_intersect("words", "text")) >= c("least"))
     rows = rows.select(*KEY, "pos", "base", "text", F.explode("ws").alias("w")).select(*KEY, "pos", "base", "text", "w.*")
     rows = rows.where(F.size(F.array_except("words", "text")) <= may_miss(c("words")))
@@ -128,26 +154,25 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, step)["n"]
 
 
-def exact_matches(docs: DataFrame, windows: DataFrame, counts: DataFrame) -> DataFrame:
+def exact_matches(words: DataFrame, windows: DataFrame, counts: DataFrame) -> DataFrame:
     """document, wid, start, len of every exact match; written."""
     anchors = materialise(anchors_of(windows, counts), "anchors")
-    index = materialise(postings(docs, materialise(anchors.select("term").distinct(), "terms")), "index")
-    return materialise(verified(docs, materialise(lookup(index, anchors), "found"), windows), "exact")
+    index = materialise(postings(words, materialise(anchors.select("term").distinct(), "terms")), "index")
+    return materialise(verified(words, materialise(lookup(index, anchors), "found"), windows), "exact")
 
 
-def looked_for(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def looked_for(words: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The windows, their items, and how often their terms occur."""
     windows, items = windows_of(benchmark)
-    counts = materialise(term_counts(docs, materialise(windows.select(F.explode("words").alias("term")).distinct(), "terms")), "counts")
+    counts = materialise(term_counts(words, materialise(windows.select(F.explode("words").alias("term")).distinct(), "terms")), "counts")
     return windows, items, counts
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """_id, _hash, n_hit, items (sorted), n_near for every document with an exact or proximity match."""
-    docs = keyed(docs)
-    windows, items, counts = looked_for(docs, benchmark)
-    exact = exact_matches(docs, windows, counts)
-    found = materialise(near_matches(docs, windows, counts), "found")
+def matches(words: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """_id, _hash, n_hit, items (sorted), n_near for every document of word_table() with an exact or proximity match."""
+    windows, items, counts = looked_for(words, benchmark)
+    exact = exact_matches(words, windows, counts)
+    found = materialise(near_matches(words, windows, counts), "found")
     of = lambda rows: join_small(rows.select(*KEY, "wid").distinct(), items, "wid", "inner")
     hits = exact.groupBy(*KEY).agg(F.collect_set(F.struct("start", "len")).alias("s")).select(*KEY, covered(F.col("s")).cast("long").alias("n_hit"))
     named = of(exact).groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -159,18 +184,18 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark window."""
-    mine = keyed(docs)
-    windows, _, counts = looked_for(mine, benchmark)
-    bad = exact_matches(mine, windows, counts).select(F.col("_id").alias("_bid"), F.col("_hash").alias("_bhash")).distinct()
+    words, _ = word_table(docs.select("doc_id", "text"))
+    windows, _, counts = looked_for(words, benchmark)
+    bad = exact_matches(words, windows, counts).select(F.col("_id").alias("_leak_id"), F.col("_hash").alias("_leak_hash")).distinct()
     bad = materialise(bad, "bad")
-    return join_small(docs, bad, F.col("doc_id").eqNullSafe(F.col("_bid")) & (key_hash(F.col("text")) == F.col("_bhash")), "left_anti")
+    return join_small(docs, bad, F.col("doc_id").eqNullSafe(F.col("_leak_id")) & (key_hash(F.col("text")) == F.col("_leak_hash")), "left_anti")
 
 
 def op10_decontaminate(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = matches(docs, table(spark, sf_dir, "benchmark")).select(*(F.col(c).alias(f"m{c}") for c in (*KEY, "n_hit", "items", "n_near")))
-    own = docs.select("doc_id", key_hash(F.col("text")).alias("_hash"), F.size(tokens_of(F.col("text"))).cast("long").alias("n_words"))
-    out = join_small(own, found, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("_hash").eqNullSafe(F.col("m_hash")))
+    words, again = word_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = matches(words, table(spark, sf_dir, "benchmark")).select(*(F.col(c).alias(f"m{c}") for c in (*KEY, "n_hit", "items", "n_near")))
+    each = join_small(words.select(*KEY, F.size("t").cast("long").alias("n_words")), found, same("m"))
     items = F.coalesce("mitems", F.array().cast("array<string>"))
     n_hit = F.coalesce("mn_hit", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("mn_near", F.lit(0)).cast("long").alias("n_near_items"))
+    each = each.select(*KEY, "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("mn_near", F.lit(0)).cast("long").alias("n_near_items"))
+    return repeated(each, again).select(F.col("_id").alias("doc_id"), *each.columns[2:])
