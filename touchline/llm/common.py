@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word is a maximal run of anything but these six white-space characters.
 SPACES = " \t\n\x0b\x0c\r"
-SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 #: A table of at most so many rows, and by Spark's estimate so many bytes, is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -102,9 +101,11 @@ def let(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """All words of a text in order; an empty array for null or blank texts."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
+    """All words of a text in order; an empty array for null or blank texts. Splitting at one character needs no pattern."""
+    spaced = F.coalesce(text, F.lit(""))
+    for c in SPACES[1:]:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def n_words_of(text: Column) -> Column:

@@ -3,10 +3,10 @@
 Counts of every training token come from the whole corpus. The network predicts each token from all before it: its output
 is factored into the class of a word (words by frequency, CLASS_SIZE to a class) and the word within its class. Words
 beyond the VOCABULARY most frequent ones are one symbol of the network and share its probability by their smoothed corpus
-counts, so every text has a probability. Training is truncated backpropagation through windows of WINDOW tokens with the
-state carried on, in each partition by itself; after a round the partitions' weights are averaged by tokens. Every training
-document is written once as token ids under one of SHARES shares (by digest of doc_id), a round trains on a share, and
-together the rounds are one pass over all tokens of all training documents. Because partitions train by themselves, the
+counts, so every text has a probability; this symbol and the end are a class of their own. Training is truncated backpropagation through windows of WINDOW tokens with the
+state carried on, in each partition by itself; after a round the partitions' weights are averaged by tokens. Every document
+is written once as token ids under one of SHARES shares (by digest of doc_id), a round trains on a share, and together the
+rounds are one pass over all tokens of all training documents. Because partitions train by themselves, the
 weights, and with them `score`, depend in their last digits on how the input is partitioned; counts and base_score do not.
 Scoring runs over all tokens of every text, state carried from window to window.
 
@@ -18,17 +18,20 @@ is one stream of windows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_number, as_text, ascii_lower, forget, materialise, slices, table, words_of
+from .common import as_number, as_text, materialise, slices, table
 from .toxicity import held_out
 
-VOCABULARY = 1022  # and the end and the rest
+VOCABULARY = 1024
 KEPT = 200_000
+#: Distinct words that a task counts before it passes their counts on.
+MOST_COUNTED = 300_000
 CLASS_SIZE, HIDDEN = 32, 16
 WINDOW, LANES, RATE, FIRST = 20, 256, 0.15, 1e-5
 SHARES = 8
@@ -37,7 +40,8 @@ SUM_PARTS = 16
 SCORED_AT_ONCE, SCORE_WINDOW = 512, 64
 #: Documents that a task holds as tokens at a time.
 SLICE = 2048
-END, REST = 0, 1
+#: Ids: the end, a word without an id of its own, and from WORDS on words by frequency; in the network these begin at CLASS_SIZE.
+END, REST, WORDS = 0, 1, 2
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SHAPES = {"x": lambda k: (k, 3 * HIDDEN), "u": lambda k: (HIDDEN, 3 * HIDDEN), "c": lambda k: (-(-k // CLASS_SIZE), HIDDEN), "cb": lambda k: (-(-k // CLASS_SIZE),), "w": lambda k: (-(-k // CLASS_SIZE), CLASS_SIZE, HIDDEN), "wb": lambda k: (-(-k // CLASS_SIZE), CLASS_SIZE)}
 
@@ -108,16 +112,17 @@ def output(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, grads: dict
         i = order[cuts[k] : cuts[k + 1]]
         if not len(i):
             continue
-        hk = h[i]
-        a, e, s = softmax(hk, p["w"][k], p["wb"][k])
+        hk, size = h[i], CLASS_SIZE if k else WORDS
+        w = p["w"][k, :size]
+        a, e, s = softmax(hk, w, p["wb"][k, :size])
         at = np.arange(len(i))
         out[i] += a[at, within[i]] - np.log(s)
         if grads is not None:
             d = e * (share / s)[:, None]
             d[at, within[i]] -= share
-            grads["w"][k] += d.T @ hk
-            grads["wb"][k] += d.sum(0)
-            dh[i] += d @ p["w"][k]
+            grads["w"][k, :size] += d.T @ hk
+            grads["wb"][k, :size] += d.sum(0)
+            dh[i] += d @ w
     return out, dh
 
 
@@ -234,28 +239,55 @@ class Corpus:
         self.ends = int(counts.where("word = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
 
     def network_counts(self) -> np.ndarray:
-        """Of END, REST and the network's words."""
+        """By the network's ids: of END, REST, nothing up to CLASS_SIZE, and the network's words."""
         c = self.c[:VOCABULARY]
-        return np.concatenate(([self.ends, self.n - self.ends - c.sum()], c)).astype(float)
+        return np.concatenate(([self.ends, self.n - self.ends - c.sum()], np.zeros(CLASS_SIZE - WORDS), c)).astype(float)
+
+
+def network_ids(ids: np.ndarray, size: int) -> np.ndarray:
+    """The network's ids of kept words; `size` is the length of network_counts()."""
+    moved = np.where(ids < WORDS, ids, ids + (CLASS_SIZE - WORDS))
+    return np.where(moved < size, moved, REST)
 
 
 def token_table(docs: DataFrame) -> DataFrame:
-    """word, c over the documents; the end token is the empty word."""
-    words = docs.select(F.explode(F.concat(words_of(ascii_lower(F.col("text"))), F.array(F.lit("")))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("c"))
+    """word, c over the documents; the end token is the empty word. Tasks add up counts of MOST_COUNTED words at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter[bytes] = Counter()
+        flush = lambda: pd.DataFrame({"word": [w.decode() for w in counts], "c": list(counts.values())})
+        for pdf in slices(batches, SLICE):
+            for t in pdf["text"]:
+                counts.update(tokens(t))
+            counts[b""] += len(pdf)
+            if len(counts) > MOST_COUNTED:
+                yield flush()
+                counts.clear()
+        if counts:
+            yield flush()
+
+    return docs.select("text").mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def network_ids(docs: DataFrame, corpus: Corpus) -> DataFrame:
-    """share and ids (the network's, ended by END) of every document, written by share."""
-    known = docs.sparkSession.sparkContext.broadcast({w: i + 2 for i, w in enumerate(corpus.words[:VOCABULARY])})
+def token_ids(docs: DataFrame, corpus: Corpus, learn: Column) -> DataFrame:
+    """row (its own number), doc_id, learn, ids (32-bit, ended by END) and rare (the words without an id, apart by blanks)
+    of every document, written by share."""
+    known = docs.sparkSession.sparkContext.broadcast({w: i + WORDS for i, w in enumerate(corpus.words)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = known.value.get
         for pdf in slices(batches, SLICE):
-            yield pd.DataFrame({"share": pdf["share"], "ids": [np.array([*[get(w, REST) for w in tokens(t)], END], np.int16) for t in pdf["text"]]})
+            ids, rare = [], []
+            for t in pdf["text"]:
+                words = tokens(t)
+                found = np.array([*[get(w, REST) for w in words], END], np.int32)
+                ids.append(found.tobytes())
+                rare.append(b" ".join([words[i] for i in np.flatnonzero(found == REST)]).decode())
+            yield pdf[["doc_id", "share", "learn"]].assign(ids=ids, rare=rare)
 
     share = F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int").alias("share")
-    return materialise(docs.select(share, "text").mapInPandas(run, "share int, ids array<short>"), "ids", by="share")
+    rows = as_text(docs, share, learn.alias("learn"), "text").mapInPandas(run, "doc_id string, share int, learn boolean, ids binary, rare string")
+    return materialise(as_number(rows).withColumn("row", F.monotonically_increasing_id()), "ids", by="share")
 
 
 def mean_weights(parts: DataFrame) -> tuple[float, np.ndarray | None]:
@@ -273,11 +305,11 @@ def mean_weights(parts: DataFrame) -> tuple[float, np.ndarray | None]:
     return (r[0]["n"], np.frombuffer(bytes(r[0]["p"])) / r[0]["n"]) if r else (0.0, None)
 
 
-def fit_network(docs: DataFrame, corpus: Corpus) -> tuple[np.ndarray, int]:
-    """Weights after one pass over all documents, in a round for each of their SHARES shares; and the tokens trained on."""
-    spark, counts = docs.sparkSession, corpus.network_counts()
+def fit_network(every: DataFrame, corpus: Corpus) -> tuple[np.ndarray, int]:
+    """Weights after one pass over all documents to learn from, in a round for each of their SHARES shares; and the tokens
+    trained on."""
+    spark, counts = every.sparkSession, corpus.network_counts()
     flat, k, done = pack(initial(counts)), len(counts), 0
-    every = network_ids(docs, corpus)
     for turn in range(SHARES):
         start = spark.sparkContext.broadcast(flat)
 
@@ -285,54 +317,51 @@ def fit_network(docs: DataFrame, corpus: Corpus) -> tuple[np.ndarray, int]:
             p, n = unpack(start.value, k), 0
             sums = {name: np.full_like(v, FIRST) for name, v in p.items()}
             for pdf in slices(batches, SLICE):
-                n += train(p, np.concatenate(list(pdf["ids"])).astype(np.int32), sums)
+                n += train(p, network_ids(np.frombuffer(b"".join(pdf["ids"]), np.int32), k), sums)
             if n:
                 yield pd.DataFrame({"n": [float(n)], "p": [(pack(p) * n).tobytes()]})
 
-        n, mean = mean_weights(every.where(F.col("share") == turn).select("ids").mapInPandas(run, "n double, p binary"))
+        n, mean = mean_weights(every.where((F.col("share") == turn) & F.col("learn")).select("ids").mapInPandas(run, "n double, p binary"))
         start.unpersist()
         flat, done = flat if mean is None else mean, done + int(n)
-    forget(every)
     return flat, done
 
 
-def score_documents(docs: DataFrame, corpus: Corpus, weights: np.ndarray, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every document."""
-    network, kept = corpus.network_counts(), {w: i + 2 for i, w in enumerate(corpus.words)}
-    shared = docs.sparkSession.sparkContext.broadcast((kept, np.log10(np.concatenate(([corpus.ends, 0], corpus.c)) + 1.0), weights, len(network), corpus.ends > 0))
-    rest = np.log10(max(1.0, network[REST] + max(0, corpus.v - len(network) + 1) + 1))
-    every = np.log10(corpus.n + corpus.v + 1.0)
+def score_documents(every: DataFrame, corpus: Corpus, weights: np.ndarray, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of every document of token_ids()."""
+    network = corpus.network_counts()
+    k = len(network)
+    shared = every.sparkSession.sparkContext.broadcast((np.log10(np.concatenate(([corpus.ends, 0], corpus.c)) + 1.0), weights))
+    beyond_network = max(0, corpus.v - 1 - len(corpus.c[:VOCABULARY]))
+    rest = np.log10(network[REST] + beyond_network + 1)
+    total, ended = np.log10(corpus.n + corpus.v + 1.0), corpus.ends > 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept, logs, flat, k, ended = shared.value
-        p, get = unpack(flat, k), kept.get
+        logs, flat = shared.value
+        p = unpack(flat, k)
         for pdf in slices(batches, SLICE):
-            ids, rare = [], []
-            for t in pdf["text"]:
-                words = tokens(t)
-                found = [get(w, REST) for w in words]
-                rare.append([w.decode() for w, i in zip(words, found, strict=True) if i == REST])
-                ids.append(np.array([*found, END], np.int32))
+            ids = [np.frombuffer(x, np.int32) for x in pdf["ids"]]
+            inner = [network_ids(x, k) for x in ids]
             n = np.array([len(x) for x in ids])
             base = np.array([logs[x].sum() for x in ids])
-            beyond = np.array([logs[x[x >= k]].sum() for x in ids])
-            outside = np.array([(x >= k).sum() + (x == REST).sum() for x in ids])
-            model = log_likelihood(p, [np.where(x >= k, REST, x) for x in ids]) / np.log(10)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "n_known": n - np.array([len(x) for x in rare]) - (not ended), "base": base - n * every, "model": model + beyond - outside * rest, "rare": rare})
-
-    rows = as_text(docs, "text").mapInPandas(run, "doc_id string, n_tokens long, n_known long, base double, model double, rare array<string>")
-    rows = materialise(as_number(rows).withColumn("row", F.monotonically_increasing_id()), "scored")
-    less = rows.select("row", F.explode("rare").alias("word")).join(counts, "word")
+            beyond = np.array([logs[x[y == REST]].sum() for x, y in zip(ids, inner, strict=True)])
+            outside = np.array([(y == REST).sum() for y in inner])
+            known = n - np.array([(x == REST).sum() for x in ids]) - (not ended)
+            model = log_likelihood(p, inner) / np.log(10)
+            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "n_tokens": n, "n_known": known, "base": base - n * total, "model": model + beyond - outside * rest})
+
+    rows = every.select("row", F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(run, "row long, doc_id string, n_tokens long, n_known long, base double, model double")
+    less = every.where("rare != ''").select("row", F.explode(F.split("rare", " ")).alias("word")).join(counts, "word")
     less = less.groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("c") + 1.0)).alias("l"))
-    out = rows.drop("rare").join(less, "row", "left")
+    out = as_number(rows).join(less, "row", "left")
     n, more = F.coalesce("n", F.lit(0)), F.coalesce("l", F.lit(0.0))
     return out.select("doc_id", "n_tokens", (F.col("n_known") + n).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"))
 
 
 def op4_lm_score(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    learned = docs.where(~held_out(F.col("doc_id"), 7, 2))
-    counts = materialise(token_table(learned), "counts")
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(F.col("doc_id"), 7, 2)
+    counts = materialise(token_table(docs.where(~held)), "counts")
     corpus = Corpus(counts)
-    out = score_documents(docs, corpus, fit_network(learned, corpus)[0], counts)
-    return out.select("doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(corpus.n).cast("long").alias("train_tokens"), "base_score", "score")
+    every = token_ids(docs, corpus, ~held)
+    out = score_documents(every, corpus, fit_network(every, corpus)[0], counts)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(corpus.n).cast("long").alias("train_tokens"), "base_score", "score")
