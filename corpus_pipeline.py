@@ -7,7 +7,10 @@
 5. mixing: documents get whole copies, or a place in their source's sample, up to the source's target.
 
 Every stage but the last returns the columns of documents as they came; the last adds `copies` (1 or more). Null texts
-are empty and fail the first stage. Empty tables pass through.
+are empty and fail the first stage. Empty tables pass through. Repeated rows are near duplicates of each other: the second
+stage leaves one. Ties go to the least doc_id there and are cut row by row in the last. Long texts stay whole in their row.
+Extra columns are carried, but for names that start with _quality_, _near_, _leak_, _pii_ or _mix_; a column named copies is
+replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.llm import decontam, mixing, ngram_join, pii, quality
-from touchline.llm.common import materialise, table
+from touchline.llm.common import forget, materialise, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +54,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over `documents`; each stage's rows are written and read again."""
+    """The result of all stages over `documents`; each stage's rows are written and read again, and what a stage wrote for
+    itself is deleted when it is done."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), "stage")
+        before = docs
+        with scratch(spark) as kept:
+            docs = materialise(stage(spark, before, sf_dir), "stage")
+            kept.append(docs)
+        forget(before)
     return docs
 
 

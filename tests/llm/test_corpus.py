@@ -607,6 +607,28 @@ def test_proximity_is_brute_force(spark, monkeypatch, broadcast):
     assert got == want and len(want) > 20 and 30 not in got and 31 in got and 32 in got
 
 
+def test_pipeline_leaves_its_result_alone(spark, odd):
+    import corpus_pipeline as c
+
+    before = set(common._written)
+    out = c.run(spark, odd)
+    assert common._written - before == {out._corpus_path} and out.count() >= 0
+
+
+def test_a_cluster_needs_its_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
+
+
 def test_pipeline_stages(spark, where):
     import corpus_pipeline as c
 

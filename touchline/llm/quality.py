@@ -5,7 +5,9 @@ merge by adding counts, in any order and with one result, so they are built by a
 upwards: groups of fewer than `min_group` documents use the sketch of their language, small languages that of the corpus.
 
 Null texts count as empty. Null languages and sources form groups of their own. Repeated rows are judged alike. An
-empty table gives an empty result. Columns other than doc_id, text, lang and source are ignored or carried untouched.
+empty table gives an empty result. Columns other than doc_id, text, lang and source are ignored or carried untouched, but
+for names that start with _quality_. A value equal to its bound is kept. Long texts are measured whole in their row; the
+windows of one are sorted only if some repeat.
 """
 
 from __future__ import annotations

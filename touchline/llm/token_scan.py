@@ -6,7 +6,9 @@ each run) carries how many documents have ended and where the last one did, so n
 read by one task.
 
 The writer makes such files from texts: each partition writes one file under a temporary name and renames it, so tasks
-that are run again leave the same file. Null texts are empty documents: a separator alone, 0 tokens. Repeated rows are
+that are run again leave the same file. The tokenizer's vocabulary file is a parameter: the driver reads it and sends its some
+ten thousand entries to the tasks. The folder must be one that pyarrow.fs opens from driver and executors; only names and
+sizes of its files pass the driver. A long text is tokenised whole. Null texts are empty documents: a separator alone, 0 tokens. Repeated rows are
 documents of their own. Empty tables and empty files give no rows. Tokens after a file's last separator are a document
 that is not closed. A file whose size is no multiple of the id's width is an error.
 """
