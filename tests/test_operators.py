@@ -242,7 +242,10 @@ def test_validator_families():
     assert replay(kick, got, shot | {"result_name": "Off Target"}, act(4, 3, "Recovery", "A", "a1"))[0][3] == "Goal Post"
     assert replay(kick, got, shot | {"result_name": "Goal"}, act(4, 3, "Goal Conceded", "A", "a1"))[0] == ["Pass", "Pass Received", "Shot", "Goal"]
     assert replay(kick, got, act(3, 2, "Foul", "A", "a1"), act(4, 2, "Foul Won", "H", "h2"))[0] == ["Pass", "Pass Received", "Foul"]
-    assert replay(kick, act(3, 1, "Duel", "H", "h3"), act(4, 1, "Duel", "A", "a3", "Unsuccessful"))[0] == ["Pass", "Duel"]
+    duels = act(3, 1, "Duel", "H", "h3") | {"pair_id": 4}, act(4, 1, "Duel", "A", "a3", "Unsuccessful") | {"pair_id": 3}
+    assert replay(kick, *duels)[0] == ["Pass", "Duel"] and replay(kick, *(d | {"pair_id": None} for d in duels))[0] == ["Pass", "Duel", "Duel"]
+    r = V.Replay([dict.fromkeys(V.COLUMNS) | a for a in (kick, *duels)]).run().rows[1]
+    assert (r["player_id"], r["reactor_player_id"]) == ("h3", "a3")
     assert replay(kick, got, act(3, 5, "Pass", player="h2", x=60.0))[0] == ["Pass", "Pass Received", "Carry", "Pass"]  # far apart
     assert replay(kick, got, act(3, 2, "Goal Post"))[1] == ["Impossible trigger"]
 
@@ -388,3 +391,34 @@ def test_raw_frames_to_carriers_and_events(spark):
     e = spark.createDataFrame([("g", "Home", "p", 7, 5, 1), ("g", "Home", "p", 7, 9, 2)], "game_id string, team string, player_id string, number int, time int, session int")
     r = MA.player_table(e).first()
     assert (r.code, r.t0, r.t1, r.session0, r.session1) == ("H07", 5, 9, 1, 2)
+
+
+def test_results_do_not_follow_the_partitions(spark, sf):
+    left = spark.createDataFrame([(1, 0, "a", 7), (1, 0, "a", 7), (1, 5, "b", 8), (1, 3, None, 9)], "g int, t long, o string, x int")
+    right = spark.createDataFrame([(1, 5, "b"), (1, 5, "a"), (1, 16, None)], "g int, t long, o string")
+    for n in (1, 4):
+        got = TM.followed_by(left.repartition(n), right.repartition(n), ["g"], "t", 10, "o", "hit").collect()
+        assert sorted((r.x, r.hit) for r in got) == [(7, True), (7, True), (8, True), (9, False)]
+    rows = spark.createDataFrame([(1, 0, 5.0, 2), (1, 0, 3.0, 1), (1, 2, 4.0, 1), (1, 2, 9.0, 2)], "g int, t long, v double, i int")
+    for n in (1, 3):
+        got = R.resample(rows.repartition(n), ["g"], "t", "v", 1, first_by=["i"]).orderBy("t").collect()
+        assert [r.v for r in got] == [3.0, 3.5, 4.0]
+
+
+def test_replay_does_not_follow_the_partitions(spark, sf):
+    from touchline.plans import catalogue
+
+    a = EV.actions(catalogue.raw_events(spark, sf), "H")
+    assert {"pair_id", "relative_time", "reactor_team_id", "dx", "dy", "action_id"} <= set(a.columns)
+    assert a.where("pair_id is not null").count() > 0 and a.where("relative_time is not null and relative_time < 0").count() == 0
+    keys = ["game_id", "period_id", "action_id", "event_id", "type_name", "step"]
+    one, two = (sorted(map(tuple, V.validate(x).select(*keys).collect()), key=repr) for x in (a.repartition(3), a.repartition(7, "step")))
+    assert one == two
+    notes = V.validation_errors(a).collect()
+    assert notes and all(n.error for n in notes)
+
+
+def test_violations_are_found(spark):
+    rows = [(1, 10.0, 0.0, 0.0, None, None, "Pass"), (6, 10.0, 0.0, 0.0, 1.0, 1.0, "Pass"), (1, -1.0, 106.0, 0.0, None, 69.0, None)]
+    got = EV.violations(spark.createDataFrame(rows, "period_id int, time_seconds double, start_x double, start_y double, end_x double, end_y double, type_name string"))
+    assert sorted((r.period_id, r.rule) for r in got.collect()) == [(1, "time"), (1, "type"), (1, "x"), (1, "y"), (6, "period")]

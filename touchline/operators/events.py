@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
+from .duels import pair_duels
 from .series import along, fill_backward, shifted
 from .tables import keep_first
 
@@ -75,6 +76,7 @@ COMMON = {
     "Pass": "pass",
     "Cross": "cross",
 }
+#: Set pieces by their source type, as pass and as shot; shots, keeper's actions and passes.
 SET_PIECES = {"Throw-Ins": ("Throw-In", None), "Corners": ("Pass_Corner", "Shot_Corner"), "Freekicks": ("Pass_Freekick", "Shot_Freekick"), "Goal Kicks": ("Goal Kick", None), "Penalty Kicks": (None, "Penalty Kick")}
 SHOTS = ["Shot", "Shot_Freekick", "Shot_Corner", "Penalty Kick"]
 KEEPER = ["Aerial Clearance", "Defensive Line Support", "Catch", "Parry"]
@@ -210,18 +212,29 @@ def fix_ends(df: DataFrame, order: list[str], home: Column) -> DataFrame:
 
 
 def actions(events: DataFrame, home_team: str) -> DataFrame:
-    """Raw nested events to actions: clean, flip, simplify, explode, relate, fix.
+    """Raw nested events to actions: clean, pair duels, flip, simplify, explode, relate, fix.
 
     Input: game_id, event_id, period_order, event_time (ms), team_id, player_id, x, y, to_x, to_y in [0, 1],
-    attack_direction, events."""
+    attack_direction, events. action_id counts a game's actions in order from 0; what has no partner, receiver or reactor has
+    null there."""
     df = clean(events).withColumn("period_id", F.col("period_order") + 1)
+    duels = df.where(has(F.col("events"), "Duels")).select(*OWN_PERIOD, "event_id", "event_time")
+    df = df.join(pair_duels(duels, OWN_PERIOD, "event_id", "event_time"), [*OWN_PERIOD, "event_id"], "left")
     home = F.col("team_id") == home_team
     flip = lambda v, size: S.attack_flip(F.col(v), home, F.col("attack_direction")) * size
     df = df.withColumns({"start_x": flip("x", S.PITCH_LENGTH), "start_y": flip("y", S.PITCH_WIDTH), "end_x": flip("to_x", S.PITCH_LENGTH), "end_y": flip("to_y", S.PITCH_WIDTH), "time_seconds": S.period_seconds(F.col("event_time"), F.col("period_id"))})
     df = by_priority(df.withColumn("events", simplified(renamed(F.col("events")))))
     df = with_receiver(df.withColumn("result_name", S.result_name(F.col("outcome"))))
     order = ["event_time", "event_id", "step"]
-    return fix_ends(df, order, home).select("game_id", "event_id", "step", "period_id", "time_seconds", "team_id", "player_id", "type_name", "result_name", "start_x", "start_y", "end_x", "end_y", "relative_id", "relative_player_id")
+    df = fix_ends(df, order, home)
+    none = {"reactor_team_id": F.lit(None).cast("string"), "reactor_player_id": F.lit(None).cast("string")}
+    more = {
+        "action_id": F.row_number().over(along(["game_id"], "period_id", *order)) - 1,
+        "relative_time": S.period_seconds(F.col("relative_time"), F.col("period_id")),
+        "dx": F.col("end_x") - F.col("start_x"),
+        "dy": F.col("end_y") - F.col("start_y"),
+    }
+    return df.withColumns(none | more).select("game_id", "event_id", "step", "action_id", "period_id", "time_seconds", "relative_time", "team_id", "player_id", "relative_player_id", "reactor_team_id", "reactor_player_id", "type_name", "result_name", "relative_id", "pair_id", "start_x", "start_y", "end_x", "end_y", "dx", "dy")
 
 
 def violations(df: DataFrame) -> DataFrame:

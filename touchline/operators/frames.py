@@ -60,6 +60,16 @@ def leftmost_team(df: DataFrame, with_ball: bool = False) -> DataFrame:
     return rows.groupBy("game_id").agg(F.min_by("team_id", F.struct("x", "id")).alias("left_team"))
 
 
+def alive(df: DataFrame) -> DataFrame:
+    """Rows of frames in which the ball is in play."""
+    return df.where(F.col("ball_state") == "alive")
+
+
+def with_pressure(tracking: DataFrame, matrices: DataFrame) -> DataFrame:
+    """Tracking rows with their frame's pressure matrix (rows, columns, probability), null where it has none."""
+    return tracking.join(matrices, FRAME, "left")
+
+
 def orientation(df: DataFrame, home: str) -> DataFrame:
     """home_away if the home team stands left at kick-off (the ball may be the leftmost and is not home), else away_home."""
     left = leftmost_team(df, True)

@@ -115,9 +115,13 @@ def sessions(df: DataFrame, keys: list[str], order: str, gap: float, out: str =
     return df.withColumn("_new", (step > gap).cast("long")).withColumn(out, F.sum(F.coalesce("_new", F.lit(0))).over(up_to(keys, order))).drop("_new")
 
 
-def episodes(df: DataFrame, keys: list[str], order: str, gap: float, margin: float) -> DataFrame:
-    """Spans of the sessions with a margin on both sides; numbers go on over the keys in their order."""
+def episodes(df: DataFrame, keys: list[str], order: str, gap: float, margin: float, within: DataFrame | None = None) -> DataFrame:
+    """Spans of the sessions with a margin on both sides; numbers go on over the keys in their order. `within` holds all rows
+    of the keys (phases, say): margins end at the first and last of them."""
     s = sessions(df, keys, order, gap).groupBy(*keys, "session").agg((F.min(order) - margin).alias("start"), (F.max(order) + margin).alias("stop"), F.count("*").alias("n_rows"))
+    if within is not None:
+        ends = within.groupBy(*keys).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+        s = s.join(ends, keys).withColumns({"start": F.greatest("start", "_low"), "stop": F.least("stop", "_high")}).drop("_low", "_high")
     sizes = s.groupBy(*keys).agg(F.count("*").alias("_k"))
     first = sizes.withColumn("_before", F.coalesce(F.sum("_k").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each key
     return s.join(first.drop("_k"), keys).withColumn("episode", F.col("session") + F.col("_before")).drop("_before")
@@ -153,11 +157,14 @@ def _pchip_slopes(df: DataFrame, keys, t: str, v: str) -> DataFrame:
     return df.withColumn("_s", s).drop("_h0", "_h1", "_d0", "_d1", "_h2", "_d2", "_g0", "_e0")
 
 
-def resample(df: DataFrame, keys: list[str], t: str, v: str | list[str], step: int, method: str = "linear", fill: list[str] | None = None) -> DataFrame:
+def resample(df: DataFrame, keys: list[str], t: str, v: str | list[str], step: int, method: str = "linear", fill: list[str] | None = None, first_by: list[str] | None = None) -> DataFrame:
     """Each series on the grid 0, step, ... up to its largest t: the columns `v` interpolated between their samples (linear
-    or pchip), `fill` carried forward. Rows of the grid before the first sample, or without any value, are dropped."""
+    or pchip), `fill` carried forward. Rows of the grid before the first sample, or without any value, are dropped. Of samples
+    at one time the first in the order of `first_by` counts, by default in that of the values, nulls last."""
     vs, fill = [v] if isinstance(v, str) else v, fill or []
-    df = df.dropDuplicates([*keys, t]).select(*keys, t, *vs, *fill)
+    order = [F.col(c).asc_nulls_last() for c in first_by or [*vs, *fill]]
+    earlier = F.lag(t).over(Window.partitionBy(*keys).orderBy(t, *order))
+    df = df.withColumn("_earlier", earlier).where(F.col("_earlier").isNull() | (F.col("_earlier") != F.col(t))).select(*keys, t, *vs, *fill)
     for c in vs:
         df = _pchip_slopes(df, keys, t, c).withColumnRenamed("_s", f"_s_{c}") if method == "pchip" else df.withColumn(f"_s_{c}", F.lit(0.0))
     grid = df.groupBy(*keys).agg(F.max(t).alias("_top")).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_top"), F.lit(step).cast("long"))).alias(t))

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: A dimension of at most so many rows is broadcast.
-BROADCAST_ROWS = 100_000
+#: A dimension of at most so many rows, and by the planner's estimate so many bytes, is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 def look_up(facts: DataFrame, dim: DataFrame, on, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Left join to a dimension whose size is checked: broadcast when small, by shuffle beyond."""
-    small = dim.limit(limit + 1).count() <= limit
+    size = int(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    small = size <= BROADCAST_BYTES and dim.limit(limit + 1).count() <= limit
     return facts.join(F.broadcast(dim) if small else dim, on, how)
 
 
+def natural(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Inner join on all columns that both sides have."""
+    return left.join(right, [c for c in left.columns if c in right.columns])
+
+
 def unmatched(facts: DataFrame, dim: DataFrame, on) -> DataFrame:
     return facts.join(dim, on, "left_anti")
 

@@ -1,4 +1,5 @@
-"""Joins in time. As-of joins are a union and windows, range joins an equi join on time buckets: never a nested loop."""
+"""Joins in time. As-of joins and semi-joins ahead are a union and windows: never a nested loop. The rows of one key (a match
+or a period) are one task's work."""
 
 from __future__ import annotations
 
@@ -42,15 +43,15 @@ def trailing(keys: list[str], t: str, span: int):
 
 
 def followed_by(left: DataFrame, right: DataFrame, keys: list[str], t: str, span: int, other: str, out: str) -> DataFrame:
-    """left with `out`: is there a right row of the same keys with another `other` in [t, t + span]? Both sides meet in
-    buckets of the span, a left row in two of them; a left row is told apart by all its columns."""
-    bucket = F.floor(F.col(t) / span)
-    l = left.withColumn("_id", F.monotonically_increasing_id())
-    probe = l.select("_id", *keys, F.col(t).alias("_t"), F.col(other).alias("_o"), F.explode(F.array(bucket, bucket + 1)).alias("_b"))
-    there = right.select(*keys, F.col(t).alias("_rt"), F.col(other).alias("_ro"), bucket.alias("_b")).distinct()
-    hit = (F.col("_ro") != F.col("_o")) & (F.col("_rt") >= F.col("_t")) & (F.col("_rt") <= F.col("_t") + span)
-    flags = probe.join(there, [*keys, "_b"], "left").groupBy("_id").agg(F.max(F.coalesce(hit, F.lit(False))).alias(out))
-    return l.join(flags, "_id").drop("_id")
+    """left with `out`: is there a right row of the same keys with another `other` in [t, t + span]? Both sides are one
+    union: right rows ahead are counted, and those of the row's own `other`; a difference is a row of another. A null `other`
+    differs from none. Windows by keys, and by keys and `other`, need one exchange; a key's rows are one task's work."""
+    r = right.select(*keys, t, other).withColumn("_side", F.lit(0))
+    rows = left.withColumn("_side", F.lit(1)).unionByName(r, allowMissingColumns=True)
+    counted = F.count(F.when((F.col("_side") == 0) & F.col(other).isNotNull(), 1))
+    ahead = lambda *by: counted.over(Window.partitionBy(*by).orderBy(t).rangeBetween(0, span))
+    rows = rows.withColumns({"_all": ahead(*keys), "_same": ahead(*keys, other)})
+    return rows.where("_side = 1").select(*left.columns, (F.col(other).isNotNull() & (F.col("_all") > F.col("_same"))).alias(out))
 
 
 def first_in_next_rows(df: DataFrame, keys: list[str], order: list[str], n: int, wanted, col: str) -> Column:

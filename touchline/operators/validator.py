@@ -75,7 +75,7 @@ PASSES = ("Pass", "Cross", "Throw-In", "Pass_Freekick", "Pass_Corner", "Goal Kic
 SHOTS = ("Shot", "Shot_Freekick", "Shot_Corner", "Penalty Kick")
 LOOSE, FOULS = ("Deflection", "Block", "Hit"), ("Foul", "Foul Won")
 BESIDE = ("Duel", "Aerial Clearance", "Defensive Line Support")
-#: What may follow a tackle or a keeper's action, by state.
+#: What may follow a tackle or a keeper's action, by state.
 AFTER_TACKLE = {TRANSITION: ("Interception", "Intervention", *LOOSE, *FOULS), POSSESSION: ("Interception", "Intervention", *FOULS), NEUTRAL: ("Interception", "Intervention", "Ball Received", "Recovery", *FOULS), SHOT: (*LOOSE, *FOULS)}
 AFTER_KEEPER = (*SETS, "Catch", "Parry", *LOOSE, *FOULS)
 #: Types that need the ball: in transition or with a free ball their possession is made up.
@@ -84,9 +84,11 @@ NEEDS_BALL = ("Pass", "Cross", "Carry", "Take-On", "Shot", "Clearance")
 AFTER_SHOT = ("Duel", "Tackle", "Intervention", "Interception", "Ball Received", "Recovery", "Error", "Clearance", "Pass", "Cross")
 OUTCOME_OF_SHOT = {"Blocked": "Block", "Off Target": "Goal Post", "Low Quality Shot": "Goal Miss"}
 RESTARTS = ("Pass_Corner", "Shot_Corner", "Throw-In", "Goal Kick")
+#: What shows where a shot ended.
 FOLLOW_SHOT = ("Deflection", "Hit", "Block", "Parry", "Catch", "Error", "Clearance", "Recovery", "Interception", "Ball Received", "Offside", "Foul", "Intervention")
-COLUMNS = ["game_id", "period_id", "event_id", "time_seconds", "team_id", "player_id", "reactor_player_id", "type_name", "result_name", "start_x", "start_y", "end_x", "end_y", "relative_id", "relative_player_id", "relative_time"]
-TEXT, WHOLE = {"team_id", "player_id", "reactor_player_id", "type_name", "result_name", "relative_player_id"}, {"event_id", "relative_id"}
+COLUMNS = ["game_id", "period_id", "event_id", "step", "time_seconds", "team_id", "player_id", "reactor_player_id", "type_name", "result_name", "start_x", "start_y", "end_x", "end_y", "relative_id", "relative_player_id", "relative_time", "pair_id"]
+TEXT, WHOLE = {"team_id", "player_id", "reactor_player_id", "type_name", "result_name", "relative_player_id"}, {"event_id", "step", "relative_id", "pair_id"}
+NOTE = ["current_state", "next_state", "event", "error"]
 
 
 class Replay:
@@ -161,7 +163,7 @@ class Replay:
         if kind in FOULS and row["reactor_player_id"] is None and (k := find(tuple(f for f in FOULS if f != kind), rival)) is not None and later[k]["reactor_player_id"] is None:
             foul, won = (row, later[k]) if kind == "Foul" else (later[k], row)
             return join(k, "Foul", foul, won)
-        if kind == "Duel" and row["reactor_player_id"] is None and (k := find(("Duel",), lambda r: rival(r) and r["reactor_player_id"] is None)) is not None:
+        if kind == "Duel" and row["pair_id"] is not None and (k := find(("Duel",), lambda r: r["event_id"] == row["pair_id"])) is not None:
             winner, loser = (later[k], row) if later[k]["result_name"] == "Successful" else (row, later[k])
             return join(k, "Duel", winner, loser)
         if kind == "Offside" and (k := find(SETS)) is not None and any(r["type_name"] != "Foul" for r in later[:k]):
@@ -299,7 +301,7 @@ class Replay:
 
 
 def _rows(pdf: pd.DataFrame) -> list[dict]:
-    pdf = pdf.sort_values(["time_seconds", "event_id"], kind="stable")
+    pdf = pdf.sort_values(["time_seconds", "event_id", "step"], kind="stable")
     return [{k: None if v is None or v is pd.NA or (isinstance(v, float) and np.isnan(v)) else v for k, v in r.items()} for r in pdf[COLUMNS].astype(object).to_dict("records")]
 
 
@@ -317,28 +319,32 @@ def complete(df: DataFrame) -> DataFrame:
     return df.withColumns(missing).select(*COLUMNS) if missing else df.select(*COLUMNS)
 
 
-def validate(df: DataFrame) -> DataFrame:
-    """The repaired rows, with action_id in order inside each (game_id, period_id)."""
+def replayed(df: DataFrame) -> DataFrame:
+    """One replay of each (game_id, period_id): the repaired rows with action_id in order, and the notes as rows without one
+    (event_id, current_state, next_state, event, error)."""
     df = complete(df)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(Replay(_rows(pdf)).run().rows, columns=COLUMNS)
-        for c in WHOLE:
+        r = Replay(_rows(pdf)).run()
+        rows = pd.DataFrame(r.rows, columns=COLUMNS).assign(action_id=pd.array(np.arange(len(r.rows)), "Int64"), **dict.fromkeys(NOTE))
+        notes = pd.DataFrame(r.notes, columns=["event_id", *NOTE]).reindex(columns=[*COLUMNS, "action_id", *NOTE]).astype(object)
+        notes = notes.assign(game_id=pdf["game_id"].iloc[0], period_id=pdf["period_id"].iloc[0])
+        out = pd.concat([rows.astype(object), notes]) if len(notes) else rows
+        for c in [*WHOLE, "action_id"]:
             out[c] = out[c].astype("Int64")
-        return out.assign(action_id=np.arange(len(out)))
+        for c in COLUMNS:
+            if c not in TEXT | WHOLE | {"game_id", "period_id"}:
+                out[c] = out[c].astype("float64")
+        return out
 
-    return df.groupBy("game_id", "period_id").applyInPandas(run, _schema(df) + ", action_id long")
+    return df.groupBy("game_id", "period_id").applyInPandas(run, _schema(df) + ", action_id long, " + ", ".join(f"{c} string" for c in NOTE))
 
 
-def validation_errors(df: DataFrame) -> DataFrame:
-    """(game_id, period_id, event_id, current_state, next_state, event, error) of every repair and impossible row."""
-    df = complete(df)
+def validate(df: DataFrame) -> DataFrame:
+    """The repaired rows, with action_id in order inside each (game_id, period_id)."""
+    return replayed(df).where("action_id is not null").drop(*NOTE)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        notes = Replay(_rows(pdf)).run().notes
-        out = pd.DataFrame(notes, columns=["event_id", "current_state", "next_state", "event", "error"])
-        out["event_id"] = out["event_id"].astype("Int64")
-        return out.assign(game_id=pdf["game_id"].iloc[0], period_id=pdf["period_id"].iloc[0])
 
-    types = dict(df.dtypes)
-    return df.groupBy("game_id", "period_id").applyInPandas(run, f"event_id long, current_state string, next_state string, event string, error string, game_id {types['game_id']}, period_id {types['period_id']}")
+def validation_errors(df: DataFrame) -> DataFrame:
+    """(game_id, period_id, event_id, current_state, next_state, event, error) of every repair and impossible row."""
+    return replayed(df).where("action_id is null").select("event_id", *NOTE, "game_id", "period_id")

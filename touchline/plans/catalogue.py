@@ -214,6 +214,16 @@ def pressure_matrix(spark, d):
     return m.select(*FR.FRAME, F.size("rows").cast("long").alias("n_rows"), F.size("columns").cast("long").alias("n_cols"), F.round(total, 5).alias("total"))
 
 
+@query(f"""WITH {A.CARRIER}, {PAIRS}, m AS (SELECT {FRAME}, CAST(count(DISTINCT presser_id) AS INTEGER) AS n_rows, round(sum(p), 5) AS total FROM pw GROUP BY ALL)
+SELECT {FRAME}, id, n_rows, total FROM tr LEFT JOIN m USING ({FRAME}) WHERE ball_owning_team_id IS DISTINCT FROM 'neutral'""")
+def tracking_pressure(spark, d):
+    """Rows of play with their frame's matrix."""
+    state = F.when(F.col("ball_owning_team_id") == "neutral", "dead").otherwise("alive")
+    rows = FR.alive(FR.with_pressure(A.tracking(spark, d).withColumn("ball_state", state), P.matrices(pressure(spark, d))))
+    total = F.aggregate(F.flatten("probability"), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    return rows.select(*FR.FRAME, "id", F.when(F.col("rows").isNotNull(), F.size("rows")).alias("n_rows"), F.round(total, 5).alias("total"))
+
+
 @query(f"WITH {A.CARRIER} SELECT game_id, CAST(count(DISTINCT (period_id, frame_id)) AS BIGINT) AS n_frames FROM car WHERE is_ball_carrier GROUP BY 1")
 def frame_count(spark, d):
     return carriers(spark, d).where("is_ball_carrier").groupBy("game_id").agg(F.count_distinct("period_id", "frame_id").alias("n_frames"))
@@ -246,6 +256,11 @@ def _savgol(window: int) -> str:
 SELECT user_id, us, round(CASE WHEN i <= {k} THEN {fit('0')} WHEN i > n - {k} THEN {fit(f'n - {window}')} ELSE avg(v) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING) END, 6) + 0e0 AS x FROM z WINDOW u AS (PARTITION BY user_id)"""
 
 
+@query(f"WITH {A.SERIES}, {INTERPOLATED % 'se'} SELECT user_id, us, round(CASE WHEN us >= first_seen THEN ip.x END, 6) AS x FROM ip LEFT JOIN (SELECT user_id, min(us) AS first_seen FROM se WHERE x IS NOT NULL GROUP BY 1) USING (user_id)")
+def interpolate_forward(spark, d):
+    return rounded(R.interpolate(A.series(spark, d), U, "us", "x", "x", both=False), "x").select("user_id", "us", "x")
+
+
 @query(_savgol(7))
 def savgol_smooth_7_1(spark, d):
     return rounded(R.smooth(A.series(spark, d), U, "us", "x", "x", 7), "x").select("user_id", "us", "x")
@@ -325,9 +340,11 @@ def gap_sessions(spark, d):
     return R.sessions(A.series(spark, d), U, "us", GAP).select("user_id", "us", "session")
 
 
-@query(f"WITH {A.SERIES}, {SESS}, e AS (SELECT user_id, session, min(us) - 1000 AS start, max(us) + 1000 AS stop, count(*) AS n_rows FROM ss GROUP BY ALL), k AS (SELECT user_id, count(*) AS k FROM e GROUP BY 1), b AS (SELECT user_id, coalesce(sum(k) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k) SELECT user_id, session, start, stop, n_rows, CAST(session + before AS BIGINT) AS episode FROM e JOIN b USING (user_id)")
+@query(f"""WITH {A.SERIES.replace('se AS', 'sx AS')}, se AS (SELECT * FROM sx WHERE event_type IN ('click', 'view')), {SESS}, en AS (SELECT user_id, min(us) AS low, max(us) AS high FROM sx GROUP BY 1),
+e AS (SELECT ss.user_id, session, greatest(min(us) - 3600000000, any_value(low)) AS start, least(max(us) + 3600000000, any_value(high)) AS stop, count(*) AS n_rows FROM ss JOIN en USING (user_id) GROUP BY ALL), k AS (SELECT user_id, count(*) AS k FROM e GROUP BY 1), b AS (SELECT user_id, coalesce(sum(k) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k) SELECT user_id, session, start, stop, n_rows, CAST(session + before AS BIGINT) AS episode FROM e JOIN b USING (user_id)""")
 def episode_split(spark, d):
-    return R.episodes(A.series(spark, d), U, "us", GAP, 1000)
+    s = A.series(spark, d)
+    return R.episodes(s.where("event_type in ('click', 'view')"), U, "us", GAP, 3_600_000_000, s)
 
 
 @query(f"WITH {A.ACTIONS} SELECT event_id, user_id, CAST(sum(CASE WHEN type_name IN ('error', 'signup') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS phase FROM ac")
@@ -398,6 +415,13 @@ def pass_receiver_match(spark, d):
 
 # relations
 
+@query(f"WITH {A.EV}, f AS (SELECT * FROM (SELECT d, us, event_id, user_id, row_number() OVER (PARTITION BY d, us ORDER BY event_id) AS n FROM ev) WHERE n = 1), p AS (SELECT user_id, min(d) AS first_day FROM ev WHERE event_type = 'purchase' GROUP BY 1) SELECT d, us, event_id, user_id, first_day FROM f NATURAL JOIN p")
+def player_event_join(spark, d):
+    e = A.events(spark, d)
+    players = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("d").alias("first_day"))
+    return T.natural(T.keep_first(e.select("d", "us", "event_id", "user_id"), ["d", "us"], ["event_id"]), players)
+
+
 @query("SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def dim_lookup(spark, d):
     o, c, n, r = (A.table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
@@ -497,7 +521,8 @@ def _fold_sql() -> str:
 @query(_fold_sql())
 def kfold_assign(spark, d):
     n = A.table(spark, d, "nation")
-    rows = spark.createDataFrame(T.folds(list(range(25)), 6), "fold int, k int, part string")  # 25 matches
+    ids = [r[0] for r in n.select("n_nationkey").distinct().collect()]  # a number for each match
+    rows = spark.createDataFrame(T.folds(ids, 6), "fold int, k int, part string")
     return T.look_up(n, rows, F.col("n_nationkey") == F.col("k"), "inner").select("fold", "n_name", "part")
 
 
@@ -518,12 +543,11 @@ def time_quantize(spark, d):
     return A.events(spark, d).select("event_id", F.round(S.quantise(F.col("value")), 6).alias("t"))
 
 
-@query(f"WITH {A.EV} SELECT event_id, round(value / 500e0 * 105e0 - 52.5e0, 6) AS x, round(least(105e0, greatest(0e0, value - 60 + 52.5e0)), 6) AS sx, round(CASE WHEN (team_id = 'H' AND k < 50) OR (team_id = 'A' AND k >= 50) THEN 1 - k / 100e0 ELSE k / 100e0 END * 105, 6) AS fx, team_id || lpad(CAST(user_id AS VARCHAR), 3, '0') AS code, CASE WHEN k % 2 = 1 THEN value - 2700 ELSE value END AS shifted FROM ev")
+@query(f"WITH {A.EV} SELECT event_id, round(value / 500e0 * 105e0 - 52.5e0, 6) AS x, round(least(105e0, greatest(0e0, value - 60 + 52.5e0)), 6) AS sx, round(CASE WHEN (team_id = 'H' AND k < 50) OR (team_id = 'A' AND k >= 50) THEN 1 - k / 100e0 ELSE k / 100e0 END * 105, 6) AS fx, substr(team_id, 1, 1) || lpad(CAST(k AS VARCHAR), 2, '0') AS code, CASE WHEN k % 2 = 1 THEN value - 2700 ELSE value END AS shifted FROM ev")
 def scalar_transforms(spark, d):
     e = A.events(spark, d)
     way = F.when(F.col("k") < 50, "LEFT").otherwise("RIGHT")
-    code = F.concat(F.col("team_id"), F.lpad(F.col("user_id").cast("string"), 3, "0"))
-    return e.select("event_id", F.round(S.rescale(F.col("value"), 500.0, 105.0), 6).alias("x"), F.round(S.shift_clip(F.col("value") - 60, 105.0), 6).alias("sx"), F.round(S.attack_flip(F.col("k") / 100, F.col("team_id") == "H", way) * 105, 6).alias("fx"), code.alias("code"), S.period_shift(F.col("value"), 1 + F.col("k") % 2).alias("shifted"))
+    return e.select("event_id", F.round(S.rescale(F.col("value"), 500.0, 105.0), 6).alias("x"), F.round(S.shift_clip(F.col("value") - 60, 105.0), 6).alias("sx"), F.round(S.attack_flip(F.col("k") / 100, F.col("team_id") == "H", way) * 105, 6).alias("fx"), S.player_code(F.col("team_id"), F.col("k")).alias("code"), S.period_shift(F.col("value"), 1 + F.col("k") % 2).alias("shifted"))
 
 
 @query(f"WITH {A.SCORES}, q AS (SELECT *, CASE WHEN y = 1 THEN score ELSE 1 - score END AS q FROM sc) SELECT user_id, round(sum(1 / (1 + exp(-score))), 5) AS sig, round(avg(-0.8e0 * pow(1 - q, 2) * ln(greatest(q, 1e-12))), 6) AS focal, round(avg(-(3 * y * ln(score) + (1 - y) * ln(1 - score))), 6) AS bce FROM q GROUP BY 1")
@@ -597,7 +621,23 @@ def raw_events(spark, d) -> DataFrame:
 
 @query()
 def convert_actions(spark, d):
-    return rounded(EV.actions(raw_events(spark, d), "H"), "time_seconds", "start_x", "start_y", "end_x", "end_y")
+    return rounded(EV.actions(raw_events(spark, d), "H"), "time_seconds", "relative_time", "start_x", "start_y", "end_x", "end_y", "dx", "dy")
+
+
+@query(f"WITH {A.EV} SELECT event_id, event_name FROM (SELECT event_id, CASE WHEN k % 2 = 0 THEN 'Passes' ELSE 'HIR' END AS event_name FROM ev) WHERE event_name <> 'HIR'")
+def nested_filter(spark, d):
+    """Nested lists without the names that are no actions; rows left empty go."""
+    name = F.when(F.col("k") % 2 == 0, "Passes").otherwise("HIR")
+    e = A.events(spark, d).select(F.lit(1).alias("game_id"), "event_id", F.col("us").alias("event_time"), F.array(F.struct(name.alias("event_name"), F.create_map(F.lit("id"), F.col("event_id").cast("string")).alias("property"))).alias("events"))
+    return EV.clean(e).select("event_id", F.col("events")[0]["event_name"].alias("event_name"))
+
+
+@query(f"WITH {A.EV} SELECT event_id, CASE event_type WHEN 'click' THEN 'Pass' WHEN 'view' THEN 'Pass Received' WHEN 'purchase' THEN 'Shot' WHEN 'signup' THEN 'Duel' ELSE 'Recovery' END AS renamed, CASE WHEN event_type = 'click' AND k % 10 = 2 THEN CASE WHEN k % 20 = 2 THEN 'Pass_Corner' ELSE 'Throw-In' END WHEN event_type = 'click' THEN 'Pass' WHEN event_type = 'view' THEN 'Pass Received' WHEN event_type = 'purchase' THEN 'Shot' WHEN event_type = 'signup' THEN 'Duel' ELSE 'Recovery' END AS simplified FROM ev WHERE k % 10 <> 1")
+def rename_and_simplify(spark, d):
+    """Names by the table, then set pieces and errors resolved."""
+    e = raw_events(spark, d).where((F.col("attack_direction") != "") & ~EV.has(F.col("events"), "HIR"))
+    renamed = EV.renamed(F.col("events"))
+    return e.select("event_id", renamed[0]["event_name"].alias("renamed"), EV.simplified(renamed)[0]["event_name"].alias("simplified"))
 
 
 @query()
