@@ -182,3 +182,53 @@ def targets(sizes, weights=(3, 1, 2)):
         left -= sum(2 * sizes[s] for s in full)
         free -= full
     return out
+
+
+def noisy_or(bags, labels, steps, rate, l1):
+    """bags: documents of sentences of feature ids. Weights and bias after proximal Adam steps on the mean log loss, in plain loops."""
+    ids = sorted({f for d in bags for s in d for f in s})
+    n = sum(len(d) for d in bags)
+    w, b = dict.fromkeys(ids, 0.0), -math.log(n / max(1.0, sum(labels)))
+    m, v, mb, vb = dict.fromkeys(ids, 0.0), dict.fromkeys(ids, 0.0), 0.0, 0.0
+    for t in range(1, steps + 1):
+        g, gb = dict.fromkeys(ids, 0.0), 0.0
+        for d, y in zip(bags, labels):
+            p = [1 / (1 + math.exp(-(b + sum(w[f] for f in s)))) for s in d]
+            none = math.prod(1 - x for x in p)
+            for s, x in zip(d, p):
+                # d(-log(1 - none))/dz = -x * none / (1 - none); d(-log none)/dz = x
+                one = (-x * none / (1 - none) if y else x) / len(bags)
+                gb += one
+                for f in s:
+                    g[f] += one
+        c1, c2 = 1 - 0.9**t, 1 - 0.99**t
+        for f in ids:
+            m[f], v[f] = 0.9 * m[f] + 0.1 * g[f], 0.99 * v[f] + 0.01 * g[f] ** 2
+            scale = rate / (math.sqrt(v[f] / c2) + 1e-7)
+            x = w[f] - scale * m[f] / c1
+            w[f] = math.copysign(max(0.0, abs(x) - scale * l1), x)
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        b -= rate * (mb / c1) / (math.sqrt(vb / c2) + 1e-7)
+    return w, b
+
+
+def profile(text, letter):
+    """Sum over the text's letter trigrams (runs of gaps are one, a gap at both ends) of letter vectors, rolled by place and
+    multiplied; letter(c) is the vector of a code, 0 for a gap."""
+    codes = [(ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 0 for c in text or ""]
+    codes = [0, *(c for i, c in enumerate(codes) if c or i == 0 or codes[i - 1]), 0]
+    total = None
+    for a, b, c in zip(codes, codes[1:], codes[2:]):
+        if a or b or c:
+            v = [x * y * z for x, y, z in zip(letter(c), rolled(letter(b), 1), rolled(letter(a), 2))]
+            total = v if total is None else [x + y for x, y in zip(total, v)]
+    return total
+
+
+def rolled(v, k):
+    v = list(v)
+    return v[-k:] + v[:-k]
+
+
+def cosine(a, b):
+    return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))

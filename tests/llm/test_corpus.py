@@ -173,6 +173,41 @@ def test_toxicity_learns_and_locates(spark, tmp_path):
     assert any(w in rows[hit][1][s.start : s.end] for w in ("vile", "foul"))
 
 
+def test_toxicity_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 40)
+    rng = np.random.default_rng(8)
+    bags = [[[int(f) for f in rng.choice(12, rng.integers(1, 5), replace=False)] for _ in range(rng.integers(1, 4))] for _ in range(30)]
+    labels = [int(any(3 in s for s in d)) for d in bags]
+    model = toxicity.NoisyOr().fit([np.array([f for s in d for f in s], np.int32) for d in bags], [np.array([len(s) for s in d]) for d in bags], np.array(labels))
+    w, b = brute.noisy_or(bags, labels, 40, toxicity.RATE, toxicity.L1)
+    assert math.isclose(model.bias, b, rel_tol=1e-6) and model.weights.keys() == {f for f, x in w.items() if abs(x) > toxicity.LEAST_WEIGHT}
+    assert all(math.isclose(x, w[f], rel_tol=1e-6) for f, x in model.weights.items())
+    # scores of whole texts
+    model = toxicity.NoisyOr()
+    model.bias, model.weights = -2.0, {toxicity.features(x)[-1]: y for x, y in (("vile", 3.0), ("kind", -1.0), ("so", 0.5))}
+    texts = ["So vile. Kind words! So so", "", None, "kind kind\nVILE", "nothing of it?"]
+    own = {"vile": 3.0, "kind": -1.0, "so": 0.5}
+    for r in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect():
+        none = 1.0
+        for sentence in toxicity.SENTENCE.findall((texts[r.doc_id] or "").lower()):
+            if words := set(toxicity.WORD.findall(sentence)):
+                none *= 1 - 1 / (1 + math.exp(-(-2.0 + sum(own.get(w, 0.0) for w in words))))
+        assert math.isclose(r.score, 1 - none, abs_tol=1e-9)
+
+
+def test_one_text_stands_for_a_label(spark):
+    docs = spark.createDataFrame([(1, f"vile text {i}") for i in range(50)] + [(k, "kind text") for k in range(2, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(1, 9)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.NoisyOr.fit
+    try:
+        toxicity.NoisyOr.fit = lambda self, found, sizes, y: seen.append(len(y)) or fit(self, found, sizes, y)
+        toxicity.fit_toxicity(docs, labels)
+    finally:
+        toxicity.NoisyOr.fit = fit
+    assert seen and seen[0] == sum(brute.rest(k, 5) != 0 for k in range(1, 9))
+
+
 def test_toxicity_contract(spark, odd):
     got = queries.op2_toxicity(spark, odd).collect()
     assert all(r.held_out == (brute.rest(r.doc_id, 5) == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
@@ -530,6 +565,24 @@ def test_languages(spark, sf):
     assert all(got[r["doc_id"]].held_out == (brute.rest(r["doc_id"], 5) == 0) for r in rows)
 
 
+def test_languages_are_brute_force(spark):
+    letters = langid.Letters(64)
+    known = [("en", "The quick brown fox, 12 jumps!"), ("en", "over the lazy dog"), ("de", "Der schnelle Füchs  springt"), ("de", "über den faulen Hund"), ("xx", "\U00030001\U00030002 \U00030003")]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(known)] + [(10, "the fox", None), (11, "  Hund und Füchse -- ", None), (12, "123 !", None), (13, None, None), (14, "\U00030002\U00030003", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs, langid.prototypes(docs, 64), 64).collect()}
+    want = {}
+    for lang, t in known:
+        v = brute.profile(t, letters._letter)
+        want[lang] = v if lang not in want else [x + y for x, y in zip(want[lang], v)]
+    for r in docs.collect():
+        if r.doc_id in (12, 13):
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        best = max((brute.cosine(brute.profile(r.text, letters._letter), v), k) for k, v in want.items())
+        assert got[r.doc_id].lang_pred == best[1] and math.isclose(got[r.doc_id].score, (1 + best[0]) / 2, abs_tol=1e-5)
+    assert got[14].lang_pred != "und"
+
+
 def test_language_edges(spark, odd):
     got = queries.op9_language_id(spark, odd).collect()
     assert {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
