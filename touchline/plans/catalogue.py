@@ -107,21 +107,23 @@ def surface_channels(spark, d):
     return rounded(FR.surface(c), "value").select(*FR.FRAME, "channel", "ybin", "xbin", "value")
 
 
-@query(f"""WITH {A.CARRIER}, k AS (SELECT {FRAME}, trunc(least(25e0, greatest(0e0, (bx + 52.5e0) / 105e0 * 26))) + 0.5e0 AS u, trunc(least(16e0, greatest(0e0, 17 - (by_ + 34e0) / 68e0 * 17))) + 0.5e0 AS w FROM car WHERE is_ball_carrier AND frame_id % 48 = 0),
-g AS (SELECT k.*, c % 26 AS xbin, CAST(floor(c / 26) AS INTEGER) AS ybin FROM k, (SELECT CAST(unnest(range(26 * 17)) AS INTEGER) AS c)),
-q AS (SELECT *, u - (xbin + 0.5e0) AS dx, w - (ybin + 0.5e0) AS dy, 25.5e0 - (xbin + 0.5e0) AS gx, 8.5e0 - (ybin + 0.5e0) AS gy FROM g),
+@query(f"""WITH {A.CARRIER}, k AS (SELECT {FRAME}, trunc(least(103e0, greatest(0e0, (bx + 52.5e0) / 105e0 * 104))) + 0.5e0 AS u, trunc(least(67e0, greatest(0e0, 68 - (by_ + 34e0) / 68e0 * 68))) + 0.5e0 AS w FROM car WHERE is_ball_carrier),
+g AS (SELECT k.*, c % 104 AS xbin, CAST(floor(c / 104) AS INTEGER) AS ybin FROM k, (SELECT CAST(unnest(range(104 * 68)) AS INTEGER) AS c)),
+q AS (SELECT *, u - (xbin + 0.5e0) AS dx, w - (ybin + 0.5e0) AS dy, 103.5e0 - (xbin + 0.5e0) AS gx, 34.5e0 - (ybin + 0.5e0) AS gy FROM g),
 r AS (SELECT *, sqrt(dx*dx+dy*dy) AS db, sqrt(gx*gx+gy*gy) AS dg FROM q),
-v AS (SELECT *, [db, dg, least(1e0, greatest(-1e0, (dx*gx+dy*gy)/(db+dg+1e-8))), least(1e0, greatest(-1e0, (gx*dy-gy*dx)/(db+dg+1e-8))), abs(atan2(gy, gx))] AS vs FROM r)
-SELECT {FRAME}, CAST(i + 9 AS INTEGER) AS channel, ybin, xbin, round(vs[i], 6) + 0e0 AS value FROM v, (SELECT unnest([1,2,3,4,5]) AS i)""")
+v AS (SELECT {FRAME}, xbin + 3 * ybin AS at_, [db, dg, least(1e0, greatest(-1e0, (dx*gx+dy*gy)/(db+dg+1e-8))), least(1e0, greatest(-1e0, (gx*dy-gy*dx)/(db+dg+1e-8))), abs(atan2(gy, gx))] AS vs FROM r)
+SELECT {FRAME}, CAST(i + 9 AS INTEGER) AS channel, count(*) AS n, round(avg(vs[i]), 6) + 0e0 AS mean, round(avg(vs[i] * at_), 5) + 0e0 AS placed FROM v, (SELECT unnest([1,2,3,4,5]) AS i) GROUP BY ALL""")
 def surface_planes(spark, d):
-    c = carriers(spark, d).withColumns({"bx": FR.ball("x"), "by": FR.ball("y")}).where(F.col("is_ball_carrier") & (F.col("frame_id") % 48 == 0))
-    out = rounded(FR.surface_planes(c.select(*FR.FRAME, "bx", "by"), 26, 17), "value")
-    return out.select(*FR.FRAME, *(F.col(k).cast("int").alias(k) for k in ("channel", "ybin", "xbin")), "value")
+    """Every carrier frame's planes on the whole grid, as each plane's mean and its mean weighted by place; surface_planes_full
+    has the cells."""
+    c = carriers(spark, d).withColumns({"bx": FR.ball("x"), "by": FR.ball("y")}).where("is_ball_carrier")
+    out = FR.surface_planes(c.select(*FR.FRAME, "bx", "by")).groupBy(*FR.FRAME, F.col("channel").cast("int").alias("channel"))
+    return rounded(rounded(out.agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.avg(F.col("value") * (F.col("xbin") + 3 * F.col("ybin"))).alias("placed")), "mean"), "placed", digits=5)
 
 
 @query()
 def surface_planes_full(spark, d):
-    """Every carrier frame on the whole 104 x 68 grid; surface_planes is a sample on a coarse grid that DuckDB can follow."""
+    """Every cell of every carrier frame's planes on the whole 104 x 68 grid."""
     c = carriers(spark, d).withColumns({"bx": FR.ball("x"), "by": FR.ball("y")}).where("is_ball_carrier")
     out = rounded(FR.surface_planes(c.select(*FR.FRAME, "bx", "by")), "value")
     return out.select(*FR.FRAME, *(F.col(k).cast("int").alias(k) for k in ("channel", "ybin", "xbin")), "value")
@@ -496,13 +498,16 @@ def matrix_pad(spark, d):
     return m.select("vec_id", "row_", F.posexplode("r").alias("col_", "v"))
 
 
-@query(f"WITH {A.EV}, a AS (SELECT user_id, d, list(value ORDER BY event_id) AS vs FROM ev GROUP BY ALL) SELECT user_id, d, CAST(len(vs) AS INTEGER) AS length, i AS k, coalesce(vs[i], 0e0) AS v FROM a, (SELECT unnest(range(1, 9)) AS i)")
+RAGGED = f"WITH {A.EV}, a AS (SELECT user_id, d, list(value ORDER BY event_id) AS vs FROM ev GROUP BY ALL) SELECT user_id, d, CAST(len(vs) AS INTEGER) AS length, i AS k, coalesce(vs[i], 0e0) AS v FROM a, (SELECT unnest(range(1, greatest(8, max(len(vs))) + 1)) AS i FROM a)"
+
+
+@query(RAGGED)
 def pad_ragged(spark, d):
-    """The first 8 places alone, as its SQL has them; pad_ragged_full has all."""
-    return pad_ragged_full(spark, d).where("k <= 8")
+    """All places of every array; the other name of pad_ragged_full."""
+    return pad_ragged_full(spark, d)
 
 
-@query(f"WITH {A.EV}, a AS (SELECT user_id, d, list(value ORDER BY event_id) AS vs FROM ev GROUP BY ALL) SELECT user_id, d, CAST(len(vs) AS INTEGER) AS length, i AS k, coalesce(vs[i], 0e0) AS v FROM a, (SELECT unnest(range(1, greatest(8, max(len(vs))) + 1)) AS i FROM a)")
+@query(RAGGED)
 def pad_ragged_full(spark, d):
     a = A.events(spark, d).groupBy("user_id", "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("vs"))
     return T.pad_ragged(a, "vs", 8).select("user_id", "d", "length", F.posexplode("vs").alias("k", "v")).withColumn("k", (F.col("k") + 1).cast("long"))
