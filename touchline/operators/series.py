@@ -19,8 +19,13 @@ def up_to(keys, *order):
     return along(keys, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def from_on(keys, *order):
-    return along(keys, *order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def next_known(col: str, window) -> Column:
+    """The first value of `col` at or after the row: in linear time, where a frame to the end is read anew for each row."""
+    return F.coalesce(F.col(col), F.expr(f"lead(`{col}`, 1) ignore nulls").over(window))
+
+
+def listed(x: str | list[str]) -> list[str]:
+    return [x] if isinstance(x, str) else list(x)
 
 
 def velocity(df: DataFrame, keys: list[str], order: str, col: str, out: str, per: float = 1.0) -> DataFrame:
@@ -36,65 +41,86 @@ def mask_outliers(df: DataFrame, size: str, most: float, cols: list[str]) -> Dat
     return df.withColumns({c: F.when(ok, F.col(c)) for c in cols})
 
 
-def interpolate(df: DataFrame, keys: list[str], order: str, col: str, out: str, both: bool = True) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds _row (from 1) and _rows, the series' length."""
+    return df.withColumns({"_row": F.row_number().over(along(keys, order)), "_rows": F.count("*").over(whole(keys, order))})
+
+
+def _interpolated(df: DataFrame, keys: list[str], order: str, cols: list[str], outs: list[str], both: bool) -> DataFrame:
+    df = df.withColumns({f"_k_{c}": F.when(F.col(c).isNotNull(), F.struct(F.col("_row").alias("n"), F.col(c).alias("v"))) for c in cols})
+    sides = {f"_a_{c}": F.last(f"_k_{c}", True).over(up_to(keys, order)) for c in cols} | {f"_b_{c}": next_known(f"_k_{c}", along(keys, order)) for c in cols}
+    df = df.withColumns(sides)
+
+    def value(c: str) -> Column:
+        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        inside = a["v"] + (b["v"] - a["v"]) * (F.col("_row") - a["n"]) / (b["n"] - a["n"])
+        return F.coalesce(F.col(c), inside, F.coalesce(a["v"], b["v"]) if both else a["v"])
+
+    return df.withColumns({o: value(c) for c, o in zip(cols, outs, strict=True)}).drop(*(f"_{x}_{c}" for c in cols for x in "kab"))
+
+
+def interpolate(df: DataFrame, keys: list[str], order: str, col: str | list[str], out: str | list[str], both: bool = True) -> DataFrame:
     """Linear by row position; the end is filled with the last value, the start with the first if `both`."""
-    at = F.row_number().over(along(keys, order))
-    df = df.withColumn("_n", at)
-    known = F.when(F.col(col).isNotNull(), F.struct(F.col("_n").alias("n"), F.col(col).alias("v")))
-    a, b = F.last(known, True).over(up_to(keys, order)), F.first(known, True).over(from_on(keys, order))
-    df = df.withColumns({"_a": a, "_b": b})
-    inside = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_n") - F.col("_a.n")) / (F.col("_b.n") - F.col("_a.n"))
-    ends = F.coalesce("_a.v", "_b.v") if both else F.col("_a.v")
-    return df.withColumn(out, F.coalesce(F.col(col), inside, ends)).drop("_n", "_a", "_b")
+    return _interpolated(numbered(df, keys, order), keys, order, listed(col), listed(out), both).drop("_row", "_rows")
+
+
+def _fitted(v: Column, at: Column, size: Column) -> Column:
+    """The value at row `at` of a series shorter than the window, smoothed with `size` rows (odd)."""
+    low = F.greatest(F.lit(1), F.least(at - F.floor(size / 2), F.size(v) - size + 1)).cast("int")
+    part, mid = F.slice(v, low, size.cast("int")), (size + 1) / 2
+    mean = F.aggregate(part, F.lit(0.0), lambda s, x: s + x) / size
+    rise = F.aggregate(F.transform(part, lambda x, j: (j + 1 - mid) * x), F.lit(0.0), lambda s, x: s + x) / (size * (size * size - 1) / 12)
+    return mean + rise * (at - low + 1 - mid)
+
+
+def _smoothed(df: DataFrame, keys: list[str], order: str, cols: list[str], outs: list[str], window: int) -> DataFrame:
+    if window < 3:
+        return df.withColumns({o: F.coalesce(F.col(c), F.lit(0.0)) for c, o in zip(cols, outs, strict=True)})
+    w, k = along(keys, order), window // 2
+    df = df.withColumns({f"_v_{c}": F.coalesce(F.col(c), F.lit(0.0)) for c in cols})
+    around = {f"_f_{c}": [(F.lead(f"_v_{c}", d).over(w), F.lag(f"_v_{c}", d).over(w)) for d in range(1, k + 1)] for c in cols}
+    squares = 2.0 * sum(d * d for d in range(1, k + 1))
+    fits = {f: F.struct((sum((b + a for b, a in ds), F.col(f.replace("_f_", "_v_", 1))) / window).alias("mean"), (sum((d * (b - a) for d, (b, a) in enumerate(ds, 1)), F.lit(0.0)) / squares).alias("slope")) for f, ds in around.items()}
+    short = {f"_s_{c}": F.collect_list(F.when(F.col("_rows") < window, F.col(f"_v_{c}"))).over(whole(keys, order)) for c in cols}
+    df = df.withColumns(fits | short)
+
+    def value(c: str) -> Column:
+        i, n, size = F.col("_row"), F.col("_rows"), F.col("_rows") - 1 + F.col("_rows") % 2
+        out = F.when(n < 3, F.col(f"_v_{c}")).when(n < window, _fitted(F.col(f"_s_{c}"), i, size))
+        for j in range(1, k + 1):  # the ends lie on the line of the first or last whole window, j rows from its middle
+            first, last = F.lead(f"_f_{c}", j).over(w), F.lag(f"_f_{c}", j).over(w)
+            out = out.when(i == k + 1 - j, first["mean"] - j * first["slope"]).when(i == n - k + j, last["mean"] + j * last["slope"])
+        return out.otherwise(F.col(f"_f_{c}")["mean"])
+
+    return df.withColumns({o: value(c) for c, o in zip(cols, outs, strict=True)}).drop(*(f"_{x}_{c}" for c in cols for x in "vfs"))
 
 
-def smooth(df: DataFrame, keys: list[str], order: str, col: str, out: str, window: int = 7) -> DataFrame:
+def smooth(df: DataFrame, keys: list[str], order: str, col: str | list[str], out: str | list[str], window: int = 7) -> DataFrame:
     """Savitzky-Golay of order 1: means inside, the end windows' fitted lines at the ends. A window longer than the series
     shrinks to the longest odd one; series too short for any stay as they are. Nulls count as 0."""
-    v = F.coalesce(F.col(col), F.lit(0.0))
-    df = df.withColumns({"_v": v, "_i": F.row_number().over(along(keys, order)).cast("double"), "_n": F.count("*").over(whole(keys, order))})
-    shown = F.col("_v")
-    for k in range(1, window // 2 + 1):
-        size = 2 * k + 1
-        mean = F.avg("_v").over(along(keys, order).rowsBetween(-k, k))
-
-        def line(low: Column, size=size):
-            i = F.col("_i") - low  # 1..size inside the window
-            there = (i >= 1) & (i <= size)
-            mid = (size + 1) / 2
-            avg = F.avg(F.when(there, F.col("_v"))).over(whole(keys, order))
-            slope = F.sum(F.when(there, (i - mid) * F.col("_v"))).over(whole(keys, order)) / F.lit(float(sum((j - mid) ** 2 for j in range(1, size + 1))))
-            return avg + slope * (i - mid)
-
-        head, tail = line(F.lit(0.0)), line(F.col("_n") - size)
-        fit = F.when(F.col("_i") <= k, head).when(F.col("_i") > F.col("_n") - k, tail).otherwise(mean)
-        used = F.col("_n") >= size if size == window else (F.col("_n") >= size) & (F.col("_n") < size + 2)
-        shown = F.when(used, fit).otherwise(shown)
-    return df.withColumn(out, shown).drop("_v", "_i", "_n")
+    return _smoothed(numbered(df, keys, order), keys, order, listed(col), listed(out), window).drop("_row", "_rows")
 
 
 def kinematics(df: DataFrame, keys: list[str], order: str, axes: list[str], most_speed: float, most_acceleration: float, window: int = 7, per: float = 1.0) -> DataFrame:
     """Positions to smoothed speed and acceleration: interpolate, differentiate, mask, interpolate, smooth, twice over.
     Adds v<axis>, a<axis>, v and a; v and a are cut to the limits after smoothing, their components are not."""
-    for a in axes:
-        df = interpolate(df, keys, order, a, a, both=False)
+    df = _interpolated(numbered(df, keys, order), keys, order, axes, axes, False)
     norm = lambda cols: F.sqrt(sum((F.col(c) * F.col(c) for c in cols[1:]), F.col(cols[0]) * F.col(cols[0])))
     for source, target, size, most in ((axes, [f"v{a}" for a in axes], "v", most_speed), ([f"v{a}" for a in axes], [f"a{a}" for a in axes], "a", most_acceleration)):
         for s, t in zip(source, target, strict=True):
             df = velocity(df, keys, order, s, t, per)
         df = mask_outliers(df.withColumn("_size", norm(target)), "_size", most, target).drop("_size")
-        for t in target:
-            df = smooth(interpolate(df, keys, order, t, t), keys, order, t, t, window)
+        df = _smoothed(_interpolated(df, keys, order, target, target, True), keys, order, target, target, window)
         df = df.withColumn(size, F.least(norm(target), F.lit(most)))
-    return df
+    return df.drop("_row", "_rows")
 
 
 def fill_forward(c: str | Column, keys, *order) -> Column:
     return F.last(c, True).over(up_to(keys, *order))
 
 
-def fill_backward(c: str | Column, keys, *order) -> Column:
-    return F.first(c, True).over(from_on(keys, *order))
+def fill_backward(c: str, keys, *order) -> Column:
+    return next_known(c, along(keys, *order))
 
 
 def fill_between(c: str, keys, *order) -> Column:
@@ -161,16 +187,19 @@ def resample(df: DataFrame, keys: list[str], t: str, v: str | list[str], step: i
     """Each series on the grid 0, step, ... up to its largest t: the columns `v` interpolated between their samples (linear
     or pchip), `fill` carried forward. Rows of the grid before the first sample, or without any value, are dropped. Of samples
     at one time the first in the order of `first_by` counts, by default in that of the values, nulls last."""
-    vs, fill = [v] if isinstance(v, str) else v, fill or []
+    vs, fill = listed(v), fill or []
     order = [F.col(c).asc_nulls_last() for c in first_by or [*vs, *fill]]
     earlier = F.lag(t).over(Window.partitionBy(*keys).orderBy(t, *order))
     df = df.withColumn("_earlier", earlier).where(F.col("_earlier").isNull() | (F.col("_earlier") != F.col(t))).select(*keys, t, *vs, *fill)
     for c in vs:
         df = _pchip_slopes(df, keys, t, c).withColumnRenamed("_s", f"_s_{c}") if method == "pchip" else df.withColumn(f"_s_{c}", F.lit(0.0))
-    grid = df.groupBy(*keys).agg(F.max(t).alias("_top")).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_top"), F.lit(step).cast("long"))).alias(t))
-    rows = df.withColumn("_grid", F.lit(0)).unionByName(grid.withColumn("_grid", F.lit(1)), allowMissingColumns=True)
-    known = F.when(F.col("_grid") == 0, F.struct(F.col(t).alias("t"), *(F.struct(F.col(c).alias("v"), F.col(f"_s_{c}").alias("s")).alias(c) for c in vs)))
-    rows = rows.withColumns({"_a": F.last(known, True).over(up_to(keys, t, "_grid")), "_b": F.first(known, True).over(along(keys, F.col(t), F.col("_grid").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)), **{c: fill_forward(c, keys, t, "_grid") for c in fill}})
+    one = F.struct(F.col(t).alias("t"), *(F.struct(F.col(c).alias("v"), F.col(f"_s_{c}").alias("s")).alias(c) for c in vs))
+    df = df.withColumns({c: fill_forward(c, keys, t) for c in fill} | {"_a": one}).withColumn("_b", F.lead("_a").over(along(keys, t)))
+    # each sample makes the grid's steps from its own time up to the next one's
+    first = F.greatest(F.lit(0), F.ceil(F.col(t) / step)).cast("long") * step
+    last = F.coalesce(F.col("_b.t") - 1, F.col(t)).cast("long")
+    steps = F.when(first <= last, F.sequence(first, last, F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    rows = df.select(*keys, F.explode(steps).alias(t), "_a", "_b", *fill)
     a, b = F.col("_a"), F.col("_b")
     h = (b["t"] - a["t"]).cast("double")
     u = (F.col(t) - a["t"]) / h
@@ -183,5 +212,5 @@ def resample(df: DataFrame, keys: list[str], t: str, v: str | list[str], step: i
             inside = p + (q - p) * u
         return F.when(a["t"] == F.col(t), p).otherwise(inside)
 
-    out = rows.where("_grid = 1").select(*keys, t, *(value(c).alias(c) for c in vs), *fill)
+    out = rows.select(*keys, t, *(value(c).alias(c) for c in vs), *fill)
     return out.where(F.coalesce(*vs).isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .series import along, from_on, up_to
+from .series import along, next_known, up_to
 
 
 def _both(left: DataFrame, right: DataFrame, keys: list[str], t: str, cols: list[str]) -> DataFrame:
@@ -19,7 +19,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, cols: list
     rows = _both(left, right, keys, t, cols)
     tie = [F.col(f"_r.{c}") for c in order or []]
     back = F.last("_r", True).over(Window.partitionBy(*keys).orderBy(t, "_side", *tie).rowsBetween(Window.unboundedPreceding, 0))
-    fore = F.first("_r", True).over(Window.partitionBy(*keys).orderBy(F.col(t), F.col("_side").desc(), *tie).rowsBetween(0, Window.unboundedFollowing))
+    fore = next_known("_r", Window.partitionBy(*keys).orderBy(F.col(t), F.col("_side").desc(), *tie))
     if how == "backward":
         rows = rows.withColumn("_m", back)
     elif how == "forward":
@@ -60,4 +60,4 @@ def first_in_next_rows(df: DataFrame, keys: list[str], order: list[str], n: int,
     return F.get(F.filter(ahead, wanted), F.lit(0))[col]
 
 
-__all__ = ["as_of", "as_of_filled", "first_in_next_rows", "followed_by", "from_on", "trailing"]
+__all__ = ["as_of", "as_of_filled", "first_in_next_rows", "followed_by", "trailing"]
