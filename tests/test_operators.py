@@ -277,7 +277,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "frames.jsonl").write_text(json.dumps(f) + "\n\nbroken{\n" + json.dumps(f | {"ball_state": None, "frame_index": 2}) + "\n")
     rows, bad = readers.json_lines(spark, str(tmp_path / "frames.jsonl"), readers.FRAMES)
     assert (rows.count(), bad.count()) == (2, 1)
-    t = {(r.frame_id, r.id): r for r in readers.tracking_frames(rows, sheet, "g").collect()}
+    t = {(r.frame_id, r.id): r for r in readers.tracking_frames(rows, sheet).collect()}
     assert t[1, "ball"].ball_owning_team_id == "20" and t[1, "1"].team_id == "10" and t[2, "1"].ball_state == "dead" and t[1, "1"].timestamp == 40000
     ev = lambda k: {"data": [{"event_id": k, "period_order": k, "event_time": 5, "events": [{"event_name": "Passes", "property": {"Type": "x"}}]}]}
     for k in (1, 2):
@@ -285,18 +285,53 @@ def test_readers(spark, tmp_path):
     assert readers.event_halves(spark, str(tmp_path)).count() == 2
 
 
+def test_many_matches_at_once(spark, tmp_path):
+    for game, home in (("m1", "10"), ("m2", "30")):
+        (tmp_path / game).mkdir()
+        team = lambda t, p: {"team_id": t, "team_name": t, "players": [{"full_name_en": p, "initial_position_name": "GK", "shirt_number": 1, "player_id": p}]}
+        (tmp_path / game / "meta.json").write_text(json.dumps({"ground_width": 105.0, "ground_height": 68.0, "home_team": team(home, "p"), "away_team": team("20", "q")}))
+        (tmp_path / game / "frames.jsonl").write_text(json.dumps({"period_order": 0, "match_time": 40, "frame_index": 1, "ball_state": "home", "players": [{"object": "p", "player_id": "p", "x": 1.0, "y": 2.0, "speed": 0.5}], "balls": []}) + "\n")
+    sheet = readers.team_sheet(readers.meta_data(spark, str(tmp_path / "*" / "meta.json")))
+    t = readers.tracking_frames(readers.json_lines(spark, str(tmp_path / "*" / "frames.jsonl"), readers.FRAMES)[0], sheet)
+    assert sorted((r.game_id, r.team_id, r.ball_owning_team_id) for r in t.collect()) == [("m1", "10", "10"), ("m2", "30", "30")]
+
+
+def test_smoothing_and_series_of_any_length(spark):
+    import numpy as np
+
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 12):
+        v = [float((7 * i * i + 3 * i) % 11) for i in range(n)]
+        got = [r.s for r in R.smooth(spark.createDataFrame([(1, i, x) for i, x in enumerate(v)], "k int, t int, v double"), ["k"], "t", "v", "s", 7).orderBy("t").collect()]
+        size = min(7, n - 1 + n % 2)
+        for i in range(n):
+            low = max(0, min(i - size // 2, n - size))
+            want = v[i] if n < 3 else np.polyval(np.polyfit(range(low, low + size), v[low : low + size], 1), i)
+            assert abs(got[i] - want) < 1e-9
+    long = spark.range(200_000).select(F.lit(1).alias("k"), "id", F.when(F.col("id") % 1000 == 0, F.col("id").cast("double")).alias("v"))  # in linear time
+    r = R.interpolate(long, ["k"], "id", "v", "w").agg(F.max(F.abs(F.col("w") - F.least("id", F.lit(199_000)))).alias("off")).first()
+    assert r.off < 1e-6
+
+
 def test_xml(spark, tmp_path):
-    (tmp_path / "e.xml").write_text('<P><Event EventId="1" EventTime="2023-05-01T15:00:00"><KickOff GameSection="firstHalf" Team="T"/></Event><Event EventId="2" EventTime="2023-05-01T15:01:05"><Substitution Team="T" PlayerIn="i" PlayerOut="o"/></Event></P>')
-    e = readers.event_xml(spark, str(tmp_path / "e.xml"))
-    assert sorted((r.eID, r.pID) for r in e.collect() if r.pID) == [("Substitution_In", "i"), ("Substitution_Out", "o")]
-    k = spark.createDataFrame([("firstHalf", "2023-05-01 15:00:00", "2023-05-01 15:45:00")], "segment string, a string, b string").select("segment", F.to_timestamp("a").alias("start"), F.to_timestamp("b").alias("stop"))
-    got = readers.segmented(e.drop("qualifier").distinct(), k).where("event_id = '2'").first()
-    assert (got.segment, got.gameclock, got.minute, got.second) == ("firstHalf", 65.0, 1, 5)
+    events = ["""<Event EventId="1" MatchId="M" EventTime="2023-05-01T15:00:00"><KickOff GameSection="firstHalf" Team="T"><Play Team="T" Player="k" Evaluation="successfullyCompleted"><Pass/></Play></KickOff></Event>""", """<Event EventId="9" EventTime="2023-05-01T15:00:30"/><Event EventId="2" MatchId="M" EventTime="2023-05-01T15:01:05">\n  <Substitution Team="T" PlayerIn="i" PlayerOut="o&amp;&gt;"/></Event>"""]
+    events += ["""<Event EventId="3" MatchId="M" EventTime="2023-05-01T15:02:00"><Play Team="U" Player="u" Evaluation="unsuccessful"/></Event>""", """<Event EventId="4" MatchId="M" EventTime="2023-05-01T15:03:00"><OutOfPlay/></Event>""", """<Event EventId="5" MatchId="M" EventTime="2023-05-01T15:45:00"><FinalWhistle GameSection="firstHalf"/></Event>"""]
+    (tmp_path / "e.xml").write_text("<P>" + "".join(events) + "</P>")
+    (tmp_path / "f.xml").write_text("<P>" + "".join(events).replace('"M"', '"N"').replace("T15", "T18") + "</P>")
+    e = readers.event_xml(spark, str(tmp_path / "[ef].xml"))
+    mine = sorted((r.event_id, r.eID, r.pID or "", r.outcome) for r in e.where("game_id = 'M'").collect())
+    assert mine == [("1", "KickOff_Play_Pass", "k", 1), ("2", "InSubstitution", "i", None), ("2", "OutSubstitution", "o&>", None), ("3", "Play", "u", 0), ("4", "OutOfPlay", "", None), ("5", "FinalWhistle", "", None)]
+    k = readers.segments(e)
+    assert sorted((r.game_id, r.segment, r.start.minute, r.stop.minute) for r in k.collect()) == [("M", "firstHalf", 0, 45), ("N", "firstHalf", 0, 45)]
+    timed = readers.segmented(e, k)
+    got = timed.where("event_id = '2' and game_id = 'N'").first()
+    assert (got.segment, got.gameclock, got.minute, got.second, got.qualifier["PlayerIn"]) == ("firstHalf", 65.0, 1, 5, "i")
+    assert sorted((r.event_id, r.team) for r in readers.by_team(timed).where("game_id = 'M' and tID is null").collect()) == [("4", "T"), ("4", "U"), ("5", "T"), ("5", "U")]
     (tmp_path / "p.xml").write_text('<P><FrameSet GameSection="firstHalf" TeamId="BALL" PersonId="x"><Frame N="1" T="2023-05-01T15:00:00" X="1.0" Y="2.0" Z="0.1" D="0" S="3.0" BallStatus="1" BallPossession="2"/></FrameSet></P>')
     r = readers.position_xml(spark, str(tmp_path / "p.xml")).first()
     assert (r.id, r.x, r.ball_state, r.ball_owner) == ("ball", 1.0, "alive", "away")
     (tmp_path / "i.xml").write_text('<P><General MatchId="7"/><Environment PitchX="105"/></P>')
     assert {(r.section, r.key, r.value) for r in readers.match_info_xml(spark, str(tmp_path / "i.xml")).collect()} == {("General", "MatchId", "7"), ("Environment", "PitchX", "105")}
+    assert {r.game_id for r in readers.match_info_xml(spark, str(tmp_path / "i.xml")).collect()} == {"7"}
 
 
 def test_sinks(spark, tmp_path):
