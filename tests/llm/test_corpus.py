@@ -419,6 +419,20 @@ def test_quality_thresholds_follow_the_group(spark):
     assert all(got[i] for i in range(600)) and not got[600]
 
 
+def test_quality_lets_one_line_repeat(spark):
+    """A header that is also the footer is kept in a group without repeats; a second such line, or a long one, is not."""
+    words = lambda i, a, b: " ".join(f"w{i}x{k}" for k in range(a, b))
+    rows = [(i, words(i, 0, 120)) for i in range(200)]
+    rows += [(200, "\n".join([words(0, 0, 13), words(200, 20, 110), words(0, 0, 13)]))]
+    rows += [(201, "\n".join([words(0, 0, 13), words(201, 20, 50), words(201, 0, 12), words(0, 0, 13), words(201, 0, 12)]))]
+    rows += [(202, "\n".join([words(0, 0, 30), words(202, 30, 190), words(0, 0, 30)]))]
+    rows += [(203, "\n".join([words(0, 0, 36), words(203, 40, 220), words(0, 0, 36)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    got = {r.doc_id: r["_quality_kept"] for r in quality.quality_rules(docs, ["doc_id"]).collect()}
+    assert all(got[i] for i in range(201)) and not got[201]
+    assert got[202] and not got[203]  # 28 and 40 words of 220 and 252 are counted: under and over 15 in 100
+
+
 def test_token_counts(spark, where):
     import tiktoken
 

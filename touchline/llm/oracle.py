@@ -6,7 +6,7 @@ or hash; the tests hold them against brute force, round trips or held-out labels
 
 from __future__ import annotations
 
-from .quality import FENCE, MIN_GROUP, SLACK
+from .quality import FENCE, FREE_LINES, FREE_WORDS, MIN_GROUP, SLACK
 
 _BIN = "CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) + 32 * (length(bin(v)) - 6) END"
 _EDGE = "CASE WHEN b < 64 THEN b ELSE (b - 32 * (b // 32 - 1)) << (b // 32 - 1) END"
@@ -26,8 +26,8 @@ li AS (SELECT rn, count(*) AS n, count(DISTINCT l) AS k FROM (SELECT rn, unnest(
 m AS (SELECT d.rn, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(array_to_string(w, '')) - length(regexp_replace(array_to_string(w, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
  coalesce(li.n, 0) AS n_lines, coalesce(li.n - li.k, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN li ON li.rn = d.rn LEFT JOIN rep ON rep.rn = d.rn),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-v AS (SELECT rn, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'word_chars']) AS metric, unnest([CASE WHEN word_chars > 0 THEN n_symbols * 10000 // word_chars ELSE 0 END, CASE WHEN n_lines > 0 THEN n_dup_lines * 10000 // n_lines ELSE 0 END,
- CASE WHEN n_words > 0 THEN n_repeat_words * 10000 // n_words ELSE 0 END, CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END]) AS v FROM f),
+v AS (SELECT rn, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'word_chars']) AS metric, unnest([CASE WHEN word_chars > 0 THEN n_symbols * 10000 // word_chars ELSE 0 END, CASE WHEN n_lines > 0 THEN greatest(n_dup_lines - {FREE_LINES}, 0) * 10000 // n_lines ELSE 0 END,
+ CASE WHEN n_words > 0 THEN greatest(n_repeat_words - {FREE_WORDS}, 0) * 10000 // n_words ELSE 0 END, CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END]) AS v FROM f),
 bins AS (SELECT lang, source, metric, {_BIN} AS b FROM v WHERE NOT base_failed),
 own AS ({_quartiles("lang, source")}), la AS ({_quartiles("lang")}), ev AS ({_quartiles("")}),
 q AS (SELECT own.lang, own.source, own.metric, CASE WHEN own.size >= {MIN_GROUP} THEN own.q1 WHEN la.size >= {MIN_GROUP} THEN la.q1 ELSE ev.q1 END AS q1, CASE WHEN own.size >= {MIN_GROUP} THEN own.q3 WHEN la.size >= {MIN_GROUP} THEN la.q3 ELSE ev.q3 END AS q3

@@ -6,7 +6,8 @@ upwards: groups of fewer than `min_group` documents use the sketch of their lang
 
 Null texts count as empty. Null languages and sources form groups of their own. Repeated rows are judged alike. An
 empty table gives an empty result. Columns other than doc_id, text, lang and source are ignored or carried untouched, but
-for names that start with _quality_. A value equal to its bound is kept. Long texts are measured whole in their row; the
+for names that start with _quality_. A value equal to its bound is kept. The fixed rules count every repeat, the sketches
+those beyond one repeated line (FREE_LINES, FREE_WORDS). Long texts are measured whole in their row; the
 windows of one are sorted only if some repeat.
 """
 
@@ -22,6 +23,9 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Metric: what a value may differ from the quartiles in any group (per 10 000; word length in hundredths).
 SLACK = {"symbols": 500, "dup_lines": 3000, "repeats": 1500, "word_chars": 250}
+#: One line that opens a text and closes it again is no fault: what a text may repeat before its shares are counted.
+FREE_LINES = 1
+FREE_WORDS = 2 * 16
 FENCE = 3
 MIN_GROUP = 100
 METRICS = list(SLACK)
@@ -64,8 +68,8 @@ def _values() -> list[Column]:
     per = lambda a, b, k: F.when(b > 0, F.floor(a * k / b)).otherwise(0).cast("long")
     return [
         per(m["n_symbols"], m["word_chars"], 10_000).alias("symbols"),
-        per(m["n_dup_lines"], m["n_lines"], 10_000).alias("dup_lines"),
-        per(m["n_repeat_words"], m["n_words"], 10_000).alias("repeats"),
+        per(F.greatest(m["n_dup_lines"] - FREE_LINES, F.lit(0)), m["n_lines"], 10_000).alias("dup_lines"),
+        per(F.greatest(m["n_repeat_words"] - FREE_WORDS, F.lit(0)), m["n_words"], 10_000).alias("repeats"),
         per(m["word_chars"], m["n_words"], 100).alias("word_chars"),
     ]
 
