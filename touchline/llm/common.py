@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A word is a maximal run of anything but these six white-space characters.
 SPACES = " \t\n\x0b\x0c\r"
@@ -141,3 +141,20 @@ def slices(batches, rows: int = 1000):
 def key_hash(text: Column) -> Column:
     """Tells rows apart that share a doc_id; equal rows stay equal."""
     return F.xxhash64(F.coalesce(text, F.lit("\x00null")))
+
+
+def text_runs(pdf, chars: int = 2_000_000):
+    """A pandas batch cut after every so many characters of its texts, whole texts at a time."""
+    upto = pdf["text"].str.len().fillna(0).cumsum() // chars
+    for _, part in pdf.groupby(upto.astype("int64"), sort=False):
+        yield part
+
+
+def top_rows(rows: DataFrame, by: str, order: list[Column], most: int, name: str = "rank") -> DataFrame:
+    """The first `most` rows of each value of `by` in the given order, numbered from 1: a large group is cut down in many
+    parts by a digest of the row, then in fewer, so that no task sorts more than `most` rows of some parts."""
+    digest = F.xxhash64(*rows.columns)
+    for parts in (4096, 64):
+        w = Window.partitionBy(by, "_part").orderBy(*order)
+        rows = rows.withColumn("_part", F.pmod(digest, F.lit(parts))).withColumn(name, F.row_number().over(w)).where(F.col(name) <= most).drop("_part", name)
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(name) <= most)

@@ -93,4 +93,36 @@ r1 AS (SELECT *, CASE WHEN lam >= 1 THEN 0e0 ELSE (u / (1 - u)) / (lam / (1 - la
 r2 AS (SELECT rn, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id NULLS FIRST, size, rn ROWS UNBOUNDED PRECEDING) - size / 2e0 AS mid FROM r1 WHERE size > 0)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN (whole + CASE WHEN room > 0 AND mid <= room THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken FROM r1 LEFT JOIN r2 USING (rn)"""
 
-ORACLE_SQL = {"op5_quality_rules": QUALITY, "op7_url_filter": URLS, "op8_mix_sources": MIX, "op10_decontaminate": LEAKS}
+_LOWER = "translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+COLLOCATIONS = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format(t="text")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, s, unnest(list_transform(range(1, len(w) - s + 2), lambda i: array_to_string(w[i : i + s - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS s)),
+f AS (SELECT lang, s, phrase, count(*) AS c FROM g GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE s = 1 GROUP BY lang),
+c AS (SELECT lang, s, phrase, c AS a, string_split(phrase, ' ') AS x FROM f WHERE s > 1 AND c >= 10),
+k AS (SELECT *, unnest(range(1, s)) AS k FROM c),
+v AS (SELECT k.*, l.c AS l, r.c AS r, (1000000::HUGEINT * a * a) // (l.c::HUGEINT * r.c) AS score FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(x[1 : k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(x[k + 1 :], ' ')),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, phrase, max(a) AS around FROM (SELECT lang, a, unnest([array_to_string(x[1 : 2], ' '), array_to_string(x[2 : 3], ' ')]) AS phrase FROM c WHERE s = 3) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM b JOIN t ON t.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase AND b.s = 2 WHERE coalesce(100 * around < 50 * a, true) QUALIFY rank <= 2000"""
+
+#: All pairs; the forest of the query finds a pair at the threshold with the recall it is built for.
+VECTORS = """WITH RECURSIVE e AS (SELECT row_number() OVER () AS rn, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (SELECT * FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT x.rn AS a, y.rn AS b FROM g x JOIN g y ON x.rn <> y.rn AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
+r AS (SELECT rn AS root, rn AS at_ FROM e UNION SELECT root, b FROM r JOIN l ON at_ = a),
+c AS (SELECT root, min(vec_id) AS component_id FROM r JOIN e ON e.rn = at_ GROUP BY root)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = e.rn) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM e JOIN c ON c.root = e.rn"""
+
+_TERMS = f"regexp_extract_all({_LOWER.format(t='text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+LEXICAL = f"""WITH d AS (SELECT * FROM (SELECT row_number() OVER () AS rn, doc_id, {_TERMS} AS t FROM documents) WHERE len(t) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d),
+tf AS (SELECT rn, term, count(*) AS tf FROM (SELECT rn, unnest(t) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term, docs),
+q AS (SELECT item, item_id, term, count(*) AS often FROM (SELECT item, item_id, unnest(t) AS term FROM (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS t FROM benchmark)) GROUP BY ALL),
+m AS (SELECT rn, doc_id, 100 - 25 + ((25 * len(t) * docs) // total) AS m FROM d, s),
+z AS (SELECT item, item_id, rn, doc_id, CAST(sum(often * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN m USING (rn) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM z WHERE score > 0 QUALIFY rank <= 20"""
+
+ORACLE_SQL = {"op5_quality_rules": QUALITY, "op7_url_filter": URLS, "op8_mix_sources": MIX, "op10_decontaminate": LEAKS, "op11_collocations": COLLOCATIONS, "op12_embedding_near_dedup": VECTORS, "op13_lexical_search": LEXICAL}
