@@ -31,7 +31,9 @@ from .common import forget, join_small, materialise, table
 from .graph import connected_components
 
 SIMILARITY, RECALL = 0.95, 0.9999
-LEAF, FIT_ROWS, LEVELS, ROUNDS = 512, 2048, 7, 12
+LEAF, FIT_ROWS, LEVELS, ROUNDS = 1024, 8192, 9, 12
+#: About so many vectors of a node are routed at a time.
+ROUTED = 16_384
 #: Half the overlap around a split, in standard deviations of the difference that a linked pair has along a direction.
 SPILL = 0.5
 #: A split of which a child keeps more than this share of its parent is no split; so many directions are tried.
@@ -152,39 +154,39 @@ def grow(classes: DataFrame, kind: str, trees: int, similarity: float, spill: fl
     def fitted(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         node, n, length = (int(k) for k in key)
         at, which = fit(units(pdf["vec"], kind), node, n, margin(length, similarity, spill), directions(length))
-        return pd.DataFrame({"node": [node], "at": [at], "which": [which]})
+        return pd.DataFrame({"node": [node], "n": [n], "at": [at], "which": [which]})
 
-    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pools: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for (node, length), mine in pdf.groupby(["node", "length"], sort=False):
-                if length not in pools:
-                    pools[length] = directions(length)
-                first = mine.iloc[0]
-                where, place = route(units(mine["vec"], kind), first["at"], first["which"], margin(length, similarity, spill), pools[length])
-                out = mine[columns].iloc[where].copy()
-                out["node"] = child(np.full(len(place), node), place)
-                yield out
+    def routed(mine: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(model):
+            return mine[[*columns, "node"]].iloc[:0]
+        node, length = int(mine["node"].iloc[0]), int(mine["length"].iloc[0])
+        where, place = route(units(mine["vec"], kind), model["at"].iloc[0], model["which"].iloc[0], margin(length, similarity, spill), directions(length))
+        out = mine[columns].iloc[where].copy()
+        out["node"] = child(np.full(len(place), node), place)
+        return out
 
     def closed(rows: DataFrame) -> DataFrame:
         return rows.select(F.col("node").alias("leaf"), "n", *columns)
 
     for _ in range(ROUNDS):
-        counts = rows.groupBy("node").agg(F.count("*").alias("n"))
-        big = materialise(counts.where(F.col("n") > LEAF), "big")
-        chance = F.pmod(F.xxhash64("cls", "node"), F.lit(1 << 30)) < F.lit(float((1 << 30) * FIT_ROWS)) / F.col("n")
+        counts = materialise(rows.groupBy("node").agg(F.count("*").alias("n")), "counts")
+        big = counts.where(F.col("n") > LEAF)
+        if big.isEmpty():
+            last = closed(join_small(rows, counts, "node", "inner"))
+            return last if done is None else done.unionByName(last)
+        chance = F.pmod(F.xxhash64("vec", "node"), F.lit(1 << 30)) < F.lit(float((1 << 30) * FIT_ROWS)) / F.col("n")
         sample = join_small(rows, big, "node", "inner").where(chance)
-        model = materialise(sample.groupBy("node", "n", "length").applyInPandas(fitted, "node long, at array<double>, which array<int>"), "splits")
-        splits = model.where(~F.isnan(F.col("at")[0]))
-        # counts beside rows by shuffle: they may be as many as there are leaves
-        left = rows.join(splits.select("node"), "node", "left_anti")
-        left = materialise(closed(left.join(counts, "node")), "leaves")
+        model = materialise(sample.groupBy("node", "n", "length").applyInPandas(fitted, "node long, n long, at array<double>, which array<int>"), "splits")
+        splits = model.where(~F.isnan(F.col("at")[0])).withColumn("parts", F.ceil(F.col("n") / ROUTED).cast("int"))
+        keys = materialise(splits.select("node", "parts"), "splits")
+        left = materialise(closed(join_small(join_small(rows, keys.select("node"), "node", "left_anti"), counts, "node", "inner")), "leaves")
         done = left if done is None else done.unionByName(left)
-        new = materialise(join_small(rows, materialise(splits, "splits"), "node", "inner").mapInPandas(routed, schema), "nodes")
+        # a node's vectors in parts, each beside the node's splits: these may be many in a late round, and are never broadcast
+        dealt = join_small(rows, keys, "node", "inner").withColumn("part", F.pmod(F.xxhash64("cls"), "parts"))
+        beside = splits.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).select("node", "part", "at", "which")
+        new = materialise(dealt.select(*columns, "node", "part").groupBy("node", "part").cogroup(beside.groupBy("node", "part")).applyInPandas(routed, schema), "nodes")
         forget(rows)
         rows = new
-        if rows.isEmpty():
-            return done
     return done.unionByName(closed(rows.join(rows.groupBy("node").agg(F.count("*").alias("n")), "node")))
 
 
