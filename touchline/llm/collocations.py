@@ -18,10 +18,11 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ascii_lower, is_small, join_small, materialise, table, text_runs, top_rows
@@ -32,7 +33,7 @@ COVERED = 50
 MOST_SHIPPED, SHIPPED_BYTES = 1_000_000, 24 << 20
 #: Distinct words or codes that a task counts before it passes their counts on.
 MOST_COUNTED = 300_000
-MOST_CODES = 2_000_000
+MOST_CODES = 1_000_000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Bytes as the cut sees them: A-Z lower-cased, tabs as blanks, and every break as a full stop, which no word holds.
 SEEN = bytes(46 if c in BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -63,7 +64,8 @@ def word_table(docs: DataFrame) -> DataFrame:
         def flush() -> Iterator[pd.DataFrame]:
             for lang, found in counts.items():
                 found.pop(b".", None)
-                yield pd.DataFrame({"lang": lang, "phrase": [w.decode() for w in found], "c": list(found.values())})
+                if found:
+                    yield pd.DataFrame({"lang": [lang] * len(found), "phrase": [w.decode() for w in found], "c": list(found.values())})
             counts.clear()
 
         for lang, words in by_lang(batches):
@@ -75,29 +77,44 @@ def word_table(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "lang string, phrase string, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
 
 
-class Level:
-    """A frequent level as the tasks need it, on the driver: words by number, or the sorted codes of phrases."""
+class Words:
+    """The frequent words as the tasks need them: one Arrow array by lang and word, and where each lang's part begins. A word's
+    number is its place."""
 
-    def __init__(self, rows: DataFrame, first: bool):
-        found = rows.select(*(("lang", "phrase") if first else ("code",))).toArrow()  # checked by is_small()
-        self.words = sorted(zip(found["lang"].to_pylist(), found["phrase"].to_pylist(), strict=True)) if first else None
-        self.codes = None if first else np.sort(found["code"].to_numpy())
+    def __init__(self, rows: DataFrame):
+        found = rows.select("lang", "phrase").toArrow().sort_by([("lang", "ascending"), ("phrase", "ascending")])  # checked by is_small()
+        self.words = found["phrase"].cast(pa.large_binary()).combine_chunks()
+        langs = pc.run_end_encode(found["lang"].combine_chunks()) if len(found) else None
+        self.langs = langs.values.to_pylist() if langs else []
+        self.ends = np.array(langs.run_ends.to_pylist() if langs else [], np.int64)
 
-    def known(self) -> dict[str, dict[bytes, int]]:
-        out: dict[str, dict[bytes, int]] = defaultdict(dict)
-        for k, (lang, word) in enumerate(self.words):
-            out[lang][word.encode()] = k
-        return dict(out)
+    def numbers(self, lang: str, words: list[bytes]) -> np.ndarray:
+        """The number of each word, or -1."""
+        if lang not in self.langs:
+            return np.full(len(words), -1, np.int32)
+        k = self.langs.index(lang)
+        first = int(self.ends[k - 1]) if k else 0
+        at = pc.index_in(pa.array(words, pa.large_binary()), value_set=self.words.slice(first, int(self.ends[k]) - first))
+        return pc.fill_null(pc.add(at, pa.scalar(first, pa.int32())), -1).to_numpy(zero_copy_only=False)
 
+    def spelled(self, numbers: np.ndarray) -> tuple[list[str], pa.Array]:
+        """Lang and phrase of each row of numbers."""
+        parts = [self.words.take(pa.array(col)).cast(pa.large_string()) for col in numbers.T]
+        phrases = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
+        return [self.langs[k] for k in np.searchsorted(self.ends, numbers[:, 0], side="right")], phrases
 
-def numbered(docs: DataFrame, level: Level) -> DataFrame:
+
+def sorted_codes(rows: DataFrame) -> np.ndarray:
+    return np.sort(rows.select("code").toArrow()["code"].to_numpy())  # checked by is_small()
+
+
+def numbered(docs: DataFrame, words: Words) -> DataFrame:
     """ids: 32-bit numbers of the frequent words of some texts in order, with one -1 wherever a phrase cannot go on. Written."""
-    shared = docs.sparkSession.sparkContext.broadcast(level.known())
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for lang, words in by_lang(batches):
-            get = shared.value.get(lang, {}).get
-            ids = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
+        for lang, found in by_lang(batches):
+            ids = shared.value.numbers(lang, found)
             ids = ids[(ids >= 0) | (np.concatenate(([-1], ids[:-1])) >= 0)]
             yield pd.DataFrame({"ids": [ids.tobytes()]})
 
@@ -156,7 +173,7 @@ def code_table(ids: DataFrame, tables: list[np.ndarray], least: int) -> DataFram
     return materialise(ids.mapInPandas(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).where(F.col("c") >= least), "level")
 
 
-def spelled(rows: DataFrame, words: list[tuple[str, str]], tables: list[np.ndarray]) -> DataFrame:
+def spelled(rows: DataFrame, words: Words, tables: list[np.ndarray]) -> DataFrame:
     """code, c -> lang, phrase, c. tables: the codes of the levels below."""
     shared = rows.sparkSession.sparkContext.broadcast((words, tables))
 
@@ -170,8 +187,8 @@ def spelled(rows: DataFrame, words: list[tuple[str, str]], tables: list[np.ndarr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, tables = shared.value
         for pdf in batches:
-            found = numbers(pdf["code"].to_numpy(), tables).tolist()
-            yield pd.DataFrame({"lang": [words[r[0]][0] for r in found], "phrase": [" ".join([words[i][1] for i in r]) for r in found], "c": pdf["c"]})
+            langs, phrases = words.spelled(numbers(pdf["code"].to_numpy(), tables))
+            yield pd.DataFrame({"lang": langs, "phrase": phrases.to_pylist(), "c": pdf["c"]})
 
     return rows.mapInPandas(run, "lang string, phrase string, c long")
 
@@ -202,15 +219,15 @@ def level_tables(docs: DataFrame, words: DataFrame, longest: int, least: int, mo
     for size in range(2, longest + 1):
         if shipped and size > 2:
             shipped = is_small(level, most, SHIPPED_BYTES)
-            tables = [*tables, Level(level, False).codes] if shipped else tables
+            tables = [*tables, sorted_codes(level)] if shipped else tables
         if not shipped:
             out.append(materialise(counted_by_shuffle(docs, out[-1], size, least), "level"))
             continue
         if ids is None:
-            first = Level(out[0], True)
+            first = Words(out[0])
             ids = numbered(docs, first)
         level = code_table(ids, tables, least)
-        out.append(materialise(spelled(level, first.words, tables), "level"))
+        out.append(materialise(spelled(level, first, tables), "level"))
     return out
 
 
