@@ -26,7 +26,10 @@ WINDOW = 10
 LISTS = 3
 LIST_RATIO = 20
 SLOP = 3
+#: Windows of one anchor that stand in a row of the anchor table.
+ANCHORED = 256
 COPIES = 100_000
+MOST_PARTS = 10_000
 KEY = ["_id", "_hash"]
 
 
@@ -58,10 +61,12 @@ def same(prefix: str) -> list[Column]:
 
 
 def repeated(rows: DataFrame, again: DataFrame) -> DataFrame:
-    """Rows by key, each as often as the documents repeat it: COPIES at a time, so that many copies are many tasks' work."""
+    """Rows by key, each as often as the documents repeat it: COPIES at a time, so that many copies are many tasks' work (a
+    number of tasks, which AQE does not coalesce)."""
     more = join_small(rows, again, same("r"), "inner")
     more = more.select(*rows.columns, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("from"))
-    more = more.repartition("from", *KEY).select(*rows.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("from")))))
+    parts = max(1, int(again.agg(F.coalesce(F.sum(F.ceil(F.col("n") / COPIES)), F.lit(1))).first()[0]))
+    more = more.repartition(min(MOST_PARTS, parts), "from", *KEY).select(*rows.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("from")))))
     return join_small(rows, again, same("r"), "left_anti").unionByName(more.select(*rows.columns))
 
 
@@ -113,14 +118,16 @@ def may_miss(words: Column) -> Column:
 
 
 def near_anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """term, ws (wid, words and the term's place of each window that it anchors), all their words, and how many of these a
-    match has at least."""
+    """term, ws (wid, words and the term's place of some ANCHORED windows that it anchors), all their words, and how many of
+    these a match has at least. A term of more windows has more rows."""
     rows = windows.select("wid", "words", F.posexplode("words").alias("off", "term")).join(counts, "term")
     w = Window.partitionBy("wid")
     absent = F.size("words") - F.count("*").over(w)
     rows = rows.withColumns({"k": F.row_number().over(w.orderBy("n", "off")), "spare": may_miss(F.col("words")) - absent}).where("k <= spare + 1")
     least = F.min(F.size(F.array_distinct("words")) - may_miss(F.col("words")))
-    return rows.groupBy("term").agg(F.collect_list(F.struct("wid", "off", "words")).alias("ws"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"), least.alias("least"))
+    parts = F.ceil(F.count("*").over(Window.partitionBy("term")) / ANCHORED)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("wid"), parts))
+    return rows.groupBy("term", "part").agg(F.collect_list(F.struct("wid", "off", "words")).alias("ws"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"), least.alias("least"))
 
 
 def near_matches(words: DataFrame, windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -129,7 +136,7 @@ def near_matches(words: DataFrame, windows: DataFrame, counts: DataFrame) -> Dat
     c, reach = F.col, WINDOW - 1 + 2 * SLOP
     base = F.greatest(F.lit(0), c("pos") - reach)
     around = F.slice("t", base + 1, c("pos") + reach + 1 - base)
-    terms = anchors.select("term")
+    terms = anchors.select("term").distinct()
     if is_small(anchors):  # the words around a posting are cut where it is found, so no text moves
         rows = words.select(*KEY, "t", F.posexplode("t").alias("pos", "term")).join(F.broadcast(terms), "term", "left_semi")
         rows = rows.select(*KEY, "term", "pos", base.alias("base"), around.alias("text"))

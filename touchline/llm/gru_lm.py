@@ -1,14 +1,17 @@
 """Language-model scores of whole documents by a gated recurrent network, beside a unigram base.
 
-Counts of every training token come from the whole corpus. The network predicts each token from all before it: its output
-is factored into the class of a word (words by frequency, CLASS_SIZE to a class) and the word within its class. Words
-beyond the VOCABULARY most frequent ones are one symbol of the network and share its probability by their smoothed corpus
-counts, so every text has a probability; this symbol and the end are a class of their own. Training is truncated backpropagation through windows of WINDOW tokens with the
-state carried on, in each partition by itself; after a round the partitions' weights are averaged by tokens. Every document
-is written once as token ids under one of SHARES shares (by digest of doc_id), a round trains on a share, and together the
-rounds are one pass over all tokens of all training documents. Because partitions train by themselves, the
-weights, and with them `score`, depend in their last digits on how the input is partitioned; counts and base_score do not.
-Scoring runs over all tokens of every text, state carried from window to window.
+Counts of every training token come from the whole corpus. The network predicts each token from all before it, in factors:
+the class of its symbol (CLASS_SIZE symbols to a class) and the symbol within the class. The VOCABULARY most frequent words
+are symbols of their own, and so is the end. Every other word, known or not, belongs to the symbol of its ending (TAILS of
+them), which tells the network its language and form, and has a third factor: its share of that symbol's smoothed corpus counts.
+So every token is predicted from its context, and every text has a probability.
+
+Training is truncated backpropagation through windows of WINDOW tokens with the state carried on. Every document is written
+once as token ids under one of SHARES shares, by a digest of the row; a round trains on a share, and together the rounds are
+one pass over all tokens of all training documents. A round deals its documents, by digest and in its order, to streams of
+about STREAM_TOKENS tokens; each stream trains by itself from the weights and step sizes of the round before, and these are
+averaged by tokens, summed in the order of the streams. How many streams there are follows from the corpus alone, so the
+model is the same however the input is partitioned. Scoring runs over all tokens of every text, state carried from window to window.
 
 The counts of the KEPT most frequent words travel to the tasks (a bounded table); rarer words are joined by shuffle. Words
 of equal counts are ordered by their text. Null texts are empty: one end token. Repeated rows are counted and scored each.
@@ -18,12 +21,14 @@ is one stream of windows.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import as_number, as_text, materialise, slices, table
 from .toxicity import held_out
@@ -35,13 +40,16 @@ MOST_COUNTED = 300_000
 CLASS_SIZE, HIDDEN = 32, 16
 WINDOW, LANES, RATE, FIRST = 20, 256, 0.15, 1e-5
 SHARES = 8
+#: About so many tokens are a stream of a round, and it trains on so many at a time.
+STREAM_TOKENS, CHUNK_TOKENS = 120_000, 120_000
 #: Weights are summed in so many parts before the last sum.
 SUM_PARTS = 16
 SCORED_AT_ONCE, SCORE_WINDOW = 512, 64
 #: Documents that a task holds as tokens at a time.
 SLICE = 2048
-#: Ids: the end, a word without an id of its own, and from WORDS on words by frequency; in the network these begin at CLASS_SIZE.
-END, REST, WORDS = 0, 1, 2
+#: Ids: the end, the TAILS symbols of endings, and from WORDS on words by frequency.
+END, TAILS = 0, 255
+WORDS = 1 + TAILS
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SHAPES = {"x": lambda k: (k, 3 * HIDDEN), "u": lambda k: (HIDDEN, 3 * HIDDEN), "c": lambda k: (-(-k // CLASS_SIZE), HIDDEN), "cb": lambda k: (-(-k // CLASS_SIZE),), "w": lambda k: (-(-k // CLASS_SIZE), CLASS_SIZE, HIDDEN), "wb": lambda k: (-(-k // CLASS_SIZE), CLASS_SIZE)}
 
@@ -50,6 +58,11 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(LOWER).split()
 
 
+def ending(word: bytes) -> int:
+    """The symbol of a word without one of its own."""
+    return 1 + zlib.crc32(word[-3:]) % TAILS
+
+
 def unpack(flat: np.ndarray, k: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for name, shape in SHAPES.items():
@@ -112,16 +125,16 @@ def output(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, grads: dict
         i = order[cuts[k] : cuts[k + 1]]
         if not len(i):
             continue
-        hk, size = h[i], CLASS_SIZE if k else WORDS
-        w = p["w"][k, :size]
-        a, e, s = softmax(hk, w, p["wb"][k, :size])
+        hk = h[i]
+        w = p["w"][k]
+        a, e, s = softmax(hk, w, p["wb"][k])
         at = np.arange(len(i))
         out[i] += a[at, within[i]] - np.log(s)
         if grads is not None:
             d = e * (share / s)[:, None]
             d[at, within[i]] -= share
-            grads["w"][k, :size] += d.T @ hk
-            grads["wb"][k, :size] += d.sum(0)
+            grads["w"][k] += d.T @ hk
+            grads["wb"][k] += d.sum(0)
             dh[i] += d @ w
     return out, dh
 
@@ -237,17 +250,33 @@ class Corpus:
         top = words.where(F.lit(False) if least is None else F.col("c") >= least).toPandas().sort_values(["c", "word"], ascending=[False, True])  # at most KEPT rows
         self.words, self.c = [w.encode() for w in top["word"]], top["c"].to_numpy(np.int64)
         self.ends = int(counts.where("word = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+        #: Of each network id: the symbol of an id, tokens of the corpus, and distinct words.
+        self.symbols = np.concatenate([np.arange(min(WORDS + len(self.words), WORDS + VOCABULARY)), [ending(w) for w in self.words[VOCABULARY:]]]).astype(np.int32)
+        self.tail_c, self.tail_v = self.tails(words)
+        own = np.array([ending(w) for w in self.words[:VOCABULARY]], int)
+        self.tail_c -= np.bincount(own, self.c[:VOCABULARY], WORDS).astype(np.int64)
+        self.tail_v -= np.bincount(own, minlength=WORDS)
+
+    @staticmethod
+    def tails(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and distinct words of every ending."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            c, v = np.zeros(WORDS, np.int64), np.zeros(WORDS, np.int64)
+            for pdf in batches:
+                at = np.array([ending(w.encode()) for w in pdf["word"]], int)
+                np.add.at(c, at, pdf["c"].to_numpy())
+                v += np.bincount(at, minlength=WORDS)
+            yield pd.DataFrame({"symbol": np.flatnonzero(v), "c": c[v > 0], "v": v[v > 0]})
+
+        c, v = np.zeros(WORDS, np.int64), np.zeros(WORDS, np.int64)
+        for r in words.mapInPandas(run, "symbol int, c long, v long").groupBy("symbol").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():  # at most TAILS rows
+            c[r["symbol"]], v[r["symbol"]] = r["c"], r["v"]
+        return c, v
 
     def network_counts(self) -> np.ndarray:
-        """By the network's ids: of END, REST, nothing up to CLASS_SIZE, and the network's words."""
-        c = self.c[:VOCABULARY]
-        return np.concatenate(([self.ends, self.n - self.ends - c.sum()], np.zeros(CLASS_SIZE - WORDS), c)).astype(float)
-
-
-def network_ids(ids: np.ndarray, size: int) -> np.ndarray:
-    """The network's ids of kept words; `size` is the length of network_counts()."""
-    moved = np.where(ids < WORDS, ids, ids + (CLASS_SIZE - WORDS))
-    return np.where(moved < size, moved, REST)
+        """By the network's symbols: of the end, of the endings, and of the words that are symbols."""
+        return np.concatenate(([self.ends], self.tail_c[1:], self.c[:VOCABULARY])).astype(float)
 
 
 def token_table(docs: DataFrame) -> DataFrame:
@@ -270,8 +299,8 @@ def token_table(docs: DataFrame) -> DataFrame:
 
 
 def token_ids(docs: DataFrame, corpus: Corpus, learn: Column) -> DataFrame:
-    """row (its own number), doc_id, learn, ids (32-bit, ended by END) and rare (the words without an id, apart by blanks)
-    of every document, written by share."""
+    """row (its own number), doc_id, learn, key (a digest of doc_id and text), ids (32-bit, ended by END) and rare (the words
+    without an id, apart by blanks) of every document, written by share."""
     known = docs.sparkSession.sparkContext.broadcast({w: i + WORDS for i, w in enumerate(corpus.words)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,75 +309,111 @@ def token_ids(docs: DataFrame, corpus: Corpus, learn: Column) -> DataFrame:
             ids, rare = [], []
             for t in pdf["text"]:
                 words = tokens(t)
-                found = np.array([*[get(w, REST) for w in words], END], np.int32)
+                found = np.array([*[get(w, -1) for w in words], END], np.int32)
+                at = np.flatnonzero(found < 0)
+                new = [words[i] for i in at]
+                found[at] = [ending(w) for w in new]
                 ids.append(found.tobytes())
-                rare.append(b" ".join([words[i] for i in np.flatnonzero(found == REST)]).decode())
-            yield pdf[["doc_id", "share", "learn"]].assign(ids=ids, rare=rare)
+                rare.append(b" ".join(new).decode())
+            yield pdf[["doc_id", "share", "learn", "key"]].assign(ids=ids, rare=rare)
 
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int").alias("share")
-    rows = as_text(docs, share, learn.alias("learn"), "text").mapInPandas(run, "doc_id string, share int, learn boolean, ids binary, rare string")
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    share = F.pmod(key, F.lit(SHARES)).cast("int").alias("share")
+    rows = as_text(docs, share, learn.alias("learn"), key.alias("key"), "text").mapInPandas(run, "doc_id string, share int, learn boolean, key long, ids binary, rare string")
     return materialise(as_number(rows).withColumn("row", F.monotonically_increasing_id()), "ids", by="share")
 
 
 def mean_weights(parts: DataFrame) -> tuple[float, np.ndarray | None]:
-    """Tokens and the mean by tokens of rows (n, p: weights as bytes), added in SUM_PARTS tasks and then in one."""
+    """Tokens and the mean by tokens of rows (stream, n, p: weights as bytes), added in the order of streams in SUM_PARTS parts and
+    then in one, so that the sum is the same in every layout."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total = 0.0, None
+        found: dict[int, tuple[float, np.ndarray]] = {}
         for pdf in batches:
-            for k, p in zip(pdf["n"], pdf["p"], strict=True):
-                n, total = n + k, np.frombuffer(p) + (0 if total is None else total)
-        if total is not None:
-            yield pd.DataFrame({"n": [n], "p": [total.tobytes()]})
-
-    r = parts.repartition(SUM_PARTS).mapInPandas(add, parts.schema).coalesce(1).mapInPandas(add, parts.schema).collect()  # one row
-    return (r[0]["n"], np.frombuffer(bytes(r[0]["p"])) / r[0]["n"]) if r else (0.0, None)
+            for s, k, p in zip(pdf["stream"] % SUM_PARTS, pdf["n"], pdf["p"], strict=True):
+                n, total = found.get(s, (0.0, 0.0))
+                found[s] = (n + k, total + np.frombuffer(p))
+        for s, (n, total) in found.items():
+            yield pd.DataFrame({"stream": [s], "n": [n], "p": [total.tobytes()]})
+
+    once = parts.repartition(SUM_PARTS, F.pmod("stream", F.lit(SUM_PARTS))).sortWithinPartitions("stream").mapInPandas(add, parts.schema)
+    n, total = 0.0, 0.0
+    for r in sorted(once.collect(), key=lambda r: r["stream"]):  # at most SUM_PARTS rows
+        n, total = n + r["n"], total + np.frombuffer(bytes(r["p"]))
+    return n, total / n if n else None
+
+
+def trained(batches: Iterator[pd.DataFrame], start: Broadcast, k: int) -> Iterator[pd.DataFrame]:
+    """stream, n, p of every stream: its rows come together and in order, and train CHUNK_TOKENS at a time, wherever a
+    batch ends."""
+    stream, held, size, n = None, [], 0, 0
+    flat, symbols = start.value
+    half = len(flat) // 2
+
+    def step() -> None:
+        nonlocal held, size, n  # p and sums are changed in place
+        if held:
+            n += train(p, symbols[np.frombuffer(b"".join(held), np.int32)], sums)
+        held, size = [], 0
+
+    def result() -> pd.DataFrame:
+        step()
+        return pd.DataFrame({"stream": [stream], "n": [float(n)], "p": [(np.concatenate([pack(p), pack(sums)]) * n).tobytes()]})
+
+    for pdf in batches:
+        for s, ids in zip(pdf["stream"], pdf["ids"], strict=True):
+            if s != stream:
+                if stream is not None:
+                    yield result()
+                stream, n, p, sums = s, 0, unpack(flat[:half], k), unpack(flat[half:], k)
+            held.append(ids)
+            size += len(ids) // 4
+            if size >= CHUNK_TOKENS:
+                step()
+    if stream is not None:
+        yield result()
 
 
 def fit_network(every: DataFrame, corpus: Corpus) -> tuple[np.ndarray, int]:
     """Weights after one pass over all documents to learn from, in a round for each of their SHARES shares; and the tokens
     trained on."""
     spark, counts = every.sparkSession, corpus.network_counts()
-    flat, k, done = pack(initial(counts)), len(counts), 0
+    weights, k, done = pack(initial(counts)), len(counts), 0
+    flat = np.concatenate([weights, np.full_like(weights, FIRST)])
+    streams = max(1, round(corpus.n / SHARES / STREAM_TOKENS))
     for turn in range(SHARES):
-        start = spark.sparkContext.broadcast(flat)
-
-        def run(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
-            p, n = unpack(start.value, k), 0
-            sums = {name: np.full_like(v, FIRST) for name, v in p.items()}
-            for pdf in slices(batches, SLICE):
-                n += train(p, network_ids(np.frombuffer(b"".join(pdf["ids"]), np.int32), k), sums)
-            if n:
-                yield pd.DataFrame({"n": [float(n)], "p": [(pack(p) * n).tobytes()]})
-
-        n, mean = mean_weights(every.where((F.col("share") == turn) & F.col("learn")).select("ids").mapInPandas(run, "n double, p binary"))
+        start = spark.sparkContext.broadcast((flat, corpus.symbols))
+        rows = every.where((F.col("share") == turn) & F.col("learn")).select(F.pmod(F.xxhash64("key"), F.lit(streams)).cast("int").alias("stream"), "key", "ids")
+        rows = rows.repartition(streams, "stream").sortWithinPartitions("stream", "key")
+        n, mean = mean_weights(rows.mapInPandas(lambda batches, start=start: trained(batches, start, k), "stream int, n double, p binary"))
         start.unpersist()
         flat, done = flat if mean is None else mean, done + int(n)
-    return flat, done
+    return flat[: len(weights)], done
 
 
 def score_documents(every: DataFrame, corpus: Corpus, weights: np.ndarray, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every document of token_ids()."""
-    network = corpus.network_counts()
-    k = len(network)
-    shared = every.sparkSession.sparkContext.broadcast((np.log10(np.concatenate(([corpus.ends, 0], corpus.c)) + 1.0), weights))
-    beyond_network = max(0, corpus.v - 1 - len(corpus.c[:VOCABULARY]))
-    rest = np.log10(network[REST] + beyond_network + 1)
+    k = len(corpus.network_counts())
+    logs = np.log10(np.concatenate(([corpus.ends], np.zeros(TAILS), corpus.c)) + 1.0)
+    tails = np.log10(corpus.tail_c + corpus.tail_v + 1.0)
+    shared = every.sparkSession.sparkContext.broadcast((logs, tails, corpus.symbols, weights))
     total, ended = np.log10(corpus.n + corpus.v + 1.0), corpus.ends > 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        logs, flat = shared.value
+        logs, tails, symbols, flat = shared.value
         p = unpack(flat, k)
         for pdf in slices(batches, SLICE):
             ids = [np.frombuffer(x, np.int32) for x in pdf["ids"]]
-            inner = [network_ids(x, k) for x in ids]
+            inner = [symbols[x] for x in ids]
             n = np.array([len(x) for x in ids])
             base = np.array([logs[x].sum() for x in ids])
-            beyond = np.array([logs[x[y == REST]].sum() for x, y in zip(ids, inner, strict=True)])
-            outside = np.array([(y == REST).sum() for y in inner])
-            known = n - np.array([(x == REST).sum() for x in ids]) - (not ended)
+            within = []
+            for x, y in zip(ids, inner, strict=True):
+                there = (y != END) & (y < WORDS)
+                within.append((logs[x[there]] - tails[y[there]]).sum())
+            known = n - np.array([((x != END) & (x < WORDS)).sum() for x in ids]) - (not ended)
             model = log_likelihood(p, inner) / np.log(10)
-            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "n_tokens": n, "n_known": known, "base": base - n * total, "model": model + beyond - outside * rest})
+            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "n_tokens": n, "n_known": known, "base": base - n * total, "model": model + np.array(within)})
 
     rows = every.select("row", F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(run, "row long, doc_id string, n_tokens long, n_known long, base double, model double")
     less = every.where("rare != ''").select("row", F.explode(F.split("rare", " ")).alias("word")).join(counts, "word")

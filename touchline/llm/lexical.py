@@ -81,7 +81,8 @@ def term_rows(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
                     found = Counter(map(get, words))
                     found.pop(None, None)
                     rows.append((doc_id, len(words), np.array(list(found), np.int32).tobytes(), np.array(list(found.values()), np.int32).tobytes()))
-                yield pd.DataFrame(rows, columns=["doc_id", "n", "terms", "counts"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "n", "terms", "counts"])
 
     rows = as_text(docs.where(F.col("text").isNotNull()), "text").mapInPandas(run, "doc_id string, n long, terms binary, counts binary")
     return materialise(rows, "terms")
@@ -160,8 +161,8 @@ def best_documents(rows: DataFrame, items: Items, df: np.ndarray, n_docs: int, l
             for k in range(0, len(pdf), BLOCK):
                 found = block(pdf.iloc[k : k + BLOCK], item_rows, w)
                 best = (found if best is None else pd.concat([best, found])).sort_values(["item", "score", "place"], ascending=[True, False, True], kind="stable").groupby("item").head(top)
-        if best is not None:
-            yield best[["item", "doc_id", "score"]]
+        if best is not None and len(best):
+            yield pd.DataFrame({"item": best["item"], "doc_id": best["doc_id"].tolist(), "score": best["score"]})
 
     return as_number(rows.mapInPandas(run, "item long, doc_id string, score long"))
 

@@ -6,7 +6,8 @@ or hash; the tests hold them against brute force, round trips or held-out labels
 
 from __future__ import annotations
 
-from .quality import FENCE, FREE_LINES, FREE_WORDS, MIN_GROUP, SLACK
+from .quality import FENCE, MIN_GROUP, WIDTH, Z
+from .urls import ATTRIBUTE, NAMED, REFERENCE, REFRESH
 
 _BIN = "CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) + 32 * (length(bin(v)) - 6) END"
 _EDGE = "CASE WHEN b < 64 THEN b ELSE (b - 32 * (b // 32 - 1)) << (b // 32 - 1) END"
@@ -18,7 +19,17 @@ def _quartiles(keys: str) -> str:
  (SELECT *, {_EDGE} AS edge, sum(n) OVER (PARTITION BY {by}metric ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {by}metric) AS total FROM (SELECT {by}metric, b, count(*) AS n FROM bins GROUP BY ALL)) GROUP BY ALL"""
 
 
-_SLACK = " ".join(f"WHEN '{m}' THEN {s}" for m, s in SLACK.items())
+_WIDTH = " ".join(f"WHEN '{m}' THEN {s}" for m, s in WIDTH.items())
+
+
+def _evident(k: str, n: str) -> str:
+    """The lower end of Wilson's interval, per 10 000."""
+    k, n, z = f"CAST({k} AS DOUBLE)", f"CAST({n} AS DOUBLE)", f"CAST({Z} AS DOUBLE)"
+    p, a = f"least(1e0, {k} / {n})", f"({z} * {z} / {n})"
+    return f"CASE WHEN {n} > 0 THEN CAST(floor(10000e0 * greatest(0e0, ({p} + {a} / 2e0 - {z} * sqrt({p} * (1e0 - {p}) / {n} + {a} / (4e0 * {n}))) / (1e0 + {a}))) AS BIGINT) ELSE 0 END"
+
+
+
 QUALITY = f"""WITH d AS (SELECT row_number() OVER () AS rn, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 gr AS (SELECT rn, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT rn, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
 rep AS (SELECT rn, count(DISTINCT i + j) AS n FROM (SELECT *, count(*) OVER (PARTITION BY rn, g) AS c FROM gr), (SELECT unnest(range(8)) AS j) WHERE c > 1 GROUP BY rn),
@@ -26,13 +37,12 @@ li AS (SELECT rn, count(*) AS n, count(DISTINCT l) AS k FROM (SELECT rn, unnest(
 m AS (SELECT d.rn, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(array_to_string(w, '')) - length(regexp_replace(array_to_string(w, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
  coalesce(li.n, 0) AS n_lines, coalesce(li.n - li.k, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN li ON li.rn = d.rn LEFT JOIN rep ON rep.rn = d.rn),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-v AS (SELECT rn, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'word_chars']) AS metric, unnest([CASE WHEN word_chars > 0 THEN n_symbols * 10000 // word_chars ELSE 0 END, CASE WHEN n_lines > 0 THEN greatest(n_dup_lines - {FREE_LINES}, 0) * 10000 // n_lines ELSE 0 END,
- CASE WHEN n_words > 0 THEN greatest(n_repeat_words - {FREE_WORDS}, 0) * 10000 // n_words ELSE 0 END, CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END]) AS v FROM f),
+v AS (SELECT rn, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'word_chars']) AS metric, unnest([{_evident("n_symbols", "word_chars")}, {_evident("n_dup_lines", "n_lines")}, {_evident("(n_repeat_words / 8e0)", "(n_words / 8e0)")}, CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END]) AS v FROM f),
 bins AS (SELECT lang, source, metric, {_BIN} AS b FROM v WHERE NOT base_failed),
 own AS ({_quartiles("lang, source")}), la AS ({_quartiles("lang")}), ev AS ({_quartiles("")}),
 q AS (SELECT own.lang, own.source, own.metric, CASE WHEN own.size >= {MIN_GROUP} THEN own.q1 WHEN la.size >= {MIN_GROUP} THEN la.q1 ELSE ev.q1 END AS q1, CASE WHEN own.size >= {MIN_GROUP} THEN own.q3 WHEN la.size >= {MIN_GROUP} THEN la.q3 ELSE ev.q3 END AS q3
  FROM own JOIN la ON own.lang IS NOT DISTINCT FROM la.lang AND own.metric = la.metric JOIN ev ON own.metric = ev.metric),
-bo AS (SELECT *, q1 - {FENCE} * (q3 - q1) - CASE metric {_SLACK} END AS lo, q3 + {FENCE} * (q3 - q1) + CASE metric {_SLACK} END AS hi FROM q),
+bo AS (SELECT *, q1 - {FENCE} * (q3 - q1) - CASE metric {_WIDTH} END AS lo, q3 + {FENCE} * (q3 - q1) + CASE metric {_WIDTH} END AS hi FROM q),
 bad AS (SELECT rn, bool_or(v.v > hi OR (v.metric = 'word_chars' AND v.v < lo)) AS bad FROM v JOIN bo ON v.lang IS NOT DISTINCT FROM bo.lang AND v.source IS NOT DISTINCT FROM bo.source AND v.metric = bo.metric GROUP BY rn)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept FROM f LEFT JOIN bad USING (rn)"""
 
@@ -40,14 +50,41 @@ _HOST = "translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKL
 _PATH = "regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 _RULES = "(VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) r(verdict, h, p)"
 _SETTLED = f"CASE WHEN contains({{u}}, '://') THEN 'https://' || regexp_replace({_HOST}, '^(?:www|m)\\.([^.]+\\.[^.]+)', '\\1') || regexp_replace(regexp_replace({_PATH}, '(?:index)?\\.html?$', ''), '/+$', '') END"
-_TAG = {"link": ("canonical", "rel", "href"), "meta": ("refresh", "http-equiv", "url")}
-_FOUND = " UNION ALL ".join(f"""SELECT url, unnest(list_transform(regexp_extract_all(html, '(?is)<{t}\\b[^>]*\\b{a}\\s*=\\s*["'']?{v}\\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\\b{u}\\s*=\\s*["'']?([^"''\\s>]+)', 1))) AS link FROM pages WHERE contains(url, '://')""" for t, (v, a, u) in _TAG.items())
+_TAG = """(?is)<(?:link|meta|base)\\b(?:[^>"\'\']+|"[^"]*"|\'\'[^\'\']*\'\'|["\'\'])*>"""
+_ATTRIBUTE = ATTRIBUTE.replace("'", "''")
+_VALUE = "values_[list_position(names, '{a}')]"
+
+
+def _decoded(text: str) -> str:
+    """Character references read once, as the operator reads them."""
+    code = "CASE WHEN starts_with(lower(r), '&#x') THEN CAST('0x' || r[4 : -2] AS INTEGER) WHEN starts_with(r, '&#') THEN CAST(r[3 : -2] AS INTEGER) END"
+    named = " ".join(f"WHEN '&{n};' THEN '{c.replace(chr(39), chr(39) * 2)}'" for n, c in NAMED.items())
+    one = f"CASE WHEN {code} BETWEEN 1 AND 1114111 AND NOT ({code} BETWEEN 55296 AND 57343) THEN chr({code}) ELSE CASE r {named} ELSE r END END"
+    refs, gaps = f"regexp_extract_all({text}, '{REFERENCE}')", f"regexp_split_to_array({text}, '{REFERENCE}')"
+    return f"array_to_string(list_transform(range(1, len({gaps}) + 1), lambda i: {gaps}[i] || coalesce(list_transform({refs}, lambda r: {one})[i], '')), '')"
+
+
+_REFRESH = REFRESH.replace("'", "''")
+_FOUND = f"""SELECT rn, url, tag, {_decoded(_VALUE.format(a="href"))} AS href, CASE WHEN tag = 'link' AND list_contains(regexp_split_to_array(lower({_VALUE.format(a="rel")}), '\\s+'), 'canonical') THEN trim({_decoded(_VALUE.format(a="href"))})
+ WHEN tag = 'meta' AND lower(trim({_VALUE.format(a="http-equiv")})) = 'refresh' THEN regexp_extract({_decoded(_VALUE.format(a="content"))}, '{_REFRESH}', 1) END AS link, i
+ FROM (SELECT rn, url, i, lower(regexp_extract(t, '^<([A-Za-z]+)', 1)) AS tag, list_transform(regexp_extract_all(t, '{_ATTRIBUTE}', 1), lambda x: lower(x)) AS names,
+  list_transform(regexp_extract_all(t, '{_ATTRIBUTE}', 0), lambda x: coalesce(regexp_extract(x, '^{_ATTRIBUTE}', 2), '') || coalesce(regexp_extract(x, '^{_ATTRIBUTE}', 3), '') || coalesce(regexp_extract(x, '^{_ATTRIBUTE}', 4), '')) AS values_
+  FROM (SELECT rn, url, unnest(tags) AS t, generate_subscripts(tags, 1) AS i FROM (SELECT rn, url, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', '', 'g'), '{_TAG}') AS tags FROM u WHERE contains(url, '://'))))"""
+
+
+def _resolved(site_of: str, link: str) -> str:
+    site = f"regexp_extract({site_of}, '(?s)^.*?://[^/?#]*')"
+    return f"""CASE WHEN {link} = '' THEN NULL WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {link} WHEN starts_with({link}, '//') THEN regexp_extract({site_of}, '(?s)^(.*?:)//', 1) || {link} WHEN starts_with({link}, '/') THEN {site} || {link}
+ WHEN starts_with({link}, '?') THEN {site} || {_PATH.format(u=site_of)} || {link} WHEN starts_with({link}, '#') THEN regexp_extract({site_of}, '(?s)^[^#]*') || {link} ELSE {site} || '/' || regexp_extract({_PATH.format(u=site_of)}, '(?s)^/(.*/)', 1) || {link} END"""
+
+
 #: Links are resolved as the operator does, but for . and .. segments; a component is what recursion reaches.
-URLS = f"""WITH RECURSIVE u AS (SELECT row_number() OVER () AS rn, page_id, coalesce(url, '') AS url FROM pages),
+URLS = f"""WITH RECURSIVE u AS (SELECT row_number() OVER () AS rn, page_id, coalesce(url, '') AS url, html FROM pages),
 p AS (SELECT *, {_HOST.format(u="url")} AS host, {_PATH.format(u="url")} AS path FROM u),
-l0 AS (SELECT url, replace(link, '&amp;', '&') AS link, regexp_extract(url, '(?s)^.*?://[^/?#]*') AS site FROM ({_FOUND})),
-l1 AS (SELECT url, CASE WHEN link = '' THEN NULL WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || link WHEN starts_with(link, '/') THEN site || link
- WHEN starts_with(link, '?') THEN site || {_PATH.format(u="url")} || link WHEN starts_with(link, '#') THEN regexp_extract(url, '(?s)^[^#]*') || link ELSE site || '/' || regexp_extract({_PATH.format(u="url")}, '(?s)^/(.*/)', 1) || link END AS dst FROM l0),
+fo AS ({_FOUND}),
+ba AS (SELECT rn, first({_resolved("url", "trim(href)")} ORDER BY i) AS base FROM fo WHERE tag = 'base' AND href IS NOT NULL GROUP BY rn),
+l0 AS (SELECT fo.url, link, CASE WHEN contains(base, '://') THEN base ELSE fo.url END AS at_ FROM fo LEFT JOIN ba USING (rn)),
+l1 AS (SELECT url, {_resolved("at_", "link")} AS dst FROM l0),
 ln AS (SELECT url, dst FROM l1 WHERE contains(dst, '://')),
 en AS (SELECT url FROM u WHERE contains(url, '://') UNION SELECT dst FROM ln),
 e0 AS (SELECT url AS a, dst AS b FROM ln UNION SELECT url, {_SETTLED.format(u="url")} FROM en),

@@ -110,15 +110,22 @@ def entity_of(span: Column) -> Column:
 
 
 def occurrences(spanned: DataFrame, told: DataFrame) -> DataFrame:
-    """Document, s, e, kind: every place of a told term in each document that holds an entity it reveals."""
-    holds = spanned.where(F.size(f"{P}base") > 0).select(f"{P}id", f"{P}hash", F.explode(F.array_distinct(F.transform(f"{P}base", entity_of))).alias("entity"))
-    kind = F.max(F.when(F.col("share") >= REMOVE, 5).otherwise(4))
-    asked = join_small(holds, told, "entity", "inner").groupBy(f"{P}id", f"{P}hash", "term").agg(kind.alias("kind"))
+    """Document, s, e, kind: every place of a told term in each document that holds an entity it reveals. The join starts from
+    the terms that a text holds: a term gives away few entities (their shares of its contexts are large), while an entity may
+    be given away by any number of terms."""
+    mine = [f"{P}id", f"{P}hash"]
+    blank = blanked(spanned)
+    holds = spanned.where(F.size(f"{P}base") > 0).select(F.col(f"{P}id").alias("_i"), F.col(f"{P}hash").alias("_h"), F.explode(F.array_distinct(F.transform(f"{P}base", entity_of))).alias("_entity"))
+    terms = blank.select(*mine, F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_blank", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    kind = F.when(F.col("share") >= REMOVE, 5).otherwise(4).alias("kind")
+    same = F.col(f"{P}id").eqNullSafe(F.col("_i")) & (F.col(f"{P}hash") == F.col("_h"))
+    asked = join_small(terms, told.select("entity", "term", kind), "term", "inner").join(holds, same & (F.col("entity") == F.col("_entity")), "left_semi")
+    asked = asked.groupBy(*mine, "term").agg(F.max("kind").alias("kind"))
     asked = asked.groupBy(F.col(f"{P}id").alias("_i"), F.col(f"{P}hash").alias("_h")).agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds"))
     asked = materialise(asked, "asked")
-    rows = join_small(blanked(spanned), asked, F.col(f"{P}id").eqNullSafe(F.col("_i")) & (F.col(f"{P}hash") == F.col("_h")), "inner")
-    rows = rows.select(f"{P}id", f"{P}hash", "kinds", F.explode(found(F.col("_blank"), TERM)).alias("t"))
-    return rows.select(f"{P}id", f"{P}hash", F.col("t.s").alias("s"), F.col("t.e").alias("e"), F.col("kinds")[F.lower("t.v")].alias("kind")).where("kind is not null").distinct()
+    rows = join_small(blank, asked, same, "inner")
+    rows = rows.select(*mine, "kinds", F.explode(found(F.col("_blank"), TERM)).alias("t"))
+    return rows.select(*mine, F.col("t.s").alias("s"), F.col("t.e").alias("e"), F.col("kinds")[F.lower("t.v")].alias("kind")).where("kind is not null").distinct()
 
 
 def contexts(spanned: DataFrame) -> DataFrame:

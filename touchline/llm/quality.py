@@ -6,9 +6,12 @@ upwards: groups of fewer than `min_group` documents use the sketch of their lang
 
 Null texts count as empty. Null languages and sources form groups of their own. Repeated rows are judged alike. An
 empty table gives an empty result. Columns other than doc_id, text, lang and source are ignored or carried untouched, but
-for names that start with _quality_. A value equal to its bound is kept. The fixed rules count every repeat, the sketches
-those beyond one repeated line (FREE_LINES, FREE_WORDS). Long texts are measured whole in their row; the
-windows of one are sorted only if some repeat.
+for names that start with _quality_. A value equal to its bound is kept. Long texts are measured whole in their row; the windows
+of one are sorted only if some repeat.
+
+A text's share of symbols, repeated lines or repeated words enters sketch and verdict as the lower end of its confidence
+interval (Wilson's, Z deviations wide), so that one line of six that stands twice is no evidence while twenty of sixty are;
+every repeat counts, none is free. Where a group's quartiles are equal, the fence still is WIDTH wide on either side.
 """
 
 from __future__ import annotations
@@ -21,14 +24,13 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Metric: what a value may differ from the quartiles in any group (per 10 000; word length in hundredths).
-SLACK = {"symbols": 500, "dup_lines": 3000, "repeats": 1500, "word_chars": 250}
-#: One line that opens a text and closes it again is no fault: what a text may repeat before its shares are counted.
-FREE_LINES = 1
-FREE_WORDS = 2 * 16
+#: Deviations of the confidence interval of a text's shares: chance alone passes it in one text of 30 000.
+Z = 4.0
+#: Metric: the least distance of a bound from its quartile (shares per 10 000; word length in hundredths).
+WIDTH = {"symbols": 500, "dup_lines": 500, "repeats": 500, "word_chars": 250}
 FENCE = 3
 MIN_GROUP = 100
-METRICS = list(SLACK)
+METRICS = list(WIDTH)
 P = "_quality_"
 
 
@@ -63,14 +65,22 @@ def with_measures(docs: DataFrame) -> DataFrame:
     return docs.withColumn(f"{P}m", found)
 
 
+def evident(k: Column, n: Column) -> Column:
+    """The lower end of the confidence interval of the share k of n, per 10 000; 0 where n is."""
+    k, n = k.cast("double"), n.cast("double")
+    p, a = F.least(F.lit(1.0), k / n), F.lit(Z * Z) / n
+    low = (p + a / 2 - F.lit(Z) * F.sqrt(p * (1 - p) / n + a / (4 * n))) / (1 + a)
+    return F.when(n > 0, F.floor(10_000 * F.greatest(F.lit(0.0), low))).otherwise(0).cast("long")
+
+
 def _values() -> list[Column]:
+    """The metrics of a text. Words in repeated windows count as one event for each WINDOW of them."""
     m = F.col(f"{P}m")
-    per = lambda a, b, k: F.when(b > 0, F.floor(a * k / b)).otherwise(0).cast("long")
     return [
-        per(m["n_symbols"], m["word_chars"], 10_000).alias("symbols"),
-        per(F.greatest(m["n_dup_lines"] - FREE_LINES, F.lit(0)), m["n_lines"], 10_000).alias("dup_lines"),
-        per(F.greatest(m["n_repeat_words"] - FREE_WORDS, F.lit(0)), m["n_words"], 10_000).alias("repeats"),
-        per(m["word_chars"], m["n_words"], 100).alias("word_chars"),
+        evident(m["n_symbols"], m["word_chars"]).alias("symbols"),
+        evident(m["n_dup_lines"], m["n_lines"]).alias("dup_lines"),
+        evident(m["n_repeat_words"] / WINDOW, m["n_words"] / WINDOW).alias("repeats"),
+        F.when(m["n_words"] > 0, F.floor(m["word_chars"] * 100 / m["n_words"])).otherwise(0).cast("long").alias("word_chars"),
     ]
 
 
@@ -110,8 +120,8 @@ def thresholds(bins: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     t = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_l")) & (F.col("metric") == F.col("metric_l"))).join(every, F.col("metric") == F.col("metric_e"))
     pick = lambda c: F.when(F.col("size") >= min_group, F.col(c)).when(F.col("size_l") >= min_group, F.col(f"{c}_l")).otherwise(F.col(f"{c}_e"))
     t = t.select("lang", "source", "metric", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    slack = F.element_at(F.create_map(*(F.lit(x) for kv in SLACK.items() for x in kv)), F.col("metric"))
-    bound = t.withColumns({"lo": F.col("q1") - FENCE * (F.col("q3") - F.col("q1")) - slack, "hi": F.col("q3") + FENCE * (F.col("q3") - F.col("q1")) + slack})
+    width = F.element_at(F.create_map(*(F.lit(x) for kv in WIDTH.items() for x in kv)), F.col("metric"))
+    bound = t.withColumns({"lo": F.col("q1") - FENCE * (F.col("q3") - F.col("q1")) - width, "hi": F.col("q3") + FENCE * (F.col("q3") - F.col("q1")) + width})
     pick_metric = lambda c, m: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{P}{c}_{m}")
     return bound.groupBy(F.col("lang").alias(f"{P}lang"), F.col("source").alias(f"{P}source")).agg(*(pick_metric(c, m) for m in METRICS for c in ("lo", "hi")))
 

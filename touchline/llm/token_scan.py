@@ -30,6 +30,8 @@ SEPARATOR = 50256
 WIDTH = 2
 BLOCK_BYTES = 4 << 20
 SPAN = 1024
+#: Blocks that a task searches, where there are more than the cluster has cores.
+TASK_BLOCKS = 16
 #: Fixed value: how byte-level BPE vocabularies of this family cut a text.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -95,7 +97,9 @@ def separators(blocks: DataFrame, path: str, separator: int = SEPARATOR) -> Data
                         ids = np.frombuffer(f.read_at(r.size, r[2]), f"<u{WIDTH}")
                         yield pd.DataFrame({"file": [name], "block": [r.block], "first": [r[2] // WIDTH], "n": [len(ids)], "ends": [np.flatnonzero(ids == separator).astype(np.int32)]})
 
-    return blocks.repartition("file", "block").mapInPandas(run, "file string, block long, first long, n long, ends array<int>")
+    n = blocks.agg(F.coalesce(F.sum(F.ceil(F.col("size") / F.lit(BLOCK_BYTES))), F.lit(1))).first()[0]
+    tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_BLOCKS))  # a number, or the few rows would be coalesced into one task
+    return blocks.repartition(min(tasks, max(1, n)), "file", "block").mapInPandas(run, "file string, block long, first long, n long, ends array<int>")
 
 
 def token_counts(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, separator: int = SEPARATOR) -> DataFrame:

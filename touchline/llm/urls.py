@@ -1,6 +1,8 @@
 """URL filters with redirect equivalence: urls joined by redirects and canonical links share their block decisions.
 
-Edges come from the pages' own canonical links and refresh redirects (all of a page's, resolved against its url), and from
+Edges come from the pages' own canonical links and refresh redirects (all of a page's, resolved against its url or its base),
+read tag by tag: comments are cut out, a tag's attributes are split into names and values, the first of a name counts, rel is
+a list of tokens, character references (numeric and the five of XML) are decoded, and a refresh needs no url=. Others come from
 the redirects that sites apply to spellings of one address (scheme, www. and m. hosts, fragment, query, index suffix,
 trailing slash), of pages and of link targets alike. Components of these edges are found on the cluster; an explicit allow
 anywhere in a component outweighs every block in it.
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, materialise, table
+from .common import ascii_lower, let, materialise, table
 from .graph import connected_components
 
 #: Verdict, host, path.
@@ -53,9 +55,32 @@ def without_dots(path: Column) -> Column:
     return F.array_join(F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), ends), "/")
 
 
+#: How HTML writes comments, tags with quoted attributes, attributes, and character references.
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+TAG = r"""(?is)<(?:link|meta|base)\b(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+>"""
+ATTRIBUTE = r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+REFERENCE = "&(?:#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|amp|lt|gt|quot|apos);"
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+REFRESH = r"""(?is)^\s*(?:[0-9.]*\s*[;,]?\s*url\s*=|[0-9.]+\s*[;,\s])\s*["']?\s*([^"'\s>]+)"""
+
+
+def character(reference: Column) -> Column:
+    """What a match of REFERENCE stands for; itself where that is no character."""
+    inner = F.substring(reference, 2, F.length(reference) - 2)
+    code = F.when(F.lower(inner).startswith("#x"), F.conv(F.substring(inner, 3, 6), 16, 10)).when(inner.startswith("#"), F.substring(inner, 2, 7)).cast("int")
+    real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    named = F.element_at(F.create_map(*(F.lit(x) for kv in NAMED.items() for x in kv)), inner)
+    return F.coalesce(F.when(real, F.decode(F.unhex(F.lpad(F.hex(F.when(real, code).cast("long")), 8, "0")), "UTF-32")), F.when(~inner.startswith("#"), named), reference)
+
+
+def decoded(text: Column) -> Column:
+    """text with its character references read once, from left to right."""
+    each = F.zip_with(F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), lambda gap, r: F.concat(gap, F.coalesce(character(r), F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(each, "")).otherwise(text)
+
+
 def resolved(url: Column, link: Column) -> Column:
     """Where a link on the page at `url` leads; null where it is empty or leads to no address with ://."""
-    link = F.replace(link, F.lit("&amp;"), F.lit("&"))
     scheme, site = F.regexp_extract(url, r"(?s)^(.*?:)//", 1), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
     path, rest = F.regexp_extract(link, r"^[^?#]*", 0), F.regexp_extract(link, r"(?s)[?#].*$", 0)
     folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)", 1))
@@ -70,17 +95,27 @@ def resolved(url: Column, link: Column) -> Column:
     )
 
 
-def targets_in(html: Column, tag: str, address: str) -> Column:
-    """What `address` captures in every match of `tag`, in order."""
-    return F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, address, 1))
+def tags_in(html: Column) -> Column:
+    """The link, meta and base tags outside comments, in order: array<struct(tag, at)>, `at` being the attributes' values by
+    lower-cased name."""
+    groups = lambda t, k: F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(k))
+    one = lambda n, v: F.struct(F.lower(n).alias("n"), v.alias("v"))
+    every = lambda t: F.zip_with(groups(t, 1), F.zip_with(F.zip_with(groups(t, 2), groups(t, 3), F.concat), groups(t, 4), F.concat), one)
+    first = lambda xs: F.filter(xs, lambda x, i: ~F.exists(F.slice(xs, 1, i), lambda y: y["n"] == x["n"]))
+    tag = lambda t: F.struct(F.lower(F.regexp_extract(t, "^<([A-Za-z]+)", 1)).alias("tag"), let(every(t), lambda xs: F.map_from_entries(first(xs))).alias("at"))
+    return F.transform(F.regexp_extract_all(F.regexp_replace(html, COMMENT, ""), F.lit(TAG), F.lit(0)), tag)
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """src, dst: redirects and canonical links, as urls; and every url with its usual spelling."""
-    canonical = targets_in(F.col(html), r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""")
-    refresh = targets_in(F.col(html), r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""")
-    mine = pages.where(F.col(url).contains("://")).select(F.col(url).alias("src"), F.explode_outer(F.concat(canonical, refresh)).alias("link"))
-    mine = mine.select("src", resolved(F.col("src"), F.col("link")).alias("dst"))
+    tag = lambda x, name, key: (x["tag"] == name) & x["at"][key].isNotNull()
+    canonical = lambda x: tag(x, "link", "href") & F.array_contains(F.split(F.lower(x["at"]["rel"]), r"\s+"), "canonical")
+    refresh = lambda x: tag(x, "meta", "content") & (F.lower(F.btrim(x["at"]["http-equiv"])) == "refresh")
+    link = lambda x: F.when(canonical(x), F.btrim(decoded(x["at"]["href"]))).when(refresh(x), F.regexp_extract(decoded(x["at"]["content"]), REFRESH, 1))
+    mine = pages.where(F.col(url).contains("://")).select(F.col(url).alias("src"), F.when(F.lower(html).rlike("canonical|refresh"), tags_in(F.col(html))).alias("tags"))
+    base = F.get(F.filter("tags", lambda x: tag(x, "base", "href")), F.lit(0))["at"]["href"]
+    mine = mine.select("src", resolved(F.col("src"), F.btrim(decoded(base))).alias("base"), F.explode_outer(F.filter(F.transform("tags", link), lambda x: x.isNotNull())).alias("link"))
+    mine = mine.select("src", resolved(F.when(F.col("base").contains("://"), F.col("base")).otherwise(F.col("src")), F.col("link")).alias("dst"))
     mine = mine.select("src", F.when(F.col("dst").contains("://"), F.col("dst")).alias("dst"))
     return with_spellings(mine)
 
