@@ -178,17 +178,37 @@ def test_tables(spark):
     assert sorted(i for _, i, p in f if p == "test") == list(range(13))
 
 
-def test_assignment_is_least_cost():
+def paired(spark, times):
+    rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(times)], "g int, id long, t double")
+    return {r.id: r.pair_id for r in DU.pair_duels(rows, ["g"], "id", "t").collect()}
+
+
+def test_duels_cost_as_little_as_any_assignment(spark):
+    """The runs of the linear programme against every permutation without a fixed point."""
     rng = np.random.default_rng(3)
-    for n in range(1, 7):
-        c = rng.random((n, n))
-        best = min(sum(c[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
-        assert math.isclose(c[np.arange(n), DU.assignment(c)].sum(), best)
+    for n in range(2, 8):
+        for _ in range(3):
+            t = np.sort(rng.exponential(1, n).cumsum()).round(2).tolist()
+            best = min(sum(abs(t[i] - t[p[i]]) for i in range(n)) for p in itertools.permutations(range(n)) if all(i != p[i] for i in range(n)))
+            got = spark.range(1).select(F.explode(DU.runs(DU.cuts(F.array(*map(F.lit, t))))).alias("r")).select("r.*").collect()
+            assert sorted(k for r in got for k in range(r["start"], r["start"] + r["size"])) == list(range(n))
+            assert math.isclose(sum(2 * (t[r["start"] + r["size"] - 1] - t[r["start"]]) for r in got), best)
+
+
+def test_duel_pairs(spark):
+    assert paired(spark, [0.0, 1.0, 100.0, 103.0]) == {0: 1, 1: 0, 2: 3, 3: 2}
+    assert paired(spark, [5.0]) == {0: None} and paired(spark, []) == {}
+    assert paired(spark, [0.0, 3.0, 4.0]) == {0: None, 1: 2, 2: 1} and paired(spark, [0.0, 1.0, 2.0]) == {0: 1, 1: 0, 2: None}
+    assert paired(spark, [2.0, 2.0, None, 9.0, 2.0]) == {0: 1, 1: 0, 2: None, 3: 4, 4: 3}
+
 
+def test_duels_of_one_long_period(spark):
+    import time
 
-def test_duel_pairs():
-    assert DU.pair_times(np.array([0, 1, 100, 103])).tolist() == [1, 0, 3, 2]
-    assert DU.pair_times(np.array([5])).tolist() == [-1]
+    rows = spark.range(10_000).select(F.lit(1).alias("g"), "id", (F.col("id") * 37 % 10_007).cast("double").alias("t"))
+    began = time.time()
+    assert DU.pair_duels(rows, ["g"], "id", "t").where("pair_id is not null").count() == 10_000
+    assert time.time() - began < 30
 
 
 NESTED = "event_id int, game_id int, events array<struct<event_name:string,property:map<string,string>>>"

@@ -1,65 +1,67 @@
-"""Pairing of duels: a minimum-cost assignment on time differences, period by period."""
+"""Pairing of duels, period by period: a least-cost assignment on time differences, in one pass over the sorted times.
+
+On a line of times the least-cost assignment without fixed points is made of neighbouring pairs and threes: a pair costs twice
+its span, so does a three, and any longer cycle covers a gap that cutting it would save. A linear programme over the sorted
+times finds the cheapest cut; of equal ones it prefers a pair at the later end. In a three the closer neighbours are partners
+(the earlier two, if equally close) and the third has none. A period's duels (some hundreds) are one array of times and ids.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-
-def assignment(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a least-cost perfect assignment: shortest augmenting paths with potentials."""
-    n = len(cost)
-    u, v = np.zeros(n + 1), np.zeros(n + 1)
-    match = np.zeros(n + 1, int)  # row of each column, from 1
-    for i in range(1, n + 1):
-        match[0], j = i, 0
-        low, way, used = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
-        while match[j]:
-            used[j] = True
-            r = match[j]
-            slack = cost[r - 1] - u[r] - v[1:]
-            better = ~used[1:] & (slack < low[1:])
-            low[1:][better], way[1:][better] = slack[better], j
-            free = np.where(used[1:], np.inf, low[1:])
-            k = int(free.argmin()) + 1
-            d = free[k - 1]
-            u[match[used]] += d
-            v[used] -= d
-            low[~used] -= d
-            j = k
-        while j:
-            match[j] = match[way[j]]
-            j = way[j]
-    out = np.empty(n, int)
-    out[match[1:] - 1] = np.arange(n)
-    return out
-
-
-def pair_times(times: np.ndarray) -> np.ndarray:
-    """Partner of each duel, or -1. Pairs of the assignment are taken by time difference while both are free."""
-    n = len(times)
-    out = np.full(n, -1)
-    if n < 2:
-        return out
-    cost = np.abs(times[:, None] - times[None, :]).astype(float)
-    np.fill_diagonal(cost, cost.max() * (n + 1) + 1e6)  # never itself
-    col = assignment(cost)
-    pairs = sorted(((i, j) for i, j in enumerate(col) if i < j), key=lambda p: cost[p])
-    for i, j in pairs:
-        if out[i] < 0 and out[j] < 0:
-            out[i], out[j] = j, i
-    return out
+import math
 
+from pyspark.sql import Column, DataFrame, functions as F
 
-def pair_duels(df: DataFrame, keys: list[str], id_col: str, time: str) -> DataFrame:
-    """keys, id, pair_id (null without a partner). A group is the duels of one period: some hundreds."""
+from ..functions.scalars import let
+
+
+def cuts(times: Column) -> Column:
+    """array<int>, one for each of the sorted times: whether the cheapest cut of the times up to it ends in a run of 2 or 3."""
+    never = F.lit(math.inf)
+    zero = F.struct(F.lit(0.0).alias("b"), never.alias("c"), never.alias("d"), F.array().cast("array<int>").alias("runs"), F.lit(0).alias("i"))
+
+    def step(acc, t):
+        # b, c, d: costs of the times up to 1, 2 and 3 before this one
+        at = lambda k: F.get(times, acc["i"] - k)
+        two, three = acc["c"] + (t - at(1)), acc["d"] + (t - at(2))
+        pair = F.coalesce(two <= F.coalesce(three, never), F.lit(True))
+        cost = F.coalesce(F.when(pair, two).otherwise(three), never)
+        return F.struct(cost.alias("b"), acc["b"].alias("c"), acc["c"].alias("d"), F.concat(acc["runs"], F.array(F.when(pair, 2).otherwise(3))).alias("runs"), (acc["i"] + 1).alias("i"))
+
+    return F.aggregate(times, zero, step)["runs"]
+
+
+def runs(lengths: Column) -> Column:
+    """array<struct(start, size)> of the cut, from its end; none for fewer than two times."""
+    n = F.size(lengths)
+    zero = F.struct(n.alias("at"), F.array().cast("array<struct<start:int,size:int>>").alias("found"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, id_col]).reset_index(drop=True)
-        partner = pair_times(pdf[time].to_numpy())
-        ids = pdf[id_col].to_numpy()
-        return pdf[[*keys, id_col]].assign(pair_id=pd.array([ids[j] if j >= 0 else None for j in partner], dtype="Int64"))
+    def step(acc, i):
+        size = F.get(lengths, i - 1)
+        mine = F.struct((i - size).alias("start"), size.alias("size"))
+        return F.when(acc["at"] == i, F.struct((i - size).alias("at"), F.concat(acc["found"], F.array(mine)).alias("found"))).otherwise(acc)
 
-    types = dict(df.dtypes)
-    return df.select(*keys, id_col, time).groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in [*keys, id_col]) + ", pair_id long")
+    return F.when(n > 1, F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), zero, step)["found"]).otherwise(F.array().cast("array<struct<start:int,size:int>>"))
+
+
+def partners(rows: Column) -> Column:
+    """array<struct(id, pair_id)> of sorted rows struct(t, id): every row once, its partner null where it has none."""
+    row = lambda x, y: F.struct(x["id"].alias("id"), y.alias("pair_id"))
+
+    def members(run, rows):
+        one, two, three = (F.get(rows, run["start"] + k) for k in range(3))
+        early = two["t"] - one["t"] <= three["t"] - two["t"]
+        mates = F.array(row(one, F.when(early, two["id"])), row(two, F.when(early, one["id"]).otherwise(three["id"])), row(three, F.when(~early, two["id"])))
+        return F.when(run["size"] == 2, F.array(row(one, two["id"]), row(two, one["id"]))).otherwise(mates)
+
+    alone = F.transform(rows, lambda x: F.struct(x["id"].alias("id"), F.when(F.lit(False), x["id"]).alias("pair_id")))
+    cut = let(F.transform(rows, lambda x: x["t"]), lambda times: runs(cuts(times)))
+    return F.when(F.size(rows) < 2, alone).otherwise(F.flatten(F.transform(cut, lambda run: members(run, rows))))
+
+
+def pair_duels(df: DataFrame, keys: list[str], id_col: str, time: str) -> DataFrame:
+    """keys, id, pair_id (null without a partner). Null times pair with nothing; equal times are ordered by id."""
+    timed = df.where(F.col(time).isNotNull())
+    rows = timed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), F.col(id_col).alias("id")))).alias("rows"))
+    out = rows.select(*keys, F.explode(let(F.col("rows"), partners)).alias("p")).select(*keys, F.col("p.id").alias(id_col), F.col("p.pair_id").alias("pair_id"))
+    return out.unionByName(df.where(F.col(time).isNull()).select(*keys, id_col, F.lit(None).cast(dict(df.dtypes)[id_col]).alias("pair_id")))

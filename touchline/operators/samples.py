@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import written
 from .frames import FRAME, flip_when, frame_features, stride_sample
 from .temporal import as_of_filled
 
@@ -41,9 +42,20 @@ def padded(rows: Column, size: Column, features: list[str]) -> Column:
     return F.concat(rows, F.array_repeat(zero, size - F.size(rows)))
 
 
-def build_samples(tracking: DataFrame, presses: DataFrame, events: DataFrame, home: str, span: int = 125, k: int = 10, size: int = 11) -> DataFrame:
+def unknown(df: DataFrame, features: list[str]) -> Column:
+    """Whether a feature of the row is null or NaN."""
+    kinds = dict(df.dtypes)
+    return F.exists(F.array(*((F.col(f).isNull() | (F.isnan(f) if kinds[f] in ("double", "float") else F.lit(False))) for f in features)), lambda x: x)
+
+
+def build_samples(tracking: DataFrame, presses: DataFrame, events: DataFrame, home: str, span: int = 125, k: int = 10, size: int = 11, matrices: DataFrame | None = None) -> DataFrame:
     """sample_id, pressed_id, presser_id, label, frames and features (time, 2 * n + 1 agents, 19 features), n being
-    the most agents of a side in any picked frame, `size` at least: none is left out.
+    the most agents of a side in any picked frame, `size` at least: none is left out. A sample with a null or NaN feature of any
+    agent in any of its frames is none.
+
+    With `matrices` (FRAME, rows, columns, probability: pressure.matrices) also agent_order (ids of the press frame's rows and
+    columns, filled with Missing_k to n each, and the ball) and pressing (frames with a matrix in order, n x n, zeros
+    beyond the matrix and where it has no pair); a sample whose press frame has no matrix is none.
 
     tracking: frames with carriers and kinematics. presses: game_id, period_id, frame_id, pressed_id, presser_id, label.
     events: game_id, period_id, frame_id, type_id. Coordinates turn so that the press goes from left to right; type_id is that
@@ -61,11 +73,34 @@ def build_samples(tracking: DataFrame, presses: DataFrame, events: DataFrame, ho
     rows = flip_when(rows, F.col("_turn"))
     # a frame may serve several presses: from here on a sample stands for its game
     rows = rows.withColumns({"_game": F.col("game_id"), "game_id": F.concat_ws("-", "game_id", "period_id", "press_frame")})
-    rows = frame_features(rows).withColumn("_side", F.when(F.col("id") == "ball", "ball").when(F.col("team_id") == home, "home").otherwise("away"))
+    rows = frame_features(rows)
+    nulls = F.max(unknown(rows, FEATURES)).over(Window.partitionBy("game_id"))
+    rows = rows.withColumn("_null", nulls).where(~F.col("_null")).withColumn("_side", F.when(F.col("id") == "ball", "ball").when(F.col("team_id") == home, "home").otherwise("away"))
     sides = rows.groupBy(*FRAME, "_game", "press_frame").agg(*(agents(k, FEATURES).alias(k) for k in ("home", "away", "ball")))
-    most = sides.agg(F.greatest(F.lit(size), F.max(F.size("home")), F.max(F.size("away"))).alias("_n"), F.greatest(F.lit(1), F.max(F.size("ball"))).alias("_b"))
-    full = F.concat(*(padded(F.col(k), F.col(n), FEATURES) for k, n in (("home", "_n"), ("away", "_n"), ("ball", "_b"))))
-    tensors = sides.crossJoin(F.broadcast(most)).select(*FRAME, "_game", "press_frame", full.alias("f"))
+    sides = written(sides, "sides")  # read twice: for its largest side, and for itself
+    most = sides.agg(F.greatest(F.lit(size), F.max(F.size("home")), F.max(F.size("away"))).alias("_n"), F.greatest(F.lit(1), F.max(F.size("ball"))).alias("_b")).first()
+    n, balls = most["_n"] or size, most["_b"] or 1  # one row of two numbers
+    full = F.concat(*(padded(F.col(k), F.lit(m), FEATURES) for k, m in (("home", n), ("away", n), ("ball", balls))))
+    tensors = sides.select(*FRAME, "_game", "press_frame", full.alias("f"))
     seq = tensors.groupBy(F.col("game_id").alias("sample_id"), F.col("_game").alias("game_id"), "period_id", "press_frame").agg(F.array_sort(F.collect_list(F.struct("frame_id", "f"))).alias("s"))
-    out = seq.join(p, PRESS)
-    return out.select("sample_id", "pressed_id", "presser_id", "label", F.transform("s", lambda x: x["frame_id"]).alias("frames"), F.transform("s", lambda x: x["f"]).alias("features"))
+    out = seq.join(p, PRESS).select(*PRESS, "sample_id", "pressed_id", "presser_id", "label", F.transform("s", lambda x: x["frame_id"]).alias("frames"), F.transform("s", lambda x: x["f"]).alias("features"))
+    if matrices is not None:
+        out = out.join(pressing(frames.select(*PRESS, "frame_id"), matrices, n), PRESS)
+    return out.drop(*PRESS)
+
+
+def pressing(frames: DataFrame, matrices: DataFrame, n: int) -> DataFrame:
+    """PRESS, agent_order, pressing of the samples whose press frame has a matrix. Matrices larger than n widen all of theirs."""
+    cell = F.transform("probability", lambda r: F.transform(r, lambda v: F.coalesce(v.cast("float"), F.lit(0.0).cast("float"))))
+    m = frames.join(matrices.select(*FRAME, "rows", "columns", cell.alias("m")), FRAME)
+    high, wide = F.greatest(F.lit(n), F.max(F.size("rows")).over(Window.partitionBy(*PRESS))), F.greatest(F.lit(n), F.max(F.size("columns")).over(Window.partitionBy(*PRESS)))
+    m = m.withColumns({"_high": high, "_wide": wide})
+    row = lambda r: F.concat(r, F.array_repeat(F.lit(0.0).cast("float"), F.col("_wide") - F.size(r)))
+    none = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), F.col("_wide")), F.col("_high") - F.size("m"))
+    m = m.withColumn("m", F.concat(F.transform("m", row), none))
+    missing = lambda first, count: F.when(count > 0, F.transform(F.sequence(first, first + count - 1), lambda k: F.concat(F.lit("Missing_"), k))).otherwise(F.array().cast("array<string>"))
+    more = F.lit(n) - F.size("rows")
+    order = F.concat("rows", missing(F.lit(0), more), "columns", missing(F.greatest(F.lit(0), more), F.lit(n) - F.size("columns")), F.array(F.lit("ball")))
+    own = F.max(F.when(F.col("frame_id") == F.col("press_frame"), order)).alias("agent_order")
+    out = m.groupBy(*PRESS).agg(own, F.transform(F.array_sort(F.collect_list(F.struct("frame_id", "m"))), lambda x: x["m"]).alias("pressing"))
+    return out.where("agent_order is not null")

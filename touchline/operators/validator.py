@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 POSSESSION, TRANSITION, NEUTRAL, SET_PIECE, SHOT, KICK_OFF, PAUSE = "in_possession", "in_transition", "ball_neutral", "set_piece", "post_shot", "kick_off", "pause"
+#: The states of play.
+BALL_STATES = (POSSESSION, TRANSITION, NEUTRAL, SET_PIECE, SHOT, KICK_OFF, PAUSE)
 OPEN = (POSSESSION, TRANSITION, NEUTRAL, SHOT)
 BACK, AHEAD = 5, 6
 NEAR = 3.0

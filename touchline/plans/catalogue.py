@@ -645,7 +645,15 @@ def rename_and_simplify(spark, d):
     return e.select("event_id", renamed[0]["event_name"].alias("renamed"), EV.simplified(renamed)[0]["event_name"].alias("simplified"))
 
 
-@query()
+DUELS = f"""WITH RECURSIVE {A.ACTIONS}, du AS (SELECT game, event_id, us, row_number() OVER w AS n, us - lag(us, 1) OVER w AS g1, us - lag(us, 2) OVER w AS g2, count(*) OVER (PARTITION BY game) AS size FROM ac WHERE type_name = 'signup' WINDOW w AS (PARTITION BY game ORDER BY us, event_id)),
+fw AS (SELECT game, 0::BIGINT AS n, 0e0 AS b, 1e300 AS c, 1e300 AS d, 0 AS run FROM du WHERE n = 1 UNION ALL
+ SELECT fw.game, du.n, least(coalesce(c + g1, 1e300), coalesce(d + g2, 1e300), 1e300), b, c, CASE WHEN coalesce(c + g1 <= coalesce(d + g2, 1e300), true) THEN 2 ELSE 3 END FROM fw JOIN du ON du.game = fw.game AND du.n = fw.n + 1),
+bw AS (SELECT fw.game, fw.n, run FROM fw JOIN du USING (game, n) WHERE n = size AND size > 1 UNION ALL SELECT fw.game, fw.n, fw.run FROM bw JOIN fw ON fw.game = bw.game AND fw.n = bw.n - bw.run WHERE fw.n > 0),
+pr AS (SELECT bw.game, CASE WHEN run = 3 AND y.us - x.us <= z.us - y.us THEN bw.n - 2 ELSE bw.n - 1 END AS i FROM bw JOIN du z ON z.game = bw.game AND z.n = bw.n JOIN du y ON y.game = bw.game AND y.n = bw.n - 1 LEFT JOIN du x ON x.game = bw.game AND x.n = bw.n - 2)
+SELECT du.game, du.event_id, coalesce(e.event_id, l.event_id) AS pair_id FROM du LEFT JOIN pr p ON p.game = du.game AND p.i = du.n LEFT JOIN du e ON e.game = du.game AND e.n = p.i + 1 LEFT JOIN pr q ON q.game = du.game AND q.i = du.n - 1 LEFT JOIN du l ON l.game = du.game AND l.n = q.i"""
+
+
+@query(DUELS)
 def duel_pairing(spark, d):
     a = A.actions(spark, d).where("type_name = 'signup'").select("game", "event_id", "us")
     return DU.pair_duels(a, ["game"], "event_id", "us")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", app: str = "touchline", **conf: str) -> SparkSession:
@@ -12,3 +15,22 @@ def session(master: str = "local[*]", app: str = "touchline", **conf: str) -> Sp
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder's name in spark.checkpoint.dir, which driver and executors share. Where that is unset it is a temporary
+    folder on one machine, and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='touchline-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df, written to a new shared folder and read back: lineage ends here and a lost executor costs nothing."""
+    path = shared_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

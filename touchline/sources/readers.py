@@ -140,8 +140,8 @@ def segmented(events: DataFrame, spans: DataFrame) -> DataFrame:
 
 def by_team(events: DataFrame) -> DataFrame:
     """The rows of segmented with the team in whose list they stand: their own, or, without one, each of the segment's teams."""
-    teams = events.where(F.col("tID").isNotNull()).select("game_id", "segment", F.col("tID").alias("team")).distinct()
-    both = events.where(F.col("tID").isNull()).join(teams, ["game_id", "segment"])
+    teams = events.where(F.col("tID").isNotNull()).select(F.col("game_id").alias("_g"), F.col("segment").alias("_s"), F.col("tID").alias("team")).distinct()
+    both = events.where(F.col("tID").isNull()).join(teams, F.col("game_id").eqNullSafe(F.col("_g")) & F.col("segment").eqNullSafe(F.col("_s"))).drop("_g", "_s")
     return events.where(F.col("tID").isNotNull()).withColumn("team", F.col("tID")).unionByName(both)
 
 
