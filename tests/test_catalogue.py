@@ -1,7 +1,7 @@
 import pytest
 
 from tests.oracle import compare, connect
-from touchline.plans import catalogue, mechanisms  # noqa: F401
+from touchline.plans import catalogue, compositions, mechanisms  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -364,15 +364,33 @@ def test_sinks(spark, tmp_path):
     assert readers.files_like(spark, str(tmp_path / "c"), "*.csv").count() >= 1
 
 
+def test_folds_without_the_driver(spark):
+    rows = T.fold_parts(spark.range(101), "id", 6).collect()
+    for f in range(6):
+        mine = [r for r in rows if r.fold == f]
+        sizes = {p: sum(r.part == p for r in mine) for p in ("train", "valid", "test")}
+        assert len(mine) == 101 and sizes["test"] in (16, 17) and 15 <= sizes["valid"] <= 18
+    assert sorted(r.id for r in rows if r.part == "test") == list(range(101))
+    assert T.fold_parts(spark.range(0), "id", 6).count() == 0
+
+
+def test_team_less_events_without_a_segment(spark):
+    rows = [("g", "1", "a"), ("g", None, "a"), ("g", None, None), ("g", "1", None)]
+    got = readers.by_team(spark.createDataFrame(rows, "game_id string, segment string, tID string")).collect()
+    assert sorted((r.segment or "", r.tID or "", r.team) for r in got) == [("", "", "a"), ("", "a", "a"), ("1", "", "a"), ("1", "a", "a")]
+
+
 def test_stream_forms(spark, tmp_path):
     from touchline.streaming import streams as ST
 
-    rows = [("2024-01-01 00:00:00.100", 1, "ball", None, 0.0, 0.0), ("2024-01-01 00:00:00.100", 1, "a", "H", 3.0, 0.0), ("2024-01-01 00:00:00.100", 1, "b", "A", 2.0, 0.0)]
+    from touchline.streaming import stateful as SF
+
+    rows = [("2024-01-02 00:00:00.000", 2, "z", "H", 0.0, 0.0), ("2024-01-01 00:00:00.100", 1, "ball", None, 0.0, 0.0), ("2024-01-01 00:00:00.100", 1, "a", "H", 3.0, 0.0), ("2024-01-01 00:00:00.100", 1, "b", "A", 2.0, 0.0)]
     df = spark.createDataFrame(rows, "s string, frame_id int, id string, team_id string, x double, y double").withColumn("t", F.to_timestamp("s")).drop("s")
     df.write.parquet(str(tmp_path / "in"))
     s = ST.arriving(spark, str(tmp_path / "in"), df.schema)
-    assert ST.drain(ST.frame_carriers(s, "t", ["frame_id"]), "carriers_now").first().carrier_id == "b"
-    assert ST.drain(ST.session_spans(s, "t", "10 seconds", ["id"]), "spans_now").count() == 3
+    assert SF.closed_rows(ST.frame_carriers(s, "t", ["frame_id"]), f"file://{tmp_path}/carriers").first().carrier_id == "b"
+    assert SF.closed_rows(ST.session_spans(s, "t", "10 seconds", ["id"]), f"file://{tmp_path}/spans").count() == 3
     assert Window is not None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scalars as S
 from . import events as EV, frames as FR, series as R, tables as T, temporal as TM
@@ -51,3 +51,18 @@ def frames_with_events(tracking: DataFrame, placed: DataFrame) -> DataFrame:
     """Every frame, with its events where it has some."""
     frames = tracking.select(*FR.FRAME).distinct()
     return placed.select(*FR.FRAME, "event_id", F.col("corrected_id").alias("player_id")).join(frames, FR.FRAME, "right")
+
+
+def parsed_events(events: DataFrame, tracking: DataFrame, limit: float = 5.0) -> DataFrame:
+    """The parser's whole way from events and traces to corrected events: each event (game_id, period_id, time, event_id, team_id,
+    player_id, x, y) at its nearest frame, its player corrected, with the frame's ball, the player's code and span in the game, and
+    the phase: a number that counts the changes of the team with the ball along the period's events."""
+    placed = events_on_frames(events, tracking, limit)
+    balls = tracking.where(FR.is_ball()).groupBy(*FR.FRAME).agg(F.min(F.struct("x", "y", "ball_owning_team_id")).alias("b"))
+    out = placed.join(balls, FR.FRAME, "left").withColumns({"ball_x": F.col("b.x"), "ball_y": F.col("b.y"), "owner": F.col("b.ball_owning_team_id")}).drop("b")
+    along = R.along(["game_id", "period_id"], "time", "event_id")
+    known = F.last("owner", True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    out = out.withColumn("_new", F.coalesce((F.col("owner") != known).cast("long"), F.lit(0)))
+    out = out.withColumn("phase", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+    spans = placed.groupBy("game_id", F.col("corrected_id").alias("_p")).agg(F.min("time").alias("first_time"), F.max("time").alias("last_time"))
+    return out.join(spans.withColumnRenamed("game_id", "_g"), (F.col("game_id") == F.col("_g")) & F.col("corrected_id").eqNullSafe(F.col("_p")), "left").drop("_g", "_p")

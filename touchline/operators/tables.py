@@ -116,6 +116,29 @@ def folds(ids: list, n: int, seed: int = 42) -> list[tuple]:
     return out
 
 
+def ranked(df: DataFrame, key: str, seed: int, out: str) -> DataFrame:
+    """Places from 0 of the rows in the order of a digest of seed and key, which is the same on every run: rows are numbered
+    inside 4096 buckets of the digest, and the buckets' sizes, a bounded table, are summed up before them. Keys are distinct;
+    null keys are one."""
+    rows = df.withColumn("_digest", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
+    rows = rows.withColumn("_bucket", F.substring("_digest", 1, 3))
+    rows = rows.withColumn(out, F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", key)) - 1)
+    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_bucket", before.alias("_before"))  # at most 4096 rows
+    return rows.join(F.broadcast(sizes), "_bucket").withColumn(out, (F.col(out) + F.col("_before")).cast("long")).drop("_bucket", "_digest", "_before")
+
+
+def fold_parts(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """fold, part beside each row of distinct keys, once for each of n folds: folds() for keys of any number, without the driver.
+    The shuffle is that of a digest; sizes differ by one at most, and of a fold's other keys every (n - 1)-th is for validation."""
+    rows = ranked(df, key, seed, "_place").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    mine = F.pmod(F.col("_place"), F.lit(n))
+    other = F.pmod(mine - F.col("fold") - 1, F.lit(n)) + (n - 1) * F.floor(F.col("_place") / n)
+    part = F.when(mine == F.col("fold"), "test").when(F.pmod(other, F.lit(n - 1)) == 0, "valid").otherwise("train")
+    return rows.withColumn("part", part).drop("_place")
+
+
 def ratio_split(df: DataFrame, order: list[str], valid: float, test: float) -> DataFrame:
     """`part` by position: the first floor(n * test) rows are test, the next floor(n * valid) valid, the rest train."""
     w = Window.orderBy(*order)  # a row for each group to split, such as a match

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scalars as S
 from ..operators import duels as DU, events as EV, frames as FR, metrics as M, pressure as P, samples as SA, series as R, tables as T, temporal as TM, validator as V
-from ..streaming import streams as ST
+from ..session import shared_folder
+from ..streaming import stateful as SF, streams as ST
 from . import adapters as A
 
 QUERIES: dict = {}
@@ -518,17 +519,17 @@ def ratio_split(spark, d):
     return T.ratio_split(A.table(spark, d, "orders").select(F.col("o_custkey").alias("match")).distinct(), ["match"], 0.2, 0.1)
 
 
-def _fold_sql() -> str:
-    rows = ", ".join(f"({f}, {n}, '{p}')" for f, n, p in T.folds(list(range(25)), 6))
-    return f"SELECT CAST(fold AS INTEGER) AS fold, n_name, part FROM nation JOIN (VALUES {rows}) v(fold, k, part) ON n_nationkey = k"
+@query("""WITH p AS (SELECT n_nationkey, n_name, row_number() OVER (ORDER BY md5('42:' || n_nationkey), n_nationkey) - 1 AS i FROM nation)
+SELECT CAST(f AS INTEGER) AS fold, n_name, CASE WHEN i % 6 = f THEN 'test' WHEN (((i % 6 - f - 1) % 6 + 6) % 6 + 5 * (i // 6)) % 5 = 0 THEN 'valid' ELSE 'train' END AS part FROM p, (SELECT unnest(range(6)) AS f)""")
+def kfold_assign(spark, d):
+    return T.fold_parts(A.table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", 6).select("fold", "n_name", "part")
 
 
-@query(_fold_sql())
-def kfold_assign(spark, d):
-    n = A.table(spark, d, "nation")
-    ids = [r[0] for r in n.select("n_nationkey").distinct().collect()]  # a number for each match
-    rows = spark.createDataFrame(T.folds(ids, 6), "fold int, k int, part string")
-    return T.look_up(n, rows, F.col("n_nationkey") == F.col("k"), "inner").select("fold", "n_name", "part")
+@query("""WITH k AS (SELECT DISTINCT o_custkey AS match FROM orders), p AS (SELECT match, row_number() OVER (ORDER BY md5('42:' || match), match) - 1 AS i FROM k)
+SELECT CAST(f AS INTEGER) AS fold, match, CASE WHEN i % 6 = f THEN 'test' WHEN (((i % 6 - f - 1) % 6 + 6) % 6 + 5 * (i // 6)) % 5 = 0 THEN 'valid' ELSE 'train' END AS part FROM p, (SELECT unnest(range(6)) AS f)""")
+def kfold_of_orders(spark, d):
+    """The folds of every customer that has an order."""
+    return T.fold_parts(A.table(spark, d, "orders").select(F.col("o_custkey").alias("match")).distinct(), "match", 6).select("fold", "match", "part")
 
 
 @query("SELECT 'users' AS name, CAST(NULL AS VARCHAR) AS value, count(DISTINCT user_id) AS n FROM events UNION ALL SELECT 'rows', NULL, count(*) FROM events UNION ALL SELECT 'event_type', event_type, count(*) FROM events GROUP BY event_type")
@@ -683,12 +684,13 @@ def mislabel_correction(spark, d):
     return EV.correct_mislabels(e, t).select("event_id", "corrected_id", "was_wrong")
 
 
-@query("SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("WITH mx AS (SELECT epoch_us(max(ts)) // 1000 - 600000 AS w FROM events) SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, mx GROUP BY 1, 2, w HAVING epoch_us(time_bucket(INTERVAL 6 HOURS, any_value(ts))) // 1000 + 21600000 <= w")
 def stream_window_counts(spark, d):
+    """Counts of every window that the stream has closed, in files."""
     s = ST.arriving(spark, d, A.table(spark, d, "events").schema, "events.parquet")
     if dict(s.dtypes)["ts"] == "timestamp_ntz":
         s = s.withColumn("ts", F.col("ts").cast("timestamp"))
-    out = ST.drain(ST.windowed_counts(s, "ts", "6 hours", None, ["event_type"], "value"), "stream_window_counts")
+    out = SF.closed_rows(ST.windowed_counts(s, "ts", "6 hours", None, ["event_type"], "value"), shared_folder(spark, "windows"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

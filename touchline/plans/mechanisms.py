@@ -49,10 +49,10 @@ _STATES = ", ".join(f"('{s}')" for s in L.STATES)
 LEGAL = f"""WITH RECURSIVE {PLAY},
 co AS (SELECT *, result_name = 'Unsuccessful' AS failed, coalesce(last_value(CASE WHEN type_name IN ({_PASSES}) THEN {{'r': relative_id}} END IGNORE NULLS) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) = {{'r': event_id}}, false) AS meant,
  lead(coalesce(type_name, '')) OVER w AS nxt FROM pl WINDOW w AS (PARTITION BY game_id, period_id ORDER BY n)),
-tr AS (SELECT game_id, period_id, n, s.state, coalesce(max(r.after_), max(f.after_), s.state) AS after_, max(r.after_) IS NOT NULL AS legal FROM co, (VALUES {_STATES}) s(state)
+tr AS (SELECT game_id, period_id, n, s.state, coalesce(max(r.after_), f.after_, s.state) AS after_, max(r.after_) IS NOT NULL AS legal FROM co, (VALUES {_STATES}) s(state)
  LEFT JOIN {_RULES} r(kind, state, after_, cond) ON r.kind = co.type_name AND r.state = s.state AND (r.cond IS NULL OR failed OR (r.cond = 'intended' AND meant) OR (r.cond = 'keeper' AND (nxt IS NULL OR nxt IN ({_KEEPER})))
   OR (r.cond = 'tackle' AND (nxt IS NULL OR (s.state, nxt) IN (SELECT (a, b) FROM {_TACKLE} t(a, b)))))
- LEFT JOIN {_FORCED} f(kind, after_) ON f.kind = co.type_name GROUP BY ALL),
+ LEFT JOIN {_FORCED} f(kind, after_) ON f.kind = co.type_name GROUP BY game_id, period_id, n, s.state, f.after_),
 re AS (SELECT game_id, period_id, n, state AS before_, after_, legal FROM tr WHERE n = 1 AND state = '{V.KICK_OFF}' UNION ALL SELECT tr.game_id, tr.period_id, tr.n, tr.state, tr.after_, tr.legal FROM re JOIN tr ON tr.game_id = re.game_id AND tr.period_id = re.period_id AND tr.n = re.n + 1 AND tr.state = re.after_)"""
 
 

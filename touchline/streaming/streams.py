@@ -35,10 +35,3 @@ def frame_carriers(df: DataFrame, time: str, frame: list[str], late: str = "10 s
     d = lambda p: F.sqrt((p["x"] - F.col("b.x")) * (p["x"] - F.col("b.x")) + (p["y"] - F.col("b.y")) * (p["y"] - F.col("b.y")))
     best = F.array_min(F.transform("ps", lambda p: F.struct(d(p).alias("d"), p["id"].alias("id"), p["team_id"].alias("team_id"))))
     return g.select(*frame, best.alias("c")).where(F.col("c.d") < limit).select(*frame, F.col("c.id").alias("carrier_id"), F.col("c.team_id").alias("owning_team"), F.col("c.d").alias("distance"))
-
-
-def drain(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run over what is there now and return the result as a table (for tests and small aggregates)."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
