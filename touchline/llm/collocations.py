@@ -32,8 +32,10 @@ LONGEST, LEAST, TOP = 3, 10, 2000
 COVERED = 50
 MOST_SHIPPED, SHIPPED_BYTES = 1_000_000, 24 << 20
 #: Distinct words or codes that a task counts before it passes their counts on.
-MOST_COUNTED = 300_000
+MOST_COUNTED = 200_000
 MOST_CODES = 1_000_000
+#: Words in a row of numbers, about, and rows that are looked at together.
+ROW_WORDS, AT_ONCE = 512, 512
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Bytes as the cut sees them: A-Z lower-cased, tabs as blanks, and every break as a full stop, which no word holds.
 SEEN = bytes(46 if c in BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -109,14 +111,18 @@ def sorted_codes(rows: DataFrame) -> np.ndarray:
 
 
 def numbered(docs: DataFrame, words: Words) -> DataFrame:
-    """ids: 32-bit numbers of the frequent words of some texts in order, with one -1 wherever a phrase cannot go on. Written."""
+    """ids: 32-bit numbers of the frequent words of some texts in order, with one -1 wherever a phrase cannot go on, and at the
+    end of each row. Written. Rows are short, as tasks get them by number."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, found in by_lang(batches):
-            ids = shared.value.numbers(lang, found)
+            ids = np.append(shared.value.numbers(lang, found), np.int32(-1))
             ids = ids[(ids >= 0) | (np.concatenate(([-1], ids[:-1])) >= 0)]
-            yield pd.DataFrame({"ids": [ids.tobytes()]})
+            ends = np.flatnonzero(ids < 0) + 1
+            if len(ends):  # rows of about ROW_WORDS words, cut where no phrase goes on
+                cuts = np.unique(ends[np.searchsorted(ends, np.arange(ROW_WORDS, ends[-1], ROW_WORDS))])
+                yield pd.DataFrame({"ids": [x.tobytes() for x in np.split(ids, cuts) if len(x)]})
 
     return materialise(docs.mapInPandas(run, "ids binary"), "ids")
 
@@ -156,8 +162,8 @@ def code_table(ids: DataFrame, tables: list[np.ndarray], least: int) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, held = [], 0
         for pdf in batches:
-            for x in pdf["ids"]:
-                _, codes = pair_codes(places_of(np.frombuffer(x, np.int32), shared.value))
+            for k in range(0, len(pdf), AT_ONCE):
+                _, codes = pair_codes(places_of(np.frombuffer(b"".join(pdf["ids"].iloc[k : k + AT_ONCE]), np.int32), shared.value))
                 found = np.unique(codes, return_counts=True)
                 parts.append(found)
                 held += len(found[0])
