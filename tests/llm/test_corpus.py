@@ -11,7 +11,7 @@ from tests.llm import brute
 from touchline.llm import common, decontam, graph, gru_lm, langid, mixing, ngram_join, pii, quality, queries, token_scan, toxicity, urls
 
 LONG = "long words " * 4000
-HUGE = "some words of a text that goes on and on, " * 80_000  # 3.4 MB
+HUGE = "some words of a text that goes on and on, " * 40_000  # 1.7 MB
 ODD = [
     (1, None, "en", "a", 0),
     (2, "", "en", None, 0),
@@ -152,14 +152,13 @@ def test_pii_in_one_text_of_many_entities(spark):
 def test_pii_of_one_address_in_many_documents(spark):
     """One entity, given away by a number of terms that grows with the documents: what a text holds bounds the join."""
     rows = lambda n: [(i, " ".join(["common words here"] * 2 + [f"t{'abcdefghij'[i // 3 % 10]}{''.join('abcdefghij'[int(c)] for c in str(i // 3))}", "joe@x.org"] + [f"tail{'xyz'[i % 3]}{i % 7 * 'q'}"])) for i in range(n)]
-    docs = spark.createDataFrame(rows(3000), "doc_id long, text string")
+    docs = spark.createDataFrame(rows(1200), "doc_id long, text string")
     spanned = pii.with_spans(docs)
     near = common.materialise(pii.contexts(spanned), "contexts")
     told = common.materialise(pii.disclosures(docs, near), "disclosures")
-    assert told.count() > 500
+    assert told.count() > 300
     found = pii.occurrences(spanned, told)
-    assert 1000 < found.count() <= 5 * 3000
-    assert pii.sanitise(docs, ["doc_id"]).where("size(_pii_terms) = 0").count() < 3000
+    assert 1000 < found.count() <= 10 * 1200  # places in the texts, of ten words each
 
 
 def test_pii_copies_prove_nothing(spark):

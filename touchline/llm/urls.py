@@ -99,8 +99,8 @@ def tags_in(html: Column) -> Column:
     """The link, meta and base tags outside comments, in order: array<struct(tag, at)>, `at` being the attributes' values by
     lower-cased name."""
     groups = lambda t, k: F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(k))
-    one = lambda n, v: F.struct(F.lower(n).alias("n"), v.alias("v"))
-    every = lambda t: F.zip_with(groups(t, 1), F.zip_with(F.zip_with(groups(t, 2), groups(t, 3), F.concat), groups(t, 4), F.concat), one)
+    one, both = lambda n, v: F.struct(F.lower(n).alias("n"), v.alias("v")), lambda x, y: F.concat(x, y)
+    every = lambda t: F.zip_with(groups(t, 1), F.zip_with(F.zip_with(groups(t, 2), groups(t, 3), both), groups(t, 4), both), one)
     first = lambda xs: F.filter(xs, lambda x, i: ~F.exists(F.slice(xs, 1, i), lambda y: y["n"] == x["n"]))
     tag = lambda t: F.struct(F.lower(F.regexp_extract(t, "^<([A-Za-z]+)", 1)).alias("tag"), let(every(t), lambda xs: F.map_from_entries(first(xs))).alias("at"))
     return F.transform(F.regexp_extract_all(F.regexp_replace(html, COMMENT, ""), F.lit(TAG), F.lit(0)), tag)
@@ -112,11 +112,12 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     canonical = lambda x: tag(x, "link", "href") & F.array_contains(F.split(F.lower(x["at"]["rel"]), r"\s+"), "canonical")
     refresh = lambda x: tag(x, "meta", "content") & (F.lower(F.btrim(x["at"]["http-equiv"])) == "refresh")
     link = lambda x: F.when(canonical(x), F.btrim(decoded(x["at"]["href"]))).when(refresh(x), F.regexp_extract(decoded(x["at"]["content"]), REFRESH, 1))
-    mine = pages.where(F.col(url).contains("://")).select(F.col(url).alias("src"), F.when(F.lower(html).rlike("canonical|refresh"), tags_in(F.col(html))).alias("tags"))
-    base = F.get(F.filter("tags", lambda x: tag(x, "base", "href")), F.lit(0))["at"]["href"]
-    mine = mine.select("src", resolved(F.col("src"), F.btrim(decoded(base))).alias("base"), F.explode_outer(F.filter(F.transform("tags", link), lambda x: x.isNotNull())).alias("link"))
-    mine = mine.select("src", resolved(F.when(F.col("base").contains("://"), F.col("base")).otherwise(F.col("src")), F.col("link")).alias("dst"))
-    mine = mine.select("src", F.when(F.col("dst").contains("://"), F.col("dst")).alias("dst"))
+    base = lambda tags: F.btrim(decoded(F.get(F.filter(tags, lambda x: tag(x, "base", "href")), F.lit(0))["at"]["href"]))
+    links = lambda tags: let(base(tags), lambda b: F.transform(F.filter(F.transform(tags, link), lambda x: x.isNotNull()), lambda x: F.struct(b.alias("base"), x.alias("link"))))
+    found = F.when(F.lower(html).rlike("canonical|refresh"), let(tags_in(F.col(html)), links))
+    mine = pages.where(F.col(url).contains("://")).select(F.col(url).alias("src"), F.explode_outer(found).alias("e")).select("src", "e.*")
+    at = let(resolved(F.col("src"), F.col("base")), lambda b: F.when(b.contains("://"), b).otherwise(F.col("src")))
+    mine = mine.select("src", let(let(at, lambda a: resolved(a, F.col("link"))), lambda x: F.when(x.contains("://"), x)).alias("dst"))
     return with_spellings(mine)
 
 
