@@ -430,6 +430,15 @@ def test_samples_are_padded_and_turned(spark):
     assert [len(a) for a in s.features] == [5] * 4 and len(s.features[0][0]) == 19
     assert s.features[0][0][0] == -2.0 and s.features[0][1] == [0.0] * 19  # turned, as the carrier is at home; a missing agent
     assert [f[0][18] for f in s.features] == [4.0] * 4
+    # pressure matrices of the picked frames, filled up; a sample without one in its press frame, or with an unknown feature, is none
+    m = spark.createDataFrame([("g", 1, f, ["c", "p"], ["c", "p", "x"], [[None, 0.25, 0.5], [float(f), None, None]]) for f in (2, 5, 6, 7)], "game_id string, period_id long, frame_id long, rows array<string>, columns array<string>, probability array<array<double>>")
+    r = SA.build_samples(t, press, events, "H", span=5, k=4, size=4, matrices=m).first()
+    assert r.agent_order == ["c", "p", "Missing_0", "Missing_1", "c", "p", "x", "Missing_2", "ball"]
+    assert [p[1][0] for p in r.pressing] == [2.0, 5.0, 7.0] and all(p[0] == [0.0, 0.25, 0.5, 0.0] and p[2] == [0.0] * 4 and len(p) == 4 for p in r.pressing)
+    assert SA.build_samples(t, press, events, "H", span=5, k=4, matrices=m.where("frame_id < 7")).count() == 0
+    hole = t.withColumn("vx", F.when((F.col("frame_id") != 4) | (F.col("id") != "p"), F.col("vx")))
+    assert SA.build_samples(hole, press, events, "H", span=5, k=4).count() == 0
+    assert SA.build_samples(hole, press.withColumn("frame_id", F.lit(3).cast("long")), events, "H", span=5, k=4).count() == 1
 
 
 def test_no_agent_and_no_value_is_cut(spark):

@@ -702,5 +702,5 @@ def sample_builder(spark, d):
     e = A.events(spark, d).select(F.lit("g1").alias("game_id"), F.when(F.col("d") <= 15, 1).otherwise(2).cast("long").alias("period_id"), ((F.col("d") - 1) * 24 + F.col("h")).alias("frame_id"), (F.col("k") % 19).cast("int").alias("type_id"), F.col("team_id").alias("tid"), F.col("event_type").alias("e"), "event_id")
     labelled = TM.followed_by(starts.join(c.select(*FR.FRAME, F.col("id").alias("pressed_id"), F.col("team_id").alias("tid")), [*FR.FRAME, "pressed_id"]), e.where("e = 'purchase'"), ["game_id", "period_id"], "frame_id", 1, "tid", "success")
     first = e.groupBy("game_id", "period_id", "frame_id").agg(F.min_by("type_id", "event_id").alias("type_id"))
-    s = SA.build_samples(c, labelled.withColumn("label", F.col("success").cast("int")), first, "H", span=48)
-    return s.select("sample_id", "pressed_id", "presser_id", "label", F.size("frames").alias("n_frames"), F.size(F.col("features")[0]).alias("n_agents"), F.size(F.col("features")[0][0]).alias("n_features"), F.xxhash64("features").alias("digest"))
+    s = SA.build_samples(c, labelled.withColumn("label", F.col("success").cast("int")), first, "H", span=48, matrices=P.matrices(pressure(spark, d)))
+    return s.select("sample_id", "pressed_id", "presser_id", "label", F.size("frames").alias("n_frames"), F.size(F.col("features")[0]).alias("n_agents"), F.size(F.col("features")[0][0]).alias("n_features"), F.xxhash64("features").alias("digest"), F.size("pressing").alias("n_matrices"), F.xxhash64("pressing", "agent_order").alias("matrix_digest"))
