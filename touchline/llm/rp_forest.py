@@ -6,7 +6,8 @@ fits up to LEVELS levels on a bounded sample of about FIT_ROWS of its vectors, a
 are grown that a pair at the threshold meets in a leaf with probability `recall` (choose_trees). Every pair of a leaf is
 compared in double precision, so no found link is below the threshold.
 
-A node that splitting does not make smaller (most of it falls in the overlap: a dense group) is a leaf whatever its size. A leaf
+A node that splitting does not make smaller (most of it falls in the overlap: a dense group), or that is still larger after the
+rounds that spread-out vectors need and one more, is a leaf whatever its size. A leaf
 over LEAF is cut into blocks by a digest, and every pair of its blocks is one task's bounded work, so nothing is capped; a
 vector then travels once for each block of its leaf. Equal vectors are one class with a number of copies. A pair that shares
 several leaves counts in the least of them alone: every vector carries the list of its leaves. Tasks return a row for each
@@ -31,7 +32,7 @@ from .common import forget, join_small, materialise, table
 from .graph import connected_components
 
 SIMILARITY, RECALL = 0.95, 0.9999
-LEAF, FIT_ROWS, LEVELS, ROUNDS = 1024, 8192, 9, 12
+LEAF, FIT_ROWS, LEVELS = 1024, 8192, 9
 #: About so many vectors of a node are routed at a time.
 ROUTED = 16_384
 #: Half the overlap around a split, in standard deviations of the difference that a linked pair has along a direction.
@@ -51,11 +52,15 @@ def missed_at_a_split(similarity: float = SIMILARITY, spill: float = SPILL) -> f
     return math.sqrt(2 - 2 * similarity) * beyond / math.sqrt(2 * math.pi)
 
 
+def levels_of(n: int, similarity: float = SIMILARITY, spill: float = SPILL) -> int:
+    """Splits from n spread-out vectors to a leaf: a child keeps half of its parent and its part of the overlap."""
+    share = 0.5 + spill * math.sqrt((2 - 2 * similarity) / (2 * math.pi))
+    return max(0, math.ceil(math.log(max(1, n) / LEAF) / -math.log(share)))
+
+
 def choose_trees(n: int, similarity: float = SIMILARITY, recall: float = RECALL, spill: float = SPILL) -> int:
     """Trees for n vectors: their depth grows with the logarithm of n, and a pair has to meet in one of them."""
-    share = 0.5 + spill * math.sqrt((2 - 2 * similarity) / (2 * math.pi))
-    levels = max(0, math.ceil(math.log(max(1, n) / LEAF) / -math.log(share)))
-    missed = 1 - (1 - missed_at_a_split(similarity, spill)) ** levels
+    missed = 1 - (1 - missed_at_a_split(similarity, spill)) ** levels_of(n, similarity, spill)
     return max(1, math.ceil(math.log(1 - recall) / math.log(missed))) if missed > 0 else 1
 
 
@@ -144,8 +149,8 @@ def classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     return signed.select("vec_id", "d1", "d2"), materialise(own.withColumn("cls", F.monotonically_increasing_id()), "classes"), kind
 
 
-def grow(classes: DataFrame, kind: str, trees: int, similarity: float, spill: float) -> DataFrame:
-    """leaf, n (its vectors), cls, vec, length, copies of every vector in every leaf that holds it. Written, in parts."""
+def grow(classes: DataFrame, kind: str, n: int, trees: int, similarity: float, spill: float) -> DataFrame:
+    """leaf, n (its vectors), cls, vec, length, copies of every vector in every leaf that holds it; n vectors in all."""
     roots = F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64("length", t)))
     columns = ["cls", "vec", "length", "copies"]
     rows, done = materialise(classes.select(*columns, roots.alias("node")), "nodes"), None
@@ -168,7 +173,7 @@ def grow(classes: DataFrame, kind: str, trees: int, similarity: float, spill: fl
     def closed(rows: DataFrame) -> DataFrame:
         return rows.select(F.col("node").alias("leaf"), "n", *columns)
 
-    for _ in range(ROUNDS):
+    for _ in range(1 + math.ceil(levels_of(n, similarity, spill) / LEVELS)):
         counts = materialise(rows.groupBy("node").agg(F.count("*").alias("n")), "counts")
         big = counts.where(F.col("n") > LEAF)
         if big.isEmpty():
@@ -229,7 +234,8 @@ def compare(similarity: float, kind: str):
 
 def links_of(classes: DataFrame, kind: str, similarity: float, recall: float, spill: float) -> DataFrame:
     """cls, root (a class that it is linked with, over others at times), links: of every class and unit of work. Written."""
-    leaves = grow(classes, kind, choose_trees(classes.count(), similarity, recall, spill), similarity, spill)
+    n = classes.count()
+    leaves = grow(classes, kind, n, choose_trees(n, similarity, recall, spill), similarity, spill)
     lists = leaves.groupBy("cls").agg(F.collect_list("leaf").alias("leaves"))  # as many as the trees give, by their overlaps
     parts = F.ceil(F.col("n") / LEAF).cast("int")
     rows = leaves.where("n > 1").join(lists, "cls").withColumn("side", F.pmod(F.xxhash64("cls"), parts).cast("int"))
