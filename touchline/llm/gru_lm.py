@@ -48,7 +48,7 @@ SCORED_AT_ONCE, SCORE_WINDOW = 512, 64
 #: Documents that a task holds as tokens at a time.
 SLICE = 2048
 #: Ids: the end, the TAILS symbols of endings, and from WORDS on words by frequency.
-END, TAILS = 0, 255
+END, TAILS = 0, 127
 WORDS = 1 + TAILS
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SHAPES = {"x": lambda k: (k, 3 * HIDDEN), "u": lambda k: (HIDDEN, 3 * HIDDEN), "c": lambda k: (-(-k // CLASS_SIZE), HIDDEN), "cb": lambda k: (-(-k // CLASS_SIZE),), "w": lambda k: (-(-k // CLASS_SIZE), CLASS_SIZE, HIDDEN), "wb": lambda k: (-(-k // CLASS_SIZE), CLASS_SIZE)}
@@ -416,6 +416,7 @@ def score_documents(every: DataFrame, corpus: Corpus, weights: np.ndarray, count
             yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "n_tokens": n, "n_known": known, "base": base - n * total, "model": model + np.array(within)})
 
     rows = every.select("row", F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(run, "row long, doc_id string, n_tokens long, n_known long, base double, model double")
+    rows = materialise(rows, "scores")  # a plan that changes at run time may not score twice
     less = every.where("rare != ''").select("row", F.explode(F.split("rare", " ")).alias("word")).join(counts, "word")
     less = less.groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("c") + 1.0)).alias("l"))
     out = as_number(rows).join(less, "row", "left")
