@@ -80,15 +80,21 @@ def word_table(docs: DataFrame) -> DataFrame:
 
 
 class Words:
-    """The frequent words as the tasks need them: one Arrow array by lang and word, and where each lang's part begins. A word's
-    number is its place."""
+    """The frequent words as the tasks need them: one Arrow array by lang and word, and where each lang's part ends. A word's
+    number is its place. These three travel, not the object: broadcasts carry no classes of this package."""
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, words: pa.Array, langs: list[str], ends: np.ndarray):
+        self.words, self.langs, self.ends = words, langs, ends
+
+    def parts(self) -> tuple[pa.Array, list[str], np.ndarray]:
+        return self.words, self.langs, self.ends
+
+    @classmethod
+    def of(cls, rows: DataFrame) -> Words:
         found = rows.select("lang", "phrase").toArrow().sort_by([("lang", "ascending"), ("phrase", "ascending")])  # checked by is_small()
-        self.words = found["phrase"].cast(pa.large_binary()).combine_chunks()
         langs = pc.run_end_encode(found["lang"].combine_chunks()) if len(found) else None
-        self.langs = langs.values.to_pylist() if langs else []
-        self.ends = np.array(langs.run_ends.to_pylist() if langs else [], np.int64)
+        ends = np.array(langs.run_ends.to_pylist() if langs else [], np.int64)
+        return cls(found["phrase"].cast(pa.large_binary()).combine_chunks(), langs.values.to_pylist() if langs else [], ends)
 
     def numbers(self, lang: str, words: list[bytes]) -> np.ndarray:
         """The number of each word, or -1."""
@@ -113,11 +119,12 @@ def sorted_codes(rows: DataFrame) -> np.ndarray:
 def numbered(docs: DataFrame, words: Words) -> DataFrame:
     """ids: 32-bit numbers of the frequent words of some texts in order, with one -1 wherever a phrase cannot go on, and at the
     end of each row. Written. Rows are short, as tasks get them by number."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = docs.sparkSession.sparkContext.broadcast(words.parts())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words(*shared.value)
         for lang, found in by_lang(batches):
-            ids = np.append(shared.value.numbers(lang, found), np.int32(-1))
+            ids = np.append(words.numbers(lang, found), np.int32(-1))
             ids = ids[(ids >= 0) | (np.concatenate(([-1], ids[:-1])) >= 0)]
             ends = np.flatnonzero(ids < 0) + 1
             if len(ends):  # rows of about ROW_WORDS words, cut where no phrase goes on
@@ -181,7 +188,7 @@ def code_table(ids: DataFrame, tables: list[np.ndarray], least: int) -> DataFram
 
 def spelled(rows: DataFrame, words: Words, tables: list[np.ndarray]) -> DataFrame:
     """code, c -> lang, phrase, c. tables: the codes of the levels below."""
-    shared = rows.sparkSession.sparkContext.broadcast((words, tables))
+    shared = rows.sparkSession.sparkContext.broadcast((words.parts(), tables))
 
     def numbers(codes: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
         """A row of word numbers for each code."""
@@ -191,7 +198,8 @@ def spelled(rows: DataFrame, words: Words, tables: list[np.ndarray]) -> DataFram
         return np.concatenate([numbers(tables[-1][first], tables[:-1]), numbers(tables[-1][second], tables[:-1])[:, -1:]], 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, tables = shared.value
+        parts, tables = shared.value
+        words = Words(*parts)
         for pdf in batches:
             langs, phrases = words.spelled(numbers(pdf["code"].to_numpy(), tables))
             yield pd.DataFrame({"lang": langs, "phrase": phrases.to_pylist(), "c": pdf["c"]})
@@ -230,7 +238,7 @@ def level_tables(docs: DataFrame, words: DataFrame, longest: int, least: int, mo
             out.append(materialise(counted_by_shuffle(docs, out[-1], size, least), "level"))
             continue
         if ids is None:
-            first = Words(out[0])
+            first = Words.of(out[0])
             ids = numbered(docs, first)
         level = code_table(ids, tables, least)
         out.append(materialise(spelled(level, first, tables), "level"))
