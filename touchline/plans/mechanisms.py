@@ -88,7 +88,7 @@ def stream_sessions(spark, d):
 @query(f"WITH {A.CARRIER}, mx AS (SELECT max(frame_id) - 1 AS w FROM tr) SELECT game_id, period_id, frame_id, id AS carrier_id, team AS owning_team, round(ball_dist, 6) AS distance FROM car, mx WHERE is_ball_carrier AND frame_id < w")
 def stream_frame_carriers(spark, d):
     """Each frame's carrier, as a stream of positions closes the frame; frames are an hour apart, the last two stay open."""
-    t = A.tracking(spark, d).withColumn("time", F.timestamp_seconds(F.col("frame_id") * 3600))
+    t = A.tracking(spark, d).withColumn("time", F.timestamp_seconds((F.col("frame_id") + 24) * 3600))  # a stream takes the epoch itself for late
     folder = shared_folder(spark, "positions")
     t.select(*FR.FRAME, "time", "id", "team_id", "x", "y", "ord", "ball_owning_team_id").write.parquet(f"{folder}/rows")
     rows = ST.arriving(spark, f"{folder}/rows", spark.read.parquet(f"{folder}/rows").schema, files_at_once=1_000_000)
