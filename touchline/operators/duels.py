@@ -15,33 +15,58 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.scalars import let
 
 
+#: Steps of one block: results are appended to a block's own short list, and blocks to the list of blocks.
+BLOCK = 512
+RUNS = "array<struct<start:int,size:int>>"
+
+
+def blocked(places: Column, zero: Column, step, out: str, kind: str) -> Column:
+    """The field `out` (an array of type `kind`) of an aggregate over `places` whose step appends to it: appending copies
+    the list, so it is done block by block, and the lists are put end to end at last."""
+
+    def block(acc: Column, start: Column) -> Column:
+        fresh = F.struct(acc["state"].alias("state"), F.array().cast(kind).alias(out))
+        mine = F.aggregate(F.slice(places, start + 1, F.lit(BLOCK)), fresh, step)
+        return let(mine, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["blocks"], F.array(x[out])).alias("blocks")))
+
+    begin = F.struct(zero.alias("state"), F.array().cast(f"array<{kind}>").alias("blocks"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(places) - 1, F.lit(0)), F.lit(BLOCK))
+    return F.flatten(F.aggregate(starts, begin, block)["blocks"])
+
+
 def cuts(times: Column) -> Column:
     """array<int>, one for each of the sorted times: whether the cheapest cut of the times up to it ends in a run of 2 or 3."""
     never = F.lit(math.inf)
-    zero = F.struct(F.lit(0.0).alias("b"), never.alias("c"), never.alias("d"), F.array().cast("array<int>").alias("runs"), F.lit(0).alias("i"))
+    zero = F.struct(F.lit(0.0).alias("b"), never.alias("c"), never.alias("d"), F.lit(0).alias("i"))
 
     def step(acc, t):
         # b, c, d: costs of the times up to 1, 2 and 3 before this one
-        at = lambda k: F.get(times, acc["i"] - k)
-        two, three = acc["c"] + (t - at(1)), acc["d"] + (t - at(2))
+        s = acc["state"]
+        at = lambda k: F.get(times, s["i"] - k)
+        two, three = s["c"] + (t - at(1)), s["d"] + (t - at(2))
         pair = F.coalesce(two <= F.coalesce(three, never), F.lit(True))
         cost = F.coalesce(F.when(pair, two).otherwise(three), never)
-        return F.struct(cost.alias("b"), acc["b"].alias("c"), acc["c"].alias("d"), F.concat(acc["runs"], F.array(F.when(pair, 2).otherwise(3))).alias("runs"), (acc["i"] + 1).alias("i"))
+        state = F.struct(cost.alias("b"), s["b"].alias("c"), s["c"].alias("d"), (s["i"] + 1).alias("i"))
+        return F.struct(state.alias("state"), F.concat(acc["runs"], F.array(F.when(pair, 2).otherwise(3))).alias("runs"))
 
-    return F.aggregate(times, zero, step)["runs"]
+    return blocked(times, zero, step, "runs", "array<int>")
 
 
 def runs(lengths: Column) -> Column:
     """array<struct(start, size)> of the cut, from its end; none for fewer than two times."""
-    n = F.size(lengths)
-    zero = F.struct(n.alias("at"), F.array().cast("array<struct<start:int,size:int>>").alias("found"))
 
-    def step(acc, i):
-        size = F.get(lengths, i - 1)
-        mine = F.struct((i - size).alias("start"), size.alias("size"))
-        return F.when(acc["at"] == i, F.struct((i - size).alias("at"), F.concat(acc["found"], F.array(mine)).alias("found"))).otherwise(acc)
+    def found(lengths: Column) -> Column:
+        n = F.size(lengths)
+
+        def step(acc, i):
+            size = F.get(lengths, i - 1)
+            mine = F.struct((i - size).alias("start"), size.alias("size"))
+            return F.when(acc["state"] == i, F.struct((i - size).alias("state"), F.concat(acc["found"], F.array(mine)).alias("found"))).otherwise(acc)
+
+        back = lambda places: blocked(places, n, step, "found", RUNS)
+        return F.when(n > 1, let(F.sequence(n, F.lit(1), F.lit(-1)), back)).otherwise(F.array().cast(RUNS))
 
-    return F.when(n > 1, F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), zero, step)["found"]).otherwise(F.array().cast("array<struct<start:int,size:int>>"))
+    return let(lengths, found)  # computed once, not at every step
 
 
 def partners(rows: Column) -> Column:
