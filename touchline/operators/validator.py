@@ -1,23 +1,28 @@
 """Repair of action sequences by a state machine: each (game, period) is replayed in order, and what the rules of play
 do not allow is merged, completed or noted.
 
-This is the one truly sequential operator: a repair changes what later rows see. A group is one period, some thousand
-rows at most, and runs as one pandas function; games and periods run in parallel. Rules are tables; code applies them.
+This is the one truly sequential operator: a repair changes what later rows see. Spark deals rows by period and sorts them; a
+period's rows stream through one task, which holds only those that a rule can still see (BACK behind, some more ahead), so
+time is linear and memory does not grow with the period. Games and periods run in parallel. Rules are tables; code applies
+them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 POSSESSION, TRANSITION, NEUTRAL, SET_PIECE, SHOT, KICK_OFF, PAUSE = "in_possession", "in_transition", "ball_neutral", "set_piece", "post_shot", "kick_off", "pause"
 #: The states of play.
 BALL_STATES = (POSSESSION, TRANSITION, NEUTRAL, SET_PIECE, SHOT, KICK_OFF, PAUSE)
 OPEN = (POSSESSION, TRANSITION, NEUTRAL, SHOT)
 BACK, AHEAD = 5, 6
+#: Rows that are read ahead at once, many times AHEAD; rows of an output batch.
+PART, BATCH = 256, 8192
 NEAR = 3.0
 
 #: Type -> (states it may come in, state after it or None for the same, condition).
@@ -90,13 +95,14 @@ RESTARTS = ("Pass_Corner", "Shot_Corner", "Throw-In", "Goal Kick")
 FOLLOW_SHOT = ("Deflection", "Hit", "Block", "Parry", "Catch", "Error", "Clearance", "Recovery", "Interception", "Ball Received", "Offside", "Foul", "Intervention")
 COLUMNS = ["game_id", "period_id", "event_id", "step", "time_seconds", "team_id", "player_id", "reactor_player_id", "type_name", "result_name", "start_x", "start_y", "end_x", "end_y", "relative_id", "relative_player_id", "relative_time", "pair_id"]
 TEXT, WHOLE = {"team_id", "player_id", "reactor_player_id", "type_name", "result_name", "relative_player_id"}, {"event_id", "step", "relative_id", "pair_id"}
+KEYS = ["game_id", "period_id"]
 NOTE = ["current_state", "next_state", "event", "error"]
 
 
 class Replay:
-    """One period's rows, the state, and the notes. Rows are dicts; a position is an index into them."""
+    """One period's rows, the state, and the notes. Rows are dicts; a position is an index into those that are held."""
 
-    def __init__(self, rows: list[dict]):
+    def __init__(self, rows: Iterable[dict]):
         self.rows, self.state, self.notes = rows, KICK_OFF, []
         self.done: dict[int, dict] = {}  # rows that were repaired or made, by identity: no row is repaired twice
 
@@ -277,8 +283,23 @@ class Replay:
             self.rows[i] = row | {"end_x": nxt["start_x"], "end_y": nxt["start_y"]}
 
     def run(self) -> Replay:
-        i = 0
-        while i < len(self.rows):
+        self.rows = [r for part in self.parts() for r in part]
+        return self
+
+    def parts(self) -> Iterator[list[dict]]:
+        """The repaired rows in order, part by part; notes are added before the part they belong to."""
+        rest, self.rows, i = iter(self.rows), [], 0
+        while True:
+            if i >= PART + BACK:
+                part = self.rows[: i - BACK]
+                del self.rows[: i - BACK]
+                self.done = {id(r): r for r in self.rows if id(r) in self.done}
+                i = BACK
+                yield part
+            if len(self.rows) - i < PART:
+                self.rows += itertools.islice(rest, PART)
+            if i >= len(self.rows):
+                break
             if self.unify(i):  # a row less, or a goal for a goal conceded: never without end
                 continue
             row = self.rows[i]
@@ -299,24 +320,22 @@ class Replay:
             self.note(row, FORCED.get(row["type_name"], self.state), "Impossible trigger" if row["type_name"] in FORCED or row["type_name"] in RULES else "Unknown trigger")
             self.state = FORCED.get(row["type_name"], self.state)
             i += 1
-        return self
+        yield self.rows
 
 
-def _rows(pdf: pd.DataFrame) -> list[dict]:
-    pdf = pdf.sort_values(["time_seconds", "event_id", "step"], kind="stable")
-    return [{k: None if v is None or v is pd.NA or (isinstance(v, float) and np.isnan(v)) else v for k, v in r.items()} for r in pdf[COLUMNS].astype(object).to_dict("records")]
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows with null for NaN."""
+    return ({k: None if v != v else v for k, v in r.items()} for b in batches for r in b.to_pylist())
 
 
 def _schema(df: DataFrame) -> str:
     types = dict(df.dtypes)
-    kind = lambda c: "string" if c in TEXT else "long" if c in WHOLE else types[c] if c in ("game_id", "period_id") else "double"
+    kind = lambda c: "string" if c in TEXT else "long" if c in WHOLE else types[c] if c in KEYS else "double"
     return ", ".join(f"{c} {kind(c)}" for c in COLUMNS)
 
 
 def complete(df: DataFrame) -> DataFrame:
     """df with every column of COLUMNS, null where it has none."""
-    from pyspark.sql import functions as F
-
     missing = {c: F.lit(None).cast("string" if c in TEXT else "long" if c in WHOLE else "double") for c in COLUMNS if c not in df.columns}
     return df.withColumns(missing).select(*COLUMNS) if missing else df.select(*COLUMNS)
 
@@ -325,21 +344,26 @@ def replayed(df: DataFrame) -> DataFrame:
     """One replay of each (game_id, period_id): the repaired rows with action_id in order, and the notes as rows without one
     (event_id, current_state, next_state, event, error)."""
     df = complete(df)
+    order = ["game_id", "period_id", *(F.col(c).asc_nulls_last() for c in ("time_seconds", "event_id", "step"))]
+
+    def lines(replay: Replay, key: dict) -> Iterator[dict]:
+        n = itertools.count()
+        for part in replay.parts():
+            yield from (r | {"action_id": next(n)} for r in part)
+            yield from (key | dict(zip(["event_id", *NOTE], note, strict=True)) for note in replay.notes)
+            replay.notes.clear()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = Replay(_rows(pdf)).run()
-        rows = pd.DataFrame(r.rows, columns=COLUMNS).assign(action_id=pd.array(np.arange(len(r.rows)), "Int64"), **dict.fromkeys(NOTE))
-        notes = pd.DataFrame(r.notes, columns=["event_id", *NOTE]).reindex(columns=[*COLUMNS, "action_id", *NOTE]).astype(object)
-        notes = notes.assign(game_id=pdf["game_id"].iloc[0], period_id=pdf["period_id"].iloc[0])
-        out = pd.concat([rows.astype(object), notes]) if len(notes) else rows
-        for c in [*WHOLE, "action_id"]:
-            out[c] = out[c].astype("Int64")
-        for c in COLUMNS:
-            if c not in TEXT | WHOLE | {"game_id", "period_id"}:
-                out[c] = out[c].astype("float64")
-        return out
-
-    return df.groupBy("game_id", "period_id").applyInPandas(run, _schema(df) + ", action_id long, " + ", ".join(f"{c} string" for c in NOTE))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (first := next(batches, None)) is None:
+            return
+        kind = lambda c: pa.string() if c in TEXT or c in NOTE else pa.int64() if c in WHOLE or c == "action_id" else first.schema.field(c).type if c in KEYS else pa.float64()
+        schema = pa.schema([(c, kind(c)) for c in [*COLUMNS, "action_id", *NOTE]])
+        periods = itertools.groupby(_rows(itertools.chain([first], batches)), key=lambda r: tuple(r[k] for k in KEYS))
+        out = itertools.chain.from_iterable(lines(Replay(rows), dict(zip(KEYS, key, strict=True))) for key, rows in periods)
+        while block := list(itertools.islice(out, BATCH)):
+            yield pa.RecordBatch.from_pylist(block, schema=schema)
+
+    return df.repartition(*KEYS).sortWithinPartitions(*order).mapInArrow(run, _schema(df) + ", action_id long, " + ", ".join(f"{c} string" for c in NOTE))
 
 
 def validate(df: DataFrame) -> DataFrame:
