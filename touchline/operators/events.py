@@ -255,12 +255,62 @@ def valid_events(names: Column, valid: list[str]) -> Column:
     return names.isNull() | F.arrays_overlap(names, F.array(*map(F.lit, valid)))
 
 
+def nearest_points(ex, ey, px, py, rank, block: int = 256):
+    """For each (ex, ey) the place of the nearest of the points (px, py) and its distance; of equally near ones the lower rank's. Both
+    sides are sorted by x, so that a block of places meets only the points within reach: those as near in x as a first guess, then
+    those as near as the farthest of the block's nearest, which can leave out none that is nearer."""
+    import numpy as np
+
+    near, far = np.zeros(len(ex), np.int64), np.zeros(len(ex))
+    by_x, order = np.argsort(px, kind="stable"), np.argsort(ex, kind="stable")
+    px, py, rank = px[by_x], py[by_x], rank[by_x]
+    guess = 2 * np.sqrt((np.ptp(px) + 1) * (np.ptp(py) + 1) / len(px))
+    for at in range(0, len(order), block):
+        mine = order[at : at + block]
+        low, high, reach = ex[mine[0]], ex[mine[-1]], guess
+        for _ in range(3):
+            a, b = np.searchsorted(px, low - reach, "left"), np.searchsorted(px, high + reach, "right")
+            if a == b:
+                reach = np.inf
+                continue
+            dx, dy = ex[mine, None] - px[a:b], ey[mine, None] - py[a:b]
+            d = np.sqrt(dx * dx + dy * dy)
+            best = d.min(axis=1)
+            if best.max() <= reach:
+                break
+            reach = best.max() * (1 + 1e-9)
+        first = np.where(d == best[:, None], rank[a:b], len(rank)).argmin(axis=1)
+        near[mine], far[mine] = by_x[a + first], best
+    return near, far
+
+
 def correct_mislabels(events: DataFrame, positions: DataFrame, limit: float = 5.0) -> DataFrame:
     """event rows (game_id, period_id, frame_id, event_id, team_id, player_id, x, y) with player_id set to the nearest player of
-    the team in that frame where the labelled one is `limit` or more away, or has no position."""
-    p = positions.select("game_id", "period_id", "frame_id", "team_id", F.col("id").alias("_p"), F.col("x").alias("_px"), F.col("y").alias("_py"))
-    j = events.join(p, ["game_id", "period_id", "frame_id", "team_id"], "left")
-    d = F.sqrt((F.col("x") - F.col("_px")) * (F.col("x") - F.col("_px")) + (F.col("y") - F.col("_py")) * (F.col("y") - F.col("_py")))
-    best = j.withColumn("_d", d).groupBy(*events.columns).agg(F.min(F.when(F.col("_d").isNotNull(), F.struct("_d", "_p"))).alias("_b"), F.min(F.when(F.col("_p") == F.col("player_id"), F.col("_d"))).alias("_own"))
+    the team in that frame where the labelled one is `limit` or more away, or has no position. Each frame's and team's places of
+    events meet its places of players in one task, as numbers: a pair is never a row."""
+    import numpy as np
+    import pandas as pd
+
+    place = ["game_id", "period_id", "frame_id", "team_id"]
+    known = positions.where(F.col("team_id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
+    spots = known.groupBy(*place, F.col("x").alias("_px"), F.col("y").alias("_py")).agg(F.min("id").alias("_near"))
+    spots = spots.select(*(F.col(c).alias(c) for c in spots.columns))  # both sides may come from one table
+    asked = events.where(F.col("team_id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).select(*place, "x", "y").distinct()
+
+    def meet(e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(e) or not len(p):
+            return e.assign(_near=None).iloc[:0]
+        names = p["_near"].to_numpy()
+        rank = np.empty(len(p), np.int64)
+        rank[np.argsort(names, kind="stable")] = np.arange(len(p))
+        at, _ = nearest_points(*(e[c].to_numpy(float) for c in ("x", "y")), *(p[c].to_numpy(float) for c in ("_px", "_py")), rank)
+        return e.assign(_near=names[at])
+
+    kinds = dict(asked.dtypes) | {"_near": dict(positions.dtypes)["id"]}
+    found = asked.groupBy(*place).cogroup(spots.groupBy(*place)).applyInPandas(meet, ", ".join(f"{c} {kinds[c]}" for c in [*asked.columns, "_near"]))
+    mine = known.select(*place, F.col("id").alias("player_id"), F.col("x").alias("_px"), F.col("y").alias("_py"))
+    own = F.sqrt((F.col("x") - F.col("_px")) * (F.col("x") - F.col("_px")) + (F.col("y") - F.col("_py")) * (F.col("y") - F.col("_py")))
+    best = events.join(mine, [*place, "player_id"], "left").withColumn("_d", own).groupBy(*events.columns).agg(F.min("_d").alias("_own"))
     wrong = F.coalesce(F.col("_own") >= limit, F.lit(True))
-    return best.withColumns({"corrected_id": F.when(wrong, F.coalesce("_b._p", "player_id")).otherwise(F.col("player_id")), "was_wrong": wrong}).drop("_b", "_own")
+    best = best.join(found, [*place, "x", "y"], "left").select(*events.columns, "_own", "_near")
+    return best.withColumns({"corrected_id": F.when(wrong, F.coalesce("_near", "player_id")).otherwise(F.col("player_id")), "was_wrong": wrong}).drop("_near", "_own")
