@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import PITCH_LENGTH
 from ..operators.series import velocity
+from ..session import spread
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,6 +32,7 @@ def tracking(spark: SparkSession, d: str) -> DataFrame:
     owner = F.when(F.col("b.event_type") == "purchase", "H").when(F.col("b.event_type") == "error", "neutral")
     who = F.when(ball, "ball").otherwise(F.col("user_id").cast("string"))
     rows = e.select(*frame, who.alias("id"), F.when(~ball, F.col("t")).alias("team_id"), F.when(~ball, F.when(F.col("user_id") % 11 == 0, "GK").otherwise("MF")).alias("position_name"), "x", "y", "ord", owner.alias("ball_owning_team_id"))
+    rows = rows.repartition(spread(spark), "period_id", "id")  # by agent: for its first row in a frame and for velocities alike
     rows = rows.groupBy(*frame, "id").agg(F.min_by(F.struct("team_id", "position_name", "x", "y", "ball_owning_team_id"), "ord").alias("r"), F.min("ord").alias("ord")).select(*frame, "id", "r.*", "ord")
     for a in ("x", "y"):
         rows = velocity(rows, ["game_id", "period_id", "id"], "frame_id", a, f"v{a}")

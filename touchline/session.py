@@ -17,6 +17,12 @@ def session(master: str = "local[*]", app: str = "touchline", **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def spread(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, to name it in repartition(): adaptive execution joins small partitions by their
+    bytes, which says nothing of pairs to be made from them, nor of rows packed to a small part of their size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A new folder's name in spark.checkpoint.dir, which driver and executors share. Where that is unset it is a temporary
     folder on one machine, and an error on a cluster."""
