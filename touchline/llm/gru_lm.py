@@ -21,21 +21,23 @@ is one stream of windows.
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import as_number, as_text, materialise, slices, table
+from .common import as_number, materialise, slices, table
 from .toxicity import held_out
 
 VOCABULARY = 1024
 KEPT = 200_000
-#: Distinct words that a task counts before it passes their counts on.
+#: Distinct words that a task holds counts of before it passes them on.
 MOST_COUNTED = 300_000
 CLASS_SIZE, HIDDEN = 32, 16
 WINDOW, LANES, RATE, FIRST = 20, 256, 0.15, 1e-5
@@ -44,18 +46,26 @@ SHARES = 8
 STREAM_TOKENS, CHUNK_TOKENS = 120_000, 120_000
 #: Weights are summed in so many parts before the last sum.
 SUM_PARTS = 16
-SCORED_AT_ONCE, SCORE_WINDOW = 512, 64
-#: Documents that a task holds as tokens at a time.
-SLICE = 2048
+SCORED_AT_ONCE, SCORE_WINDOW = 256, 32
+#: Documents that a task holds as tokens at a time, and as ids where it scores them: the longest text is a small part of many.
+SLICE, SCORED_SLICE = 2048, 8192
 #: Ids: the end, the TAILS symbols of endings, and from WORDS on words by frequency.
 END, TAILS = 0, 127
 WORDS = 1 + TAILS
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SHAPES = {"x": lambda k: (k, 3 * HIDDEN), "u": lambda k: (HIDDEN, 3 * HIDDEN), "c": lambda k: (-(-k // CLASS_SIZE), HIDDEN), "cb": lambda k: (-(-k // CLASS_SIZE),), "w": lambda k: (-(-k // CLASS_SIZE), CLASS_SIZE, HIDDEN), "wb": lambda k: (-(-k // CLASS_SIZE), CLASS_SIZE)}
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(LOWER).split()
+def word_lists(texts: pa.Array) -> pa.ListArray:
+    """The words of each text, A-Z lower-cased; null for none."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    return pc.ascii_split_whitespace(pc.if_else(pc.greater(pc.binary_length(texts), 0), texts, None))
+
+
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most SLICE rows."""
+    for b in batches:
+        for k in range(0, len(b), SLICE):
+            yield b.slice(k, SLICE)
 
 
 def ending(word: bytes) -> int:
@@ -89,92 +99,132 @@ def initial(counts: np.ndarray) -> dict[str, np.ndarray]:
     return p
 
 
-def cell(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step: x (inputs of the three gates), h (state) -> the new state, update, reset, candidate, h @ u of the candidate."""
+def gates(a: np.ndarray) -> np.ndarray:
+    """Rows of three gates -> an array of each gate, so that what is done to a gate runs through memory in order."""
+    return np.ascontiguousarray(a.reshape(len(a), 3, HIDDEN).transpose(1, 0, 2))
+
+
+def step(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step: x (inputs by gate), h (state), u (by gate) -> the new state, update and reset, candidate, h @ u of the candidate."""
     g = h @ u
-    n = 2 * HIDDEN
-    zr = 1 / (1 + np.exp(-(x[:, :n] + g[:, :n])))
-    z, r, g = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, n:]
-    c = np.tanh(x[:, n:] + r * g)
-    return c + z * (h - c), z, r, c, g
+    zr = x[:2] + g[:2]
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    c = zr[1] * g[2]
+    c += x[2]
+    np.tanh(c, out=c)
+    new = h - c
+    new *= zr[0]
+    new += c
+    return new, zr, c, g[2]
 
 
-def softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits (cut at 80, which float32 still holds), their exponentials and the sums of these."""
-    a = np.minimum(h @ w.T + b, 80)
-    e = np.exp(a)
-    return a, e, e @ np.ones(len(b), e.dtype)
+def cell(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
+    """step() from rows of x and u as they are stored."""
+    return step(gates(x), h, gates(u))
+
+
+def softmax(a: np.ndarray, biases: np.ndarray, picked: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of the logits a + biases (cut at 80, which float32 still holds) at the places `picked` of a, one in a row
+    with its own bias, and the sums of the rows' exponentials; these replace a."""
+    logs = np.minimum(a.take(picked) + own.astype(float), 80)
+    a += biases
+    if a.max(initial=0) > 80:
+        np.minimum(a, 80, out=a)
+    np.exp(a, out=a)
+    sums = a @ np.ones(a.shape[1], a.dtype)
+    return logs - np.log(sums, dtype=float), sums
 
 
 def output(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probability of each id after its state; with grads, adds those of the mean log loss and returns dh."""
-    cls, within = ids // CLASS_SIZE, ids % CLASS_SIZE
-    a, e, s = softmax(h, p["c"], p["cb"])
-    rows = np.arange(len(ids))
-    out = a[rows, cls] - np.log(s)
-    dh, share = None, 1 / max(1, len(ids))
+    """Natural log probability of each id after its state; with grads, adds those of the mean log loss and returns dh. Inside,
+    rows are sorted by class."""
+    classes, rows, share = len(p["cb"]), np.arange(len(ids)), 1 / max(1, len(ids))
+    cls = ids // CLASS_SIZE
+    order = np.argsort(cls.astype(np.uint8) if classes < 256 else cls, kind="stable")
+    place = np.empty_like(order)  # of each id among the sorted rows
+    place[order] = rows
+    ids, cls, hs = ids.take(order), cls.take(order), h.take(order, axis=0)
+    cuts = np.searchsorted(cls, np.arange(classes + 1))
+    parts = [(k, slice(cuts[k], cuts[k + 1])) for k in range(classes) if cuts[k] < cuts[k + 1]]
+
+    def errors(a: np.ndarray, s: np.ndarray, at: np.ndarray) -> None:
+        a *= (share / s)[:, None]
+        a.reshape(-1)[at] -= share
+
+    a, at = hs @ p["c"].T, rows * classes + cls
+    logs, s = softmax(a, p["cb"], at, p["cb"].take(cls))
+    dh = None
     if grads is not None:
-        d = e * (share / s)[:, None]
-        d[rows, cls] -= share
-        grads["c"] += d.T @ h
-        grads["cb"] += d.sum(0)
-        dh = d @ p["c"]
-    order = np.argsort(cls.astype(np.uint8) if len(p["cb"]) < 256 else cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(len(p["cb"]) + 1))
-    for k in range(len(p["cb"])):
-        i = order[cuts[k] : cuts[k + 1]]
-        if not len(i):
-            continue
-        hk = h[i]
-        w = p["w"][k]
-        a, e, s = softmax(hk, w, p["wb"][k])
-        at = np.arange(len(i))
-        out[i] += a[at, within[i]] - np.log(s)
-        if grads is not None:
-            d = e * (share / s)[:, None]
-            d[at, within[i]] -= share
-            grads["w"][k] += d.T @ hk
-            grads["wb"][k] += d.sum(0)
-            dh[i] += d @ w
-    return out, dh
+        errors(a, s, at)
+        grads["c"] += a.T @ hs
+        grads["cb"] += np.ones(len(ids), a.dtype) @ a
+        dh = a @ p["c"]
+    a, at = np.empty((len(ids), CLASS_SIZE), h.dtype), (rows - cls) * CLASS_SIZE + ids
+    for k, i in parts:
+        np.matmul(hs[i], p["w"][k].T, out=a[i])
+    more, s = softmax(a, p["wb"].take(cls, axis=0), at, p["wb"].take(ids))
+    logs += more
+    if grads is not None:
+        errors(a, s, at)
+        for k, i in parts:
+            grads["w"][k] += a[i].T @ hs[i]
+            grads["wb"][k] += np.ones(i.stop - i.start, a.dtype) @ a[i]
+            dh[i] += a[i] @ p["w"][k]
+        dh = dh.take(place, axis=0)
+    return logs.take(place), dh
 
 
 def summed_rows(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """rows added up by id: an array of `size` rows."""
-    out = np.zeros((size, rows.shape[1]), rows.dtype)
-    order = np.argsort(ids, kind="stable")
-    found, first = np.unique(ids[order], return_index=True)
-    out[found] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    """rows (by gate) added up by id: `size` rows of the three gates."""
+    out = np.zeros((size, 3, HIDDEN), rows.dtype)
+    order = np.argsort(ids.astype(np.uint16) if size <= 1 << 16 else ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    out[ids[first]] = np.add.reduceat(rows.take(order, axis=1), first, axis=1).transpose(1, 0, 2)
+    return out.reshape(size, 3 * HIDDEN)
 
 
 def window_gradients(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, there: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
     """Gradients of the mean log loss of a window of tokens t (steps by lanes) after tokens x, from state h; the state after
     it; and the loss's sum. Steps that are not `there` count for nothing."""
-    inputs, live = p["x"][x], (x != END)[:, :, None]
-    steps, states = [], np.empty((*x.shape, HIDDEN), h.dtype)
+    inputs, u, ended = gates(p["x"]), gates(p["u"]), x == END
+    shape = (*x.shape, HIDDEN)
+    before, states, c, g, back_c = (np.empty(shape, h.dtype) for _ in range(5))
+    zr, dx = np.empty((2, *shape), h.dtype), np.empty((3, *shape), h.dtype)
+    h = h.copy()
     for k in range(len(x)):
-        h = h * live[k]
-        new, *gates = cell(inputs[k], h, p["u"])
-        steps.append((h, *gates))
-        states[k] = h = new
+        h[ended[k]] = 0
+        before[k] = h
+        h, zr[:, k], c[k], g[k] = step(inputs.take(x[k], axis=1), h, u)
+        states[k] = h
     grads = {name: np.zeros_like(v) for name, v in p.items()}
-    dh = np.zeros_like(states)
-    logs, dh[there] = output(p, states[there], t[there], grads)
-    back, dx, dg = np.zeros_like(h), np.empty((*x.shape, 3 * HIDDEN), h.dtype), np.empty((*x.shape, 3 * HIDDEN), h.dtype)
-    back_of_u, n = np.ascontiguousarray(p["u"].T), 2 * HIDDEN
+    if there.all():
+        logs, dh = output(p, states.reshape(-1, HIDDEN), t.ravel(), grads)
+        dh = dh.reshape(shape)
+    else:
+        dh = np.zeros_like(states)
+        logs, dh[there] = output(p, states[there], t[there], grads)
+    z, r = zr
+    to_c = (1 - z) * (1 - c * c)
+    to_z = (before - c) * z * (1 - z)
+    to_r = g * r * (1 - r)
+    back, back_of_u = np.zeros_like(h), np.ascontiguousarray(u.transpose(0, 2, 1))
     for k in reversed(range(len(x))):
-        prev, z, r, c, g = steps[k]
         d = dh[k] + back
-        dc = d * (1 - z) * (1 - c * c)
-        dx[k, :, :HIDDEN] = d * (prev - c) * z * (1 - z)
-        dx[k, :, HIDDEN:n] = dc * g * r * (1 - r)
-        dx[k, :, n:] = dc
-        dg[k] = dx[k]
-        dg[k, :, n:] *= r
-        back = (d * z + dg[k] @ back_of_u) * live[k]
-    grads["u"] = np.concatenate([s[0] for s in steps]).T @ dg.reshape(-1, 3 * HIDDEN)
-    grads["x"] = summed_rows(x.ravel(), dx.reshape(-1, 3 * HIDDEN), len(p["x"]))
+        dc = np.multiply(d, to_c[k], out=dx[2, k])
+        np.multiply(d, to_z[k], out=dx[0, k])
+        np.multiply(dc, to_r[k], out=dx[1, k])
+        np.multiply(dc, r[k], out=back_c[k])
+        back = d * z[k]
+        for gate, over in zip((dx[0, k], dx[1, k], back_c[k]), back_of_u, strict=True):
+            back += gate @ over
+        back[ended[k]] = 0
+    flat = before.reshape(-1, HIDDEN).T
+    grads["u"] = np.concatenate([flat @ v.reshape(-1, HIDDEN) for v in (dx[0], dx[1], back_c)], axis=1)
+    grads["x"] = summed_rows(x.ravel(), dx.reshape(3, -1, HIDDEN), len(p["x"]))
     return grads, h, float(-logs.sum())
 
 
@@ -187,6 +237,7 @@ def train(p: dict[str, np.ndarray], stream: np.ndarray, sums: dict[str, np.ndarr
     full[: len(stream)] = stream
     y, there = full.reshape(lanes, length).T, (np.arange(lanes * length) < len(stream)).reshape(lanes, length).T
     before = np.concatenate(([END], full[:-1])).reshape(lanes, length).T
+    y, there, before = map(np.ascontiguousarray, (y, there, before))
     h, done = np.zeros((lanes, HIDDEN), np.float32), 0
     for low in range(0, length, WINDOW):
         here = np.s_[low : low + WINDOW]
@@ -197,38 +248,46 @@ def train(p: dict[str, np.ndarray], stream: np.ndarray, sums: dict[str, np.ndarr
         for name, g in grads.items():
             np.clip(g, -0.25, 0.25, out=g)
             sums[name] += g * g
-            p[name] -= RATE * g / (np.sqrt(sums[name]) + 1e-6)
+            size = np.sqrt(sums[name])
+            size += 1e-6
+            g *= RATE
+            g /= size
+            p[name] -= g
     return done
 
 
 def log_likelihood(p: dict[str, np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each id array (ended by END), all of it: texts of similar length run side by side, and
-    their states are carried from window to window."""
-    total = np.zeros(len(texts))
-    order = np.argsort([-len(t) for t in texts], kind="stable")
-    for low in range(0, len(order), SCORED_AT_ONCE):
-        mine = order[low : low + SCORED_AT_ONCE]
-        sizes = np.array([len(texts[i]) for i in mine])
-        h = np.zeros((len(mine), HIDDEN), np.float32)
-        last = np.full(len(mine), END)
-        for start in range(0, int(sizes[0]), SCORE_WINDOW):
-            live = int(np.searchsorted(-sizes, -start, side="left"))  # sizes fall
-            width = min(SCORE_WINDOW, int(sizes[0]) - start)
-            ids = np.zeros((live, width), np.int32)
-            for j in range(live):
-                part = texts[mine[j]][start : start + width]
-                ids[j, : len(part)] = part
-            h, states = h[:live], np.empty((width, live, HIDDEN), np.float32)
-            x = last[:live]
-            for k in range(width):
-                h = cell(p["x"][x], h, p["u"])[0]
-                states[k] = h
-                x = ids[:, k]
-            last = x
-            there = (start + np.arange(width))[:, None] < sizes[None, :live]
-            logs, _ = output(p, states[there], ids.T[there])
-            total[mine[:live]] += np.bincount(np.nonzero(there)[1], logs, live)
-    return total
+    """Natural log probability of each id array (ended by END), all of it. Texts are dealt whole, the longest first, to lanes of
+    about equal length, where each begins with a new state behind the one before; states are carried from window to window.
+    Lanes are in order of length, so that those which go on at a step are the first ones."""
+    if not texts:
+        return np.zeros(0)
+    lanes = [(0, j, []) for j in range(min(SCORED_AT_ONCE, len(texts)))]
+    for i in np.argsort([-len(t) for t in texts], kind="stable"):
+        n, j, held = lanes[0]
+        held.append(i)
+        heapq.heapreplace(lanes, (n + len(texts[i]), j, held))
+    lanes.sort(reverse=True)
+    order, sizes = np.array([i for *_, held in lanes for i in held]), np.array([n for n, *_ in lanes])
+    flat, begins = np.concatenate([texts[i] for i in order]), np.cumsum(sizes) - sizes
+    logs = np.empty(len(flat))
+    inputs, u = gates(p["x"]), gates(p["u"])
+    h, last = np.zeros((len(lanes), HIDDEN), np.float32), np.full(len(lanes), END)
+    for start in range(0, int(sizes[0]), SCORE_WINDOW):
+        steps = np.arange(start, min(start + SCORE_WINDOW, int(sizes[0])))
+        live = np.searchsorted(-sizes, -steps, side="left")  # lanes at each step
+        at = np.concatenate([begins[:m] + k for k, m in zip(steps, live, strict=True)])
+        ids, states = flat.take(at), np.empty((len(at), HIDDEN), np.float32)
+        for m, end in zip(live, np.cumsum(live), strict=True):
+            h, last = h[:m], last[:m]
+            h[last == END] = 0
+            h = step(inputs.take(last, axis=1), h, u)[0]
+            states[end - m : end] = h
+            last = ids[end - m : end]
+        logs[at] = output(p, states, ids)[0]
+    out, lengths = np.empty(len(texts)), np.array([len(texts[i]) for i in order])
+    out[order] = np.add.reduceat(logs, np.cumsum(lengths) - lengths)
+    return out
 
 
 class Corpus:
@@ -282,45 +341,60 @@ class Corpus:
 def token_table(docs: DataFrame) -> DataFrame:
     """word, c over the documents; the end token is the empty word. Tasks add up counts of MOST_COUNTED words at a time."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[bytes] = Counter()
-        flush = lambda: pd.DataFrame({"word": [w.decode() for w in counts], "c": list(counts.values())})
-        for pdf in slices(batches, SLICE):
-            for t in pdf["text"]:
-                counts.update(tokens(t))
-            counts[b""] += len(pdf)
-            if len(counts) > MOST_COUNTED:
-                yield flush()
-                counts.clear()
-        if counts:
-            yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
+        for b in cut(batches):
+            found = word_lists(b["text"]).flatten().value_counts()
+            words, n = found.field("values"), found.field("counts")
+            held += [pa.table({"word": words, "c": n}), pa.table({"word": [""], "c": [len(b)]})]
+            size += len(words)
+            if size > 2 * MOST_COUNTED:
+                held = [added()]
+                size = len(held[0])
+                if size > MOST_COUNTED:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if held:
+            yield from added().to_batches()
 
-    return docs.select("text").mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def offsets(sizes: np.ndarray) -> pa.Buffer:
+    """Arrow's buffer of where items of these sizes begin and end."""
+    return pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
 
 
 def token_ids(docs: DataFrame, corpus: Corpus, learn: Column) -> DataFrame:
     """row (its own number), doc_id, learn, key (a digest of doc_id and text), ids (32-bit, ended by END) and rare (the words
     without an id, apart by blanks) of every document, written by share."""
-    known = docs.sparkSession.sparkContext.broadcast({w: i + WORDS for i, w in enumerate(corpus.words)})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = known.value.get
-        for pdf in slices(batches, SLICE):
-            ids, rare = [], []
-            for t in pdf["text"]:
-                words = tokens(t)
-                found = np.array([*[get(w, -1) for w in words], END], np.int32)
-                at = np.flatnonzero(found < 0)
-                new = [words[i] for i in at]
-                found[at] = [ending(w) for w in new]
-                ids.append(found.tobytes())
-                rare.append(b" ".join(new).decode())
-            yield pdf[["doc_id", "share", "learn", "key"]].assign(ids=ids, rare=rare)
+    known = docs.sparkSession.sparkContext.broadcast([w.decode() for w in corpus.words])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(known.value, pa.string())
+        for b in cut(batches):
+            lists = word_lists(b["text"])
+            sizes, flat = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(), lists.flatten()
+            at = pc.index_in(flat, value_set=words)
+            new = flat.filter(at.is_null())
+            found = pc.fill_null(at, -1).to_numpy() + np.int32(WORDS)
+            unknown = found < WORDS
+            found[unknown] = [ending(w.encode()) for w in new.to_pylist()]
+            stops = np.cumsum(sizes)  # of each text among the words
+            ids = np.insert(found, stops, END).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), len(b), [None, offsets(4 * (sizes + 1)), pa.py_buffer(ids)])
+            fresh = np.concatenate(([0], np.cumsum(unknown)))
+            parts = pa.ListArray.from_arrays(np.concatenate(([0], fresh[stops])).astype(np.int32), new)
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("doc_id", "share", "learn", "key")), data, pc.binary_join(parts, " ")], ["doc_id", "share", "learn", "key", "ids", "rare"])
 
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     share = F.pmod(key, F.lit(SHARES)).cast("int").alias("share")
-    rows = as_text(docs, share, learn.alias("learn"), key.alias("key"), "text").mapInPandas(run, "doc_id string, share int, learn boolean, key long, ids binary, rare string")
-    return materialise(as_number(rows).withColumn("row", F.monotonically_increasing_id()), "ids", by="share")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), share, learn.alias("learn"), key.alias("key"), "text").mapInArrow(run, "doc_id long, share int, learn boolean, key long, ids binary, rare string")
+    return materialise(rows.withColumn("row", F.monotonically_increasing_id()), "ids", by="share")
 
 
 def mean_weights(parts: DataFrame) -> tuple[float, np.ndarray | None]:
@@ -402,7 +476,7 @@ def score_documents(every: DataFrame, corpus: Corpus, weights: np.ndarray, count
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         logs, tails, symbols, flat = shared.value
         p = unpack(flat, k)
-        for pdf in slices(batches, SLICE):
+        for pdf in slices(batches, SCORED_SLICE):
             ids = [np.frombuffer(x, np.int32) for x in pdf["ids"]]
             inner = [symbols[x] for x in ids]
             n = np.array([len(x) for x in ids])
