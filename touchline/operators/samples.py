@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
@@ -48,14 +50,17 @@ def unknown(df: DataFrame, features: list[str]) -> Column:
     return F.exists(F.array(*((F.col(f).isNull() | (F.isnan(f) if kinds[f] in ("double", "float") else F.lit(False))) for f in features)), lambda x: x)
 
 
-def build_samples(tracking: DataFrame, presses: DataFrame, events: DataFrame, home: str, span: int = 125, k: int = 10, size: int = 11, matrices: DataFrame | None = None) -> DataFrame:
+def build_samples(tracking: DataFrame, presses: DataFrame, events: DataFrame, home: str, span: int = 125, k: int = 10, size: int = 11, matrices: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """sample_id, pressed_id, presser_id, label, frames and features (time, 2 * n + 1 agents, 19 features), n being
     the most agents of a side in any picked frame, `size` at least: none is left out. A sample with a null or NaN feature of any
     agent in any of its frames is none.
 
     With `matrices` (FRAME, rows, columns, probability: pressure.matrices) also agent_order (ids of the press frame's rows and
     columns, filled with Missing_k to n each, and the ball) and pressing (frames with a matrix in order, n x n, zeros
-    beyond the matrix and where it has no pair); a sample whose press frame has no matrix is none.
+    beyond the matrix and where it has no pair); a sample whose press frame has no matrix is none. `matrices` may be a function that
+    takes the picked frames (FRAME, each once) and gives theirs. Where frames are so large that a sample's matrices are no row,
+    give their digests (FRAME, rows, columns, digest: pressure.matrix_digests): the sample then has n_matrices and matrix_digest,
+    of its frames' digests in order, agent_order and the size to which its matrices are filled with zeros.
 
     tracking: frames with carriers and kinematics. presses: game_id, period_id, frame_id, pressed_id, presser_id, label.
     events: game_id, period_id, frame_id, type_id. Coordinates turn so that the press goes from left to right; type_id is that
@@ -65,6 +70,9 @@ def build_samples(tracking: DataFrame, presses: DataFrame, events: DataFrame, ho
             tracking = tracking.withColumn(c, F.lit(0.0))
     p = presses.withColumnRenamed("frame_id", "press_frame")
     frames = picked_frames(tracking, p, span, k)
+    if callable(matrices):
+        frames = written(frames, "frames")  # a few rows, read by the samples and by their matrices
+        matrices = matrices(frames.select(*FRAME).distinct())
     known = before(p, events.select("game_id", "period_id", "frame_id", (F.col("type_id") + 1).alias("type_id")), "frame_id", span)
     frames = as_of_filled(frames, known, PRESS, "frame_id", "type_id")
     rows = frames.join(tracking, FRAME)
@@ -89,8 +97,26 @@ def build_samples(tracking: DataFrame, presses: DataFrame, events: DataFrame, ho
     return out.drop(*PRESS)
 
 
+def own_order(n: int) -> Column:
+    """Aggregate: agent_order of the press frame."""
+    missing = lambda first, count: F.when(count > 0, F.transform(F.sequence(first, first + count - 1), lambda k: F.concat(F.lit("Missing_"), k))).otherwise(F.array().cast("array<string>"))
+    more = F.lit(n) - F.size("rows")
+    order = F.concat("rows", missing(F.lit(0), more), "columns", missing(F.greatest(F.lit(0), more), F.lit(n) - F.size("columns")), F.array(F.lit("ball")))
+    return F.max(F.when(F.col("frame_id") == F.col("press_frame"), order))
+
+
+def pressing_digests(m: DataFrame, n: int) -> DataFrame:
+    """PRESS, n_matrices, matrix_digest of the samples whose press frame has a matrix: pressing() without its arrays."""
+    size = [F.greatest(F.lit(n), F.max(F.size(c))) for c in ("rows", "columns")]
+    digests = F.transform(F.array_sort(F.collect_list(F.struct("frame_id", "digest"))), lambda x: x["digest"])
+    out = m.groupBy(*PRESS).agg(own_order(n).alias("_order"), digests.alias("_digests"), *(c.alias(k) for c, k in zip(size, ("_high", "_wide"), strict=True)))
+    return out.where("_order is not null").select(*PRESS, F.size("_digests").alias("n_matrices"), F.xxhash64("_digests", "_high", "_wide", "_order").alias("matrix_digest"))
+
+
 def pressing(frames: DataFrame, matrices: DataFrame, n: int) -> DataFrame:
     """PRESS, agent_order, pressing of the samples whose press frame has a matrix. Matrices larger than n widen all of theirs."""
+    if "digest" in matrices.columns:
+        return pressing_digests(frames.join(matrices.select(*FRAME, "rows", "columns", "digest"), FRAME), n)
     cell = F.transform("probability", lambda r: F.transform(r, lambda v: F.coalesce(v.cast("float"), F.lit(0.0).cast("float"))))
     m = frames.join(matrices.select(*FRAME, "rows", "columns", cell.alias("m")), FRAME)
     high, wide = F.greatest(F.lit(n), F.max(F.size("rows")).over(Window.partitionBy(*PRESS))), F.greatest(F.lit(n), F.max(F.size("columns")).over(Window.partitionBy(*PRESS)))
@@ -98,9 +124,6 @@ def pressing(frames: DataFrame, matrices: DataFrame, n: int) -> DataFrame:
     row = lambda r: F.concat(r, F.array_repeat(F.lit(0.0).cast("float"), F.col("_wide") - F.size(r)))
     none = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), F.col("_wide")), F.col("_high") - F.size("m"))
     m = m.withColumn("m", F.concat(F.transform("m", row), none))
-    missing = lambda first, count: F.when(count > 0, F.transform(F.sequence(first, first + count - 1), lambda k: F.concat(F.lit("Missing_"), k))).otherwise(F.array().cast("array<string>"))
-    more = F.lit(n) - F.size("rows")
-    order = F.concat("rows", missing(F.lit(0), more), "columns", missing(F.greatest(F.lit(0), more), F.lit(n) - F.size("columns")), F.array(F.lit("ball")))
-    own = F.max(F.when(F.col("frame_id") == F.col("press_frame"), order)).alias("agent_order")
+    own = own_order(n).alias("agent_order")
     out = m.groupBy(*PRESS).agg(own, F.transform(F.array_sort(F.collect_list(F.struct("frame_id", "m"))), lambda x: x["m"]).alias("pressing"))
     return out.where("agent_order is not null")
